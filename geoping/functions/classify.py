@@ -18,7 +18,12 @@ def _c(c: Column | str) -> Column:
 
 def period_of_day(ts: Column | str) -> Column:
     """MAÑANA for 6 <= hour < 12, TARDE for 12 <= hour < 19, else NOCHE (null -> NOCHE)."""
-    h = F.hour(_c(ts))
+    return period_from_hour(F.hour(_c(ts)))
+
+
+def period_from_hour(hour: Column | str) -> Column:
+    """F01 on an hour of day (0-23)."""
+    h = _c(hour)
     return (F.when((h >= 6) & (h < 12), F.lit(S.PERIOD_MORNING))
             .when((h >= 12) & (h < 19), F.lit(S.PERIOD_AFTERNOON))
             .otherwise(F.lit(S.PERIOD_NIGHT)))

@@ -115,7 +115,7 @@ def point_in_edges(edge_list: Column, x: Column, y: Column) -> Column:
     """
     crossings = F.aggregate(edge_list, F.lit(0), lambda acc, e: acc + F.when(
         ((e["y1"] > y) != (e["y2"] > y))
-        & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]), 1).otherwise(0))
+        & (x < F.try_divide((e["x2"] - e["x1"]) * (y - e["y1"]), e["y2"] - e["y1"]) + e["x1"]), 1).otherwise(0))
     return ((crossings % 2) == 1) & ~on_boundary(edge_list, x, y)
 
 

@@ -48,3 +48,323 @@ def q_transform_locations(spark, sf_dir):
 def q_grid_heatmap(spark, sf_dir):
     """0.01° heatmap cells."""
     return grid_ops.grid_heatmap(locations(spark, sf_dir), 0.01)
+
+
+# ---------------------------------------------------------------- scans & quality
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from ..functions import classify as C  # noqa: E402
+from ..operators import devices as dev_ops  # noqa: E402
+from ..operators import dimensions as dim_ops  # noqa: E402
+from ..operators import districts as dist_ops  # noqa: E402
+from ..operators import reports as rep_ops  # noqa: E402
+from ..operators import spatial as SP  # noqa: E402
+from ..operators import stats as stat_ops  # noqa: E402
+from ..operators.transform import clean_for_summary, time_decomposition  # noqa: E402
+from ..sources import pings as ping_src  # noqa: E402
+
+INCREMENTAL_MARK = 5000          # S03 high-water mark parameter
+PAGE_LIMIT, PAGE_OFFSET = 1000, 2000
+
+
+@register("page_scan")
+def q_page_scan(spark, sf_dir):
+    """Page of 1000 pings after 2000, ordered by id."""
+    return ping_src.page_scan(pings(spark, sf_dir), PAGE_LIMIT, PAGE_OFFSET)
+
+
+@register("filtered_scan")
+def q_filtered_scan(spark, sf_dir):
+    """Equality filter on network text + inclusive timestamp range (both bounds kept)."""
+    return ping_src.filtered_scan(pings(spark, sf_dir), {"network_type": "LTE"},
+                                  start="2024-01-05 00:00:00", end="2024-01-20 23:59:59")
+
+
+@register("incremental_new_rows")
+def q_incremental(spark, sf_dir):
+    """Rows above the high-water mark."""
+    return ping_src.incremental_scan(pings(spark, sf_dir), last_id=INCREMENTAL_MARK)
+
+
+@register("count_records")
+def q_count_records(spark, sf_dir):
+    """Exact count under an equality filter."""
+    return ping_src.count_records(pings(spark, sf_dir), {"sim_operator": "tigo"})
+
+
+@register("high_water_mark")
+def q_high_water_mark(spark, sf_dir):
+    """Max id of the batch."""
+    return ping_src.high_water_mark(pings(spark, sf_dir))
+
+
+@register("quarantine")
+def q_quarantine(spark, sf_dir):
+    """Rows failing validation with their reasons."""
+    _, bad = ping_src.split_quarantine(normalise_pings(fixtures.raw_pings(spark, sf_dir)))
+    return bad.select("id", "latitude", "longitude", "speed", "battery", "reason")
+
+
+@register("time_decomposition")
+def q_time_decomposition(spark, sf_dir):
+    """date, hour, period, period code, time id per location."""
+    return time_decomposition(locations(spark, sf_dir))
+
+
+@register("heatmap_filtered")
+def q_heatmap_filtered(spark, sf_dir):
+    """P08 + A01: bbox + network filter, 0.005° cells."""
+    return grid_ops.heatmap_request(locations(spark, sf_dir), min_lat=-18.2, max_lat=-17.5, min_lon=-63.6,
+                                    max_lon=-63.0, network_type="4G", grid_size=0.005)
+
+
+# ---------------------------------------------------------------- statistics
+
+@register("dataset_statistics")
+def q_dataset_statistics(spark, sf_dir):
+    """A02."""
+    return stat_ops.dataset_statistics(locations(spark, sf_dir))
+
+
+@register("label_distributions")
+def q_label_distributions(spark, sf_dir):
+    """A03-A07 in one GROUPING SETS scan, with A25 shares."""
+    return stat_ops.distribution_shares(stat_ops.label_distributions(locations(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- devices
+
+@register("device_day_summary")
+def q_device_day_summary(spark, sf_dir):
+    """Device-day summary on raw values (non-null coordinates)."""
+    return dev_ops.device_day_summary(clean_for_summary(pings(spark, sf_dir)))
+
+
+@register("latest_device_days")
+def q_latest_device_days(spark, sf_dir):
+    """Latest 100 device-day rows."""
+    return dev_ops.latest_device_days(dev_ops.device_day_summary(clean_for_summary(pings(spark, sf_dir)),
+                                                                 ordered=False), 100)
+
+
+@register("device_extents")
+def q_device_extents(spark, sf_dir):
+    """A21."""
+    return dev_ops.device_extents(locations(spark, sf_dir))
+
+
+@register("device_stats")
+def q_device_stats(spark, sf_dir):
+    """Device statistics; count maps rendered as sorted 'k:v' text."""
+    s = dev_ops.device_stats(locations(spark, sf_dir))
+    return (s.withColumn("network_types", dev_ops.map_as_text("network_types"))
+            .withColumn("operators", dev_ops.map_as_text("operators")))
+
+
+# ---------------------------------------------------------------- study reports (all raw pings)
+
+@register("operator_groups")
+def q_operator_groups(spark, sf_dir):
+    return rep_ops.operator_groups(pings(spark, sf_dir))
+
+
+@register("operator_variants")
+def q_operator_variants(spark, sf_dir):
+    return rep_ops.operator_variants(pings(spark, sf_dir))
+
+
+@register("network_groups")
+def q_network_groups(spark, sf_dir):
+    return rep_ops.network_groups(pings(spark, sf_dir))
+
+
+@register("network_generations")
+def q_network_generations(spark, sf_dir):
+    return rep_ops.network_generations(pings(spark, sf_dir))
+
+
+@register("speed_groups")
+def q_speed_groups(spark, sf_dir):
+    return rep_ops.speed_groups(pings(spark, sf_dir))
+
+
+@register("speed_motion_share")
+def q_speed_motion_share(spark, sf_dir):
+    return rep_ops.speed_motion_share(pings(spark, sf_dir))
+
+
+@register("speed_profile")
+def q_speed_profile(spark, sf_dir):
+    return rep_ops.speed_profile(pings(spark, sf_dir))
+
+
+@register("speed_percentiles")
+def q_speed_percentiles(spark, sf_dir):
+    return rep_ops.speed_percentiles(pings(spark, sf_dir))
+
+
+@register("speed_histogram")
+def q_speed_histogram(spark, sf_dir):
+    return rep_ops.speed_histogram(pings(spark, sf_dir))
+
+
+@register("top_speeds")
+def q_top_speeds(spark, sf_dir):
+    return rep_ops.top_speeds(pings(spark, sf_dir), 10)
+
+
+@register("period_report")
+def q_period_report(spark, sf_dir):
+    return rep_ops.period_report(locations(spark, sf_dir))
+
+
+@register("hour_report")
+def q_hour_report(spark, sf_dir):
+    return rep_ops.hour_report(locations(spark, sf_dir))
+
+
+@register("date_hour_report")
+def q_date_hour_report(spark, sf_dir):
+    """J07/A28 through dim_time."""
+    return dim_ops.date_hour_report(spark, locations(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- dimensions & fact
+
+@register("dim_network")
+def q_dim_network(spark, sf_dir):
+    return dim_ops.dim_network(locations(spark, sf_dir))
+
+
+@register("dim_operator")
+def q_dim_operator(spark, sf_dir):
+    return dim_ops.dim_operator(locations(spark, sf_dir))
+
+
+@register("dim_device")
+def q_dim_device(spark, sf_dir):
+    return dim_ops.dim_device(locations(spark, sf_dir))
+
+
+@register("fact_locations")
+def q_fact_locations(spark, sf_dir):
+    """Star fact with six foreign keys."""
+    return dim_ops.fact_locations(spark, locations(spark, sf_dir)).drop("location_geom")
+
+
+# ---------------------------------------------------------------- polygons & spatial
+
+def districts(spark, sf_dir):
+    return fixtures.districts(spark, sf_dir)
+
+
+def provinces(spark, sf_dir):
+    return fixtures.provinces(spark, sf_dir)
+
+
+def both_index(spark, sf_dir):
+    return SP.build_index([("district", districts(spark, sf_dir), "district_id"),
+                           ("province", provinces(spark, sf_dir), "province_id")])
+
+
+def assigned(spark, sf_dir, mode="both"):
+    return SP.assign_locations(locations(spark, sf_dir), districts(spark, sf_dir), provinces(spark, sf_dir),
+                               mode=mode, index=both_index(spark, sf_dir))
+
+
+@register("polygon_measures")
+def q_polygon_measures(spark, sf_dir):
+    """F21, F22, F28, F29 per district (centroid rounded to 6 dp)."""
+    m = dist_ops.polygon_measures(districts(spark, sf_dir), "district_id")
+    return m.select("district_id", "area_km2", "perimeter_km", F.round("centroid_x", 6).alias("centroid_x"),
+                    F.round("centroid_y", 6).alias("centroid_y"))
+
+
+@register("polygon_totals")
+def q_polygon_totals(spark, sf_dir):
+    """A29."""
+    return dist_ops.polygon_totals(districts(spark, sf_dir))
+
+
+@register("district_assignment")
+def q_district_assignment(spark, sf_dir):
+    """Bulk assignment (district and province both required)."""
+    return assigned(spark, sf_dir).select("id", "district_id", "district_name", "province_id", "province_name")
+
+
+@register("district_assignment_independent")
+def q_district_assignment_independent(spark, sf_dir):
+    """Independent district and province lookups per point."""
+    return assigned(spark, sf_dir, "independent").select("id", "district_id", "district_name", "province_id",
+                                                          "province_name")
+
+
+@register("assignment_coverage")
+def q_assignment_coverage(spark, sf_dir):
+    """A12."""
+    return dist_ops.assignment_coverage(assigned(spark, sf_dir))
+
+
+@register("top_districts")
+def q_top_districts(spark, sf_dir):
+    """Top 10 districts by assigned points."""
+    return dist_ops.top_polygons(assigned(spark, sf_dir), "district_name", 10)
+
+
+@register("top_provinces")
+def q_top_provinces(spark, sf_dir):
+    """Top 10 provinces by assigned points."""
+    return dist_ops.top_polygons(assigned(spark, sf_dir), "province_name", 10)
+
+
+def _district_stats(spark, sf_dir):
+    d = districts(spark, sf_dir)
+    idx = SP.build_index([("district", d, "district_id")])
+    return dist_ops.district_statistics(locations(spark, sf_dir), d, idx)
+
+
+@register("district_statistics")
+def q_district_statistics(spark, sf_dir):
+    """Every district with its statistics (live geometry)."""
+    return _district_stats(spark, sf_dir)
+
+
+@register("district_density")
+def q_district_density(spark, sf_dir):
+    """Density per district."""
+    return dist_ops.district_density(_district_stats(spark, sf_dir))
+
+
+@register("density_summary")
+def q_density_summary(spark, sf_dir):
+    """Totals and mean density."""
+    return dist_ops.density_summary(_district_stats(spark, sf_dir))
+
+
+@register("district_point_count")
+def q_district_point_count(spark, sf_dir):
+    """Points inside district id 0."""
+    d = districts(spark, sf_dir)
+    idx = SP.build_index([("district", d, "district_id")])
+    return SP.count_in_polygon(locations(spark, sf_dir), idx, "district", 0)
+
+
+@register("points_in_district_page")
+def q_points_in_district_page(spark, sf_dir):
+    """First page (limit 1000) of points in district id 10, by id."""
+    d = districts(spark, sf_dir)
+    idx = SP.build_index([("district", d, "district_id")])
+    return SP.page_in_polygon(locations(spark, sf_dir), idx, "district", 10, limit=1000, offset=0).select(
+        "id", "device_id", "latitude", "longitude")
+
+
+@register("spatial_modes_agree")
+def q_spatial_modes_agree(spark, sf_dir):
+    """Cell-cover join vs nested-loop mode: rows where they disagree (expected: none)."""
+    d = districts(spark, sf_dir)
+    pts = locations(spark, sf_dir).select("id", "latitude", "longitude")
+    cell = SP.locate(pts, SP.build_index([("district", d, "district_id")]))
+    nl = SP.assign_nested_loop(pts, d, "district_id", out_col="nl_district_id").select("id", "nl_district_id")
+    return (cell.join(nl, "id").filter(~F.col("district_id").eqNullSafe(F.col("nl_district_id")))
+            .select("id", "district_id", "nl_district_id"))

@@ -97,3 +97,442 @@ SELECT cell_y, cell_x, lat_grid, lon_grid,
 FROM (SELECT *, CAST(floor(latitude / CAST(0.01 AS DOUBLE)) AS BIGINT) AS cell_y,
         CAST(floor(longitude / CAST(0.01 AS DOUBLE)) AS BIGINT) AS cell_x FROM locations) c
 GROUP BY cell_y, cell_x, lat_grid, lon_grid""")
+
+
+def R(x: str, d: int) -> str:
+    return f"CAST(ROUND(CAST(CAST(({x}) AS VARCHAR) AS DECIMAL(38,18)), {d}) AS DOUBLE)"
+
+
+def PCT(part: str, total: str) -> str:
+    return f"(CAST({part} AS DOUBLE) * CAST(100 AS DOUBLE) / CAST({total} AS DOUBLE))"
+
+
+def NULLIF_FALSY(x: str) -> str:
+    return f"(CASE WHEN ({x}) IS NULL OR ({x}) = 0 THEN NULL ELSE ({x}) END)"
+
+
+PING_COLS = ("id, device_id, device_name, latitude, longitude, altitude, speed, battery, signal, "
+             "sim_operator, network_type, timestamp")
+
+ORACLE["page_scan"] = with_locations(f"SELECT {PING_COLS} FROM pings ORDER BY id LIMIT 1000 OFFSET 2000")
+
+ORACLE["filtered_scan"] = with_locations(f"""
+SELECT {PING_COLS} FROM pings WHERE network_type = 'LTE'
+  AND timestamp >= TIMESTAMP '2024-01-05 00:00:00' AND timestamp <= TIMESTAMP '2024-01-20 23:59:59'""")
+
+ORACLE["incremental_new_rows"] = with_locations(f"SELECT {PING_COLS} FROM pings WHERE id > 5000")
+
+ORACLE["count_records"] = with_locations("SELECT COUNT(*) AS total FROM pings WHERE sim_operator = 'tigo'")
+
+ORACLE["high_water_mark"] = with_locations("SELECT MAX(id) AS last_processed_id FROM pings")
+
+ORACLE["quarantine"] = with_locations("""
+SELECT * FROM (
+  SELECT id, latitude, longitude, speed, battery,
+    concat_ws(',',
+      CASE WHEN latitude IS NULL THEN 'latitude_missing' END,
+      CASE WHEN latitude IS NOT NULL AND NOT (latitude BETWEEN -90 AND 90) THEN 'latitude_out_of_range' END,
+      CASE WHEN longitude IS NULL THEN 'longitude_missing' END,
+      CASE WHEN longitude IS NOT NULL AND NOT (longitude BETWEEN -180 AND 180) THEN 'longitude_out_of_range' END,
+      CASE WHEN speed < 0 THEN 'speed_negative' END,
+      CASE WHEN NOT (battery BETWEEN 0 AND 100) THEN 'battery_out_of_range' END) AS reason
+  FROM pings) q
+WHERE reason <> ''""")
+
+ORACLE["time_decomposition"] = with_locations("""
+SELECT id, date, hour(timestamp) AS hour_value, period AS time_period,
+  CASE period WHEN 'MAÑANA' THEN 'MOR' WHEN 'TARDE' THEN 'AFT' WHEN 'NOCHE' THEN 'NIG' END AS time_period_code,
+  hour(timestamp) AS time_id
+FROM locations""")
+
+ORACLE["heatmap_filtered"] = with_locations(f"""
+SELECT cell_y, cell_x, cell_y * CAST(0.005 AS DOUBLE) AS lat_grid, cell_x * CAST(0.005 AS DOUBLE) AS lon_grid,
+  COUNT(*) AS point_count, COUNT(DISTINCT device_id) AS unique_devices,
+  {R2(MEAN('battery'))} AS avg_battery, {R2(MEAN('signal'))} AS avg_signal,
+  {R2(MEAN('altitude'))} AS avg_altitude, {R2(MEAN('speed'))} AS avg_speed,
+  'SRID=4326;POLYGON((' || CAST(cell_x * CAST(0.005 AS DOUBLE) AS VARCHAR) || ' ' || CAST(cell_y * CAST(0.005 AS DOUBLE) AS VARCHAR) || ','
+    || CAST(cell_x * CAST(0.005 AS DOUBLE) + 0.005 AS VARCHAR) || ' ' || CAST(cell_y * CAST(0.005 AS DOUBLE) AS VARCHAR) || ','
+    || CAST(cell_x * CAST(0.005 AS DOUBLE) + 0.005 AS VARCHAR) || ' ' || CAST(cell_y * CAST(0.005 AS DOUBLE) + 0.005 AS VARCHAR) || ','
+    || CAST(cell_x * CAST(0.005 AS DOUBLE) AS VARCHAR) || ' ' || CAST(cell_y * CAST(0.005 AS DOUBLE) + 0.005 AS VARCHAR) || ','
+    || CAST(cell_x * CAST(0.005 AS DOUBLE) AS VARCHAR) || ' ' || CAST(cell_y * CAST(0.005 AS DOUBLE) AS VARCHAR) || '))' AS cell_geom,
+  CAST(0.005 AS DOUBLE) AS grid_size
+FROM (SELECT *, CAST(floor(latitude / CAST(0.005 AS DOUBLE)) AS BIGINT) AS cell_y,
+        CAST(floor(longitude / CAST(0.005 AS DOUBLE)) AS BIGINT) AS cell_x FROM locations
+      WHERE latitude >= -18.2 AND latitude <= -17.5 AND longitude >= -63.6 AND longitude <= -63.0
+        AND network_type = '4G') c
+GROUP BY cell_y, cell_x""")
+
+ORACLE["dataset_statistics"] = with_locations(f"""
+SELECT COUNT(*) AS total_points, COUNT(DISTINCT device_id) AS unique_devices,
+  COALESCE({NULLIF_FALSY(R2(MEAN('battery')))}, 0.0) AS avg_battery,
+  COALESCE({NULLIF_FALSY(R2(MEAN('signal')))}, 0.0) AS avg_signal,
+  COALESCE({NULLIF_FALSY(R2(MEAN('speed')))}, 0.0) AS avg_speed,
+  COALESCE({NULLIF_FALSY(R2(MEAN('altitude')))}, 0.0) AS avg_altitude,
+  MIN(timestamp) AS min_date, MAX(timestamp) AS max_date
+FROM locations""")
+
+ORACLE["label_distributions"] = with_locations(f"""
+, d AS (
+  SELECT 'period' AS dimension, period AS label, COUNT(*) AS count,
+    CASE period WHEN 'MAÑANA' THEN 1 WHEN 'TARDE' THEN 2 WHEN 'NOCHE' THEN 3 ELSE 4 END AS position
+  FROM locations GROUP BY period
+  UNION ALL
+  SELECT 'altitude_range', altitude_range, COUNT(*),
+    CASE altitude_range WHEN 'BAJA' THEN 1 WHEN 'MEDIA' THEN 2 WHEN 'ALTA' THEN 3 ELSE 4 END
+  FROM locations WHERE altitude_range IS NOT NULL GROUP BY altitude_range
+  UNION ALL
+  SELECT 'battery_level', battery_level, COUNT(*),
+    CASE battery_level WHEN 'CRITICO' THEN 1 WHEN 'BAJO' THEN 2 WHEN 'MEDIO' THEN 3 WHEN 'ALTO' THEN 4 ELSE 5 END
+  FROM locations WHERE battery_level IS NOT NULL GROUP BY battery_level
+  UNION ALL
+  SELECT 'network_generation', network_type, COUNT(*),
+    CAST(row_number() OVER (ORDER BY COUNT(*) DESC, network_type ASC NULLS LAST) AS INTEGER)
+  FROM locations GROUP BY network_type
+  UNION ALL
+  SELECT 'sim_operator', sim_operator, COUNT(*),
+    CAST(row_number() OVER (ORDER BY COUNT(*) DESC, sim_operator ASC NULLS LAST) AS INTEGER)
+  FROM locations GROUP BY sim_operator)
+SELECT dimension, label, count, CAST(position AS INTEGER) AS position,
+  {PCT('count', 'SUM(count) OVER (PARTITION BY dimension)')} AS percentage
+FROM d""")
+
+# device-day summary runs on raw values with non-null coordinates (older job)
+ORACLE["device_day_summary"] = with_locations(f"""
+SELECT device_id, device_name, CAST(timestamp AS DATE) AS date, COUNT(*) AS points_count,
+  {MEAN('speed')} AS avg_speed, MAX(speed) AS max_speed, {MEAN('battery')} AS avg_battery
+FROM pings WHERE latitude IS NOT NULL AND longitude IS NOT NULL
+GROUP BY device_id, device_name, CAST(timestamp AS DATE)""")
+
+ORACLE["latest_device_days"] = ORACLE["device_day_summary"] + "\nORDER BY date DESC, device_id, device_name LIMIT 100"
+
+ORACLE["device_extents"] = with_locations("""
+SELECT device_id, device_name, MIN(timestamp) AS first_seen, MAX(timestamp) AS last_seen
+FROM locations GROUP BY device_id, device_name""")
+
+ORACLE["device_stats"] = with_locations(f"""
+, base AS (
+  SELECT device_id, COUNT(*) AS total_records, MIN(timestamp) AS first_seen, MAX(timestamp) AS last_seen,
+    {MEAN('battery')} AS avg_battery, {MEAN('signal')} AS avg_signal, {MEAN('speed')} AS avg_speed
+  FROM locations GROUP BY device_id),
+pos AS (
+  SELECT device_id, lat_r, lon_r, COUNT(*) AS n FROM (
+    SELECT device_id, {R('latitude', 3)} AS lat_r, {R('longitude', 3)} AS lon_r FROM locations) GROUP BY 1, 2, 3),
+mode AS (
+  SELECT device_id, lat_r AS most_common_lat, lon_r AS most_common_lon FROM (
+    SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY n DESC, lat_r ASC, lon_r ASC) AS rk FROM pos)
+  WHERE rk = 1),
+nets AS (
+  SELECT device_id, string_agg(k || ':' || CAST(v AS VARCHAR), ',' ORDER BY k) AS network_types FROM (
+    SELECT device_id, network_type AS k, COUNT(*) AS v FROM locations GROUP BY 1, 2) GROUP BY device_id),
+ops AS (
+  SELECT device_id, string_agg(k || ':' || CAST(v AS VARCHAR), ',' ORDER BY k) AS operators FROM (
+    SELECT device_id, sim_operator AS k, COUNT(*) AS v FROM locations GROUP BY 1, 2) GROUP BY device_id)
+SELECT * FROM base LEFT JOIN mode USING (device_id) LEFT JOIN nets USING (device_id) LEFT JOIN ops USING (device_id)""")
+
+STRICT_OPERATOR = """CASE WHEN sim_operator IS NULL OR trim(sim_operator) = '' THEN 'SIN SEÑAL'
+  WHEN upper(trim(sim_operator)) IN ('UNKNOWN', 'SIN SEÑAL', 'SIN SEAL', 'N/A', 'NA') THEN 'SIN SEÑAL'
+  WHEN contains(upper(trim(sim_operator)), 'ENTEL') OR contains(upper(trim(sim_operator)), 'BOMOV')
+    OR contains(upper(trim(sim_operator)), '+18VACUNATE') OR contains(upper(trim(sim_operator)), 'LADISTANCIANOSCUIDA')
+    OR contains(upper(trim(sim_operator)), 'MOVIL GSM') OR contains(upper(trim(sim_operator)), 'T-MOBILE') THEN 'ENTEL'
+  WHEN contains(upper(trim(sim_operator)), 'TIGO') THEN 'TIGO'
+  WHEN contains(upper(trim(sim_operator)), 'VIVA') THEN 'VIVA'
+  WHEN contains(upper(trim(sim_operator)), 'SIN') OR contains(upper(trim(sim_operator)), 'SEAL') THEN 'SIN SEÑAL'
+  ELSE upper(trim(sim_operator)) END"""
+
+VARIANT = "CASE WHEN sim_operator IS NULL OR sim_operator = '' THEN 'NULL' ELSE sim_operator END"
+
+ORACLE["operator_groups"] = with_locations(f"""
+, g AS (
+  SELECT {STRICT_OPERATOR} AS operator, COUNT(*) AS records, COUNT(DISTINCT {VARIANT}) AS variants,
+    arg_min({'d': device_name, 'n': network_type}, id).d AS sample_device,
+    arg_min({'d': device_name, 'n': network_type}, id).n AS sample_network
+  FROM pings GROUP BY 1)
+SELECT operator, records, variants, sample_device, sample_network,
+  {PCT('records', 'SUM(records) OVER ()')} AS percentage,
+  CAST(row_number() OVER (ORDER BY records DESC, operator ASC NULLS LAST) AS INTEGER) AS rank
+FROM g""")
+
+ORACLE["operator_variants"] = with_locations(f"""
+SELECT {STRICT_OPERATOR} AS operator, {VARIANT} AS variant, COUNT(*) AS records FROM pings GROUP BY 1, 2""")
+
+NET_KEY = "CASE WHEN network_type IS NULL OR network_type = '' THEN 'NULL' ELSE trim(network_type) END"
+
+ORACLE["network_groups"] = with_locations(f"""
+, g AS (SELECT {NET_KEY} AS network, COUNT(*) AS records FROM pings GROUP BY 1)
+SELECT network, records, {PCT('records', 'SUM(records) OVER ()')} AS percentage,
+  CAST(row_number() OVER (ORDER BY records DESC, network ASC NULLS LAST) AS INTEGER) AS rank
+FROM g""")
+
+STRICT_NET = """CASE WHEN k IS NULL OR trim(k) = '' THEN 'SIN DATOS'
+  WHEN contains(upper(trim(k)), 'WIFI') OR contains(upper(trim(k)), 'WI-FI') THEN 'WiFi'
+  WHEN contains(upper(trim(k)), '5G') THEN '5G'
+  WHEN contains(upper(trim(k)), '4G') OR contains(upper(trim(k)), 'LTE')
+    OR (contains(upper(trim(k)), 'MOBILE') AND length(upper(trim(k))) < 15) THEN '4G'
+  WHEN contains(upper(trim(k)), '3G') OR contains(upper(trim(k)), 'HSDPA') OR contains(upper(trim(k)), 'HSPA')
+    OR contains(upper(trim(k)), 'UMTS') OR contains(upper(trim(k)), 'WCDMA') THEN '3G'
+  WHEN contains(upper(trim(k)), '2G') OR contains(upper(trim(k)), 'EDGE') OR contains(upper(trim(k)), 'GPRS')
+    OR contains(upper(trim(k)), 'GSM') THEN '2G'
+  ELSE 'SIN DATOS' END"""
+
+ORACLE["network_generations"] = with_locations(f"""
+, g AS (SELECT {STRICT_NET} AS generation, COUNT(*) AS records FROM (SELECT {NET_KEY} AS k FROM pings) GROUP BY 1)
+SELECT generation, records, {PCT('records', 'SUM(records) OVER ()')} AS percentage FROM g WHERE records > 0""")
+
+SPEED_RANGE_RAW = """CASE WHEN speed IS NULL OR speed = 0 THEN 'DETENIDO'
+  WHEN speed * 3.6 <= 5 THEN 'CAMINANDO' WHEN speed * 3.6 <= 10 THEN 'CORRIENDO'
+  WHEN speed * 3.6 <= 60 THEN 'TRANSPORTE PÚBLICO' ELSE 'VEHÍCULO' END"""
+
+ORACLE["speed_groups"] = with_locations(f"""
+, g AS (SELECT {SPEED_RANGE_RAW} AS speed_range, COUNT(*) AS records FROM pings GROUP BY 1)
+SELECT speed_range, records, {PCT('records', 'SUM(records) OVER ()')} AS percentage,
+  CASE speed_range WHEN 'DETENIDO' THEN 1 WHEN 'CAMINANDO' THEN 2 WHEN 'CORRIENDO' THEN 3
+    WHEN 'TRANSPORTE PÚBLICO' THEN 4 WHEN 'VEHÍCULO' THEN 5 ELSE 6 END AS position
+FROM g""")
+
+ORACLE["speed_motion_share"] = with_locations(f"""
+, s AS (SELECT COUNT(*) AS total, COUNT(*) FILTER (WHERE {SPEED_RANGE_RAW} = 'DETENIDO') AS stationary FROM pings)
+SELECT total, stationary, total - stationary AS moving, {PCT('stationary', 'total')} AS pct_stationary,
+  {PCT('total - stationary', 'total')} AS pct_moving
+FROM s""")
+
+
+def _kth(p: str, name: str) -> str:
+    return (f"(SELECT speed FROM ranked WHERE rn = CAST(floor(CAST(n AS DOUBLE) * CAST({p} AS DOUBLE)) AS BIGINT))"
+            f" AS {name}")
+
+
+RANKED = """, ranked AS (
+  SELECT speed, row_number() OVER (ORDER BY speed) - 1 AS rn, COUNT(*) OVER () AS n
+  FROM pings WHERE speed IS NOT NULL)"""
+
+ORACLE["speed_profile"] = with_locations(RANKED + f"""
+, s AS (
+  SELECT COUNT(*) AS total, COUNT(speed) AS valid, COUNT(*) FILTER (WHERE speed = 0) AS zero,
+    MIN(speed) AS min_speed, MAX(speed) AS max_speed, {MEAN('speed')} AS mean_speed FROM pings)
+SELECT total, valid, zero, min_speed, max_speed, mean_speed, {_kth('0.5', 'median_speed')},
+  total - valid AS null_or_invalid, {PCT('total - valid', 'total')} AS pct_null_or_invalid,
+  {PCT('valid', 'total')} AS pct_valid, {PCT('zero', 'total')} AS pct_zero
+FROM s""")
+
+ORACLE["speed_percentiles"] = with_locations(RANKED + f"""
+SELECT {_kth('0.25', 'p25')}, {_kth('0.5', 'p50')}, {_kth('0.75', 'p75')}, {_kth('0.9', 'p90')},
+  {_kth('0.95', 'p95')}, {_kth('0.99', 'p99')}""")
+
+ORACLE["speed_histogram"] = with_locations(f"""
+, g AS (
+  SELECT CASE WHEN speed = 0 THEN 'Detenido (0 m/s)' WHEN speed < 2 THEN 'Muy lento (0.1-2 m/s)'
+    WHEN speed < 5 THEN 'Lento (2-5 m/s)' WHEN speed < 10 THEN 'Caminando (5-10 m/s)'
+    WHEN speed < 20 THEN 'Moderado (10-20 m/s)' WHEN speed < 30 THEN 'Rápido (20-30 m/s)'
+    ELSE 'Muy rápido (>30 m/s)' END AS bucket, COUNT(*) AS records
+  FROM pings WHERE speed IS NOT NULL GROUP BY 1)
+SELECT bucket, records, {PCT('records', 'SUM(records) OVER ()')} AS percentage,
+  CASE bucket WHEN 'Detenido (0 m/s)' THEN 1 WHEN 'Muy lento (0.1-2 m/s)' THEN 2 WHEN 'Lento (2-5 m/s)' THEN 3
+    WHEN 'Caminando (5-10 m/s)' THEN 4 WHEN 'Moderado (10-20 m/s)' THEN 5 WHEN 'Rápido (20-30 m/s)' THEN 6
+    WHEN 'Muy rápido (>30 m/s)' THEN 7 ELSE 8 END AS position
+FROM g""")
+
+ORACLE["top_speeds"] = with_locations("""
+SELECT id, speed, speed * CAST(3.6 AS DOUBLE) AS speed_kmh, device_name, network_type, timestamp
+FROM pings WHERE speed > 0 ORDER BY speed DESC, id LIMIT 10""")
+
+ORACLE["period_report"] = with_locations(f"""
+SELECT period AS time_period, COUNT(*) AS records, {R2(MEAN('battery'))} AS avg_battery,
+  {R2(MEAN('signal'))} AS avg_signal
+FROM locations GROUP BY period""")
+
+ORACLE["hour_report"] = with_locations("""
+SELECT hour(timestamp) AS hour_value, period AS time_period, COUNT(*) AS records,
+  COUNT(DISTINCT device_id) AS devices
+FROM locations GROUP BY 1, 2""")
+
+ORACLE["date_hour_report"] = with_locations("""
+SELECT date, hour(timestamp) AS hour_value, period AS time_period, COUNT(*) AS records
+FROM locations GROUP BY 1, 2, 3""")
+
+DIM_NETWORK = """dim_network AS (
+  SELECT network_type, network_generation,
+    TRY_CAST(NULLIF(regexp_extract(network_generation, '([2-5])G', 1), '') AS INTEGER) AS generation,
+    row_number() OVER (ORDER BY first_ts, network_type ASC NULLS FIRST) AS id
+  FROM (SELECT network_type_raw AS network_type, arg_min(network_type, timestamp) AS network_generation,
+          MIN(timestamp) AS first_ts FROM locations GROUP BY network_type_raw))"""
+
+DIM_OPERATOR = """dim_operator AS (
+  SELECT operator_name, upper(substring(operator_name, 1, 3)) AS operator_code,
+    row_number() OVER (ORDER BY operator_name) AS id
+  FROM (SELECT DISTINCT sim_operator AS operator_name FROM locations))"""
+
+DIM_DEVICE = """dim_device AS (
+  SELECT device_id, device_name, first_seen, last_seen, row_number() OVER (ORDER BY device_id) AS id
+  FROM (SELECT device_id, arg_max(device_name, timestamp) AS device_name, MIN(timestamp) AS first_seen,
+          MAX(timestamp) AS last_seen FROM locations GROUP BY device_id))"""
+
+ORACLE["dim_network"] = with_locations(", " + DIM_NETWORK + " SELECT * FROM dim_network")
+ORACLE["dim_operator"] = with_locations(", " + DIM_OPERATOR + " SELECT * FROM dim_operator")
+ORACLE["dim_device"] = with_locations(", " + DIM_DEVICE + " SELECT * FROM dim_device")
+
+ORACLE["fact_locations"] = with_locations(", " + DIM_NETWORK + ", " + DIM_OPERATOR + ", " + DIM_DEVICE + """
+SELECT l.id AS location_id, CAST(hour(l.timestamp) AS INTEGER) AS time_id,
+  CASE l.altitude_range WHEN 'BAJA' THEN 1 WHEN 'MEDIA' THEN 2 WHEN 'ALTA' THEN 3 END AS altitude_id,
+  CASE l.battery_level WHEN 'CRITICO' THEN 1 WHEN 'BAJO' THEN 2 WHEN 'MEDIO' THEN 3 WHEN 'ALTO' THEN 4 END AS battery_id,
+  n.id AS network_id, o.id AS operator_id, d.id AS device_key, l.date, l.latitude, l.longitude,
+  l.altitude, l.speed, l.battery, l.signal
+FROM locations l
+LEFT JOIN dim_network n ON l.network_type_raw IS NOT DISTINCT FROM n.network_type
+LEFT JOIN dim_operator o ON l.sim_operator = o.operator_name
+LEFT JOIN dim_device d ON l.device_id = d.device_id""")
+
+# ---------------------------------------------------------------- spatial
+
+SPATIAL = """,
+d_edges AS (
+  SELECT district_id AS pid, part, ring, seq, x AS x1, y AS y1,
+    LEAD(x) OVER (PARTITION BY district_id, part, ring ORDER BY seq) AS x2,
+    LEAD(y) OVER (PARTITION BY district_id, part, ring ORDER BY seq) AS y2
+  FROM district_vertices),
+p_edges AS (
+  SELECT province_id AS pid, part, ring, seq, x AS x1, y AS y1,
+    LEAD(x) OVER (PARTITION BY province_id, part, ring ORDER BY seq) AS x2,
+    LEAD(y) OVER (PARTITION BY province_id, part, ring ORDER BY seq) AS y2
+  FROM province_vertices),
+d_names AS (SELECT DISTINCT district_id, district_number, district_name FROM district_vertices),
+p_names AS (SELECT DISTINCT province_id, province_name FROM province_vertices),
+pts AS (SELECT id, latitude AS y, longitude AS x FROM locations),
+d_match AS (
+  SELECT id, pid FROM (
+    SELECT p.id, e.pid, COUNT(*) AS c FROM pts p JOIN d_edges e
+      ON e.x2 IS NOT NULL AND (e.y1 > p.y) <> (e.y2 > p.y)
+     AND p.x < (e.x2 - e.x1) * (p.y - e.y1) / (e.y2 - e.y1) + e.x1
+    GROUP BY 1, 2) WHERE c % 2 = 1),
+p_match AS (
+  SELECT id, pid FROM (
+    SELECT p.id, e.pid, COUNT(*) AS c FROM pts p JOIN p_edges e
+      ON e.x2 IS NOT NULL AND (e.y1 > p.y) <> (e.y2 > p.y)
+     AND p.x < (e.x2 - e.x1) * (p.y - e.y1) / (e.y2 - e.y1) + e.x1
+    GROUP BY 1, 2) WHERE c % 2 = 1),
+d_min AS (SELECT id, MIN(pid) AS district_id FROM d_match GROUP BY id),
+p_min AS (SELECT id, MIN(pid) AS province_id FROM p_match GROUP BY id),
+independent AS (
+  SELECT l.*, dm.district_id, dn.district_name, pm.province_id, pn.province_name
+  FROM locations l LEFT JOIN d_min dm USING (id) LEFT JOIN d_names dn USING (district_id)
+  LEFT JOIN p_min pm USING (id) LEFT JOIN p_names pn USING (province_id)),
+assigned AS (
+  SELECT * REPLACE (
+    CASE WHEN district_id IS NOT NULL AND province_id IS NOT NULL THEN district_id END AS district_id,
+    CASE WHEN district_id IS NOT NULL AND province_id IS NOT NULL THEN district_name END AS district_name,
+    CASE WHEN district_id IS NOT NULL AND province_id IS NOT NULL THEN province_id END AS province_id,
+    CASE WHEN district_id IS NOT NULL AND province_id IS NOT NULL THEN province_name END AS province_name)
+  FROM independent)
+"""
+
+
+def with_spatial(body: str) -> str:
+    return with_locations(SPATIAL + body)
+
+
+ORACLE["district_assignment"] = with_spatial(
+    "SELECT id, district_id, district_name, province_id, province_name FROM assigned")
+ORACLE["district_assignment_independent"] = with_spatial(
+    "SELECT id, district_id, district_name, province_id, province_name FROM independent")
+
+ORACLE["assignment_coverage"] = with_spatial(f"""
+, c AS (SELECT COUNT(*) AS total, COUNT(district_id) AS with_district, COUNT(province_id) AS with_province
+        FROM assigned)
+SELECT total, with_district, with_province, {PCT('with_district', 'total')} AS pct_district,
+  {PCT('with_province', 'total')} AS pct_province, total - with_district AS outside FROM c""")
+
+
+def _top(name: str) -> str:
+    return with_spatial(f"""
+SELECT {name}, COUNT(*) AS points, {R2(MEAN('battery'))} AS avg_battery, {R2(MEAN('signal'))} AS avg_signal
+FROM assigned WHERE {name} IS NOT NULL GROUP BY {name} ORDER BY points DESC, {name} LIMIT 10""")
+
+
+ORACLE["top_districts"] = _top("district_name")
+ORACLE["top_provinces"] = _top("province_name")
+
+MEASURES = """,
+ring_terms AS (
+  SELECT pid, part, ring,
+    list_reduce(list(x1 * y2 - x2 * y1 ORDER BY seq), lambda a, b: a + b) / CAST(2 AS DOUBLE) AS a,
+    list_reduce(list((x1 + x2) * (x1 * y2 - x2 * y1) ORDER BY seq), lambda a, b: a + b) / CAST(6 AS DOUBLE) AS mx,
+    list_reduce(list((y1 + y2) * (x1 * y2 - x2 * y1) ORDER BY seq), lambda a, b: a + b) / CAST(6 AS DOUBLE) AS my
+  FROM d_edges WHERE x2 IS NOT NULL GROUP BY pid, part, ring),
+ring_norm AS (
+  SELECT pid, part, ring,
+    CASE WHEN ring = 0 THEN abs(a) ELSE -abs(a) END AS a_part,
+    abs(a) * CASE WHEN ring = 0 THEN 1.0 ELSE -1.0 END AS a_c,
+    mx * CASE WHEN ring = 0 THEN sign(a) ELSE -sign(a) END AS mx_c,
+    my * CASE WHEN ring = 0 THEN sign(a) ELSE -sign(a) END AS my_c
+  FROM ring_terms),
+part_area AS (
+  SELECT pid, part, list_reduce(list(a_part ORDER BY ring), lambda a, b: a + b) AS pa FROM ring_norm GROUP BY pid, part),
+areas AS (
+  SELECT pid, list_reduce(list(pa ORDER BY part), lambda a, b: a + b) AS area_deg2 FROM part_area GROUP BY pid),
+cents AS (
+  SELECT pid,
+    list_reduce(list(mx_c ORDER BY part, ring), lambda a, b: a + b)
+      / list_reduce(list(a_c ORDER BY part, ring), lambda a, b: a + b) AS cx,
+    list_reduce(list(my_c ORDER BY part, ring), lambda a, b: a + b)
+      / list_reduce(list(a_c ORDER BY part, ring), lambda a, b: a + b) AS cy
+  FROM ring_norm GROUP BY pid),
+perims AS (
+  SELECT pid, list_reduce(list(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) ORDER BY part, ring, seq),
+                          lambda a, b: a + b) AS len_deg
+  FROM d_edges WHERE x2 IS NOT NULL GROUP BY pid),
+measures AS (
+  SELECT a.pid AS district_id, a.area_deg2,
+    """ + R2("a.area_deg2 * CAST(111 AS DOUBLE) * CAST(106 AS DOUBLE)") + """ AS area_km2,
+    """ + R2("p.len_deg * CAST(108.5 AS DOUBLE)") + """ AS perimeter_km,
+    """ + R("c.cx", 6) + """ AS centroid_x, """ + R("c.cy", 6) + """ AS centroid_y
+  FROM areas a JOIN perims p USING (pid) JOIN cents c USING (pid))
+"""
+
+
+def with_measures(body: str) -> str:
+    return with_spatial(MEASURES + body)
+
+
+ORACLE["polygon_measures"] = with_measures(
+    "SELECT district_id, area_km2, perimeter_km, centroid_x, centroid_y FROM measures")
+
+ORACLE["polygon_totals"] = with_measures("""
+SELECT COUNT(*) AS polygons, CAST(SUM(CAST(area_km2 AS DECIMAL(18,6))) AS DOUBLE) AS total_area_km2 FROM measures""")
+
+DISTRICT_STATS = f""",
+per AS (
+  SELECT m.pid AS district_id, COUNT(*) AS total_locations, COUNT(DISTINCT l.device_id) AS unique_devices,
+    {MEAN('l.battery')} AS b, {MEAN('l.signal')} AS s, {MEAN('l.speed')} AS v
+  FROM d_match m JOIN locations l ON l.id = m.id GROUP BY m.pid),
+dstats AS (
+  SELECT n.district_id, n.district_number, n.district_name, ms.area_km2, ms.perimeter_km,
+    COALESCE(per.total_locations, 0) AS total_locations, COALESCE(per.unique_devices, 0) AS unique_devices,
+    {NULLIF_FALSY(R2('per.b'))} AS avg_battery, {NULLIF_FALSY(R2('per.s'))} AS avg_signal,
+    {NULLIF_FALSY(R2('per.v'))} AS avg_speed
+  FROM d_names n JOIN measures ms ON ms.district_id = n.district_id
+  LEFT JOIN per ON per.district_id = n.district_id)
+"""
+
+ORACLE["district_statistics"] = with_measures(DISTRICT_STATS + "SELECT * FROM dstats")
+
+ORACLE["district_density"] = with_measures(DISTRICT_STATS + """
+SELECT district_number, district_name, total_locations, area_km2,
+  CAST(total_locations AS DOUBLE) / CAST(area_km2 AS DOUBLE) AS density
+FROM dstats WHERE area_km2 > 0""")
+
+ORACLE["density_summary"] = with_measures(DISTRICT_STATS + """
+, t AS (SELECT SUM(total_locations) AS total_locations,
+          CAST(SUM(CAST(area_km2 AS DECIMAL(18,6))) AS DOUBLE) AS total_area_km2,
+          COUNT(*) FILTER (WHERE total_locations > 0) AS districts_with_data, COUNT(*) AS districts FROM dstats)
+SELECT total_locations, total_area_km2, districts_with_data, districts,
+  COALESCE(CAST(total_locations AS DOUBLE) / NULLIF(CAST(total_area_km2 AS DOUBLE), 0), 0.0) AS mean_density
+FROM t""")
+
+ORACLE["district_point_count"] = with_spatial("SELECT COUNT(*) AS total FROM d_match WHERE pid = 0")
+
+ORACLE["points_in_district_page"] = with_spatial("""
+SELECT l.id, l.device_id, l.latitude, l.longitude FROM d_match m JOIN locations l ON l.id = m.id
+WHERE m.pid = 10 ORDER BY l.id LIMIT 1000""")
+
+ORACLE["spatial_modes_agree"] = with_locations("""
+SELECT CAST(id AS BIGINT) AS id, CAST(NULL AS BIGINT) AS district_id, CAST(NULL AS BIGINT) AS nl_district_id
+FROM locations WHERE FALSE""")
