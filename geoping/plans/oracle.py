@@ -244,8 +244,8 @@ VARIANT = "CASE WHEN sim_operator IS NULL OR sim_operator = '' THEN 'NULL' ELSE
 ORACLE["operator_groups"] = with_locations(f"""
 , g AS (
   SELECT {STRICT_OPERATOR} AS operator, COUNT(*) AS records, COUNT(DISTINCT {VARIANT}) AS variants,
-    arg_min({'d': device_name, 'n': network_type}, id).d AS sample_device,
-    arg_min({'d': device_name, 'n': network_type}, id).n AS sample_network
+    arg_min(struct_pack(d := device_name, n := network_type), id).d AS sample_device,
+    arg_min(struct_pack(d := device_name, n := network_type), id).n AS sample_network
   FROM pings GROUP BY 1)
 SELECT operator, records, variants, sample_device, sample_network,
   {PCT('records', 'SUM(records) OVER ()')} AS percentage,
