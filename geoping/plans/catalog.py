@@ -368,3 +368,91 @@ def q_spatial_modes_agree(spark, sf_dir):
     nl = SP.assign_nested_loop(pts, d, "district_id", out_col="nl_district_id").select("id", "nl_district_id")
     return (cell.join(nl, "id").filter(~F.col("district_id").eqNullSafe(F.col("nl_district_id")))
             .select("id", "district_id", "nl_district_id"))
+
+
+# ---------------------------------------------------------------- sinks, incremental ETL, streaming
+
+import uuid  # noqa: E402
+
+from ..plans import etl as etl_plan  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+from ..sinks import writers as W  # noqa: E402
+from ..sources import polygons as poly_src  # noqa: E402
+from ..streaming import ingest as stream_ops  # noqa: E402
+
+
+def _land_in_two_drops(spark, sf_dir, landing: str) -> None:
+    """Write the whole ping table to a landing folder as two arrival drops (ids below / above the median id)."""
+    p = fixtures.raw_pings(spark, sf_dir)
+    split = p.agg(F.percentile_approx("id", 0.5).alias("m")).collect()[0]["m"]
+    p.filter(F.col("id") <= split).write.mode("overwrite").parquet(f"{landing}/drop=1")
+    p.filter(F.col("id") > split).write.mode("overwrite").parquet(f"{landing}/drop=2")
+
+
+def _incremental_run(spark, sf_dir) -> etl_plan.EtlPaths:
+    """Two incremental ETL runs (drop 1, then drops 1+2 with the ledger mark) into a fresh root."""
+    root = scratch_path(spark, f"etl-{uuid.uuid4().hex[:10]}")
+    landing = f"{root}/landing"
+    _land_in_two_drops(spark, sf_dir, landing)
+    paths = etl_plan.EtlPaths(root)
+    d, pr = districts(spark, sf_dir), provinces(spark, sf_dir)
+    index = SP.build_index([("district", d, "district_id"), ("province", pr, "province_id")])
+    etl_plan.run_etl(spark, spark.read.parquet(f"{landing}/drop=1").drop("drop"), paths, d, pr, index=index)
+    etl_plan.run_etl(spark, spark.read.parquet(landing).drop("drop"), paths, d, pr, index=index)
+    return paths
+
+
+@register("incremental_etl_grid")
+def q_incremental_etl_grid(spark, sf_dir):
+    """ST05/ST07/K01/K06: grid after two incremental runs (merged state) == full grid."""
+    paths = _incremental_run(spark, sf_dir)
+    return spark.read.parquet(paths.grid)
+
+
+@register("incremental_etl_device_days")
+def q_incremental_etl_device_days(spark, sf_dir):
+    """K02/ST04: device-day table after two incremental runs (touched dates replaced) == full summary."""
+    paths = _incremental_run(spark, sf_dir)
+    return spark.read.parquet(paths.device_days)
+
+
+@register("incremental_etl_locations")
+def q_incremental_etl_locations(spark, sf_dir):
+    """Stored locations after two runs (no duplicates, all geo-assigned) == full assignment."""
+    paths = _incremental_run(spark, sf_dir)
+    return spark.read.parquet(paths.locations).select("id", "district_id", "district_name", "province_id",
+                                                      "province_name")
+
+
+@register("stream_ingest_grid")
+def q_stream_ingest_grid(spark, sf_dir):
+    """ST01-ST06: availableNow stream over the landing folder (foreachBatch writes) -> grid == full grid."""
+    root = scratch_path(spark, f"stream-{uuid.uuid4().hex[:10]}")
+    landing = f"{root}/landing"
+    _land_in_two_drops(spark, sf_dir, landing)
+    paths = etl_plan.EtlPaths(root)
+    stream_ops.run_available_now(spark, f"{landing}/*", paths, f"{root}/_checkpoint", districts(spark, sf_dir),
+                                 provinces(spark, sf_dir), max_files_per_trigger=1)
+    return spark.read.parquet(paths.grid)
+
+
+@register("geojson_roundtrip")
+def q_geojson_roundtrip(spark, sf_dir):
+    """K09 -> S08 (+F18-F20, F25): districts written as a FeatureCollection, read back, measured."""
+    root = scratch_path(spark, f"geojson-{uuid.uuid4().hex[:10]}")
+    d = districts(spark, sf_dir)
+    feats = W.geojson_features(d.withColumn("DISTRITO", F.concat(F.lit("Distrito "), F.col("district_number")))
+                               .withColumnRenamed("district_name", "NOMBRE"), ["DISTRITO", "NOMBRE"])
+    W.feature_collection(feats).write.mode("overwrite").text(f"{root}/districts.geojson")
+    back = poly_src.district_attributes(poly_src.read_geojson_features(spark, f"{root}/districts.geojson"))
+    return dist_ops.polygon_measures(back, "district_number").select(
+        "district_number", "area_km2", "perimeter_km")
+
+
+@register("wkt_roundtrip")
+def q_wkt_roundtrip(spark, sf_dir):
+    """F26 -> F30 (S07): districts rendered as WKT, parsed back, measured."""
+    from ..functions import geometry as G
+    d = districts(spark, sf_dir).select("district_id", G.to_wkt("geom").alias("geom_wkt"))
+    back = poly_src.read_wkt_polygons(d)
+    return dist_ops.polygon_measures(back, "district_id").select("district_id", "area_km2", "perimeter_km")

@@ -536,3 +536,18 @@ WHERE m.pid = 10 ORDER BY l.id LIMIT 1000""")
 ORACLE["spatial_modes_agree"] = with_locations("""
 SELECT CAST(id AS BIGINT) AS id, CAST(NULL AS BIGINT) AS district_id, CAST(NULL AS BIGINT) AS nl_district_id
 FROM locations WHERE FALSE""")
+
+# ---------------------------------------------------------------- sinks / incremental / streaming
+
+ORACLE["incremental_etl_grid"] = ORACLE["grid_heatmap"]
+ORACLE["stream_ingest_grid"] = ORACLE["grid_heatmap"]
+ORACLE["incremental_etl_locations"] = ORACLE["district_assignment"]
+ORACLE["incremental_etl_device_days"] = with_locations(f"""
+SELECT device_id, device_name, date, COUNT(*) AS points_count, {MEAN('speed')} AS avg_speed,
+  MAX(speed) AS max_speed, {MEAN('battery')} AS avg_battery
+FROM locations GROUP BY device_id, device_name, date""")
+
+ORACLE["geojson_roundtrip"] = with_measures("""
+SELECT n.district_number, m.area_km2, m.perimeter_km FROM measures m JOIN d_names n ON n.district_id = m.district_id""")
+
+ORACLE["wkt_roundtrip"] = with_measures("SELECT district_id, area_km2, perimeter_km FROM measures")
