@@ -78,7 +78,26 @@ def _choose_cell_size(boxes: DataFrame, cell_size: float, max_cells: int) -> flo
 def build_index(layers: list[tuple[str, DataFrame, str]], cell_size: float = DEFAULT_CELL_SIZE,
                 max_cells: int = DEFAULT_MAX_CELLS, broadcast_max_edges: int = DEFAULT_BROADCAST_MAX_EDGES,
                 force_broadcast: bool | None = None) -> SpatialIndex:
-    """Build the cell cover for ``layers``: list of (name, polygon frame, id column with a ``geom`` column)."""
+    """Build the cell cover for ``layers``: list of (name, polygon frame, id column with a ``geom`` column).
+
+    Indexes are cached per session by the polygon plans' semantic hash and the
+    build parameters, so several queries over the same polygon tables reuse
+    one checkpointed cover.
+    """
+    key = (tuple((n, df.semanticHash(), c) for n, df, c in layers), float(cell_size), int(max_cells),
+           int(broadcast_max_edges), force_broadcast, layers[0][1].sparkSession.sparkContext.applicationId)
+    hit = _INDEX_CACHE.get(key)
+    if hit is not None:
+        return hit
+    index = _build_index(layers, cell_size, max_cells, broadcast_max_edges, force_broadcast)
+    _INDEX_CACHE[key] = index
+    return index
+
+
+_INDEX_CACHE: dict = {}
+
+
+def _build_index(layers, cell_size, max_cells, broadcast_max_edges, force_broadcast) -> SpatialIndex:
     names = [n for n, _, _ in layers]
     polys = None
     for i, (_, df, id_col) in enumerate(layers):
@@ -86,6 +105,9 @@ def build_index(layers: list[tuple[str, DataFrame, str]], cell_size: float = DEF
         polys = p if polys is None else polys.unionByName(p)
     polys = polys.filter(F.col("geom").isNotNull() & (F.size("geom") > 0))
     boxed = polys.select("layer", "pid", G.bbox("geom").alias("b"), G.edges("geom").alias("edges"))
+    # polygon prep is read by every branch below: materialise it once (small, polygon-sized)
+    ensure_checkpoint_dir(boxed.sparkSession)
+    boxed = boxed.checkpoint(eager=True)
     boxes = boxed.select("layer", "pid", "b.*")
     c = _choose_cell_size(boxes, cell_size, max_cells)
     lit_c = F.lit(c)
@@ -148,7 +170,6 @@ def build_index(layers: list[tuple[str, DataFrame, str]], cell_size: float = DEF
              .agg(F.collect_list("cand").alias("cands")))
     # The cover is reused (size check, then every join): materialise it once in the
     # shared checkpoint folder so its lineage is cut and it survives executor loss.
-    ensure_checkpoint_dir(cover.sparkSession)
     cover = cover.checkpoint(eager=True)
     stats = cover.agg(F.count(F.lit(1)).alias("n"),
                       F.sum(F.aggregate("cands", F.lit(0), lambda a, x: a + F.size(x["edges"]))).alias("m")

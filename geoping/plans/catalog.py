@@ -255,12 +255,26 @@ def q_fact_locations(spark, sf_dir):
 
 # ---------------------------------------------------------------- polygons & spatial
 
+_POLYGONS: dict = {}
+
+
+def _polygon_table(spark, sf_dir, kind):
+    """Polygon tables are dimension-sized and read by every spatial step: checkpoint once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _POLYGONS:
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(spark)
+        build = fixtures.districts if kind == "district" else fixtures.provinces
+        _POLYGONS[key] = build(spark, sf_dir).checkpoint(eager=True)
+    return _POLYGONS[key]
+
+
 def districts(spark, sf_dir):
-    return fixtures.districts(spark, sf_dir)
+    return _polygon_table(spark, sf_dir, "district")
 
 
 def provinces(spark, sf_dir):
-    return fixtures.provinces(spark, sf_dir)
+    return _polygon_table(spark, sf_dir, "province")
 
 
 def both_index(spark, sf_dir):
@@ -319,9 +333,7 @@ def q_top_provinces(spark, sf_dir):
 
 
 def _district_stats(spark, sf_dir):
-    d = districts(spark, sf_dir)
-    idx = SP.build_index([("district", d, "district_id")])
-    return dist_ops.district_statistics(locations(spark, sf_dir), d, idx)
+    return dist_ops.district_statistics(locations(spark, sf_dir), districts(spark, sf_dir), both_index(spark, sf_dir))
 
 
 @register("district_statistics")
@@ -345,17 +357,14 @@ def q_density_summary(spark, sf_dir):
 @register("district_point_count")
 def q_district_point_count(spark, sf_dir):
     """Points inside district id 0."""
-    d = districts(spark, sf_dir)
-    idx = SP.build_index([("district", d, "district_id")])
-    return SP.count_in_polygon(locations(spark, sf_dir), idx, "district", 0)
+    return SP.count_in_polygon(locations(spark, sf_dir), both_index(spark, sf_dir), "district", 0)
 
 
 @register("points_in_district_page")
 def q_points_in_district_page(spark, sf_dir):
     """First page (limit 1000) of points in district id 10, by id."""
-    d = districts(spark, sf_dir)
-    idx = SP.build_index([("district", d, "district_id")])
-    return SP.page_in_polygon(locations(spark, sf_dir), idx, "district", 10, limit=1000, offset=0).select(
+    return SP.page_in_polygon(locations(spark, sf_dir), both_index(spark, sf_dir), "district", 10, limit=1000,
+                              offset=0).select(
         "id", "device_id", "latitude", "longitude")
 
 
@@ -364,7 +373,7 @@ def q_spatial_modes_agree(spark, sf_dir):
     """Cell-cover join vs nested-loop mode: rows where they disagree (expected: none)."""
     d = districts(spark, sf_dir)
     pts = locations(spark, sf_dir).select("id", "latitude", "longitude")
-    cell = SP.locate(pts, SP.build_index([("district", d, "district_id")]))
+    cell = SP.locate(pts, both_index(spark, sf_dir))
     nl = SP.assign_nested_loop(pts, d, "district_id", out_col="nl_district_id").select("id", "nl_district_id")
     return (cell.join(nl, "id").filter(~F.col("district_id").eqNullSafe(F.col("nl_district_id")))
             .select("id", "district_id", "nl_district_id"))
@@ -396,7 +405,7 @@ def _incremental_run(spark, sf_dir) -> etl_plan.EtlPaths:
     _land_in_two_drops(spark, sf_dir, landing)
     paths = etl_plan.EtlPaths(root)
     d, pr = districts(spark, sf_dir), provinces(spark, sf_dir)
-    index = SP.build_index([("district", d, "district_id"), ("province", pr, "province_id")])
+    index = both_index(spark, sf_dir)
     etl_plan.run_etl(spark, spark.read.parquet(f"{landing}/drop=1").drop("drop"), paths, d, pr, index=index)
     etl_plan.run_etl(spark, spark.read.parquet(landing).drop("drop"), paths, d, pr, index=index)
     return paths

@@ -11,6 +11,7 @@ parameters ``{events}``, ``{nation}``, ``{region}``) and the DuckDB oracle
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 RAW_PINGS_SQL = """
 SELECT
@@ -82,12 +83,46 @@ def raw_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(RAW_PINGS_SQL, events=_table(spark, sf_dir, "events"))
 
 
+# Vertex templates (part, ring, seq, dx, dy) of the SQL above, used by the
+# Spark side as a literal array exploded per nation / region row (no join).
+DISTRICT_TEMPLATE = [
+    (0, 0, 0, 0.0, 0.0), (0, 0, 1, 0.17, 0.0), (0, 0, 2, 0.17, 0.17), (0, 0, 3, 0.085, 0.10), (0, 0, 4, 0.0, 0.17),
+    (0, 0, 5, 0.0, 0.0),
+    (0, 1, 0, 0.02, 0.02), (0, 1, 1, 0.02, 0.05), (0, 1, 2, 0.05, 0.05), (0, 1, 3, 0.05, 0.02), (0, 1, 4, 0.02, 0.02),
+    (1, 0, 0, 0.07, 0.13), (1, 0, 1, 0.10, 0.13), (1, 0, 2, 0.10, 0.16), (1, 0, 3, 0.07, 0.16), (1, 0, 4, 0.07, 0.13),
+]
+PROVINCE_TEMPLATE = [(0, 0.0, 0.0), (1, 0.19, 0.0), (2, 0.19, 0.88), (3, 0.0, 0.88), (4, 0.0, 0.0)]
+
+
+def _template(rows, names) -> F.Column:
+    return F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names)]) for r in rows])
+
+
 def district_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(DISTRICT_VERTICES_SQL, nation=_table(spark, sf_dir, "nation"))
+    n = F.col("n_nationkey")
+    o = _table(spark, sf_dir, "nation").select(
+        n.alias("district_id"), (n + 1).alias("district_number"), F.col("n_name").alias("district_name"),
+        (F.lit(-63.65005) + F.lit(0.18) * (n % 5).cast("double")).alias("x0"),
+        (F.lit(-18.25005) + F.lit(0.18) * ((n - n % 5) / 5).cast("double")).alias("y0"))
+    v = o.select("*", F.explode(_template(DISTRICT_TEMPLATE, ["part", "ring", "seq", "dx", "dy"])).alias("t"))
+    keep = (((F.col("t.ring") == 0) & (F.col("t.part") == 0))
+            | ((F.col("t.ring") == 1) & (F.col("district_id") % 5 == 0))
+            | ((F.col("t.part") == 1) & (F.col("district_id") % 7 == 3)))
+    return v.filter(keep).select(
+        "district_id", "district_number", "district_name", F.col("t.part").alias("part"),
+        F.col("t.ring").alias("ring"), F.col("t.seq").alias("seq"),
+        (F.col("x0") + F.col("t.dx")).alias("x"), (F.col("y0") + F.col("t.dy")).alias("y"))
 
 
 def province_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(PROVINCE_VERTICES_SQL, region=_table(spark, sf_dir, "region"))
+    r = F.col("r_regionkey")
+    v = _table(spark, sf_dir, "region").select(
+        r.alias("province_id"), F.col("r_name").alias("province_name"),
+        F.explode(_template(PROVINCE_TEMPLATE, ["seq", "dx", "dy"])).alias("t"))
+    return v.select(
+        "province_id", "province_name", F.lit(0).alias("part"), F.lit(0).alias("ring"), F.col("t.seq").alias("seq"),
+        (F.lit(-63.66005) + F.lit(0.2) * F.col("province_id").cast("double") + F.col("t.dx")).alias("x"),
+        (F.lit(-18.28005) + F.col("t.dy")).alias("y"))
 
 
 def districts(spark: SparkSession, sf_dir: str) -> DataFrame:

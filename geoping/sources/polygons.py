@@ -35,21 +35,23 @@ DEPARTMENT_ALIASES = ["departamen", "DEPARTAMEN", "departamento"]
 
 def polygons_from_vertices(vertices: DataFrame, attrs: list[str] | None = None,
                            id_col: str = "polygon_id") -> DataFrame:
-    """Vertex rows (id, part, ring, seq, x, y, attrs...) -> one row per polygon with ``geom``."""
+    """Vertex rows (id, part, ring, seq, x, y, attrs...) -> one row per polygon with ``geom``.
+
+    One aggregation per polygon (its own vertices, sorted by part, ring, seq);
+    parts and rings are then cut out of the sorted list with higher-order functions.
+    """
     attrs = attrs or []
-    rings = (vertices.groupBy(id_col, "part", "ring")
-             .agg(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))).alias("pts"),
-                  *[F.first(a).alias(a) for a in attrs]))
-    rings = rings.select(id_col, "part", "ring", *attrs,
-                         F.transform("pts", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("pts"))
-    parts = (rings.groupBy(id_col, "part")
-             .agg(F.sort_array(F.collect_list(F.struct("ring", "pts"))).alias("rs"),
-                  *[F.first(a).alias(a) for a in attrs]))
-    parts = parts.select(id_col, "part", *attrs, F.transform("rs", lambda r: r["pts"]).alias("rings"))
-    polys = (parts.groupBy(id_col)
-             .agg(F.sort_array(F.collect_list(F.struct("part", "rings"))).alias("ps"),
-                  *[F.first(a).alias(a) for a in attrs]))
-    return polys.select(id_col, *attrs, F.transform("ps", lambda p: p["rings"]).alias("geom"))
+    v = (vertices.groupBy(id_col)
+         .agg(F.sort_array(F.collect_list(F.struct("part", "ring", "seq", "x", "y"))).alias("v"),
+              *[F.first(a).alias(a) for a in attrs]))
+    vs = F.col("v")
+    geom = F.transform(
+        F.array_distinct(F.transform(vs, lambda p: p["part"])),
+        lambda part: F.transform(
+            F.array_distinct(F.transform(F.filter(vs, lambda p: p["part"] == part), lambda p: p["ring"])),
+            lambda ring: F.transform(F.filter(vs, lambda p: (p["part"] == part) & (p["ring"] == ring)),
+                                     lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))))
+    return v.select(id_col, *attrs, geom.alias("geom"))
 
 
 def _first_present(props: Column, aliases: list[str], skip_zero: bool = False) -> Column:
