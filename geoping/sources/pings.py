@@ -55,7 +55,9 @@ def normalise_pings(df: DataFrame, with_errors: bool = True) -> DataFrame:
             continue
         raw = F.col(name)
         dtype = df.schema[name].dataType
+        parsed = None
         if name in _DOUBLE_COLS:
+            parsed = raw.try_cast("double")
             typed = _to_double(raw)
             if name in _WHOLE_UNIT_COLS:
                 typed = F.when(typed.isNull(), typed).otherwise(
@@ -73,7 +75,9 @@ def normalise_pings(df: DataFrame, with_errors: bool = True) -> DataFrame:
             out[name] = raw.cast("string")
         if with_errors and isinstance(dtype, T.StringType) and name not in ("device_id", "device_name",
                                                                                "sim_operator", "network_type"):
-            bad = raw.isNotNull() & (F.trim(raw) != "") & out[name].isNull()
+            # a parse failure, not a NaN (which parses and is then nulled on purpose)
+            result = parsed if parsed is not None else out[name]
+            bad = raw.isNotNull() & (F.trim(raw) != "") & result.isNull()
             errors.append(F.when(bad, F.lit(f"unparsable_{name}")))
     result = df.select(*[out[n].alias(n) for n in S.PING_COLUMNS],
                        *([] if not with_errors else
