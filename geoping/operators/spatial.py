@@ -115,57 +115,58 @@ def _build_index(layers, cell_size, max_cells, broadcast_max_edges, force_broadc
     def idx(v: Column) -> Column:
         return F.floor(v / lit_c)
 
-    # edges with their integer cell ranges
-    e = (boxed.select("layer", "pid", F.explode("edges").alias("e"))
-         .select("layer", "pid", "e",
-                 idx(F.least("e.y1", "e.y2")).alias("ey0"), idx(F.greatest("e.y1", "e.y2")).alias("ey1"),
-                 idx(F.least("e.x1", "e.x2")).alias("ex0"), idx(F.greatest("e.x1", "e.x2")).alias("ex1"))
-         .filter(F.col("e.y1") != F.col("e.y2")))   # horizontal edges never cross a horizontal ray
-    # the on-edge test needs horizontal edges too: keep them in a separate list
-    e_all = (boxed.select("layer", "pid", F.explode("edges").alias("e"))
-             .select("layer", "pid", "e",
-                     idx(F.least("e.y1", "e.y2")).alias("ey0"), idx(F.greatest("e.y1", "e.y2")).alias("ey1"),
-                     idx(F.least("e.x1", "e.x2")).alias("ex0"), idx(F.greatest("e.x1", "e.x2")).alias("ex1")))
-
-    # all bbox cells
-    cells = (boxes
-             .select("layer", "pid", F.explode(F.sequence(idx(F.col("miny")), idx(F.col("maxy")))).alias("cell_y"),
-                     idx(F.col("minx")).alias("x0"), idx(F.col("maxx")).alias("x1"))
-             .select("layer", "pid", "cell_y", F.explode(F.sequence("x0", "x1")).alias("cell_x")))
-    # cells touched by an edge's box (conservative boundary cells)
-    touched = (e_all
-               .select("layer", "pid", F.explode(F.sequence("ey0", "ey1")).alias("cell_y"), "ex0", "ex1")
-               .select("layer", "pid", "cell_y", F.explode(F.sequence("ex0", "ex1")).alias("cell_x"))
-               .distinct())
-    # row bands: edges whose y-span reaches the row
-    band = e_all.select("layer", "pid", F.explode(F.sequence("ey0", "ey1")).alias("cell_y"), "e", "ex1")
-
-    # interior / exterior cells: parity of the cell centre from the row's crossings
-    free = cells.join(touched, ["layer", "pid", "cell_y", "cell_x"], "left_anti")
-    yc_band = (e.select("layer", "pid", F.explode(F.sequence("ey0", "ey1")).alias("cell_y"), "e"))
-    yc = (F.col("cell_y") + F.lit(0.5)) * lit_c
-    crossings = (yc_band
-                 .filter((F.col("e.y1") > yc) != (F.col("e.y2") > yc))
-                 .select("layer", "pid", "cell_y",
-                         (F.try_divide((F.col("e.x2") - F.col("e.x1")) * (yc - F.col("e.y1")),
-                                       F.col("e.y2") - F.col("e.y1")) + F.col("e.x1")).alias("xi"))
-                 .groupBy("layer", "pid", "cell_y").agg(F.collect_list("xi").alias("xs")))
-    xc = (F.col("cell_x") + F.lit(0.5)) * lit_c
-    inside = (free.join(crossings, ["layer", "pid", "cell_y"], "left")
-              .filter((F.size(F.filter(F.coalesce("xs", F.array().cast("array<double>")),
-                                       lambda v: v > xc)) % 2) == 1)
-              .select("cell_y", "cell_x", F.struct(F.col("layer"), F.col("pid"), F.lit(True).alias("full"),
-                                                   F.array().cast(T.ArrayType(S.EDGE)).alias("edges")).alias("cand")))
-
-    # boundary cells: edges of the row band that are not entirely left of the cell
-    boundary = (touched.join(band, ["layer", "pid", "cell_y"])
-                .filter(F.col("ex1") >= F.col("cell_x"))
-                .groupBy("layer", "pid", "cell_y", "cell_x")
-                .agg(F.collect_list("e").alias("edges"))
-                .select("cell_y", "cell_x", F.struct(F.col("layer"), F.col("pid"), F.lit(False).alias("full"),
-                                                     F.col("edges")).alias("cand")))
-
-    cover = (inside.unionByName(boundary)
+    # One row per (polygon, row band of cells). Everything per band is computed with
+    # higher-order functions on the polygon's own edge array, so the whole build is one
+    # explode pass and a single shuffle (the final group by cell).
+    rows = boxed.select("layer", "pid", "edges", idx(F.col("b.minx")).alias("cx0"), idx(F.col("b.maxx")).alias("cx1"),
+                        F.explode(F.sequence(idx(F.col("b.miny")), idx(F.col("b.maxy")))).alias("cell_y"))
+    cy = F.col("cell_y")
+    y_lo, y_hi, yc = cy * lit_c, (cy + F.lit(1)) * lit_c, (cy + F.lit(0.5)) * lit_c
+
+    def ymin(e):
+        return F.least(e["y1"], e["y2"])
+
+    def ymax(e):
+        return F.greatest(e["y1"], e["y2"])
+
+    # edges whose y-span reaches this row (same floor index as the points use)
+    band = F.filter("edges", lambda e: (idx(ymin(e)) <= cy) & (idx(ymax(e)) >= cy))
+
+    def x_at(e, yv):
+        t = F.least(F.greatest(F.try_divide(yv - e["y1"], e["y2"] - e["y1"]), F.lit(0.0)), F.lit(1.0))
+        return e["x1"] + t * (e["x2"] - e["x1"])
+
+    def x_cells(e):
+        # x cells the edge occupies inside this row band, clipped, with a one-cell safety margin
+        horizontal = e["y1"] == e["y2"]
+        xa, xb = x_at(e, y_lo), x_at(e, y_hi)
+        lo = F.when(horizontal, idx(F.least(e["x1"], e["x2"]))).otherwise(
+            F.greatest(idx(F.least(e["x1"], e["x2"])), idx(F.least(xa, xb)) - 1))
+        hi = F.when(horizontal, idx(F.greatest(e["x1"], e["x2"]))).otherwise(
+            F.least(idx(F.greatest(e["x1"], e["x2"])), idx(F.greatest(xa, xb)) + 1))
+        return F.sequence(lo, F.greatest(lo, hi))
+
+    crossings = F.transform(
+        F.filter(band, lambda e: (e["y1"] != e["y2"]) & ((e["y1"] > yc) != (e["y2"] > yc))),
+        lambda e: F.try_divide((e["x2"] - e["x1"]) * (yc - e["y1"]), e["y2"] - e["y1"]) + e["x1"])
+    bands = rows.select("layer", "pid", "cell_y", "cx0", "cx1", band.alias("band"), crossings.alias("xs"))
+    bands = bands.withColumn("touched", F.array_distinct(F.flatten(F.transform("band", x_cells))))
+
+    cells = bands.select("layer", "pid", "cell_y", "band", "xs", "touched",
+                         F.explode(F.sequence("cx0", "cx1")).alias("cell_x"))
+    cx = F.col("cell_x")
+    xc = (cx + F.lit(0.5)) * lit_c
+    is_boundary = F.array_contains("touched", cx)
+    inside = (F.size(F.filter("xs", lambda v: v > xc)) % 2) == 1
+    cand = F.when(is_boundary, F.struct(
+        F.col("layer"), F.col("pid"), F.lit(False).alias("full"),
+        # the +x ray from a point of this cell can only cross edges not entirely left of it
+        F.filter("band", lambda e: idx(F.greatest(e["x1"], e["x2"])) >= cx).alias("edges"))).when(
+        inside, F.struct(F.col("layer"), F.col("pid"), F.lit(True).alias("full"),
+                         F.array().cast(T.ArrayType(S.EDGE)).alias("edges")))
+    located_cells = cells.select("cell_y", "cell_x", cand.alias("cand")).filter(F.col("cand").isNotNull())
+
+    cover = (located_cells
              .groupBy("cell_y", "cell_x")
              .agg(F.collect_list("cand").alias("cands")))
     # The cover is reused (size check, then every join): materialise it once in the
