@@ -127,3 +127,55 @@ def points_by_district(points: DataFrame, index: SP.SpatialIndex, districts: Dat
     # one row per district label: bounded by the (measured) polygon table size
     small = districts.count() + 1 <= SP.DEFAULT_BROADCAST_MAX_ROWS
     return labelled.join(F.broadcast(counts) if small else counts, "district_label")
+
+
+def district_profile(locations: DataFrame, districts: DataFrame, index: SP.SpatialIndex, layer: str = "district",
+                     digits: int = 2) -> DataFrame:
+    """District statistics with density, average altitude and network / operator count maps."""
+    m = SP.match_all(locations.select("id", "device_id", "battery", "signal", "speed", "altitude", "network_type",
+                                      "sim_operator", "latitude", "longitude"), index, layer, id_name="__pid")
+    agg = (m.groupBy("__pid")
+           .agg(F.count(F.lit(1)).alias("total_locations"), F.countDistinct("device_id").alias("unique_devices"),
+                *[F.sum(F.col(c).cast(DECIMAL_TYPE)).alias(f"sum_{c}") for c in ("battery", "signal", "speed",
+                                                                                  "altitude")],
+                *[F.count(c).alias(f"cnt_{c}") for c in ("battery", "signal", "speed", "altitude")]))
+
+    def label_map(col, out):
+        return (m.groupBy("__pid", col).agg(F.count(F.lit(1)).alias("__n"))
+                .groupBy("__pid")
+                .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(col), F.col("__n"))))).alias(out)))
+
+    base = districts.select("district_id", "district_number", "district_name", G.area_km2("geom").alias("area_km2"))
+    out = (base.join(agg, base["district_id"] == agg["__pid"], "left").drop("__pid")
+           .join(label_map("network_type", "network_types"), F.col("district_id") == F.col("__pid"), "left")
+           .drop("__pid")
+           .join(label_map("sim_operator", "operators"), F.col("district_id") == F.col("__pid"), "left").drop("__pid"))
+
+    def avg(c):
+        return F.round(mean_from(F.col(f"sum_{c}"), F.col(f"cnt_{c}")), digits)
+
+    return out.select(
+        "district_id", "district_number", "district_name", "area_km2",
+        F.coalesce("total_locations", F.lit(0)).alias("total_locations"),
+        F.coalesce("unique_devices", F.lit(0)).alias("unique_devices"),
+        avg("battery").alias("avg_battery"), avg("signal").alias("avg_signal"), avg("speed").alias("avg_speed"),
+        avg("altitude").alias("avg_altitude"),
+        F.when(F.col("area_km2") > 0, safe_divide(F.coalesce("total_locations", F.lit(0)), "area_km2"))
+        .alias("density"),
+        "network_types", "operators")
+
+
+def repeatable_sample(df: DataFrame, n: int, seed: int = 42, key: str = "id") -> DataFrame:
+    """``n`` rows chosen by a seeded hash of the key (repeatable, no driver-side sampling)."""
+    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+
+
+def sample_by_district(points: DataFrame, index: SP.SpatialIndex, districts: DataFrame, n: int = 500,
+                       seed: int = 42) -> DataFrame:
+    """Found / not-found and points per district over a repeatable sample of points."""
+    sample = repeatable_sample(points.select("id", "latitude", "longitude"), n, seed)
+    located = SP.locate(sample, index)
+    names = districts.select(F.col("district_id").cast("long").alias("district_id"), "district_name")
+    located = located.join(F.broadcast(names), "district_id", "left")
+    return (located.groupBy(F.coalesce("district_name", F.lit(S.OUTSIDE_DISTRICTS)).alias("district_label"))
+            .agg(F.count(F.lit(1)).alias("points")))

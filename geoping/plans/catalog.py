@@ -465,3 +465,67 @@ def q_wkt_roundtrip(spark, sf_dir):
     d = districts(spark, sf_dir).select("district_id", G.to_wkt("geom").alias("geom_wkt"))
     back = poly_src.read_wkt_polygons(d)
     return dist_ops.polygon_measures(back, "district_id").select("district_id", "area_km2", "perimeter_km")
+
+
+
+# ---------------------------------------------------------------- more reports over the spatial join
+
+@register("poi_by_district")
+def q_poi_by_district(spark, sf_dir):
+    """Named points with their district (or 'Fuera de distritos') and the per-district count."""
+    pois = fixtures.points_of_interest(spark, sf_dir)
+    return dist_ops.points_by_district(pois.withColumnRenamed("poi_id", "id"), both_index(spark, sf_dir),
+                                       districts(spark, sf_dir)).select(
+        "id", "name", "district_label", "points_in_district")
+
+
+@register("sample_by_district")
+def q_sample_by_district(spark, sf_dir):
+    """Points per district over a repeatable 500-point sample (sampling is the feature)."""
+    return dist_ops.sample_by_district(locations(spark, sf_dir), both_index(spark, sf_dir),
+                                       districts(spark, sf_dir), n=500, seed=42)
+
+
+@register("district_profile")
+def q_district_profile(spark, sf_dir):
+    """District statistics with density, average altitude and label maps (maps as sorted text)."""
+    out = dist_ops.district_profile(locations(spark, sf_dir), districts(spark, sf_dir), both_index(spark, sf_dir))
+    return (out.withColumn("network_types", dev_ops.map_as_text("network_types"))
+            .withColumn("operators", dev_ops.map_as_text("operators")))
+
+
+@register("top_dense_districts")
+def q_top_dense_districts(spark, sf_dir):
+    """The five densest districts (top-k is the feature)."""
+    return dist_ops.district_density(_district_stats(spark, sf_dir)).limit(5)
+
+
+@register("grid_label_maps")
+def q_grid_label_maps(spark, sf_dir):
+    """Per cell network and operator count maps (as sorted text)."""
+    out = grid_ops.grid_label_maps(locations(spark, sf_dir), 0.01)
+    return (out.withColumn("network_types", dev_ops.map_as_text("network_types"))
+            .withColumn("operators", dev_ops.map_as_text("operators")))
+
+
+@register("table_counts")
+def q_table_counts(spark, sf_dir):
+    """Row counts of the source tables and of the derived location table."""
+    def t(name):
+        return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return rep_ops.table_counts({"events": t("events"), "nation": t("nation"), "region": t("region"),
+                                 "supplier": t("supplier"), "locations": locations(spark, sf_dir)})
+
+
+@register("reassign_missing")
+def q_reassign_missing(spark, sf_dir):
+    """Locations stored without provinces, then re-assigned in place (only partitions with nulls)."""
+    root = scratch_path(spark, f"reassign-{uuid.uuid4().hex[:10]}")
+    paths = etl_plan.EtlPaths(root)
+    d, pr = districts(spark, sf_dir), provinces(spark, sf_dir)
+    no_provinces = pr.limit(0)
+    etl_plan.run_etl(spark, fixtures.raw_pings(spark, sf_dir), paths, d, no_provinces, mode="full",
+                     index=SP.build_index([("district", d, "district_id"), ("province", no_provinces, "province_id")]))
+    etl_plan.reassign_missing(spark, paths, d, pr, index=both_index(spark, sf_dir))
+    return spark.read.parquet(paths.locations).select("id", "district_id", "district_name", "province_id",
+                                                      "province_name")

@@ -134,3 +134,21 @@ def run_etl(spark: SparkSession, source: DataFrame, paths: EtlPaths, districts:
     except Exception as exc:  # record the failure; the mark stays where it was
         L.append_run(spark, paths.ledger, mark, 0, S.STATUS_FAILED, time.time() - started, str(exc)[:2000])
         raise
+
+
+def reassign_missing(spark: SparkSession, paths: EtlPaths, districts: DataFrame, provinces: DataFrame,
+                     index: SP.SpatialIndex | None = None) -> int:
+    """K05/ST06: fill district/province where still null, rewriting only the date partitions that have such rows.
+
+    The affected partitions are read, re-assigned (rows that already have both
+    ids keep them), checkpointed (so the read does not depend on the files being
+    replaced) and written back with dynamic partition overwrite.
+    """
+    ensure_checkpoint_dir(spark)
+    stored = spark.read.parquet(paths.locations)
+    dates = stored.filter(F.col("district_id").isNull() | F.col("province_id").isNull()).select("date").distinct()
+    affected = stored.join(dates, "date", "left_semi")
+    index = index or SP.build_index([("district", districts, "district_id"), ("province", provinces, "province_id")])
+    fixed = SP.assign_locations(affected, districts, provinces, index=index, only_missing=True)
+    fixed = fixed.select(*stored.columns).checkpoint(eager=True)
+    return W.replace_partitions(fixed, paths.locations, ["date"])

@@ -551,3 +551,68 @@ ORACLE["geojson_roundtrip"] = with_measures("""
 SELECT n.district_number, m.area_km2, m.perimeter_km FROM measures m JOIN d_names n ON n.district_id = m.district_id""")
 
 ORACLE["wkt_roundtrip"] = with_measures("SELECT district_id, area_km2, perimeter_km FROM measures")
+
+
+ORACLE["poi_by_district"] = with_spatial("""
+, poi AS (SELECT poi_id AS id, name, latitude AS y, longitude AS x FROM points_of_interest),
+poi_hit AS (
+  SELECT id, MIN(pid) AS district_id FROM (
+    SELECT p.id, e.pid, COUNT(*) AS c FROM poi p JOIN d_edges e
+      ON e.x2 IS NOT NULL AND (e.y1 > p.y) <> (e.y2 > p.y)
+     AND p.x < (e.x2 - e.x1) * (p.y - e.y1) / (e.y2 - e.y1) + e.x1
+    GROUP BY 1, 2) WHERE c % 2 = 1 GROUP BY id),
+lab AS (
+  SELECT poi.id, poi.name, COALESCE(n.district_name, 'Fuera de distritos') AS district_label
+  FROM poi LEFT JOIN poi_hit h USING (id) LEFT JOIN d_names n ON n.district_id = h.district_id)
+SELECT id, name, district_label, COUNT(*) OVER (PARTITION BY district_label) AS points_in_district FROM lab""")
+
+
+ORACLE["district_profile"] = with_measures(f"""
+, per AS (
+  SELECT m.pid AS district_id, COUNT(*) AS total_locations, COUNT(DISTINCT l.device_id) AS unique_devices,
+    {R2(MEAN('l.battery'))} AS avg_battery, {R2(MEAN('l.signal'))} AS avg_signal,
+    {R2(MEAN('l.speed'))} AS avg_speed, {R2(MEAN('l.altitude'))} AS avg_altitude
+  FROM d_match m JOIN locations l ON l.id = m.id GROUP BY m.pid),
+nets AS (
+  SELECT pid, string_agg(k || ':' || CAST(v AS VARCHAR), ',' ORDER BY k) AS network_types FROM (
+    SELECT m.pid, l.network_type AS k, COUNT(*) AS v FROM d_match m JOIN locations l ON l.id = m.id GROUP BY 1, 2)
+  GROUP BY pid),
+ops AS (
+  SELECT pid, string_agg(k || ':' || CAST(v AS VARCHAR), ',' ORDER BY k) AS operators FROM (
+    SELECT m.pid, l.sim_operator AS k, COUNT(*) AS v FROM d_match m JOIN locations l ON l.id = m.id GROUP BY 1, 2)
+  GROUP BY pid)
+SELECT n.district_id, n.district_number, n.district_name, ms.area_km2,
+  COALESCE(per.total_locations, 0) AS total_locations, COALESCE(per.unique_devices, 0) AS unique_devices,
+  per.avg_battery, per.avg_signal, per.avg_speed, per.avg_altitude,
+  CASE WHEN ms.area_km2 > 0 THEN CAST(COALESCE(per.total_locations, 0) AS DOUBLE) / CAST(ms.area_km2 AS DOUBLE) END
+    AS density,
+  nets.network_types, ops.operators
+FROM d_names n JOIN measures ms ON ms.district_id = n.district_id
+LEFT JOIN per ON per.district_id = n.district_id
+LEFT JOIN nets ON nets.pid = n.district_id LEFT JOIN ops ON ops.pid = n.district_id""")
+
+ORACLE["top_dense_districts"] = with_measures(DISTRICT_STATS + """
+SELECT district_number, district_name, total_locations, area_km2,
+  CAST(total_locations AS DOUBLE) / CAST(area_km2 AS DOUBLE) AS density
+FROM dstats WHERE area_km2 > 0 ORDER BY density DESC, district_number LIMIT 5""")
+
+ORACLE["grid_label_maps"] = with_locations("""
+, c AS (SELECT CAST(floor(latitude / CAST(0.01 AS DOUBLE)) AS BIGINT) AS cell_y,
+          CAST(floor(longitude / CAST(0.01 AS DOUBLE)) AS BIGINT) AS cell_x, network_type, sim_operator
+        FROM locations)
+SELECT n.cell_y, n.cell_x, n.network_types, o.operators FROM (
+  SELECT cell_y, cell_x, string_agg(k || ':' || CAST(v AS VARCHAR), ',' ORDER BY k) AS network_types FROM (
+    SELECT cell_y, cell_x, network_type AS k, COUNT(*) AS v FROM c GROUP BY 1, 2, 3) GROUP BY 1, 2) n
+JOIN (
+  SELECT cell_y, cell_x, string_agg(k || ':' || CAST(v AS VARCHAR), ',' ORDER BY k) AS operators FROM (
+    SELECT cell_y, cell_x, sim_operator AS k, COUNT(*) AS v FROM c GROUP BY 1, 2, 3) GROUP BY 1, 2) o
+USING (cell_y, cell_x)""")
+
+ORACLE["table_counts"] = with_locations("""
+SELECT 'events' AS table_name, COUNT(*) AS rows FROM events
+UNION ALL SELECT 'nation', COUNT(*) FROM nation
+UNION ALL SELECT 'region', COUNT(*) FROM region
+UNION ALL SELECT 'supplier', COUNT(*) FROM supplier
+UNION ALL SELECT 'locations', COUNT(*) FROM locations""")
+
+ORACLE["reassign_missing"] = ORACLE["district_assignment"]

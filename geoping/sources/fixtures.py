@@ -65,12 +65,21 @@ FROM {region} CROSS JOIN (SELECT * FROM (VALUES (0, 0.0, 0.0), (1, 0.19, 0.0), (
 """
 
 
+POI_SQL = """
+SELECT s_suppkey AS poi_id, s_name AS name,
+  CAST(-18.30 AS DOUBLE) + CAST((s_suppkey * 7919) % 10000 AS DOUBLE) / CAST(10000 AS DOUBLE) AS latitude,
+  CAST(-63.70 AS DOUBLE) + CAST((s_suppkey * 104729) % 10000 AS DOUBLE) / CAST(10000 AS DOUBLE) AS longitude
+FROM {supplier}
+"""
+
+
 def oracle_ctes() -> str:
     """The adapter as DuckDB CTE text (``WITH`` clause body, no trailing comma)."""
     return (
         "raw_pings AS (" + RAW_PINGS_SQL.format(events="events") + "),\n"
         "district_vertices AS (" + DISTRICT_VERTICES_SQL.format(nation="nation") + "),\n"
-        "province_vertices AS (" + PROVINCE_VERTICES_SQL.format(region="region") + ")"
+        "province_vertices AS (" + PROVINCE_VERTICES_SQL.format(region="region") + "),\n"
+        "points_of_interest AS (" + POI_SQL.format(supplier="supplier") + ")"
     )
 
 
@@ -83,6 +92,11 @@ def raw_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(RAW_PINGS_SQL, events=_table(spark, sf_dir, "events"))
 
 
+def points_of_interest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named points (poi_id, name, latitude, longitude) from ``supplier`` on the ping lattice."""
+    return spark.sql(POI_SQL, supplier=_table(spark, sf_dir, "supplier"))
+
+
 # Vertex templates (part, ring, seq, dx, dy) of the SQL above, used by the
 # Spark side as a literal array exploded per nation / region row (no join).
 DISTRICT_TEMPLATE = [
