@@ -7,8 +7,9 @@ One lazy plan per step, no driver-side rows:
 * cleaned, classified and geo-assigned rows (P01-P07, J01) are checkpointed once
   (lineage cut in the shared checkpoint folder) and then feed every sink;
 * locations are appended, partitioned by ``date`` (K01);
-* the grid keeps a mergeable per-(cell, device) state (ST05); each run writes a new
-  state version = merge(previous version, batch state), so incremental == full;
+* the grid keeps a mergeable per-(cell, device) state (ST05) partitioned by a cell-hash
+  bucket; a run merges its batch into the buckets it touched and rewrites only those
+  (and their grid cells), so incremental == full without rewriting the whole state;
 * device-day summaries are recomputed for the dates the batch touched from the
   full location table and replace only those partitions (K02, fixes Q14b);
 * the ledger row is appended last; FAILED runs are recorded and do not move the mark (K06).
@@ -58,25 +59,11 @@ class EtlPaths:
         return f"{self.root}/etl_runs"
 
 
-def _state_versions(spark: SparkSession, path: str) -> list[int]:
-    if not W.table_exists(spark, path):
-        return []
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = []
-    for st in fs.listStatus(hpath):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("version="):
-            out.append(int(name.split("=", 1)[1]))
-    return sorted(out)
+STATE_BUCKETS = 64   # grid-state partitions; a run rewrites only the buckets its batch touched
 
 
-def latest_grid_state(spark: SparkSession, paths: EtlPaths) -> DataFrame | None:
-    versions = _state_versions(spark, paths.grid_state)
-    if not versions:
-        return None
-    return spark.read.parquet(f"{paths.grid_state}/version={versions[-1]}")
+def _with_bucket(df: DataFrame, buckets: int) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64("cell_y", "cell_x"), F.lit(buckets)).cast("int"))
 
 
 def device_day_from_locations(locations: DataFrame) -> DataFrame:
@@ -84,9 +71,61 @@ def device_day_from_locations(locations: DataFrame) -> DataFrame:
     return dev_ops.device_day_summary(locations, ordered=False)
 
 
+def write_batch_outputs(spark: SparkSession, located: DataFrame, paths: EtlPaths, full: bool,
+                        grid_size: float = S.DEFAULT_GRID_SIZE, buckets: int = STATE_BUCKETS) -> tuple[int, int | None]:
+    """Write one classified, geo-assigned batch to every table; returns (rows, max id).
+
+    ``located`` must already be materialised (checkpointed): it feeds four writes.
+    """
+    obs = Observation("batch")
+    observed = located.observe(obs, F.count(F.lit(1)).alias("rows"), F.max("id").alias("max_id"))
+    observed.write.mode("overwrite" if full else "append").partitionBy("date").parquet(paths.locations)
+    stats = obs.get
+    rows, max_id = int(stats.get("rows", 0)), stats.get("max_id")
+
+    # grid state: merge the batch into the touched buckets only, then rewrite those buckets (and their grid cells)
+    batch_state = _with_bucket(grid_ops.grid_state(located, grid_size), buckets)
+    if full or not W.table_exists(spark, paths.grid_state):
+        state = batch_state.checkpoint(eager=True)
+        state.write.mode("overwrite").partitionBy("bucket").parquet(paths.grid_state)
+    else:
+        touched = batch_state.select("bucket").distinct()
+        prev = spark.read.parquet(paths.grid_state).join(touched, "bucket", "left_semi")
+        state = grid_ops.merge_grid_state(prev.drop("bucket"), batch_state.drop("bucket"))
+        # materialise before overwriting the partitions it was read from
+        state = _with_bucket(state, buckets).checkpoint(eager=True)
+        W.replace_partitions(state, paths.grid_state, ["bucket"])
+    cells = grid_ops.grid_from_state(state.drop("bucket"), grid_size)
+    cells = _with_bucket(cells, buckets)
+    if full or not W.table_exists(spark, paths.grid):
+        cells.write.mode("overwrite").partitionBy("bucket").parquet(paths.grid)
+    else:
+        W.replace_partitions(cells, paths.grid, ["bucket"])
+
+    # device days: recompute the touched dates from the full table, replace those partitions only
+    touched_dates = located.select("date").distinct()
+    affected = spark.read.parquet(paths.locations).join(touched_dates, "date", "left_semi")
+    W.replace_partitions(device_day_from_locations(affected), paths.device_days, ["date"])
+    return rows, max_id
+
+
+def drop_stored(spark: SparkSession, batch: DataFrame, paths: EtlPaths) -> DataFrame:
+    """J12 at scale: anti join against stored ids of the batch's own dates only.
+
+    A retried ping keeps its timestamp, hence its ``date`` partition; the semi join on
+    the batch's dates lets dynamic partition pruning skip every other partition.
+    """
+    if not W.table_exists(spark, paths.locations):
+        return batch
+    dates = batch.select(F.to_date("timestamp").alias("__d")).distinct()
+    stored = spark.read.parquet(paths.locations).select("id", "date")
+    stored = stored.join(dates, stored["date"].eqNullSafe(dates["__d"]), "left_semi")
+    return only_new(batch, stored)
+
+
 def run_etl(spark: SparkSession, source: DataFrame, paths: EtlPaths, districts: DataFrame, provinces: DataFrame,
             mode: str = "incremental", grid_size: float = S.DEFAULT_GRID_SIZE,
-            index: SP.SpatialIndex | None = None) -> dict:
+            index: SP.SpatialIndex | None = None, buckets: int = STATE_BUCKETS) -> dict:
     """ST07: ``mode='full'`` rebuilds every table; ``'incremental'`` processes rows above the mark."""
     if mode not in ("full", "incremental"):
         raise ValueError("mode must be 'full' or 'incremental'")
@@ -94,43 +133,18 @@ def run_etl(spark: SparkSession, source: DataFrame, paths: EtlPaths, districts:
     started = time.time()
     mark = L.last_mark(spark, paths.ledger) if mode == "incremental" else None
     try:
-        pings = normalise_pings(source, with_errors=False)
-        batch = incremental_scan(pings, last_id=mark)
-        have_locations = W.table_exists(spark, paths.locations)
-        if mode == "incremental" and have_locations:
-            batch = only_new(batch, spark.read.parquet(paths.locations).select("id"))
+        batch = incremental_scan(normalise_pings(source, with_errors=False), last_id=mark)
+        if mode == "incremental":
+            batch = drop_stored(spark, batch, paths)
         index = index or SP.build_index([("district", districts, "district_id"),
                                          ("province", provinces, "province_id")], grid_size)
         located = SP.assign_locations(transform_locations(batch, grid_size), districts, provinces, index=index)
-        # one materialisation feeds all sinks below; lineage cut in the shared checkpoint folder
+        # one materialisation feeds all sinks; lineage cut in the shared checkpoint folder
         located = located.checkpoint(eager=True)
-
-        obs = Observation("batch")
-        observed = located.observe(obs, F.count(F.lit(1)).alias("rows"), F.max("id").alias("max_id"))
-        write_mode = "overwrite" if mode == "full" else "append"
-        observed.write.mode(write_mode).partitionBy("date").parquet(paths.locations)
-        stats = obs.get
-        rows, max_id = int(stats.get("rows", 0)), stats.get("max_id")
-
-        # grid: mergeable state, one new version per run
-        versions = _state_versions(spark, paths.grid_state)
-        batch_state = grid_ops.grid_state(located, grid_size)
-        prev = latest_grid_state(spark, paths) if mode == "incremental" else None
-        state = batch_state if prev is None else grid_ops.merge_grid_state(prev, batch_state)
-        version = (versions[-1] + 1) if versions else 1
-        state.write.mode("overwrite").parquet(f"{paths.grid_state}/version={version}")
-        state = spark.read.parquet(f"{paths.grid_state}/version={version}")
-        grid_ops.grid_from_state(state, grid_size).write.mode("overwrite").parquet(paths.grid)
-
-        # device days: recompute the touched dates from the full table, replace those partitions only
-        all_locations = spark.read.parquet(paths.locations)
-        touched = located.select("date").distinct()
-        affected = all_locations.join(touched, "date", "left_semi")
-        W.replace_partitions(device_day_from_locations(affected), paths.device_days, ["date"])
-
+        rows, max_id = write_batch_outputs(spark, located, paths, mode == "full", grid_size, buckets)
         new_mark = max_id if max_id is not None else mark
         L.append_run(spark, paths.ledger, new_mark, rows, S.STATUS_SUCCESS, time.time() - started)
-        return {"rows": rows, "last_processed_id": new_mark, "grid_state_version": version}
+        return {"rows": rows, "last_processed_id": new_mark}
     except Exception as exc:  # record the failure; the mark stays where it was
         L.append_run(spark, paths.ledger, mark, 0, S.STATUS_FAILED, time.time() - started, str(exc)[:2000])
         raise

@@ -7,7 +7,7 @@ partitioned writes of each micro-batch:
 
 * ST02: ids already stored are removed with a left anti join before appending;
 * ST06: each micro-batch is geo-assigned with the stream-static spatial join;
-* ST05: the grid state gains the batch's per-(cell, device) state (new version);
+* ST05: the batch's per-(cell, device) state is merged into the grid-state buckets it touches;
 * ST04: device-day rows of the dates the batch touched are recomputed from the
   stored locations and replace those partitions (late rows handled);
 * ST03: optional ``dropDuplicatesWithinWatermark`` on ``id`` inside the stream.
@@ -19,11 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..operators import grid as grid_ops
 from ..operators import spatial as SP
 from ..operators.transform import transform_locations
-from ..plans.etl import EtlPaths, _state_versions, device_day_from_locations, latest_grid_state
-from ..sinks import writers as W
+from ..plans.etl import EtlPaths, drop_stored, write_batch_outputs
 from ..sources.pings import normalise_pings
 
 
@@ -55,24 +53,12 @@ def make_batch_writer(paths: EtlPaths, index: SP.SpatialIndex, districts: DataFr
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        if W.table_exists(spark, paths.locations):
-            batch = batch.join(spark.read.parquet(paths.locations).select("id"), "id", "left_anti")
-        batch = batch.dropDuplicates(["id"])
+        batch = drop_stored(spark, batch.dropDuplicates(["id"]), paths)
         located = SP.assign_locations(transform_locations(batch, grid_size), districts, provinces, index=index)
         located = located.checkpoint(eager=True)
         if located.isEmpty():
             return
-        located.write.mode("append").partitionBy("date").parquet(paths.locations)
-        versions = _state_versions(spark, paths.grid_state)
-        prev = latest_grid_state(spark, paths)
-        st = grid_ops.grid_state(located, grid_size)
-        st = st if prev is None else grid_ops.merge_grid_state(prev, st)
-        version = (versions[-1] + 1) if versions else 1
-        st.write.mode("overwrite").parquet(f"{paths.grid_state}/version={version}")
-        grid_ops.grid_from_state(spark.read.parquet(f"{paths.grid_state}/version={version}"), grid_size) \
-            .write.mode("overwrite").parquet(paths.grid)
-        affected = spark.read.parquet(paths.locations).join(located.select("date").distinct(), "date", "left_semi")
-        W.replace_partitions(device_day_from_locations(affected), paths.device_days, ["date"])
+        write_batch_outputs(spark, located, paths, False, grid_size)
 
     return write_batch
 
