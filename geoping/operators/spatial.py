@@ -41,6 +41,8 @@ DEFAULT_CELL_SIZE = 0.01
 DEFAULT_MAX_CELLS = 4_000_000
 DEFAULT_BROADCAST_MAX_EDGES = 4_000_000      # edge references held in the broadcast cover
 DEFAULT_BROADCAST_MAX_ROWS = 1_000_000        # polygon attribute rows broadcast for name lookups
+DEFAULT_HOT_ROWS = 5_000_000                  # shuffle mode: points per cell handled by one task before salting
+HOT_CELLS_BROADCAST_MAX = 1_000_000
 _CELL_LEVELS = 24                              # cell_size * 2**k, k < 24
 
 
@@ -53,6 +55,7 @@ class SpatialIndex:
     n_cells: int
     n_edge_refs: int
     broadcast: bool
+    hot_rows: int = DEFAULT_HOT_ROWS     # shuffle mode: cells with more points are salted
 
 
 def _polygon_layer(polys: DataFrame, id_col: str, layer: int) -> DataFrame:
@@ -77,7 +80,7 @@ def _choose_cell_size(boxes: DataFrame, cell_size: float, max_cells: int) -> flo
 
 def build_index(layers: list[tuple[str, DataFrame, str]], cell_size: float = DEFAULT_CELL_SIZE,
                 max_cells: int = DEFAULT_MAX_CELLS, broadcast_max_edges: int = DEFAULT_BROADCAST_MAX_EDGES,
-                force_broadcast: bool | None = None) -> SpatialIndex:
+                force_broadcast: bool | None = None, hot_rows: int = DEFAULT_HOT_ROWS) -> SpatialIndex:
     """Build the cell cover for ``layers``: list of (name, polygon frame, id column with a ``geom`` column).
 
     Indexes are cached per session by the polygon plans' semantic hash and the
@@ -91,6 +94,9 @@ def build_index(layers: list[tuple[str, DataFrame, str]], cell_size: float = DEF
         return hit
     index = _build_index(layers, cell_size, max_cells, broadcast_max_edges, force_broadcast)
     _INDEX_CACHE[key] = index
+    if hot_rows != index.hot_rows:
+        from dataclasses import replace
+        return replace(index, hot_rows=hot_rows)
     return index
 
 
@@ -184,8 +190,37 @@ def _candidates(points: DataFrame, index: SpatialIndex, x: str, y: str) -> DataF
     c = F.lit(index.cell_size)
     keyed = points.withColumn("__cy", F.floor(F.col(y) / c)).withColumn("__cx", F.floor(F.col(x) / c))
     cover = index.cover.select(F.col("cell_y").alias("__cy"), F.col("cell_x").alias("__cx"), "cands")
-    cover = F.broadcast(cover) if index.broadcast else cover
-    return keyed.join(cover, ["__cy", "__cx"], "left")
+    if index.broadcast:
+        return keyed.join(F.broadcast(cover), ["__cy", "__cx"], "left")
+    return _salted_join(keyed, cover, index.hot_rows, x, y)
+
+
+def _salted_join(keyed: DataFrame, cover: DataFrame, hot_rows: int, x: str, y: str) -> DataFrame:
+    """Shuffle join on the cell with hot cells split over several tasks.
+
+    A cell holding more than ``hot_rows`` points (a city centre, a parked device)
+    is found by a pre-aggregated count of points per cell; its points get a salt
+    ``hash(point) % ceil(n / hot_rows)`` and only that cell's cover row is
+    replicated once per salt. The hot-cell table has at most ``N / hot_rows``
+    rows; it is broadcast only when its measured size is under a limit.
+    """
+    counts = keyed.groupBy("__cy", "__cx").agg(F.count(F.lit(1)).alias("__n"))
+    hot = (counts.filter(F.col("__n") > F.lit(hot_rows))
+           .select("__cy", "__cx", F.ceil(F.col("__n") / F.lit(hot_rows)).cast("int").alias("__salts")))
+    hot = hot.checkpoint(eager=True)
+    n_hot = hot.count()
+    if n_hot == 0:
+        return keyed.join(cover, ["__cy", "__cx"], "left")
+    hot_side = F.broadcast(hot) if n_hot <= HOT_CELLS_BROADCAST_MAX else hot
+    key_cols = [F.col(x), F.col(y)] + ([F.col("id")] if "id" in keyed.columns else [])
+    salted = (keyed.join(hot_side, ["__cy", "__cx"], "left")
+              .withColumn("__salt", F.when(F.col("__salts").isNull(), F.lit(0))
+                          .otherwise(F.pmod(F.xxhash64(*key_cols), F.col("__salts")).cast("int")))
+              .drop("__salts"))
+    cover_salted = (cover.join(hot_side, ["__cy", "__cx"], "left")
+                    .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)))
+                    .drop("__salts"))
+    return salted.join(cover_salted, ["__cy", "__cx", "__salt"], "left").drop("__salt")
 
 
 def _hits(x: str, y: str) -> Column:

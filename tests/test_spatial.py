@@ -83,3 +83,18 @@ def test_orphan_keys_nulled(spark):
     got = {r["id"]: (r["district_id"], r["district_name"])
            for r in SP.null_orphans(loc, polys, "district_id", "district_name").collect()}
     assert got == {10: (1, "a"), 11: (None, None), 12: (None, None)}
+
+
+def test_hot_cells_are_salted_in_shuffle_mode(spark):
+    polys = _polys(spark, [(1, [[CONCAVE, HOLE]]), (2, [[square(3, 3, 2)]])])
+    rnd = random.Random(1)
+    # one hot spot: 1500 pings at the same place, plus scattered points
+    rows = [(i, 3.5, 3.5) for i in range(1500)] + [(2000 + i, round(rnd.uniform(-1, 6), 3),
+                                                    round(rnd.uniform(-1, 6), 3)) for i in range(1500)]
+    pts = spark.createDataFrame(rows, "id long, longitude double, latitude double")
+    nl = SP.assign_nested_loop(pts, polys, "polygon_id", out_col="nl").select("id", "nl")
+    idx = SP.build_index([("poly", polys, "polygon_id")], cell_size=0.5, force_broadcast=False, hot_rows=100)
+    assert idx.hot_rows == 100 and not idx.broadcast
+    got = SP.locate(pts, idx)
+    assert got.count() == 3000
+    assert got.join(nl, "id").filter(~F.col("poly_id").eqNullSafe(F.col("nl"))).count() == 0
