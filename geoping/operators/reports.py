@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import classify as C
 from ..functions.numeric import exact_mean, percent
+from ..session import ensure_checkpoint_dir
 
 
 def _with_share(grouped: DataFrame, total: DataFrame | None = None) -> DataFrame:
@@ -90,28 +91,54 @@ def value_histogram(pings: DataFrame, col: str = "speed") -> DataFrame:
     return pings.groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _rank_values(hist: DataFrame, ps: dict[str, float]) -> list:
-    """Exact ``sorted[int(n * p)]`` over the non-null values of a histogram, as aggregate columns.
+RANK_PARTITIONS = 64
 
-    The cumulative count is a window over the *distinct values* only (not the
-    rows); ``n`` is the window total, so no separate count job is needed.
-    """
-    valid = F.col("v").isNotNull()
-    return [F.min(F.when(valid & (F.col("cum") > F.floor(F.col("tot") * F.lit(p))), F.col("v"))).alias(name)
-            for name, p in ps.items()]
 
+def exact_ranks(hist: DataFrame, ps: dict[str, float], partitions: int = RANK_PARTITIONS) -> DataFrame:
+    """Exact ``sorted[int(n * p)]`` for each ``p`` from a value histogram ``(v, n)``; one row.
 
-def _cumulated(hist: DataFrame) -> DataFrame:
+    Distributed selection: the non-null histogram is range-partitioned by value
+    and materialised; only one total per range partition reaches the driver, which
+    finds the partition and local rank of each target; the cumulative count then
+    runs inside those partitions only (each holds ~1/partitions of the distinct
+    values), never over all values in one task.
+    """
+    spark = hist.sparkSession
     h = hist.filter(F.col("v").isNotNull())
-    return (h.withColumn("cum", F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
-            .withColumn("tot", F.sum("n").over(Window.partitionBy())))
+    ranged = h.repartitionByRange(partitions, "v").withColumn("__pid", F.spark_partition_id())
+    ensure_checkpoint_dir(spark)
+    ranged = ranged.checkpoint(eager=True)
+    sums = sorted((r["__pid"], int(r["s"])) for r in
+                  ranged.groupBy("__pid").agg(F.sum("n").alias("s")).collect())
+    total = sum(s for _, s in sums)
+    names = list(ps)
+    if total == 0:
+        return spark.range(1).select(*[F.lit(None).cast("double").alias(n) for n in names])
+    targets, offset = [], 0
+    bounds = []
+    for pid, cnt in sums:
+        bounds.append((pid, offset, cnt))
+        offset += cnt
+    for name, p in ps.items():
+        k = min(int(total * p), total - 1)
+        for pid, off, cnt in bounds:
+            if off <= k < off + cnt:
+                targets.append((name, pid, k - off))
+                break
+    t = spark.createDataFrame(targets, "name string, __pid int, local_k long")
+    part = ranged.join(F.broadcast(t.select("__pid").distinct()), "__pid", "left_semi")
+    w = Window.partitionBy("__pid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    cum = part.withColumn("cum", F.sum("n").over(w))
+    picked = (cum.join(F.broadcast(t), "__pid").filter(F.col("cum") > F.col("local_k"))
+              .groupBy("name").agg(F.min("v").alias("v")))
+    return picked.groupBy().pivot("name", names).agg(F.first("v"))
 
 
 def speed_profile(pings: DataFrame) -> DataFrame:
     """null/invalid, valid and zero counts with %, min, max, mean and the median (sorted[n // 2]).
 
-    Everything comes from one value histogram: counts and extrema by aggregation,
-    the mean from exact decimal sums of value * count, the median by rank.
+    Counts, extrema and the exact decimal mean come from one value histogram;
+    the median from the same histogram by distributed selection.
     """
     hist = value_histogram(pings, "speed")
     counts = hist.agg(
@@ -119,30 +146,26 @@ def speed_profile(pings: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("v") == 0, F.col("n"))), F.lit(0)).alias("zero"),
         F.min("v").alias("min_speed"), F.max("v").alias("max_speed"),
         F.try_divide(F.sum(F.col("v").cast("decimal(18,6)") * F.col("n")).cast("double"),
-                     F.sum(F.when(F.col("v").isNotNull(), F.col("n"))).cast("double")).alias("mean_speed"),
-    )
-    # the median comes from the same histogram (the plan reuses its exchange); both sides are one row
-    med = _cumulated(hist).agg(*_rank_values(None, {"median_speed": 0.5}))
-    out = counts.withColumn("__k", F.lit(1)).join(med.withColumn("__k", F.lit(1)), "__k").drop("__k")
-    out = (out.withColumn("null_or_invalid", F.col("total") - F.coalesce(F.col("valid"), F.lit(0)))
-           .withColumn("pct_null_or_invalid", percent("null_or_invalid", "total"))
-           .withColumn("pct_valid", percent("valid", "total"))
-           .withColumn("pct_zero", percent("zero", "total")))
-    return out
+                     F.sum(F.when(F.col("v").isNotNull(), F.col("n"))).cast("double")).alias("mean_speed"))
+    med = exact_ranks(hist, {"median_speed": 0.5})
+    out = counts.withColumn("__k", F.lit(1)).join(F.broadcast(med.withColumn("__k", F.lit(1))), "__k").drop("__k")
+    return (out.withColumn("null_or_invalid", F.col("total") - F.coalesce(F.col("valid"), F.lit(0)))
+            .withColumn("pct_null_or_invalid", percent("null_or_invalid", "total"))
+            .withColumn("pct_valid", percent("valid", "total"))
+            .withColumn("pct_zero", percent("zero", "total")))
 
 
 def speed_percentiles(pings: DataFrame, ps: list[float] | None = None, approx: bool = False) -> DataFrame:
     """Percentiles by the index rule ``sorted[int(n * p)]`` over the valid speeds, one row.
 
-    Exact by default (value histogram + cumulative count over distinct values);
-    ``approx=True`` uses ``percentile_approx`` when the values have very high cardinality.
+    Exact by default (``exact_ranks``); ``approx=True`` uses ``percentile_approx``.
     """
     ps = ps or S.SPEED_PERCENTILES
     names = {f"p{int(round(p * 100))}": p for p in ps}
     if approx:
         valid = pings.select("speed").filter(F.col("speed").isNotNull())
         return valid.agg(*[F.percentile_approx("speed", p, 100000).alias(n) for n, p in names.items()])
-    return _cumulated(value_histogram(pings, "speed")).agg(*_rank_values(None, names))
+    return exact_ranks(value_histogram(pings, "speed"), names)
 
 
 def speed_histogram(pings: DataFrame) -> DataFrame:
