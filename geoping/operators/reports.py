@@ -16,14 +16,22 @@ from ..functions.numeric import exact_mean, percent
 from ..session import ensure_checkpoint_dir
 
 
-def _with_share(grouped: DataFrame, total: DataFrame | None = None) -> DataFrame:
-    """Percentage of the grand total (sum of the group counts)."""
-    return grouped.withColumn("percentage", percent(F.col("records"), F.sum("records").over(Window.partitionBy())))
+def _with_share(grouped: DataFrame) -> DataFrame:
+    """Percentage of the grand total (sum of the group counts).
+
+    The total is a one-row aggregate joined back by broadcast, so the groups are
+    never gathered into one window partition.
+    """
+    total = grouped.agg(F.sum("records").alias("__total")).withColumn("__k", F.lit(1))
+    out = grouped.withColumn("__k", F.lit(1)).join(F.broadcast(total), "__k")
+    return out.withColumn("percentage", percent(F.col("records"), F.col("__total"))).drop("__k", "__total")
 
 
 def _ranked(df: DataFrame, key: str) -> DataFrame:
-    """Rank number by records desc, ties by key (on the aggregated rows)."""
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("records"), F.asc_nulls_last(key))))
+    """Rank number by records desc, ties by key (on the aggregated rows; size-checked keying)."""
+    from .dimensions import dense_keys
+    return dense_keys(df, [F.desc("records"), F.asc_nulls_last(key)], key="rank").withColumn(
+        "rank", F.col("rank").cast("int"))
 
 
 def operator_groups(pings: DataFrame) -> DataFrame:
