@@ -220,3 +220,13 @@ def required_columns_audit(df: DataFrame, required: list[str]) -> DataFrame:
     spark = df.sparkSession
     present = set(df.columns)
     return spark.createDataFrame([(c, c in present) for c in required], "column_name string, present boolean")
+
+
+def in_period(locations: DataFrame, period: str, hour_from: int | None = None, hour_to: int | None = None) -> DataFrame:
+    """Locations of one time period, optionally within an hour range (inclusive)."""
+    out = locations.filter(C.period_of_day("timestamp") == F.lit(period))
+    if hour_from is not None:
+        out = out.filter(F.hour("timestamp") >= hour_from)
+    if hour_to is not None:
+        out = out.filter(F.hour("timestamp") <= hour_to)
+    return out

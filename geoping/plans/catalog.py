@@ -529,3 +529,11 @@ def q_reassign_missing(spark, sf_dir):
     etl_plan.reassign_missing(spark, paths, d, pr, index=both_index(spark, sf_dir))
     return spark.read.parquet(paths.locations).select("id", "district_id", "district_name", "province_id",
                                                       "province_name")
+
+
+
+@register("afternoon_locations")
+def q_afternoon_locations(spark, sf_dir):
+    """TARDE locations between 12 and 18 h."""
+    return rep_ops.in_period(locations(spark, sf_dir), "TARDE", 12, 18).select(
+        "id", "date", F.hour("timestamp").alias("hour_value"), "period")

@@ -125,15 +125,19 @@ def drop_stored(spark: SparkSession, batch: DataFrame, paths: EtlPaths) -> DataF
 
 def run_etl(spark: SparkSession, source: DataFrame, paths: EtlPaths, districts: DataFrame, provinces: DataFrame,
             mode: str = "incremental", grid_size: float = S.DEFAULT_GRID_SIZE,
-            index: SP.SpatialIndex | None = None, buckets: int = STATE_BUCKETS) -> dict:
-    """ST07: ``mode='full'`` rebuilds every table; ``'incremental'`` processes rows above the mark."""
+            index: SP.SpatialIndex | None = None, buckets: int = STATE_BUCKETS,
+            start=None, end=None) -> dict:
+    """ST07/P09: ``mode='full'`` (force) rebuilds every table; ``'incremental'`` processes rows above the mark.
+
+    ``start`` / ``end`` optionally bound the batch by timestamp (inclusive).
+    """
     if mode not in ("full", "incremental"):
         raise ValueError("mode must be 'full' or 'incremental'")
     ensure_checkpoint_dir(spark)
     started = time.time()
     mark = L.last_mark(spark, paths.ledger) if mode == "incremental" else None
     try:
-        batch = incremental_scan(normalise_pings(source, with_errors=False), last_id=mark)
+        batch = incremental_scan(normalise_pings(source, with_errors=False), last_id=mark, start=start, end=end)
         if mode == "incremental":
             batch = drop_stored(spark, batch, paths)
         index = index or SP.build_index([("district", districts, "district_id"),

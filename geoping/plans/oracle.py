@@ -616,3 +616,7 @@ UNION ALL SELECT 'supplier', COUNT(*) FROM supplier
 UNION ALL SELECT 'locations', COUNT(*) FROM locations""")
 
 ORACLE["reassign_missing"] = ORACLE["district_assignment"]
+
+ORACLE["afternoon_locations"] = with_locations("""
+SELECT id, date, hour(timestamp) AS hour_value, period FROM locations
+WHERE period = 'TARDE' AND hour(timestamp) >= 12 AND hour(timestamp) <= 18""")

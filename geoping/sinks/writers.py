@@ -49,7 +49,11 @@ def replace_partitions(df: DataFrame, path: str, partition_by: list[str], fmt: s
 
 
 def ensure_table(spark: SparkSession, path: str, schema: T.StructType, partition_by: list[str] | None = None) -> None:
-    """Create an empty table with the given schema when the path does not exist."""
+    """Create an empty table with the given schema when the path does not exist.
+
+    A partitioned empty table has no data file to infer from: read it with the
+    same ``StructType`` (``spark.read.schema(schema).parquet(path)``).
+    """
     if _exists(spark, path):
         return
     w = spark.createDataFrame([], schema).write.mode("overwrite")

@@ -42,9 +42,19 @@ def _landing_schema(fmt: str):
     return T.StructType(fields)
 
 
+def _event_time(stream: DataFrame) -> DataFrame:
+    """Watermarks need an instant (TIMESTAMP); UTC wall-clock NTZ values are converted as UTC."""
+    from pyspark.sql import types as T
+    if isinstance(stream.schema["timestamp"].dataType, T.TimestampNTZType):
+        # the cast reads the wall clock in the session zone; shift it so the wall clock is read as UTC
+        tz = stream.sparkSession.conf.get("spark.sql.session.timeZone", "UTC")
+        return stream.withColumn("timestamp", F.from_utc_timestamp(F.col("timestamp").cast("timestamp"), tz))
+    return stream
+
+
 def dedupe_within_watermark(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     """ST03: drop repeated ids that arrive within the watermark delay of each other."""
-    return stream.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["id"])
+    return _event_time(stream).withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["id"])
 
 
 def make_batch_writer(paths: EtlPaths, index: SP.SpatialIndex, districts: DataFrame, provinces: DataFrame,
@@ -77,7 +87,7 @@ def run_available_now(spark: SparkSession, landing: str, paths: EtlPaths, checkp
 
 def day_summary_stream(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     """ST04 (stream form): tumbling 1-day windows per device with a watermark (update mode)."""
-    return (stream.withWatermark("timestamp", delay)
+    return (_event_time(stream).withWatermark("timestamp", delay)
             .groupBy(F.window("timestamp", "1 day").alias("day"), "device_id", "device_name")
             .agg(F.count(F.lit(1)).alias("points_count"), F.max("speed").alias("max_speed"),
                  F.sum(F.col("speed").cast("decimal(18,6)")).alias("sum_speed"), F.count("speed").alias("cnt_speed"),
