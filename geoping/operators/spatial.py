@@ -39,7 +39,7 @@ from ..session import ensure_checkpoint_dir
 
 DEFAULT_CELL_SIZE = 0.01
 DEFAULT_MAX_CELLS = 4_000_000
-DEFAULT_BROADCAST_MAX_EDGES = 4_000_000      # edge references held in the broadcast cover
+DEFAULT_BROADCAST_MAX_EDGES = 1_000_000      # edge references in a broadcast cover (~32 B each: ~50 MB)
 DEFAULT_BROADCAST_MAX_ROWS = 1_000_000        # polygon attribute rows broadcast for name lookups
 DEFAULT_HOT_ROWS = 5_000_000                  # shuffle mode: points per cell handled by one task before salting
 HOT_CELLS_BROADCAST_MAX = 1_000_000

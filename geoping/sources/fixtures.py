@@ -89,7 +89,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def raw_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed raw pings (id, device, coordinates, measures, texts, timestamp) from ``events``."""
-    return spark.sql(RAW_PINGS_SQL, events=_table(spark, sf_dir, "events"))
+    from ..session import spread_input
+    return spark.sql(RAW_PINGS_SQL, events=spread_input(_table(spark, sf_dir, "events")))
 
 
 def points_of_interest(spark: SparkSession, sf_dir: str) -> DataFrame:

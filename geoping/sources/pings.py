@@ -22,13 +22,15 @@ def read_ping_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     An empty input keeps the schema, so later column use never breaks.
     """
+    from ..session import spread_input
     raw = spark.read.schema(S.RAW_PING_SCHEMA).option("mode", "PERMISSIVE").json(path)
-    return normalise_pings(raw)
+    return normalise_pings(spread_input(raw))
 
 
 def read_ping_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Typed ping files (the ETL's own landing format)."""
-    return normalise_pings(spark.read.parquet(path))
+    from ..session import spread_input
+    return normalise_pings(spread_input(spark.read.parquet(path)))
 
 
 def _to_double(c: Column) -> Column:
