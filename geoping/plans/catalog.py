@@ -537,3 +537,15 @@ def q_afternoon_locations(spark, sf_dir):
     """TARDE locations between 12 and 18 h."""
     return rep_ops.in_period(locations(spark, sf_dir), "TARDE", 12, 18).select(
         "id", "date", F.hour("timestamp").alias("hour_value"), "period")
+
+
+
+@register("device_day_job")
+def q_device_day_job(spark, sf_dir):
+    """§3.2 job: two arrival drops -> clean positions -> summary with touched dates replaced == full A08."""
+    root = scratch_path(spark, f"ddjob-{uuid.uuid4().hex[:10]}")
+    landing = f"{root}/landing"
+    _land_in_two_drops(spark, sf_dir, landing)
+    etl_plan.run_device_day_job(spark, spark.read.parquet(f"{landing}/drop=1").drop("drop"), root)
+    etl_plan.run_device_day_job(spark, spark.read.parquet(f"{landing}/drop=2").drop("drop"), root)
+    return spark.read.parquet(f"{root}/device_day_summary")

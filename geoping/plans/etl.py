@@ -170,3 +170,23 @@ def reassign_missing(spark: SparkSession, paths: EtlPaths, districts: DataFrame,
     fixed = SP.assign_locations(affected, districts, provinces, index=index, only_missing=True)
     fixed = fixed.select(*stored.columns).checkpoint(eager=True)
     return W.replace_partitions(fixed, paths.locations, ["date"])
+
+
+def run_device_day_job(spark: SparkSession, source: DataFrame, root: str) -> dict:
+    """The device-per-day job (§3.2): P02/P04 clean -> K11 clean positions -> A08 summary -> K02 replace dates.
+
+    The summary of every date present in the batch is recomputed from the whole
+    clean-positions table (not from the batch alone), then replaces those date
+    partitions; other dates stay untouched.
+    """
+    ensure_checkpoint_dir(spark)
+    clean = normalise_pings(source, with_errors=False)
+    clean = clean.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    clean = clean.withColumn("date", F.to_date("timestamp")).checkpoint(eager=True)
+    positions = f"{root}/clean_positions"
+    written = W.write_table(clean, positions, "append", ["date"])
+    touched = clean.select("date").distinct()
+    affected = spark.read.parquet(positions).join(touched, "date", "left_semi")
+    summary = dev_ops.device_day_summary(affected, ordered=False)
+    replaced = W.replace_partitions(summary, f"{root}/device_day_summary", ["date"])
+    return {"clean_rows": written, "summary_rows": replaced}

@@ -620,3 +620,5 @@ ORACLE["reassign_missing"] = ORACLE["district_assignment"]
 ORACLE["afternoon_locations"] = with_locations("""
 SELECT id, date, hour(timestamp) AS hour_value, period FROM locations
 WHERE period = 'TARDE' AND hour(timestamp) >= 12 AND hour(timestamp) <= 18""")
+
+ORACLE["device_day_job"] = ORACLE["device_day_summary"]
