@@ -75,19 +75,23 @@ def write_batch_outputs(spark: SparkSession, located: DataFrame, paths: EtlPaths
                         grid_size: float = S.DEFAULT_GRID_SIZE, buckets: int = STATE_BUCKETS) -> tuple[int, int | None]:
     """Write one classified, geo-assigned batch to every table; returns (rows, max id).
 
-    ``located`` must already be materialised (checkpointed): it feeds four writes.
+    Incremental batches must arrive materialised (checkpointed, batch-sized). In
+    full mode the location table write itself is the materialisation: the
+    downstream sinks read the written table back instead of a second copy.
     """
     obs = Observation("batch")
     observed = located.observe(obs, F.count(F.lit(1)).alias("rows"), F.max("id").alias("max_id"))
     observed.write.mode("overwrite" if full else "append").partitionBy("date").parquet(paths.locations)
     stats = obs.get
     rows, max_id = int(stats.get("rows", 0)), stats.get("max_id")
+    if full:
+        located = spark.read.parquet(paths.locations)
 
     # grid state: merge the batch into the touched buckets only, then rewrite those buckets (and their grid cells)
     batch_state = _with_bucket(grid_ops.grid_state(located, grid_size), buckets)
     if full or not W.table_exists(spark, paths.grid_state):
-        state = batch_state.checkpoint(eager=True)
-        state.write.mode("overwrite").partitionBy("bucket").parquet(paths.grid_state)
+        batch_state.write.mode("overwrite").partitionBy("bucket").parquet(paths.grid_state)
+        state = spark.read.parquet(paths.grid_state)
     else:
         touched = batch_state.select("bucket").distinct()
         prev = spark.read.parquet(paths.grid_state).join(touched, "bucket", "left_semi")
@@ -143,8 +147,9 @@ def run_etl(spark: SparkSession, source: DataFrame, paths: EtlPaths, districts:
         index = index or SP.build_index([("district", districts, "district_id"),
                                          ("province", provinces, "province_id")], grid_size)
         located = SP.assign_locations(transform_locations(batch, grid_size), districts, provinces, index=index)
-        # one materialisation feeds all sinks; lineage cut in the shared checkpoint folder
-        located = located.checkpoint(eager=True)
+        if mode == "incremental":
+            # one batch-sized materialisation feeds all sinks; lineage cut in the shared checkpoint folder
+            located = located.checkpoint(eager=True)
         rows, max_id = write_batch_outputs(spark, located, paths, mode == "full", grid_size, buckets)
         new_mark = max_id if max_id is not None else mark
         L.append_run(spark, paths.ledger, new_mark, rows, S.STATUS_SUCCESS, time.time() - started)
