@@ -64,10 +64,38 @@ def district_statistics(locations: DataFrame, districts: DataFrame, index: SP.Sp
 
 
 def district_statistics_one(stats: DataFrame, district_number: int) -> DataFrame:
-    """Statistics of one district by number (no row when unknown)."""
+    """A09 from an all-district result: one district by number (no row when unknown)."""
     return stats.filter(F.col("district_number") == F.lit(district_number))
 
 
+def district_statistics_for(locations: DataFrame, districts: DataFrame, index: SP.SpatialIndex,
+                            district_number: int, layer: str = "district", digits: int = 2) -> DataFrame:
+    """Statistics of one district, reading only the points in its cells (bbox pushed to the scan).
+
+    Unknown district number -> no row.
+    """
+    ids = [r["district_id"] for r in districts.filter(F.col("district_number") == F.lit(district_number))
+           .select("district_id").limit(1).collect()]
+    if not ids:
+        return district_statistics(locations.limit(0), districts.limit(0), index, layer, digits)
+    inside = SP.points_in_polygon(locations, index, layer, ids[0])
+    agg = inside.agg(F.count(F.lit(1)).alias("total_locations"), F.countDistinct("device_id").alias("unique_devices"),
+                     *[F.sum(F.col(c).cast(DECIMAL_TYPE)).alias(f"sum_{c}") for c in ("battery", "signal", "speed")],
+                     *[F.count(c).alias(f"cnt_{c}") for c in ("battery", "signal", "speed")])
+    base = (districts.filter(F.col("district_id") == F.lit(ids[0]))
+            .select("district_id", "district_number", "district_name", G.area_km2("geom").alias("area_km2"),
+                    G.perimeter_km("geom").alias("perimeter_km")))
+
+    def avg(c):
+        return null_if_falsy(F.round(mean_from(F.col(f"sum_{c}"), F.col(f"cnt_{c}")), digits))
+
+    # both sides are one row
+    return (base.withColumn("__k", F.lit(1)).join(F.broadcast(agg.withColumn("__k", F.lit(1))), "__k")
+            .select("district_id", "district_number", "district_name", "area_km2", "perimeter_km",
+                    "total_locations", "unique_devices", avg("battery").alias("avg_battery"),
+                    avg("signal").alias("avg_signal"), avg("speed").alias("avg_speed")))
+
+
 def district_density(stats: DataFrame) -> DataFrame:
     """Locations per km² for districts with area > 0, densest first."""
     return (stats.filter(F.col("area_km2") > 0)

@@ -307,9 +307,30 @@ def assign_locations(locations: DataFrame, districts: DataFrame, provinces: Data
 
 def points_in_polygon(points: DataFrame, index: SpatialIndex, layer: str, polygon_id: int,
                       x: str = "longitude", y: str = "latitude") -> DataFrame:
-    """J04/J05 base: the points contained in one polygon (left-semi by the spatial predicate)."""
-    return (match_all(points, index, layer, x, y, "__pid")
-            .filter(F.col("__pid") == F.lit(polygon_id)).drop("__pid"))
+    """J04/J05 base: the points contained in one polygon.
+
+    Only that polygon's cells of the cover are kept, and the polygon's cell
+    bounding box becomes plain range predicates on the point columns, which
+    Catalyst pushes into the parquet scan (row groups outside are skipped).
+    """
+    li = index.layers.index(layer)
+    mine = F.filter("cands", lambda cd: (cd["layer"] == li) & (cd["pid"] == F.lit(polygon_id)))
+    sub = index.cover.select("cell_y", "cell_x", mine.alias("cands")).filter(F.size("cands") > 0)
+    box = sub.agg(F.min("cell_y").alias("y0"), F.max("cell_y").alias("y1"), F.min("cell_x").alias("x0"),
+                  F.max("cell_x").alias("x1"), F.count(F.lit(1)).alias("n"),
+                  F.sum(F.aggregate("cands", F.lit(0), lambda a, cd: a + F.size(cd["edges"]))).alias("m")
+                  ).collect()[0]
+    if not box["n"]:
+        return points.limit(0)
+    c = index.cell_size
+    # cell index floor(v / c) in [lo, hi]  <=>  lo*c <= v < (hi+1)*c up to rounding: widen by one cell
+    pruned = points.filter((F.col(y) >= (box["y0"] - 1) * c) & (F.col(y) < (box["y1"] + 2) * c)
+                           & (F.col(x) >= (box["x0"] - 1) * c) & (F.col(x) < (box["x1"] + 2) * c))
+    small = box["n"] <= DEFAULT_MAX_CELLS and (box["m"] or 0) <= DEFAULT_BROADCAST_MAX_EDGES
+    sub_index = SpatialIndex(cover=sub, cell_size=c, layers=index.layers, n_cells=int(box["n"]),
+                             n_edge_refs=int(box["m"] or 0), broadcast=small, hot_rows=index.hot_rows)
+    joined = _candidates(pruned, sub_index, x, y)
+    return joined.filter(F.exists(_hits(x, y), lambda h: F.lit(True))).drop("__cy", "__cx", "cands")
 
 
 def count_in_polygon(points: DataFrame, index: SpatialIndex, layer: str, polygon_id: int,

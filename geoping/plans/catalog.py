@@ -549,3 +549,10 @@ def q_device_day_job(spark, sf_dir):
     etl_plan.run_device_day_job(spark, spark.read.parquet(f"{landing}/drop=1").drop("drop"), root)
     etl_plan.run_device_day_job(spark, spark.read.parquet(f"{landing}/drop=2").drop("drop"), root)
     return spark.read.parquet(f"{root}/device_day_summary")
+
+
+@register("district_statistics_one")
+def q_district_statistics_one(spark, sf_dir):
+    """Statistics of district number 11 only (its cells of the cover, bbox pushed to the scan)."""
+    return dist_ops.district_statistics_for(locations(spark, sf_dir), districts(spark, sf_dir),
+                                            both_index(spark, sf_dir), 11)

@@ -622,3 +622,4 @@ SELECT id, date, hour(timestamp) AS hour_value, period FROM locations
 WHERE period = 'TARDE' AND hour(timestamp) >= 12 AND hour(timestamp) <= 18""")
 
 ORACLE["device_day_job"] = ORACLE["device_day_summary"]
+ORACLE["district_statistics_one"] = with_measures(DISTRICT_STATS + "SELECT * FROM dstats WHERE district_number = 11")

@@ -98,3 +98,28 @@ def test_hot_cells_are_salted_in_shuffle_mode(spark):
     got = SP.locate(pts, idx)
     assert got.count() == 3000
     assert got.join(nl, "id").filter(~F.col("poly_id").eqNullSafe(F.col("nl"))).count() == 0
+
+
+def test_single_polygon_queries_push_bbox_to_scan(spark):
+    import uuid
+    from geoping.operators import districts as D
+    from geoping.session import scratch_path
+    polys = _polys(spark, [(1, [[CONCAVE, HOLE]]), (2, [[square(3, 3, 2)]])], "district_id")
+    polys = polys.withColumn("district_number", F.col("district_id").cast("int") + 100).withColumn(
+        "district_name", F.concat(F.lit("D"), F.col("district_id").cast("string")))
+    path = scratch_path(spark, f"pts-{uuid.uuid4().hex[:8]}")
+    pts = _points(spark).withColumn("device_id", F.lit("d")).withColumn("battery", F.lit(50.0)) \
+        .withColumn("signal", F.lit(-60.0)).withColumn("speed", F.lit(1.0))
+    pts.write.parquet(path)
+    stored = spark.read.parquet(path)
+    idx = SP.build_index([("district", polys, "district_id")], cell_size=0.5)
+    inside = SP.points_in_polygon(stored, idx, "district", 2)
+    plan = inside._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "GreaterThanOrEqual(latitude" in plan
+    want = SP.match_all(stored, idx, "district").filter("polygon_id = 2").count()
+    assert inside.count() == want
+    one = D.district_statistics_for(stored, polys, idx, 102).collect()
+    assert len(one) == 1 and one[0]["total_locations"] == want
+    assert D.district_statistics_for(stored, polys, idx, 999).count() == 0
+    allstats = D.district_statistics(stored, polys, idx).filter("district_number = 102").collect()[0]
+    assert allstats.asDict() == one[0].asDict()
