@@ -41,10 +41,10 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Register the session's checkpoint dir; create a scratch one only when unset (tests).
+    """Register the session's checkpoint dir; create a scratch one only when unset in local mode (tests).
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS/S3/...) and is
-    used as is; a machine-local temporary folder is only chosen when nothing is set.
+    used as is; when it is unset there, this raises instead of using a local folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -54,6 +54,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster (HDFS/S3/...): "
+                           "checkpoints and intermediate tables must survive the loss of any machine")
     scratch = tempfile.mkdtemp(prefix="geoping-ckpt-")
     spark.conf.set("spark.checkpoint.dir", scratch)
     spark.sparkContext.setCheckpointDir(scratch)
@@ -66,7 +69,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/geoping-tables/{name}"
 
 
-def spread_input(df, min_partitions: int | None = None):
+def spread_input(df, key: str, min_partitions: int | None = None):
     """Use every core on inputs with fewer splits than the session's parallelism.
 
     A scan of one small file (one parquet row group) is a single task; the CPU-heavy
@@ -76,10 +79,10 @@ def spread_input(df, min_partitions: int | None = None):
     """
     sc = df.sparkSession.sparkContext
     target = min_partitions or sc.defaultParallelism
-    key = (sc.applicationId, tuple(sorted(df.inputFiles())), target)
-    if key not in _SPLITS:
-        _SPLITS[key] = df.rdd.getNumPartitions()
-    return df.repartition(target) if _SPLITS[key] < target else df
+    memo = (sc.applicationId, key, target)      # one split count per input path and application
+    if memo not in _SPLITS:
+        _SPLITS[memo] = df.rdd.getNumPartitions()
+    return df.repartition(target) if _SPLITS[memo] < target else df
 
 
 _SPLITS: dict = {}
