@@ -192,11 +192,14 @@ def top_speeds(pings: DataFrame, n: int = 10) -> DataFrame:
             .orderBy(F.desc("speed"), "id").limit(n))
 
 
-def period_report(locations: DataFrame, digits: int = 2) -> DataFrame:
-    """Records, avg battery and avg signal per time period."""
+def period_report(locations: DataFrame, digits: int | None = None) -> DataFrame:
+    """Total locations, average battery and signal per time period (optionally rounded)."""
+    def avg(c):
+        m = exact_mean(c)
+        return F.round(m, digits) if digits is not None else m
     return (locations.groupBy(C.period_of_day("timestamp").alias("time_period"))
-            .agg(F.count(F.lit(1)).alias("records"), F.round(exact_mean("battery"), digits).alias("avg_battery"),
-                 F.round(exact_mean("signal"), digits).alias("avg_signal")))
+            .agg(F.count(F.lit(1)).alias("total_locations"), avg("battery").alias("avg_battery"),
+                 avg("signal").alias("avg_signal")))
 
 
 def hour_report(locations: DataFrame) -> DataFrame:

@@ -336,8 +336,8 @@ SELECT id, speed, speed * CAST(3.6 AS DOUBLE) AS speed_kmh, device_name, network
 FROM pings WHERE speed > 0 ORDER BY speed DESC, id LIMIT 10""")
 
 ORACLE["period_report"] = with_locations(f"""
-SELECT period AS time_period, COUNT(*) AS records, {R2(MEAN('battery'))} AS avg_battery,
-  {R2(MEAN('signal'))} AS avg_signal
+SELECT period AS time_period, COUNT(*) AS total_locations, {MEAN('battery')} AS avg_battery,
+  {MEAN('signal')} AS avg_signal
 FROM locations GROUP BY period""")
 
 ORACLE["hour_report"] = with_locations("""
