@@ -289,16 +289,16 @@ def assigned(spark, sf_dir, mode="both"):
 
 @register("polygon_measures")
 def q_polygon_measures(spark, sf_dir):
-    """F21, F22, F28, F29 per district (centroid rounded to 6 dp)."""
-    m = dist_ops.polygon_measures(districts(spark, sf_dir), "district_id")
-    return m.select("district_id", "area_km2", "perimeter_km", F.round("centroid_x", 6).alias("centroid_x"),
+    """F21, F22, F28, F29 per parcel (one polygon per supplier; centroid rounded to 6 dp)."""
+    m = dist_ops.polygon_measures(fixtures.parcels(spark, sf_dir), "parcel_id")
+    return m.select("parcel_id", "area_km2", "perimeter_km", F.round("centroid_x", 6).alias("centroid_x"),
                     F.round("centroid_y", 6).alias("centroid_y"))
 
 
 @register("polygon_totals")
 def q_polygon_totals(spark, sf_dir):
-    """A29."""
-    return dist_ops.polygon_totals(districts(spark, sf_dir))
+    """A29 over the parcel polygons."""
+    return dist_ops.polygon_totals(fixtures.parcels(spark, sf_dir))
 
 
 @register("district_assignment")
@@ -447,24 +447,26 @@ def q_stream_ingest_grid(spark, sf_dir):
 
 @register("geojson_roundtrip")
 def q_geojson_roundtrip(spark, sf_dir):
-    """K09 -> S08 (+F18-F20, F25): districts written as a FeatureCollection, read back, measured."""
+    """K09 -> S08 (+F18-F20, F25): parcels written as GeoJSON features, read back, measured."""
     root = scratch_path(spark, f"geojson-{uuid.uuid4().hex[:10]}")
-    d = districts(spark, sf_dir)
-    feats = W.geojson_features(d.withColumn("DISTRITO", F.concat(F.lit("Distrito "), F.col("district_number")))
-                               .withColumnRenamed("district_name", "NOMBRE"), ["DISTRITO", "NOMBRE"])
-    W.feature_collection(feats).write.mode("overwrite").text(f"{root}/districts.geojson")
-    back = poly_src.district_attributes(poly_src.read_geojson_features(spark, f"{root}/districts.geojson"))
+    d = fixtures.parcels(spark, sf_dir)
+    feats = W.geojson_features(d.withColumn("DISTRITO", F.concat(F.lit("Distrito "), F.col("parcel_id")))
+                               .withColumnRenamed("parcel_name", "NOMBRE"), ["DISTRITO", "NOMBRE"])
+    # polygon files are written as JSON lines of features (scales); S08 reads them back as one collection each
+    feats.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.col("feature"), F.lit("]}"))) \
+        .write.mode("overwrite").text(f"{root}/parcels.geojson")
+    back = poly_src.district_attributes(poly_src.read_geojson_lines(spark, f"{root}/parcels.geojson"))
     return dist_ops.polygon_measures(back, "district_number").select(
-        "district_number", "area_km2", "perimeter_km")
+        F.col("district_number").cast("long").alias("parcel_id"), "area_km2", "perimeter_km")
 
 
 @register("wkt_roundtrip")
 def q_wkt_roundtrip(spark, sf_dir):
-    """F26 -> F30 (S07): districts rendered as WKT, parsed back, measured."""
+    """F26 -> F30 (S07): parcels rendered as WKT, parsed back, measured."""
     from ..functions import geometry as G
-    d = districts(spark, sf_dir).select("district_id", G.to_wkt("geom").alias("geom_wkt"))
+    d = fixtures.parcels(spark, sf_dir).select("parcel_id", G.to_wkt("geom").alias("geom_wkt"))
     back = poly_src.read_wkt_polygons(d)
-    return dist_ops.polygon_measures(back, "district_id").select("district_id", "area_km2", "perimeter_km")
+    return dist_ops.polygon_measures(back, "parcel_id").select("parcel_id", "area_km2", "perimeter_km")
 
 
 
@@ -556,3 +558,10 @@ def q_district_statistics_one(spark, sf_dir):
     """Statistics of district number 11 only (its cells of the cover, bbox pushed to the scan)."""
     return dist_ops.district_statistics_for(locations(spark, sf_dir), districts(spark, sf_dir),
                                             both_index(spark, sf_dir), 11)
+
+
+@register("parcel_assignment")
+def q_parcel_assignment(spark, sf_dir):
+    """J03 with a polygon layer that grows with the data: lowest containing parcel per location."""
+    idx = SP.build_index([("parcel", fixtures.parcels(spark, sf_dir), "parcel_id")])
+    return SP.locate(locations(spark, sf_dir).select("id", "latitude", "longitude"), idx).select("id", "parcel_id")

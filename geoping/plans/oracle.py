@@ -623,3 +623,33 @@ WHERE period = 'TARDE' AND hour(timestamp) >= 12 AND hour(timestamp) <= 18""")
 
 ORACLE["device_day_job"] = ORACLE["device_day_summary"]
 ORACLE["district_statistics_one"] = with_measures(DISTRICT_STATS + "SELECT * FROM dstats WHERE district_number = 11")
+
+
+PARCEL_MEASURES = MEASURES.replace("FROM d_edges", "FROM pc_edges").replace("a.pid AS district_id", "a.pid AS parcel_id")
+PARCELS = """,
+pc_edges AS (
+  SELECT parcel_id AS pid, part, ring, seq, x AS x1, y AS y1,
+    LEAD(x) OVER (PARTITION BY parcel_id, part, ring ORDER BY seq) AS x2,
+    LEAD(y) OVER (PARTITION BY parcel_id, part, ring ORDER BY seq) AS y2
+  FROM parcel_vertices)""" + PARCEL_MEASURES
+
+
+def with_parcels(body: str) -> str:
+    return with_locations(PARCELS + body)
+
+
+ORACLE["polygon_measures"] = with_parcels(
+    "SELECT parcel_id, area_km2, perimeter_km, centroid_x, centroid_y FROM measures")
+ORACLE["polygon_totals"] = with_parcels("""
+SELECT COUNT(*) AS polygons, CAST(SUM(CAST(area_km2 AS DECIMAL(18,6))) AS DOUBLE) AS total_area_km2 FROM measures""")
+ORACLE["geojson_roundtrip"] = with_parcels("SELECT parcel_id, area_km2, perimeter_km FROM measures")
+ORACLE["wkt_roundtrip"] = with_parcels("SELECT parcel_id, area_km2, perimeter_km FROM measures")
+ORACLE["parcel_assignment"] = with_parcels("""
+, hit AS (
+  SELECT id, MIN(pid) AS parcel_id FROM (
+    SELECT p.id, e.pid, COUNT(*) AS c
+    FROM (SELECT id, latitude AS y, longitude AS x FROM locations) p JOIN pc_edges e
+      ON e.x2 IS NOT NULL AND (e.y1 > p.y) <> (e.y2 > p.y)
+     AND p.x < (e.x2 - e.x1) * (p.y - e.y1) / (e.y2 - e.y1) + e.x1
+    GROUP BY 1, 2) WHERE c % 2 = 1 GROUP BY id)
+SELECT l.id, hit.parcel_id FROM locations l LEFT JOIN hit USING (id)""")

@@ -73,13 +73,33 @@ FROM {supplier}
 """
 
 
+PARCEL_VERTICES_SQL = """
+WITH o AS (
+  SELECT s_suppkey AS parcel_id, s_name AS parcel_name,
+    CAST(-63.70005 AS DOUBLE) + CAST((s_suppkey * 104729) % 10000 AS DOUBLE) / CAST(10000 AS DOUBLE) AS x0,
+    CAST(-18.30005 AS DOUBLE) + CAST((s_suppkey * 7919) % 10000 AS DOUBLE) / CAST(10000 AS DOUBLE) AS y0
+  FROM {supplier}),
+v AS (
+  SELECT * FROM (VALUES
+    (0, 0, 0, 0.0, 0.0), (0, 0, 1, 0.17, 0.0), (0, 0, 2, 0.17, 0.17), (0, 0, 3, 0.085, 0.10), (0, 0, 4, 0.0, 0.17), (0, 0, 5, 0.0, 0.0),
+    (0, 1, 0, 0.02, 0.02), (0, 1, 1, 0.02, 0.05), (0, 1, 2, 0.05, 0.05), (0, 1, 3, 0.05, 0.02), (0, 1, 4, 0.02, 0.02),
+    (1, 0, 0, 0.07, 0.13), (1, 0, 1, 0.10, 0.13), (1, 0, 2, 0.10, 0.16), (1, 0, 3, 0.07, 0.16), (1, 0, 4, 0.07, 0.13)
+  ) AS t(part, ring, seq, dx, dy))
+SELECT parcel_id, parcel_name, part, ring, seq,
+  x0 + CAST(dx AS DOUBLE) * CAST(0.1 AS DOUBLE) AS x, y0 + CAST(dy AS DOUBLE) * CAST(0.1 AS DOUBLE) AS y
+FROM o CROSS JOIN v
+WHERE (ring = 0 AND part = 0) OR (ring = 1 AND parcel_id % 5 = 0) OR (part = 1 AND parcel_id % 7 = 3)
+"""
+
+
 def oracle_ctes() -> str:
     """The adapter as DuckDB CTE text (``WITH`` clause body, no trailing comma)."""
     return (
         "raw_pings AS (" + RAW_PINGS_SQL.format(events="events") + "),\n"
         "district_vertices AS (" + DISTRICT_VERTICES_SQL.format(nation="nation") + "),\n"
         "province_vertices AS (" + PROVINCE_VERTICES_SQL.format(region="region") + "),\n"
-        "points_of_interest AS (" + POI_SQL.format(supplier="supplier") + ")"
+        "points_of_interest AS (" + POI_SQL.format(supplier="supplier") + "),\n"
+        "parcel_vertices AS (" + PARCEL_VERTICES_SQL.format(supplier="supplier") + ")"
     )
 
 
@@ -155,3 +175,27 @@ def provinces(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = province_vertices(spark, sf_dir).withColumnRenamed("province_id", "polygon_id")
     polys = polygons_from_vertices(v, attrs=["province_name"])
     return polys.withColumnRenamed("polygon_id", "province_id")
+
+
+def parcel_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One small polygon per ``supplier`` row (same shape rules as the districts, 1/10 the size)."""
+    k = F.col("s_suppkey")
+    o = _table(spark, sf_dir, "supplier").select(
+        k.alias("parcel_id"), F.col("s_name").alias("parcel_name"),
+        (F.lit(-63.70005) + ((k * 104729) % 10000).cast("double") / F.lit(10000.0)).alias("x0"),
+        (F.lit(-18.30005) + ((k * 7919) % 10000).cast("double") / F.lit(10000.0)).alias("y0"))
+    v = o.select("*", F.explode(_template(DISTRICT_TEMPLATE, ["part", "ring", "seq", "dx", "dy"])).alias("t"))
+    keep = (((F.col("t.ring") == 0) & (F.col("t.part") == 0))
+            | ((F.col("t.ring") == 1) & (F.col("parcel_id") % 5 == 0))
+            | ((F.col("t.part") == 1) & (F.col("parcel_id") % 7 == 3)))
+    return v.filter(keep).select(
+        "parcel_id", "parcel_name", F.col("t.part").alias("part"), F.col("t.ring").alias("ring"),
+        F.col("t.seq").alias("seq"),
+        (F.col("x0") + F.col("t.dx") * F.lit(0.1)).alias("x"), (F.col("y0") + F.col("t.dy") * F.lit(0.1)).alias("y"))
+
+
+def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parcel polygon table (grows with ``supplier``): parcel_id, parcel_name, geom."""
+    from .polygons import polygons_from_vertices
+    v = parcel_vertices(spark, sf_dir).withColumnRenamed("parcel_id", "polygon_id")
+    return polygons_from_vertices(v, attrs=["parcel_name"]).withColumnRenamed("polygon_id", "parcel_id")

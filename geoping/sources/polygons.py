@@ -80,6 +80,15 @@ def read_geojson_features(spark: SparkSession, path: str) -> DataFrame:
     return features_to_polygons(doc)
 
 
+def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
+    """S08 for large polygon sets: one FeatureCollection (or Feature list) document per line.
+
+    Unlike a single multi-line document (read by one task), line-delimited files
+    split across tasks like any text input.
+    """
+    return geojson_text_features(spark, spark.read.text(path).withColumnRenamed("value", "text"))
+
+
 def geojson_text_features(spark: SparkSession, texts: DataFrame, text_col: str = "text") -> DataFrame:
     """FeatureCollection documents held in a string column -> feature rows."""
     doc = texts.select(F.from_json(F.col(text_col), FEATURE_COLLECTION_SCHEMA).alias("d")).select("d.*")
