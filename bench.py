@@ -27,6 +27,7 @@ HEADLINE = [
     "district_assignment",
     "district_statistics",
     "top_districts",
+    "parcel_assignment",
 ]
 
 
