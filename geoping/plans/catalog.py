@@ -54,7 +54,6 @@ def q_grid_heatmap(spark, sf_dir):
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from ..functions import classify as C  # noqa: E402
 from ..operators import devices as dev_ops  # noqa: E402
 from ..operators import dimensions as dim_ops  # noqa: E402
 from ..operators import districts as dist_ops  # noqa: E402

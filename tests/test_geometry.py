@@ -1,5 +1,4 @@
 """Geometry measures, WKT/GeoJSON round trips, point-in-polygon boundary rules."""
-from pyspark.sql import functions as F
 
 from geoping.functions import geometry as G
 from geoping.sources import polygons as PS

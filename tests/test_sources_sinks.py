@@ -3,7 +3,6 @@ import datetime as dt
 import json
 import uuid
 
-from pyspark.sql import functions as F
 
 from geoping import schemas as S
 from geoping.operators import reports as R
