@@ -82,18 +82,22 @@ def district_statistics_for(locations: DataFrame, districts: DataFrame, index: S
     agg = inside.agg(F.count(F.lit(1)).alias("total_locations"), F.countDistinct("device_id").alias("unique_devices"),
                      *[F.sum(F.col(c).cast(DECIMAL_TYPE)).alias(f"sum_{c}") for c in ("battery", "signal", "speed")],
                      *[F.count(c).alias(f"cnt_{c}") for c in ("battery", "signal", "speed")])
-    base = (districts.filter(F.col("district_id") == F.lit(ids[0]))
-            .select("district_id", "district_number", "district_name", G.area_km2("geom").alias("area_km2"),
-                    G.perimeter_km("geom").alias("perimeter_km")))
+    d = (districts.filter(F.col("district_id") == F.lit(ids[0]))
+         .select(F.col("district_id").cast("long").alias("district_id"), "district_number", "district_name",
+                 G.area_km2("geom").alias("area_km2"), G.perimeter_km("geom").alias("perimeter_km"))
+         .collect()[0])
 
     def avg(c):
         return null_if_falsy(F.round(mean_from(F.col(f"sum_{c}"), F.col(f"cnt_{c}")), digits))
 
-    # both sides are one row
-    return (base.withColumn("__k", F.lit(1)).join(F.broadcast(agg.withColumn("__k", F.lit(1))), "__k")
-            .select("district_id", "district_number", "district_name", "area_km2", "perimeter_km",
-                    "total_locations", "unique_devices", avg("battery").alias("avg_battery"),
-                    avg("signal").alias("avg_signal"), avg("speed").alias("avg_speed")))
+    # the district's attributes are one row: carried as literals next to the one-row aggregate
+    return agg.select(
+        F.lit(d["district_id"]).cast("long").alias("district_id"),
+        F.lit(d["district_number"]).cast(districts.schema["district_number"].dataType).alias("district_number"),
+        F.lit(d["district_name"]).cast("string").alias("district_name"),
+        F.lit(d["area_km2"]).cast("double").alias("area_km2"), F.lit(d["perimeter_km"]).cast("double").alias("perimeter_km"),
+        "total_locations", "unique_devices", avg("battery").alias("avg_battery"),
+        avg("signal").alias("avg_signal"), avg("speed").alias("avg_speed"))
 
 
 def district_density(stats: DataFrame) -> DataFrame:

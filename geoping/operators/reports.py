@@ -19,12 +19,14 @@ from ..session import ensure_checkpoint_dir
 def _with_share(grouped: DataFrame) -> DataFrame:
     """Percentage of the grand total (sum of the group counts).
 
-    The total is a one-row aggregate joined back by broadcast, so the groups are
-    never gathered into one window partition.
+    The grouped rows are materialised once (checkpoint; they are aggregates, so
+    small), the total is read back as one scalar and applied as a literal: no
+    window over all groups in one task and no join.
     """
-    total = grouped.agg(F.sum("records").alias("__total")).withColumn("__k", F.lit(1))
-    out = grouped.withColumn("__k", F.lit(1)).join(F.broadcast(total), "__k")
-    return out.withColumn("percentage", percent(F.col("records"), F.col("__total"))).drop("__k", "__total")
+    ensure_checkpoint_dir(grouped.sparkSession)
+    grouped = grouped.checkpoint(eager=True)
+    total = grouped.agg(F.sum("records")).collect()[0][0] or 0
+    return grouped.withColumn("percentage", percent(F.col("records"), F.lit(total)))
 
 
 def _ranked(df: DataFrame, key: str) -> DataFrame:
@@ -155,8 +157,8 @@ def speed_profile(pings: DataFrame) -> DataFrame:
         F.min("v").alias("min_speed"), F.max("v").alias("max_speed"),
         F.try_divide(F.sum(F.col("v").cast("decimal(18,6)") * F.col("n")).cast("double"),
                      F.sum(F.when(F.col("v").isNotNull(), F.col("n"))).cast("double")).alias("mean_speed"))
-    med = exact_ranks(hist, {"median_speed": 0.5})
-    out = counts.withColumn("__k", F.lit(1)).join(F.broadcast(med.withColumn("__k", F.lit(1))), "__k").drop("__k")
+    median = exact_ranks(hist, {"median_speed": 0.5}).collect()[0]["median_speed"]
+    out = counts.withColumn("median_speed", F.lit(median).cast("double"))
     return (out.withColumn("null_or_invalid", F.col("total") - F.coalesce(F.col("valid"), F.lit(0)))
             .withColumn("pct_null_or_invalid", percent("null_or_invalid", "total"))
             .withColumn("pct_valid", percent("valid", "total"))

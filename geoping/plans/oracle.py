@@ -534,7 +534,7 @@ SELECT l.id, l.device_id, l.latitude, l.longitude FROM d_match m JOIN locations
 WHERE m.pid = 10 ORDER BY l.id LIMIT 1000""")
 
 ORACLE["spatial_modes_agree"] = with_locations("""
-SELECT CAST(id AS BIGINT) AS id, CAST(NULL AS BIGINT) AS district_id, CAST(NULL AS BIGINT) AS nl_district_id
+SELECT CAST(id AS BIGINT) AS id, CAST(NULL AS BIGINT) AS district_id, CAST(NULL AS BIGINT) AS other_district_id
 FROM locations WHERE FALSE""")
 
 # ---------------------------------------------------------------- sinks / incremental / streaming
