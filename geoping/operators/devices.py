@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import exact_mean
+from ..session import ensure_checkpoint_dir
 
 
 def device_day_summary(clean: DataFrame, ordered: bool = True) -> DataFrame:
@@ -42,13 +43,31 @@ def _count_map(df: DataFrame, key: str, label: str, out: str) -> DataFrame:
 def device_stats(locations: DataFrame, coord_digits: int = 3) -> DataFrame:
     """Per device records, first/last seen, averages, most common (rounded) position, label maps.
 
-    The most common position is a two-level aggregate (count per rounded pair,
-    then ``max_by`` with ties broken by the smaller latitude, then longitude).
+    Two scans: one pre-aggregate per (device, network, operator) -- a few rows per
+    device, checkpointed -- feeds the totals and both label maps;
+    the most common position is a second two-level aggregate with ties broken by
+    the smaller latitude, then longitude.
     """
-    base = (locations.groupBy("device_id")
-            .agg(F.count(F.lit(1)).alias("total_records"), F.min("timestamp").alias("first_seen"),
-                 F.max("timestamp").alias("last_seen"), exact_mean("battery").alias("avg_battery"),
-                 exact_mean("signal").alias("avg_signal"), exact_mean("speed").alias("avg_speed")))
+    level = (locations.groupBy("device_id", "network_type", "sim_operator")
+             .agg(F.count(F.lit(1)).alias("__n"), F.min("timestamp").alias("__first"),
+                  F.max("timestamp").alias("__last"),
+                  *[F.sum(F.col(c).cast("decimal(18,6)")).alias(f"__s_{c}") for c in ("battery", "signal", "speed")],
+                  *[F.count(c).alias(f"__c_{c}") for c in ("battery", "signal", "speed")]))
+    # aggregated (a few rows per device) and read three times: materialise once so the raw scan runs once
+    ensure_checkpoint_dir(locations.sparkSession)
+    level = level.checkpoint(eager=True)
+    base = (level.groupBy("device_id")
+            .agg(F.sum("__n").alias("total_records"), F.min("__first").alias("first_seen"),
+                 F.max("__last").alias("last_seen"),
+                 *[F.try_divide(F.sum(f"__s_{c}").cast("double"), F.sum(f"__c_{c}").cast("double")).alias(f"avg_{c}")
+                   for c in ("battery", "signal", "speed")]))
+
+    def label_map(col, out):
+        return (level.groupBy("device_id", col).agg(F.sum("__n").alias("__v"))
+                .groupBy("device_id")
+                .agg(F.map_from_entries(F.sort_array(F.collect_list(
+                    F.struct(F.coalesce(F.col(col), F.lit("NULL")).alias("k"), F.col("__v").alias("v"))))).alias(out)))
+
     pos = (locations.select("device_id", F.round("latitude", coord_digits).alias("lat_r"),
                             F.round("longitude", coord_digits).alias("lon_r"))
            .groupBy("device_id", "lat_r", "lon_r").agg(F.count(F.lit(1)).alias("__n"))
@@ -57,9 +76,8 @@ def device_stats(locations: DataFrame, coord_digits: int = 3) -> DataFrame:
                          F.struct(F.col("__n"), -F.col("lat_r"), -F.col("lon_r"))).alias("__mode")))
     pos = pos.select("device_id", F.col("__mode.lat_r").alias("most_common_lat"),
                      F.col("__mode.lon_r").alias("most_common_lon"))
-    nets = _count_map(locations, "device_id", "network_type", "network_types")
-    ops = _count_map(locations, "device_id", "sim_operator", "operators")
-    return base.join(pos, "device_id", "left").join(nets, "device_id", "left").join(ops, "device_id", "left")
+    return (base.join(pos, "device_id", "left").join(label_map("network_type", "network_types"), "device_id", "left")
+            .join(label_map("sim_operator", "operators"), "device_id", "left"))
 
 
 def map_as_text(m: Column | str) -> Column:

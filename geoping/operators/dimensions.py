@@ -59,6 +59,18 @@ def dim_battery(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "id int, battery_level string, min_battery double, max_battery double")
 
 
+def dimension_source(locations: DataFrame) -> DataFrame:
+    """One pre-aggregate per (device, raw network, generation, operator) that every data dimension reads.
+
+    A few rows per device: the three data dimensions then cost one scan of the
+    location table instead of three.
+    """
+    return (locations.groupBy("device_id", "network_type_raw", "network_generation", "sim_operator")
+            .agg(F.min("timestamp").alias("timestamp"), F.max("timestamp").alias("last_ts"),
+                 F.max_by("device_name", F.struct("timestamp", "device_name")).alias("device_name"),
+                 F.max(F.struct("timestamp", "device_name")).alias("__latest")))
+
+
 def dim_network(locations: DataFrame) -> DataFrame:
     """Distinct raw network texts with their generation label and number; keys in first-seen order."""
     first = (locations.groupBy(F.col("network_type_raw").alias("network_type"))
@@ -78,17 +90,24 @@ def dim_operator(locations: DataFrame) -> DataFrame:
 
 def dim_device(locations: DataFrame) -> DataFrame:
     """One row per device: latest name (``max_by`` on time), first and last seen."""
-    dev = (locations.groupBy("device_id")
-           .agg(F.max_by("device_name", F.struct("timestamp", "device_name")).alias("device_name"),
-                F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen")))
+    if "__latest" in locations.columns:      # a dimension_source pre-aggregate
+        dev = (locations.groupBy("device_id")
+               .agg(F.max("__latest").alias("__l"), F.min("timestamp").alias("first_seen"),
+                    F.max("last_ts").alias("last_seen"))
+               .select("device_id", F.col("__l.device_name").alias("device_name"), "first_seen", "last_seen"))
+    else:
+        dev = (locations.groupBy("device_id")
+               .agg(F.max_by("device_name", F.struct("timestamp", "device_name")).alias("device_name"),
+                    F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen")))
     return dense_keys(dev, ["device_id"])
 
 
 def all_dimensions(spark: SparkSession, locations: DataFrame) -> dict[str, DataFrame]:
-    """Every dimension frame by name."""
+    """Every dimension frame by name; the data dimensions share one pre-aggregate (one scan)."""
+    ensure_checkpoint_dir(spark)
+    src = dimension_source(locations).checkpoint(eager=True)
     return {"dim_time": dim_time(spark), "dim_altitude": dim_altitude(spark), "dim_battery": dim_battery(spark),
-            "dim_network": dim_network(locations), "dim_operator": dim_operator(locations),
-            "dim_device": dim_device(locations)}
+            "dim_network": dim_network(src), "dim_operator": dim_operator(src), "dim_device": dim_device(src)}
 
 
 def missing_members(new_dim: DataFrame, existing: DataFrame, natural_key: str) -> DataFrame:

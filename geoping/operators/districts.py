@@ -15,6 +15,7 @@ from .. import schemas as S
 from ..functions import geometry as G
 from ..functions.numeric import DECIMAL_TYPE, mean_from, null_if_falsy, percent, safe_divide
 from . import spatial as SP
+from ..session import ensure_checkpoint_dir
 
 
 def polygon_measures(polys: DataFrame, id_col: str) -> DataFrame:
@@ -163,19 +164,31 @@ def points_by_district(points: DataFrame, index: SP.SpatialIndex, districts: Dat
 
 def district_profile(locations: DataFrame, districts: DataFrame, index: SP.SpatialIndex, layer: str = "district",
                      digits: int = 2) -> DataFrame:
-    """District statistics with density, average altitude and network / operator count maps."""
+    """District statistics with density, average altitude and network / operator count maps.
+
+    One spatial join feeds one pre-aggregate per (district, device, network,
+    operator), checkpointed; totals, distinct devices and both label maps come
+    from it, so the points are joined and shuffled once.
+    """
     m = SP.match_all(locations.select("id", "device_id", "battery", "signal", "speed", "altitude", "network_type",
                                       "sim_operator", "latitude", "longitude"), index, layer, id_name="__pid")
-    agg = (m.groupBy("__pid")
-           .agg(F.count(F.lit(1)).alias("total_locations"), F.countDistinct("device_id").alias("unique_devices"),
-                *[F.sum(F.col(c).cast(DECIMAL_TYPE)).alias(f"sum_{c}") for c in ("battery", "signal", "speed",
-                                                                                  "altitude")],
-                *[F.count(c).alias(f"cnt_{c}") for c in ("battery", "signal", "speed", "altitude")]))
+    measures = ("battery", "signal", "speed", "altitude")
+    level = (m.groupBy("__pid", "device_id", "network_type", "sim_operator")
+             .agg(F.count(F.lit(1)).alias("__n"),
+                  *[F.sum(F.col(c).cast(DECIMAL_TYPE)).alias(f"sum_{c}") for c in measures],
+                  *[F.count(c).alias(f"cnt_{c}") for c in measures]))
+    # aggregated and read three times: materialise once so the spatial join runs once
+    ensure_checkpoint_dir(locations.sparkSession)
+    level = level.checkpoint(eager=True)
+    agg = (level.groupBy("__pid")
+           .agg(F.sum("__n").alias("total_locations"), F.countDistinct("device_id").alias("unique_devices"),
+                *[F.sum(f"sum_{c}").alias(f"sum_{c}") for c in measures],
+                *[F.sum(f"cnt_{c}").alias(f"cnt_{c}") for c in measures]))
 
     def label_map(col, out):
-        return (m.groupBy("__pid", col).agg(F.count(F.lit(1)).alias("__n"))
+        return (level.groupBy("__pid", col).agg(F.sum("__n").alias("__v"))
                 .groupBy("__pid")
-                .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(col), F.col("__n"))))).alias(out)))
+                .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(col), F.col("__v"))))).alias(out)))
 
     base = districts.select("district_id", "district_number", "district_name", G.area_km2("geom").alias("area_km2"))
     out = (base.join(agg, base["district_id"] == agg["__pid"], "left").drop("__pid")
