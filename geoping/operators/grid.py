@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import classify as C
 from ..functions.numeric import DECIMAL_TYPE, mean_from
+from ..session import ensure_checkpoint_dir
 
 MEASURES = ["battery", "signal", "altitude", "speed"]
 
@@ -122,14 +123,17 @@ def heatmap_request(locations: DataFrame, min_lat: float | None = None, max_lat:
 def grid_label_maps(locations: DataFrame, grid_size: float = S.DEFAULT_GRID_SIZE) -> DataFrame:
     """Per cell, network and operator count maps (label -> count)."""
     g = float(grid_size)
-    keyed = locations.select(C.grid_index("latitude", g).alias("cell_y"),
-                             C.grid_index("longitude", g).alias("cell_x"), "network_type", "sim_operator")
-    net = (keyed.groupBy("cell_y", "cell_x", "network_type").count()
-           .groupBy("cell_y", "cell_x")
-           .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("network_type", "count"))))
-                .alias("network_types")))
-    op = (keyed.groupBy("cell_y", "cell_x", "sim_operator").count()
-          .groupBy("cell_y", "cell_x")
-          .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("sim_operator", "count"))))
-               .alias("operators")))
-    return net.join(op, ["cell_y", "cell_x"], "full")
+    # one aggregate per (cell, network, operator), materialised once; both maps read it
+    level = (locations.groupBy(C.grid_index("latitude", g).alias("cell_y"),
+                               C.grid_index("longitude", g).alias("cell_x"), "network_type", "sim_operator")
+             .agg(F.count(F.lit(1)).alias("n")))
+    ensure_checkpoint_dir(locations.sparkSession)
+    level = level.checkpoint(eager=True)
+
+    def label_map(col, out):
+        return (level.groupBy("cell_y", "cell_x", col).agg(F.sum("n").alias("count"))
+                .groupBy("cell_y", "cell_x")
+                .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(col, "count")))).alias(out)))
+
+    return label_map("network_type", "network_types").join(label_map("sim_operator", "operators"),
+                                                           ["cell_y", "cell_x"], "full")

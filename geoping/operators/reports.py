@@ -151,6 +151,8 @@ def speed_profile(pings: DataFrame) -> DataFrame:
     the median from the same histogram by distributed selection.
     """
     hist = value_histogram(pings, "speed")
+    ensure_checkpoint_dir(pings.sparkSession)
+    hist = hist.checkpoint(eager=True)       # distinct values only; read for the counts and for the median
     counts = hist.agg(
         F.sum("n").alias("total"), F.sum(F.when(F.col("v").isNotNull(), F.col("n"))).alias("valid"),
         F.coalesce(F.sum(F.when(F.col("v") == 0, F.col("n"))), F.lit(0)).alias("zero"),
