@@ -59,3 +59,18 @@ def test_repeatable_sample_and_sample_by_district(spark):
     got = {r["district_label"]: r["points"] for r in D.sample_by_district(pts, idx, d, n=200, seed=7).collect()}
     inside = sum(1 for i in a if 0 < (i % 97) / 10.0 < 4 and 0 < (i % 89) / 10.0 < 4)
     assert got.get("D1", 0) == inside and got.get("Fuera de distritos", 0) == 200 - inside
+
+
+def test_grid_approx_devices_close_to_exact(spark):
+    rnd = random.Random(4)
+    rows = [(i, f"d{rnd.randint(0, 300)}", rnd.uniform(0, 0.05), rnd.uniform(0, 0.05), 1.0, -60.0, 400.0, 1.0)
+            for i in range(5000)]
+    df = spark.createDataFrame(rows, "id long, device_id string, latitude double, longitude double, battery double, "
+                                     "signal double, altitude double, speed double")
+    exact = {(r["cell_y"], r["cell_x"]): (r["point_count"], r["unique_devices"])
+             for r in G.grid_heatmap(df, 0.01).collect()}
+    approx = {(r["cell_y"], r["cell_x"]): (r["point_count"], r["unique_devices"])
+              for r in G.grid_heatmap(df, 0.01, approx_devices=True).collect()}
+    assert exact.keys() == approx.keys()
+    for k, (n, d) in exact.items():
+        assert approx[k][0] == n and abs(approx[k][1] - d) <= max(2, 0.1 * d)
