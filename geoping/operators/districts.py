@@ -221,6 +221,6 @@ def sample_by_district(points: DataFrame, index: SP.SpatialIndex, districts: Dat
     sample = repeatable_sample(points.select("id", "latitude", "longitude"), n, seed)
     located = SP.locate(sample, index)
     names = districts.select(F.col("district_id").cast("long").alias("district_id"), "district_name")
-    located = located.join(F.broadcast(names), "district_id", "left")
+    located = SP._attach(located, names, "district_id")
     return (located.groupBy(F.coalesce("district_name", F.lit(S.OUTSIDE_DISTRICTS)).alias("district_label"))
             .agg(F.count(F.lit(1)).alias("points")))
