@@ -16,24 +16,30 @@ from ..functions.numeric import exact_mean, percent
 from ..session import ensure_checkpoint_dir
 
 
-def _with_share(grouped: DataFrame) -> DataFrame:
-    """Percentage of the grand total (sum of the group counts).
-
-    The grouped rows are materialised once (checkpoint; they are aggregates, so
-    small), the total is read back as one scalar and applied as a literal: no
-    window over all groups in one task and no join.
-    """
+def _materialise(grouped: DataFrame) -> tuple[DataFrame, int, int]:
+    """Checkpoint aggregated rows once; return them with their record total and row count (one job)."""
     ensure_checkpoint_dir(grouped.sparkSession)
     grouped = grouped.checkpoint(eager=True)
-    total = grouped.agg(F.sum("records")).collect()[0][0] or 0
-    return grouped.withColumn("percentage", percent(F.col("records"), F.lit(total)))
+    row = grouped.agg(F.sum("records").alias("t"), F.count(F.lit(1)).alias("n")).collect()[0]
+    return grouped, int(row["t"] or 0), int(row["n"] or 0)
 
 
-def _ranked(df: DataFrame, key: str) -> DataFrame:
-    """Rank number by records desc, ties by key (on the aggregated rows; size-checked keying)."""
-    from .dimensions import dense_keys
-    return dense_keys(df, [F.desc("records"), F.asc_nulls_last(key)], key="rank").withColumn(
-        "rank", F.col("rank").cast("int"))
+def _with_share(grouped: DataFrame, key: str | None = None) -> DataFrame:
+    """W04 (+ W03 when ``key`` is given): percentage of the grand total, and rank by records desc.
+
+    The grouped rows are aggregates: they are materialised once, the total is
+    applied as a scalar literal (no window over all groups, no join), and the
+    rank uses the measured row count to pick a single window or the
+    range-partitioned numbering of ``dense_keys``.
+    """
+    from .dimensions import SMALL_KEYING_MAX_ROWS, dense_keys
+    grouped, total, n = _materialise(grouped)
+    out = grouped.withColumn("percentage", percent(F.col("records"), F.lit(total)))
+    if key is None:
+        return out
+    ranked = dense_keys(out, [F.desc("records"), F.asc_nulls_last(key)], key="rank",
+                        small=n <= SMALL_KEYING_MAX_ROWS)
+    return ranked.withColumn("rank", F.col("rank").cast("int"))
 
 
 def operator_groups(pings: DataFrame) -> DataFrame:
@@ -50,7 +56,7 @@ def operator_groups(pings: DataFrame) -> DataFrame:
                    F.min_by(F.struct("device_name", "network_type"), F.col("id")).alias("__s")))
     groups = groups.select("operator", "records", "variants", F.col("__s.device_name").alias("sample_device"),
                            F.col("__s.network_type").alias("sample_network"))
-    return _ranked(_with_share(groups), "operator")
+    return _with_share(groups, "operator")
 
 
 def operator_variants(pings: DataFrame) -> DataFrame:
@@ -70,7 +76,7 @@ def network_key(raw: str = "network_type"):
 def network_groups(pings: DataFrame) -> DataFrame:
     """Raw network-type groups with % and rank (the report's top 10 are rank <= 10)."""
     groups = pings.groupBy(network_key().alias("network")).agg(F.count(F.lit(1)).alias("records"))
-    return _ranked(_with_share(groups), "network")
+    return _with_share(groups, "network")
 
 
 def network_generations(pings: DataFrame) -> DataFrame:
