@@ -123,3 +123,32 @@ def test_single_polygon_queries_push_bbox_to_scan(spark):
     assert D.district_statistics_for(stored, polys, idx, 999).count() == 0
     allstats = D.district_statistics(stored, polys, idx).filter("district_number = 102").collect()[0]
     assert allstats.asDict() == one[0].asDict()
+
+
+def test_property_random_star_polygons(spark):
+    import math
+
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(st.tuples(st.floats(0.5, 4.5), st.floats(0.5, 4.5),
+                              st.lists(st.floats(0.2, 1.5), min_size=3, max_size=9)), min_size=1, max_size=4),
+           st.sampled_from([0.05, 0.3, 1.0]), st.integers(0, 10_000))
+    def check(shapes, cell, seed):
+        polys = []
+        for pid, (cx, cy, radii) in enumerate(shapes, start=1):
+            ring = [(round(cx + r * math.cos(2 * math.pi * k / len(radii)), 3),
+                     round(cy + r * math.sin(2 * math.pi * k / len(radii)), 3)) for k, r in enumerate(radii)]
+            polys.append((pid, [[ring + [ring[0]]]]))
+        df = _polys(spark, polys)
+        rnd = random.Random(seed)
+        pts = [(i, round(rnd.uniform(-1, 7), 2), round(rnd.uniform(-1, 7), 2)) for i in range(400)]
+        pts += [(1000 + j, x, y) for j, (x, y) in enumerate(polys[0][1][0][0])]      # exact vertices
+        p = spark.createDataFrame(pts, "id long, longitude double, latitude double")
+        nl = SP.assign_nested_loop(p, df, "polygon_id", out_col="nl").select("id", "nl")
+        idx = SP.build_index([("poly", df, "polygon_id")], cell_size=cell)
+        bad = SP.locate(p, idx).join(nl, "id").filter(~F.col("poly_id").eqNullSafe(F.col("nl"))).count()
+        assert bad == 0
+
+    check()
