@@ -41,6 +41,11 @@ def _per_polygon(locations: DataFrame, index: SP.SpatialIndex, layer: str) -> Da
                  *[F.count(c).alias(f"cnt_{c}") for c in ("battery", "signal", "speed")]))
 
 
+def _small_side(per_polygon: DataFrame, polygons: DataFrame) -> DataFrame:
+    """A per-polygon aggregate has at most one row per polygon: broadcast it when the polygon table is small."""
+    return F.broadcast(per_polygon) if polygons.count() <= SP.DEFAULT_BROADCAST_MAX_ROWS else per_polygon
+
+
 def district_statistics(locations: DataFrame, districts: DataFrame, index: SP.SpatialIndex | None = None,
                         layer: str = "district", digits: int = 2) -> DataFrame:
     """Every district with its point statistics (districts without points -> 0 / null).
@@ -52,7 +57,7 @@ def district_statistics(locations: DataFrame, districts: DataFrame, index: SP.Sp
     agg = _per_polygon(locations, index, layer)
     base = districts.select("district_id", "district_number", "district_name",
                             G.area_km2("geom").alias("area_km2"), G.perimeter_km("geom").alias("perimeter_km"))
-    out = base.join(agg, base["district_id"] == agg["__pid"], "left")
+    out = base.join(_small_side(agg, districts), base["district_id"] == agg["__pid"], "left")
 
     def avg(c):
         return null_if_falsy(F.round(mean_from(F.col(f"sum_{c}"), F.col(f"cnt_{c}")), digits))
@@ -191,10 +196,11 @@ def district_profile(locations: DataFrame, districts: DataFrame, index: SP.Spati
                 .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(col), F.col("__v"))))).alias(out)))
 
     base = districts.select("district_id", "district_number", "district_name", G.area_km2("geom").alias("area_km2"))
-    out = (base.join(agg, base["district_id"] == agg["__pid"], "left").drop("__pid")
-           .join(label_map("network_type", "network_types"), F.col("district_id") == F.col("__pid"), "left")
-           .drop("__pid")
-           .join(label_map("sim_operator", "operators"), F.col("district_id") == F.col("__pid"), "left").drop("__pid"))
+    out = (base.join(_small_side(agg, districts), base["district_id"] == agg["__pid"], "left").drop("__pid")
+           .join(_small_side(label_map("network_type", "network_types"), districts),
+                 F.col("district_id") == F.col("__pid"), "left").drop("__pid")
+           .join(_small_side(label_map("sim_operator", "operators"), districts),
+                 F.col("district_id") == F.col("__pid"), "left").drop("__pid"))
 
     def avg(c):
         return F.round(mean_from(F.col(f"sum_{c}"), F.col(f"cnt_{c}")), digits)
