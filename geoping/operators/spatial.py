@@ -4,10 +4,12 @@ Catalyst sees ``contains(polygon, point)`` as an opaque theta condition and
 would plan a nested-loop join over (points x polygons). Instead:
 
 1. **Cell cover** (built once from the polygon tables, which are
-   dimension-sized): every polygon's bounding box is cut into square cells of
-   ``cell_size`` degrees, keyed by integer indexes ``floor(y/c), floor(x/c)``.
-   The cell size is the requested one, coarsened until the cover has at most
-   ``max_cells`` cells, so its size is bounded whatever the polygons are.
+   dimension-sized): every polygon's bounding box is cut into square cells keyed
+   by integer indexes ``floor(y/c), floor(x/c)``. Each polygon gets its own level
+   ``c = cell_size * 2**k``: the finest whose cover has at most
+   ``max_cells_per_polygon`` cells, so one huge polygon does not coarsen the small
+   ones; a total guard (``max_cells``) coarsens the base size when needed. There
+   is one cover per level in use (usually one or two).
 2. Cells that no edge touches are classified once (inside -> ``full``, outside ->
    dropped) from the row's crossing list at the cell centre; only boundary
    cells carry edges, and only the edges of their row band that are not
@@ -16,9 +18,10 @@ would plan a nested-loop join over (points x polygons). Instead:
    so no float epsilon is needed.
 3. The cover is grouped to **one row per cell** holding an array of candidate
    polygons of every layer (e.g. districts and provinces together).
-4. Points join the cover on ``(cell_y, cell_x)`` -- a broadcast hash join when
-   the measured cover size is under ``broadcast_max_edges``, otherwise a
-   shuffle join where AQE splits hot cells (skew join). The exact test is an
+4. Points join each level's cover on ``(cell_y, cell_x)`` -- a broadcast hash
+   join when the measured cover size is under ``broadcast_max_edges``, otherwise
+   a shuffle join with hot cells salted (and AQE skew handling); the candidate
+   arrays of the levels are concatenated. The exact test is an
    even-odd ``aggregate`` over the candidate's edges plus an on-edge exclusion
    (boundary points are outside, like ST_Contains); overlap resolves to the
    lowest polygon id with ``array_min``. No explode and no re-grouping of points:
@@ -38,49 +41,84 @@ from ..functions import geometry as G
 from ..session import ensure_checkpoint_dir
 
 DEFAULT_CELL_SIZE = 0.01
-DEFAULT_MAX_CELLS = 4_000_000
+DEFAULT_MAX_CELLS = 4_000_000                 # all levels together
+DEFAULT_MAX_CELLS_PER_POLYGON = 65_536        # finest level per polygon: at most 256 x 256 cells
 DEFAULT_BROADCAST_MAX_EDGES = 1_000_000      # edge references in a broadcast cover (~32 B each: ~50 MB)
 DEFAULT_BROADCAST_MAX_ROWS = 1_000_000        # polygon attribute rows broadcast for name lookups
 DEFAULT_HOT_ROWS = 5_000_000                  # shuffle mode: points per cell handled by one task before salting
 HOT_CELLS_BROADCAST_MAX = 1_000_000
 _CELL_LEVELS = 24                              # cell_size * 2**k, k < 24
+_CAND = T.StructType([T.StructField("layer", T.IntegerType()), T.StructField("pid", T.LongType()),
+                      T.StructField("full", T.BooleanType()), T.StructField("edges", T.ArrayType(S.EDGE))])
 
 
 @dataclass
-class SpatialIndex:
-    """Cell cover over one or more polygon layers."""
-    cover: DataFrame            # cell_y, cell_x, cands: array<struct<layer,pid,full,edges>>
+class CoverLevel:
+    """The cover of the polygons assigned to one cell size."""
     cell_size: float
-    layers: list[str]
+    cover: DataFrame            # cell_y, cell_x, cands: array<struct<layer,pid,full,edges>>
     n_cells: int
     n_edge_refs: int
     broadcast: bool
+
+
+@dataclass
+class SpatialIndex:
+    """Cell covers (one per level in use) over one or more polygon layers."""
+    levels: list[CoverLevel]
+    layers: list[str]
     hot_rows: int = DEFAULT_HOT_ROWS     # shuffle mode: cells with more points are salted
 
+    @property
+    def cell_size(self) -> float:
+        return min(lv.cell_size for lv in self.levels) if self.levels else DEFAULT_CELL_SIZE
+
+    @property
+    def n_cells(self) -> int:
+        return sum(lv.n_cells for lv in self.levels)
+
+    @property
+    def n_edge_refs(self) -> int:
+        return sum(lv.n_edge_refs for lv in self.levels)
+
+    @property
+    def broadcast(self) -> bool:
+        return all(lv.broadcast for lv in self.levels)
+
 
 def _polygon_layer(polys: DataFrame, id_col: str, layer: int) -> DataFrame:
     return polys.select(F.lit(layer).alias("layer"), F.col(id_col).cast("long").alias("pid"), "geom")
 
 
-def _choose_cell_size(boxes: DataFrame, cell_size: float, max_cells: int) -> float:
-    """Finest ``cell_size * 2**k`` whose bbox cover has at most ``max_cells`` cells (one small job)."""
-    aggs = []
-    for k in range(_CELL_LEVELS):
-        c = float(cell_size) * (2 ** k)
-        n = ((F.floor(F.col("maxy") / c) - F.floor(F.col("miny") / c) + 1)
-             * (F.floor(F.col("maxx") / c) - F.floor(F.col("minx") / c) + 1))
-        aggs.append(F.sum(n.cast("double")).alias(f"k{k}"))
-    row = boxes.agg(*aggs).collect()[0]
-    for k in range(_CELL_LEVELS):
-        total = row[f"k{k}"] or 0.0
+def _cells_at(k: Column, base: float) -> Column:
+    c = F.lit(float(base)) * F.pow(F.lit(2.0), k.cast("double"))
+    return ((F.floor(F.col("maxy") / c) - F.floor(F.col("miny") / c) + 1)
+            * (F.floor(F.col("maxx") / c) - F.floor(F.col("minx") / c) + 1)).cast("double")
+
+
+def _assign_levels(boxes: DataFrame, cell_size: float, per_polygon: int, max_cells: int) -> tuple[float, DataFrame]:
+    """Per polygon the finest level ``k`` whose bbox cover has at most ``per_polygon`` cells.
+
+    If the total over all polygons still exceeds ``max_cells``, the base cell size
+    doubles (one small aggregate per try). Returns (base cell size, boxes + ``k``).
+    """
+    base = float(cell_size)
+    for _ in range(_CELL_LEVELS):
+        ks = F.sequence(F.lit(0), F.lit(_CELL_LEVELS - 1))
+        k = F.coalesce(F.array_min(F.filter(ks, lambda kk: _cells_at(kk, base) <= F.lit(float(per_polygon)))),
+                       F.lit(_CELL_LEVELS - 1))
+        leveled = boxes.withColumn("k", k)
+        total = leveled.agg(F.sum(_cells_at(F.col("k"), base))).collect()[0][0] or 0.0
         if total <= max_cells:
-            return float(cell_size) * (2 ** k)
-    return float(cell_size) * (2 ** (_CELL_LEVELS - 1))
+            return base, leveled
+        base *= 2
+    return base, leveled
 
 
 def build_index(layers: list[tuple[str, DataFrame, str]], cell_size: float = DEFAULT_CELL_SIZE,
                 max_cells: int = DEFAULT_MAX_CELLS, broadcast_max_edges: int = DEFAULT_BROADCAST_MAX_EDGES,
-                force_broadcast: bool | None = None, hot_rows: int = DEFAULT_HOT_ROWS) -> SpatialIndex:
+                force_broadcast: bool | None = None, hot_rows: int = DEFAULT_HOT_ROWS,
+                max_cells_per_polygon: int = DEFAULT_MAX_CELLS_PER_POLYGON) -> SpatialIndex:
     """Build the cell cover for ``layers``: list of (name, polygon frame, id column with a ``geom`` column).
 
     Indexes are cached per session by the polygon plans' semantic hash and the
@@ -88,11 +126,13 @@ def build_index(layers: list[tuple[str, DataFrame, str]], cell_size: float = DEF
     one checkpointed cover.
     """
     key = (tuple((n, df.semanticHash(), c) for n, df, c in layers), float(cell_size), int(max_cells),
-           int(broadcast_max_edges), force_broadcast, layers[0][1].sparkSession.sparkContext.applicationId)
+           int(broadcast_max_edges), force_broadcast, int(max_cells_per_polygon),
+           layers[0][1].sparkSession.sparkContext.applicationId)
     hit = _INDEX_CACHE.get(key)
     if hit is not None:
         return hit
-    index = _build_index(layers, cell_size, max_cells, broadcast_max_edges, force_broadcast)
+    index = _build_index(layers, cell_size, max_cells, broadcast_max_edges, force_broadcast,
+                         min(max_cells_per_polygon, max_cells))
     _INDEX_CACHE[key] = index
     if hot_rows != index.hot_rows:
         from dataclasses import replace
@@ -103,7 +143,8 @@ def build_index(layers: list[tuple[str, DataFrame, str]], cell_size: float = DEF
 _INDEX_CACHE: dict = {}
 
 
-def _build_index(layers, cell_size, max_cells, broadcast_max_edges, force_broadcast) -> SpatialIndex:
+def _build_index(layers, cell_size, max_cells, broadcast_max_edges, force_broadcast,
+                 per_polygon) -> SpatialIndex:
     names = [n for n, _, _ in layers]
     polys = None
     for i, (_, df, id_col) in enumerate(layers):
@@ -115,7 +156,24 @@ def _build_index(layers, cell_size, max_cells, broadcast_max_edges, force_broadc
     ensure_checkpoint_dir(boxed.sparkSession)
     boxed = boxed.checkpoint(eager=True)
     boxes = boxed.select("layer", "pid", "b.*")
-    c = _choose_cell_size(boxes, cell_size, max_cells)
+    base, leveled = _assign_levels(boxes, cell_size, per_polygon, max_cells)
+    ks = sorted(r["k"] for r in leveled.select("k").distinct().collect())     # at most 24 values
+    boxed = boxed.join(leveled.select("layer", "pid", "k"), ["layer", "pid"])
+    levels = []
+    for k in ks:
+        c = base * (2 ** k)
+        cover = _build_cover(boxed.filter(F.col("k") == k).drop("k"), c)
+        stats = cover.agg(F.count(F.lit(1)).alias("n"),
+                          F.sum(F.aggregate("cands", F.lit(0), lambda a, x: a + F.size(x["edges"]))).alias("m")
+                          ).collect()[0]
+        n_cells, n_refs = int(stats["n"] or 0), int(stats["m"] or 0)
+        bc = (n_refs <= broadcast_max_edges and n_cells <= max_cells) if force_broadcast is None else force_broadcast
+        levels.append(CoverLevel(cell_size=c, cover=cover, n_cells=n_cells, n_edge_refs=n_refs, broadcast=bc))
+    return SpatialIndex(levels=levels, layers=names)
+
+
+def _build_cover(boxed: DataFrame, c: float) -> DataFrame:
+    """Cover rows (cell_y, cell_x, cands) of the polygons in ``boxed`` at cell size ``c``; checkpointed."""
     lit_c = F.lit(c)
 
     def idx(v: Column) -> Column:
@@ -177,25 +235,35 @@ def _build_index(layers, cell_size, max_cells, broadcast_max_edges, force_broadc
              .agg(F.collect_list("cand").alias("cands")))
     # The cover is reused (size check, then every join): materialise it once in the
     # shared checkpoint folder so its lineage is cut and it survives executor loss.
-    cover = cover.checkpoint(eager=True)
-    stats = cover.agg(F.count(F.lit(1)).alias("n"),
-                      F.sum(F.aggregate("cands", F.lit(0), lambda a, x: a + F.size(x["edges"]))).alias("m")
-                      ).collect()[0]
-    n_cells, n_refs = int(stats["n"] or 0), int(stats["m"] or 0)
-    bc = (n_refs <= broadcast_max_edges and n_cells <= max_cells) if force_broadcast is None else force_broadcast
-    return SpatialIndex(cover=cover, cell_size=c, layers=names, n_cells=n_cells, n_edge_refs=n_refs, broadcast=bc)
+    return cover.checkpoint(eager=True)
 
 
 def _candidates(points: DataFrame, index: SpatialIndex, x: str, y: str) -> DataFrame:
-    c = F.lit(index.cell_size)
-    keyed = points.withColumn("__cy", F.floor(F.col(y) / c)).withColumn("__cx", F.floor(F.col(x) / c))
-    cover = index.cover.select(F.col("cell_y").alias("__cy"), F.col("cell_x").alias("__cx"), "cands")
-    if index.broadcast:
-        return keyed.join(F.broadcast(cover), ["__cy", "__cx"], "left")
-    return _salted_join(keyed, cover, index.hot_rows, x, y)
+    """Points with ``cands``: the candidate arrays of every level's cover, concatenated.
 
+    One join per level in use (broadcast joins stay narrow: one row per point, no shuffle).
+    """
+    out = points
+    cols = []
+    for i, lv in enumerate(index.levels):
+        c = F.lit(lv.cell_size)
+        cy, cx, cn = f"__cy{i}", f"__cx{i}", f"__cands{i}"
+        keyed = out.withColumn(cy, F.floor(F.col(y) / c)).withColumn(cx, F.floor(F.col(x) / c))
+        cover = lv.cover.select(F.col("cell_y").alias(cy), F.col("cell_x").alias(cx), F.col("cands").alias(cn))
+        if lv.broadcast:
+            out = keyed.join(F.broadcast(cover), [cy, cx], "left")
+        else:
+            out = _salted_join(keyed, cover, index.hot_rows, x, y, cy, cx)
+        out = out.drop(cy, cx)
+        cols.append(cn)
+    if not cols:
+        return out.withColumn("cands", F.lit(None).cast(T.ArrayType(_CAND)))
+    merged = F.col(cols[0]) if len(cols) == 1 else F.flatten(F.array_compact(F.array(*[F.col(c) for c in cols])))
+    return out.withColumn("cands", merged).drop(*cols)
 
-def _salted_join(keyed: DataFrame, cover: DataFrame, hot_rows: int, x: str, y: str) -> DataFrame:
+
+def _salted_join(keyed: DataFrame, cover: DataFrame, hot_rows: int, x: str, y: str,
+                 cy: str = "__cy", cx: str = "__cx") -> DataFrame:
     """Shuffle join on the cell with hot cells split over several tasks.
 
     A cell holding more than ``hot_rows`` points (a city centre, a parked device)
@@ -204,23 +272,23 @@ def _salted_join(keyed: DataFrame, cover: DataFrame, hot_rows: int, x: str, y: s
     replicated once per salt. The hot-cell table has at most ``N / hot_rows``
     rows; it is broadcast only when its measured size is under a limit.
     """
-    counts = keyed.groupBy("__cy", "__cx").agg(F.count(F.lit(1)).alias("__n"))
+    counts = keyed.groupBy(cy, cx).agg(F.count(F.lit(1)).alias("__n"))
     hot = (counts.filter(F.col("__n") > F.lit(hot_rows))
-           .select("__cy", "__cx", F.ceil(F.col("__n") / F.lit(hot_rows)).cast("int").alias("__salts")))
+           .select(cy, cx, F.ceil(F.col("__n") / F.lit(hot_rows)).cast("int").alias("__salts")))
     hot = hot.checkpoint(eager=True)
     n_hot = hot.count()
     if n_hot == 0:
-        return keyed.join(cover, ["__cy", "__cx"], "left")
+        return keyed.join(cover, [cy, cx], "left")
     hot_side = F.broadcast(hot) if n_hot <= HOT_CELLS_BROADCAST_MAX else hot
     key_cols = [F.col(x), F.col(y)] + ([F.col("id")] if "id" in keyed.columns else [])
-    salted = (keyed.join(hot_side, ["__cy", "__cx"], "left")
+    salted = (keyed.join(hot_side, [cy, cx], "left")
               .withColumn("__salt", F.when(F.col("__salts").isNull(), F.lit(0))
                           .otherwise(F.pmod(F.xxhash64(*key_cols), F.col("__salts")).cast("int")))
               .drop("__salts"))
-    cover_salted = (cover.join(hot_side, ["__cy", "__cx"], "left")
+    cover_salted = (cover.join(hot_side, [cy, cx], "left")
                     .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)))
                     .drop("__salts"))
-    return salted.join(cover_salted, ["__cy", "__cx", "__salt"], "left").drop("__salt")
+    return salted.join(cover_salted, [cy, cx, "__salt"], "left").drop("__salt")
 
 
 def _hits(x: str, y: str) -> Column:
@@ -238,7 +306,7 @@ def locate(points: DataFrame, index: SpatialIndex, x: str = "longitude", y: str
     for i, name in enumerate(index.layers):
         out = out.withColumn(f"{name}{suffix}", F.array_min(F.transform(
             F.filter("__hits", lambda h: h["layer"] == i), lambda h: h["pid"])))
-    return out.drop("__cy", "__cx", "cands", "__hits")
+    return out.drop("cands", "__hits")
 
 
 def match_all(points: DataFrame, index: SpatialIndex, layer: str, x: str = "longitude", y: str = "latitude",
@@ -248,7 +316,7 @@ def match_all(points: DataFrame, index: SpatialIndex, layer: str, x: str = "long
     joined = _candidates(points, index, x, y)
     hits = F.filter(_hits(x, y), lambda h: h["layer"] == li)
     return (joined.withColumn("__hit", F.explode(F.transform(hits, lambda h: h["pid"])))
-            .drop("__cy", "__cx", "cands").withColumnRenamed("__hit", id_name))
+            .drop("cands").withColumnRenamed("__hit", id_name))
 
 
 def _attach(df: DataFrame, attrs: DataFrame, key: str, max_rows: int = DEFAULT_BROADCAST_MAX_ROWS) -> DataFrame:
@@ -315,22 +383,25 @@ def points_in_polygon(points: DataFrame, index: SpatialIndex, layer: str, polygo
     """
     li = index.layers.index(layer)
     mine = F.filter("cands", lambda cd: (cd["layer"] == li) & (cd["pid"] == F.lit(polygon_id)))
-    sub = index.cover.select("cell_y", "cell_x", mine.alias("cands")).filter(F.size("cands") > 0)
-    box = sub.agg(F.min("cell_y").alias("y0"), F.max("cell_y").alias("y1"), F.min("cell_x").alias("x0"),
-                  F.max("cell_x").alias("x1"), F.count(F.lit(1)).alias("n"),
-                  F.sum(F.aggregate("cands", F.lit(0), lambda a, cd: a + F.size(cd["edges"]))).alias("m")
-                  ).collect()[0]
-    if not box["n"]:
-        return points.limit(0)
-    c = index.cell_size
-    # cell index floor(v / c) in [lo, hi]  <=>  lo*c <= v < (hi+1)*c up to rounding: widen by one cell
-    pruned = points.filter((F.col(y) >= (box["y0"] - 1) * c) & (F.col(y) < (box["y1"] + 2) * c)
-                           & (F.col(x) >= (box["x0"] - 1) * c) & (F.col(x) < (box["x1"] + 2) * c))
-    small = box["n"] <= DEFAULT_MAX_CELLS and (box["m"] or 0) <= DEFAULT_BROADCAST_MAX_EDGES
-    sub_index = SpatialIndex(cover=sub, cell_size=c, layers=index.layers, n_cells=int(box["n"]),
-                             n_edge_refs=int(box["m"] or 0), broadcast=small, hot_rows=index.hot_rows)
-    joined = _candidates(pruned, sub_index, x, y)
-    return joined.filter(F.exists(_hits(x, y), lambda h: F.lit(True))).drop("__cy", "__cx", "cands")
+    for lv in index.levels:                    # a polygon lives in exactly one level
+        sub = lv.cover.select("cell_y", "cell_x", mine.alias("cands")).filter(F.size("cands") > 0)
+        box = sub.agg(F.min("cell_y").alias("y0"), F.max("cell_y").alias("y1"), F.min("cell_x").alias("x0"),
+                      F.max("cell_x").alias("x1"), F.count(F.lit(1)).alias("n"),
+                      F.sum(F.aggregate("cands", F.lit(0), lambda a, cd: a + F.size(cd["edges"]))).alias("m")
+                      ).collect()[0]
+        if not box["n"]:
+            continue
+        c = lv.cell_size
+        # cell index floor(v / c) in [lo, hi]  <=>  lo*c <= v < (hi+1)*c up to rounding: widen by one cell
+        pruned = points.filter((F.col(y) >= (box["y0"] - 1) * c) & (F.col(y) < (box["y1"] + 2) * c)
+                               & (F.col(x) >= (box["x0"] - 1) * c) & (F.col(x) < (box["x1"] + 2) * c))
+        small = box["n"] <= DEFAULT_MAX_CELLS and (box["m"] or 0) <= DEFAULT_BROADCAST_MAX_EDGES
+        sub_index = SpatialIndex(levels=[CoverLevel(cell_size=c, cover=sub, n_cells=int(box["n"]),
+                                                    n_edge_refs=int(box["m"] or 0), broadcast=small)],
+                                 layers=index.layers, hot_rows=index.hot_rows)
+        joined = _candidates(pruned, sub_index, x, y)
+        return joined.filter(F.exists(_hits(x, y), lambda h: F.lit(True))).drop("cands")
+    return points.limit(0)
 
 
 def count_in_polygon(points: DataFrame, index: SpatialIndex, layer: str, polygon_id: int,

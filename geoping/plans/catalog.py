@@ -447,7 +447,7 @@ def q_stream_ingest_grid(spark, sf_dir):
     _land_in_two_drops(spark, sf_dir, landing)
     paths = etl_plan.EtlPaths(root)
     stream_ops.run_available_now(spark, f"{landing}/*", paths, f"{root}/_checkpoint", districts(spark, sf_dir),
-                                 provinces(spark, sf_dir), max_files_per_trigger=1)
+                                 provinces(spark, sf_dir), max_files_per_trigger=8)
     return spark.read.parquet(paths.grid).drop("bucket")
 
 

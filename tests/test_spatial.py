@@ -152,3 +152,23 @@ def test_property_random_star_polygons(spark):
         assert bad == 0
 
     check()
+
+
+def test_mixed_polygon_sizes_use_several_levels(spark):
+    big = [(-1.0, -1.0), (7.0, -1.0), (7.0, 7.0), (3.0, 2.5), (-1.0, 7.0), (-1.0, -1.0)]   # concave, large
+    polys = _polys(spark, [(1, [[big]]), (2, [[square(0.2, 0.2, 0.3)]]), (3, [[CONCAVE, HOLE]]),
+                           (4, [[square(5.0, 5.0, 0.1)]])])
+    pts = _points(spark, 2500, seed=21)
+    nl = SP.assign_nested_loop(pts, polys, "polygon_id", out_col="nl").select("id", "nl")
+    pairs_nl = None
+    for bc in (None, False):
+        idx = SP.build_index([("poly", polys, "polygon_id")], cell_size=0.05, max_cells_per_polygon=400,
+                             force_broadcast=bc, hot_rows=200)
+        assert len(idx.levels) >= 2 and idx.cell_size == 0.05
+        got = SP.locate(pts, idx).join(nl, "id")
+        assert got.filter(~F.col("poly_id").eqNullSafe(F.col("nl"))).count() == 0
+        pairs = sorted((r["id"], r["polygon_id"]) for r in SP.match_all(pts, idx, "poly").collect())
+        pairs_nl = pairs_nl or pairs
+        assert pairs == pairs_nl
+        n3 = SP.count_in_polygon(pts, idx, "poly", 3).collect()[0]["total"]
+        assert n3 == sum(1 for _, pid in pairs if pid == 3)
