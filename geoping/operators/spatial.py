@@ -92,27 +92,30 @@ def _polygon_layer(polys: DataFrame, id_col: str, layer: int) -> DataFrame:
 
 def _cells_at(k: Column, base: float) -> Column:
     c = F.lit(float(base)) * F.pow(F.lit(2.0), k.cast("double"))
-    return ((F.floor(F.col("maxy") / c) - F.floor(F.col("miny") / c) + 1)
-            * (F.floor(F.col("maxx") / c) - F.floor(F.col("minx") / c) + 1)).cast("double")
+    return ((F.floor(F.col("b.maxy") / c) - F.floor(F.col("b.miny") / c) + 1)
+            * (F.floor(F.col("b.maxx") / c) - F.floor(F.col("b.minx") / c) + 1)).cast("double")
 
 
-def _assign_levels(boxes: DataFrame, cell_size: float, per_polygon: int, max_cells: int) -> tuple[float, DataFrame]:
+def _assign_levels(boxed: DataFrame, cell_size: float, per_polygon: int,
+                   max_cells: int) -> tuple[float, DataFrame, list[int]]:
     """Per polygon the finest level ``k`` whose bbox cover has at most ``per_polygon`` cells.
 
-    If the total over all polygons still exceeds ``max_cells``, the base cell size
-    doubles (one small aggregate per try). Returns (base cell size, boxes + ``k``).
+    One small aggregate returns the total cover size and the distinct levels; if
+    the total exceeds ``max_cells`` the base cell size doubles and it is tried
+    again. Returns (base cell size, polygons with ``k``, levels in use).
     """
     base = float(cell_size)
     for _ in range(_CELL_LEVELS):
         ks = F.sequence(F.lit(0), F.lit(_CELL_LEVELS - 1))
         k = F.coalesce(F.array_min(F.filter(ks, lambda kk: _cells_at(kk, base) <= F.lit(float(per_polygon)))),
                        F.lit(_CELL_LEVELS - 1))
-        leveled = boxes.withColumn("k", k)
-        total = leveled.agg(F.sum(_cells_at(F.col("k"), base))).collect()[0][0] or 0.0
-        if total <= max_cells:
-            return base, leveled
+        leveled = boxed.withColumn("k", k)
+        row = leveled.agg(F.sum(_cells_at(F.col("k"), base)).alias("t"),
+                          F.collect_set("k").alias("ks")).collect()[0]      # at most 24 levels
+        if (row["t"] or 0.0) <= max_cells or base >= 360.0:
+            return base, leveled, sorted(row["ks"] or [])
         base *= 2
-    return base, leveled
+    return base, leveled, sorted(row["ks"] or [])
 
 
 def build_index(layers: list[tuple[str, DataFrame, str]], cell_size: float = DEFAULT_CELL_SIZE,
@@ -155,10 +158,7 @@ def _build_index(layers, cell_size, max_cells, broadcast_max_edges, force_broadc
     # polygon prep is read by every branch below: materialise it once (small, polygon-sized)
     ensure_checkpoint_dir(boxed.sparkSession)
     boxed = boxed.checkpoint(eager=True)
-    boxes = boxed.select("layer", "pid", "b.*")
-    base, leveled = _assign_levels(boxes, cell_size, per_polygon, max_cells)
-    ks = sorted(r["k"] for r in leveled.select("k").distinct().collect())     # at most 24 values
-    boxed = boxed.join(leveled.select("layer", "pid", "k"), ["layer", "pid"])
+    base, boxed, ks = _assign_levels(boxed, cell_size, per_polygon, max_cells)
     levels = []
     for k in ks:
         c = base * (2 ** k)
