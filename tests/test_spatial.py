@@ -172,3 +172,22 @@ def test_mixed_polygon_sizes_use_several_levels(spark):
         assert pairs == pairs_nl
         n3 = SP.count_in_polygon(pts, idx, "poly", 3).collect()[0]["total"]
         assert n3 == sum(1 for _, pid in pairs if pid == 3)
+
+
+def test_request_validation(spark):
+    import pytest
+    from geoping.operators import grid as GR
+    pts = _points(spark, 20)
+    with pytest.raises(ValueError):
+        GR.heatmap_request(pts, grid_size=0.5)
+    with pytest.raises(ValueError):
+        GR.heatmap_request(pts, grid_size=0.0005)
+    polys = _polys(spark, [(1, [[square(0, 0, 5)]])])
+    idx = SP.build_index([("poly", polys, "polygon_id")], cell_size=0.5)
+    with pytest.raises(ValueError):
+        SP.page_in_polygon(pts, idx, "poly", 1, limit=0)
+    with pytest.raises(ValueError):
+        SP.page_in_polygon(pts, idx, "poly", 1, limit=1001)
+    page = [r["id"] for r in SP.page_in_polygon(pts, idx, "poly", 1, limit=3, offset=2).collect()]
+    inside = sorted(r["id"] for r in SP.match_all(pts, idx, "poly").collect())
+    assert page == inside[2:5]
