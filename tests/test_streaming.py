@@ -32,3 +32,35 @@ def test_dedupe_and_day_windows(spark):
     q2.awaitTermination()
     r = spark.sql("select points_count, max_speed from days_t").collect()
     assert sorted(tuple(x) for x in r)[-1] == (6, 5.0)
+
+
+def test_json_landing_stream_through_batch_writer(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from geoping.plans.etl import EtlPaths
+    from tests.conftest import POLY_SCHEMA, geom_rows, square
+
+    root = scratch_path(spark, f"stj-{uuid.uuid4().hex[:8]}")
+    rows = [{"id": str(i), "device_id": f"d{i % 3}", "device_name": "D", "latitude": str(0.1 + (i % 10) / 10.0),
+             "longitude": str(0.1 + (i % 7) / 10.0), "speed": "1.5" if i % 4 else "oops", "battery": "50",
+             "signal": "-60", "network_type": "LTE", "sim_operator": "tigo",
+             "timestamp": f"2024-03-0{1 + i % 3}T10:00:00"} for i in range(60)]
+    import os
+    os.makedirs(f"{root}/landing", exist_ok=True)
+    for part in range(2):
+        with open(f"{root}/landing/part-{part}.json", "w") as fh:
+            fh.write("\n".join(json.dumps(r) for r in rows[part * 30:(part + 1) * 30] + rows[:5]))  # 5 repeats
+    d = (spark.createDataFrame(geom_rows([(1, [[square(0, 0, 2)]])]), POLY_SCHEMA)
+         .withColumnRenamed("polygon_id", "district_id").withColumn("district_name", F.lit("D1")))
+    p = (spark.createDataFrame(geom_rows([(7, [[square(0, 0, 2)]])]), POLY_SCHEMA)
+         .withColumnRenamed("polygon_id", "province_id").withColumn("province_name", F.lit("P7")))
+    paths = EtlPaths(root)
+    ST.run_available_now(spark, f"{root}/landing", paths, f"{root}/_ck", d, p, fmt="json", max_files_per_trigger=1)
+    loc = spark.read.parquet(paths.locations)
+    assert loc.count() == 60 and loc.select("id").distinct().count() == 60      # repeats dropped
+    assert loc.filter("district_id = 1 and province_id = 7").count() == 60
+    assert loc.filter("speed = 0.0").count() == 15                               # 'oops' -> null -> 0.0
+    grid = spark.read.parquet(paths.grid)
+    assert grid.agg(F.sum("point_count")).collect()[0][0] == 60
