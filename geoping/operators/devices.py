@@ -41,7 +41,7 @@ def _count_map(df: DataFrame, key: str, label: str, out: str) -> DataFrame:
 
 
 def device_stats(locations: DataFrame, coord_digits: int = 3) -> DataFrame:
-    """Per device records, first/last seen, averages, most common (rounded) position, label maps.
+    """Per device latest name, records, first/last seen, averages, most common (rounded) position, label maps.
 
     Two scans: one pre-aggregate per (device, network, operator) -- a few rows per
     device, checkpointed -- feeds the totals and both label maps;
@@ -50,14 +50,15 @@ def device_stats(locations: DataFrame, coord_digits: int = 3) -> DataFrame:
     """
     level = (locations.groupBy("device_id", "network_type", "sim_operator")
              .agg(F.count(F.lit(1)).alias("__n"), F.min("timestamp").alias("__first"),
-                  F.max("timestamp").alias("__last"),
+                  F.max("timestamp").alias("__last"), F.max(F.struct("timestamp", "device_name")).alias("__latest"),
                   *[F.sum(F.col(c).cast("decimal(18,6)")).alias(f"__s_{c}") for c in ("battery", "signal", "speed")],
                   *[F.count(c).alias(f"__c_{c}") for c in ("battery", "signal", "speed")]))
     # aggregated (a few rows per device) and read three times: materialise once so the raw scan runs once
     ensure_checkpoint_dir(locations.sparkSession)
     level = level.checkpoint(eager=True)
     base = (level.groupBy("device_id")
-            .agg(F.sum("__n").alias("total_records"), F.min("__first").alias("first_seen"),
+            .agg(F.max("__latest")["device_name"].alias("device_name"),
+                 F.sum("__n").alias("total_records"), F.min("__first").alias("first_seen"),
                  F.max("__last").alias("last_seen"),
                  *[F.try_divide(F.sum(f"__s_{c}").cast("double"), F.sum(f"__c_{c}").cast("double")).alias(f"avg_{c}")
                    for c in ("battery", "signal", "speed")]))
@@ -76,8 +77,9 @@ def device_stats(locations: DataFrame, coord_digits: int = 3) -> DataFrame:
                          F.struct(F.col("__n"), -F.col("lat_r"), -F.col("lon_r"))).alias("__mode")))
     pos = pos.select("device_id", F.col("__mode.lat_r").alias("most_common_lat"),
                      F.col("__mode.lon_r").alias("most_common_lon"))
-    return (base.join(pos, "device_id", "left").join(label_map("network_type", "network_types"), "device_id", "left")
-            .join(label_map("sim_operator", "operators"), "device_id", "left"))
+    return (base.join(pos, "device_id", "left")
+            .join(label_map("network_type", "network_distribution"), "device_id", "left")
+            .join(label_map("sim_operator", "operator_distribution"), "device_id", "left"))
 
 
 def map_as_text(m: Column | str) -> Column:

@@ -197,9 +197,9 @@ def district_profile(locations: DataFrame, districts: DataFrame, index: SP.Spati
 
     base = districts.select("district_id", "district_number", "district_name", G.area_km2("geom").alias("area_km2"))
     out = (base.join(_small_side(agg, districts), base["district_id"] == agg["__pid"], "left").drop("__pid")
-           .join(_small_side(label_map("network_type", "network_types"), districts),
+           .join(_small_side(label_map("network_type", "network_distribution"), districts),
                  F.col("district_id") == F.col("__pid"), "left").drop("__pid")
-           .join(_small_side(label_map("sim_operator", "operators"), districts),
+           .join(_small_side(label_map("sim_operator", "operator_distribution"), districts),
                  F.col("district_id") == F.col("__pid"), "left").drop("__pid"))
 
     def avg(c):
@@ -213,7 +213,7 @@ def district_profile(locations: DataFrame, districts: DataFrame, index: SP.Spati
         avg("altitude").alias("avg_altitude"),
         F.when(F.col("area_km2") > 0, safe_divide(F.coalesce("total_locations", F.lit(0)), "area_km2"))
         .alias("density"),
-        "network_types", "operators")
+        "network_distribution", "operator_distribution")
 
 
 def repeatable_sample(df: DataFrame, n: int, seed: int = 42, key: str = "id") -> DataFrame:

@@ -121,7 +121,7 @@ def heatmap_request(locations: DataFrame, min_lat: float | None = None, max_lat:
 
 
 def grid_label_maps(locations: DataFrame, grid_size: float = S.DEFAULT_GRID_SIZE) -> DataFrame:
-    """Per cell, network and operator count maps (label -> count)."""
+    """Per cell, network and operator count maps (label -> count)."""
     g = float(grid_size)
     # one aggregate per (cell, network, operator), materialised once; both maps read it
     level = (locations.groupBy(C.grid_index("latitude", g).alias("cell_y"),
@@ -135,5 +135,13 @@ def grid_label_maps(locations: DataFrame, grid_size: float = S.DEFAULT_GRID_SIZE
                 .groupBy("cell_y", "cell_x")
                 .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(col, "count")))).alias(out)))
 
-    return label_map("network_type", "network_types").join(label_map("sim_operator", "operators"),
-                                                           ["cell_y", "cell_x"], "full")
+    return label_map("network_type", "network_distribution").join(
+        label_map("sim_operator", "operator_distribution"), ["cell_y", "cell_x"], "full")
+
+
+def grid_cells_with_labels(locations: DataFrame, grid_size: float = S.DEFAULT_GRID_SIZE,
+                           digits: int | None = 2) -> DataFrame:
+    """The grid cell response -- A01 cell measures plus network and operator count maps."""
+    cells = grid_heatmap(locations, grid_size, digits).select(
+        "cell_y", "cell_x", "lat_grid", "lon_grid", "point_count", "unique_devices", "avg_battery", "avg_signal")
+    return cells.join(grid_label_maps(locations, grid_size), ["cell_y", "cell_x"], "left")

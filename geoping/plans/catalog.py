@@ -157,8 +157,8 @@ def q_device_extents(spark, sf_dir):
 def q_device_stats(spark, sf_dir):
     """Device statistics; count maps rendered as sorted 'k:v' text."""
     s = dev_ops.device_stats(locations(spark, sf_dir))
-    return (s.withColumn("network_types", dev_ops.map_as_text("network_types"))
-            .withColumn("operators", dev_ops.map_as_text("operators")))
+    return (s.withColumn("network_distribution", dev_ops.map_as_text("network_distribution"))
+            .withColumn("operator_distribution", dev_ops.map_as_text("operator_distribution")))
 
 
 # ---------------------------------------------------------------- study reports (all raw pings)
@@ -498,8 +498,8 @@ def q_sample_by_district(spark, sf_dir):
 def q_district_profile(spark, sf_dir):
     """District statistics with density, average altitude and label maps (maps as sorted text)."""
     out = dist_ops.district_profile(locations(spark, sf_dir), districts(spark, sf_dir), both_index(spark, sf_dir))
-    return (out.withColumn("network_types", dev_ops.map_as_text("network_types"))
-            .withColumn("operators", dev_ops.map_as_text("operators")))
+    return (out.withColumn("network_distribution", dev_ops.map_as_text("network_distribution"))
+            .withColumn("operator_distribution", dev_ops.map_as_text("operator_distribution")))
 
 
 @register("top_dense_districts")
@@ -510,10 +510,10 @@ def q_top_dense_districts(spark, sf_dir):
 
 @register("grid_label_maps")
 def q_grid_label_maps(spark, sf_dir):
-    """Per cell network and operator count maps (as sorted text)."""
-    out = grid_ops.grid_label_maps(locations(spark, sf_dir), 0.01)
-    return (out.withColumn("network_types", dev_ops.map_as_text("network_types"))
-            .withColumn("operators", dev_ops.map_as_text("operators")))
+    """Grid cells (A01 measures) with network and operator count maps (as sorted text)."""
+    out = grid_ops.grid_cells_with_labels(locations(spark, sf_dir), 0.01)
+    return (out.withColumn("network_distribution", dev_ops.map_as_text("network_distribution"))
+            .withColumn("operator_distribution", dev_ops.map_as_text("operator_distribution")))
 
 
 @register("table_counts")

@@ -211,7 +211,8 @@ FROM locations GROUP BY device_id, device_name""")
 
 ORACLE["device_stats"] = with_locations(f"""
 , base AS (
-  SELECT device_id, COUNT(*) AS total_records, MIN(timestamp) AS first_seen, MAX(timestamp) AS last_seen,
+  SELECT device_id, arg_max(device_name, timestamp) AS device_name,
+    COUNT(*) AS total_records, MIN(timestamp) AS first_seen, MAX(timestamp) AS last_seen,
     {MEAN('battery')} AS avg_battery, {MEAN('signal')} AS avg_signal, {MEAN('speed')} AS avg_speed
   FROM locations GROUP BY device_id),
 pos AS (
@@ -222,10 +223,10 @@ mode AS (
     SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY n DESC, lat_r ASC, lon_r ASC) AS rk FROM pos)
   WHERE rk = 1),
 nets AS (
-  SELECT device_id, string_agg(k || ':' || CAST(v AS VARCHAR), ',' ORDER BY k) AS network_types FROM (
+  SELECT device_id, string_agg(k || ':' || CAST(v AS VARCHAR), ',' ORDER BY k) AS network_distribution FROM (
     SELECT device_id, network_type AS k, COUNT(*) AS v FROM locations GROUP BY 1, 2) GROUP BY device_id),
 ops AS (
-  SELECT device_id, string_agg(k || ':' || CAST(v AS VARCHAR), ',' ORDER BY k) AS operators FROM (
+  SELECT device_id, string_agg(k || ':' || CAST(v AS VARCHAR), ',' ORDER BY k) AS operator_distribution FROM (
     SELECT device_id, sim_operator AS k, COUNT(*) AS v FROM locations GROUP BY 1, 2) GROUP BY device_id)
 SELECT * FROM base LEFT JOIN mode USING (device_id) LEFT JOIN nets USING (device_id) LEFT JOIN ops USING (device_id)""")
 
@@ -574,11 +575,11 @@ ORACLE["district_profile"] = with_measures(f"""
     {R2(MEAN('l.speed'))} AS avg_speed, {R2(MEAN('l.altitude'))} AS avg_altitude
   FROM d_match m JOIN locations l ON l.id = m.id GROUP BY m.pid),
 nets AS (
-  SELECT pid, string_agg(k || ':' || CAST(v AS VARCHAR), ',' ORDER BY k) AS network_types FROM (
+  SELECT pid, string_agg(k || ':' || CAST(v AS VARCHAR), ',' ORDER BY k) AS network_distribution FROM (
     SELECT m.pid, l.network_type AS k, COUNT(*) AS v FROM d_match m JOIN locations l ON l.id = m.id GROUP BY 1, 2)
   GROUP BY pid),
 ops AS (
-  SELECT pid, string_agg(k || ':' || CAST(v AS VARCHAR), ',' ORDER BY k) AS operators FROM (
+  SELECT pid, string_agg(k || ':' || CAST(v AS VARCHAR), ',' ORDER BY k) AS operator_distribution FROM (
     SELECT m.pid, l.sim_operator AS k, COUNT(*) AS v FROM d_match m JOIN locations l ON l.id = m.id GROUP BY 1, 2)
   GROUP BY pid)
 SELECT n.district_id, n.district_number, n.district_name, ms.area_km2,
@@ -586,7 +587,7 @@ SELECT n.district_id, n.district_number, n.district_name, ms.area_km2,
   per.avg_battery, per.avg_signal, per.avg_speed, per.avg_altitude,
   CASE WHEN ms.area_km2 > 0 THEN CAST(COALESCE(per.total_locations, 0) AS DOUBLE) / CAST(ms.area_km2 AS DOUBLE) END
     AS density,
-  nets.network_types, ops.operators
+  nets.network_distribution, ops.operator_distribution
 FROM d_names n JOIN measures ms ON ms.district_id = n.district_id
 LEFT JOIN per ON per.district_id = n.district_id
 LEFT JOIN nets ON nets.pid = n.district_id LEFT JOIN ops ON ops.pid = n.district_id""")
@@ -596,17 +597,18 @@ SELECT district_number, district_name, total_locations, area_km2,
   CAST(total_locations AS DOUBLE) / CAST(area_km2 AS DOUBLE) AS density
 FROM dstats WHERE area_km2 > 0 ORDER BY density DESC, district_number LIMIT 5""")
 
-ORACLE["grid_label_maps"] = with_locations("""
+ORACLE["grid_label_maps"] = with_locations(f"""
 , c AS (SELECT CAST(floor(latitude / CAST(0.01 AS DOUBLE)) AS BIGINT) AS cell_y,
-          CAST(floor(longitude / CAST(0.01 AS DOUBLE)) AS BIGINT) AS cell_x, network_type, sim_operator
-        FROM locations)
-SELECT n.cell_y, n.cell_x, n.network_types, o.operators FROM (
-  SELECT cell_y, cell_x, string_agg(k || ':' || CAST(v AS VARCHAR), ',' ORDER BY k) AS network_types FROM (
-    SELECT cell_y, cell_x, network_type AS k, COUNT(*) AS v FROM c GROUP BY 1, 2, 3) GROUP BY 1, 2) n
-JOIN (
-  SELECT cell_y, cell_x, string_agg(k || ':' || CAST(v AS VARCHAR), ',' ORDER BY k) AS operators FROM (
-    SELECT cell_y, cell_x, sim_operator AS k, COUNT(*) AS v FROM c GROUP BY 1, 2, 3) GROUP BY 1, 2) o
-USING (cell_y, cell_x)""")
+          CAST(floor(longitude / CAST(0.01 AS DOUBLE)) AS BIGINT) AS cell_x, * FROM locations),
+g AS (SELECT cell_y, cell_x, lat_grid, lon_grid, COUNT(*) AS point_count, COUNT(DISTINCT device_id) AS unique_devices,
+        {R2(MEAN('battery'))} AS avg_battery, {R2(MEAN('signal'))} AS avg_signal
+      FROM c GROUP BY cell_y, cell_x, lat_grid, lon_grid),
+n AS (SELECT cell_y, cell_x, string_agg(k || ':' || CAST(v AS VARCHAR), ',' ORDER BY k) AS network_distribution
+      FROM (SELECT cell_y, cell_x, network_type AS k, COUNT(*) AS v FROM c GROUP BY 1, 2, 3) GROUP BY 1, 2),
+o AS (SELECT cell_y, cell_x, string_agg(k || ':' || CAST(v AS VARCHAR), ',' ORDER BY k) AS operator_distribution
+      FROM (SELECT cell_y, cell_x, sim_operator AS k, COUNT(*) AS v FROM c GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT g.*, n.network_distribution, o.operator_distribution
+FROM g LEFT JOIN n USING (cell_y, cell_x) LEFT JOIN o USING (cell_y, cell_x)""")
 
 ORACLE["table_counts"] = with_locations("""
 SELECT 'events' AS table_name, COUNT(*) AS rows FROM events
