@@ -449,3 +449,18 @@ def assign_nested_loop(points: DataFrame, polygons: DataFrame, id_col: str, x: s
     hits = points.select("id", x, y).join(F.broadcast(p), cond, "inner").groupBy("id").agg(
         F.min("__pid").alias(out_col))
     return points.join(hits, "id", "left")
+
+
+def lookup_point(spark, index: SpatialIndex, latitude: float, longitude: float,
+                 names: dict[str, tuple[DataFrame, str, str]] | None = None) -> DataFrame:
+    """The polygons of every layer containing one point (nulls when none), one row.
+
+    ``names`` optionally maps a layer to (polygon frame, id column, name column) to
+    add ``{layer}_name``. Runs the same ``locate`` as the bulk join.
+    """
+    point = spark.createDataFrame([(float(latitude), float(longitude))], "latitude double, longitude double")
+    out = locate(point, index)
+    for layer, (polys, id_col, name_col) in (names or {}).items():
+        attrs = polys.select(F.col(id_col).cast("long").alias(f"{layer}_id"), F.col(name_col).alias(f"{layer}_name"))
+        out = _attach(out, attrs, f"{layer}_id")
+    return out

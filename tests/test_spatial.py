@@ -191,3 +191,13 @@ def test_request_validation(spark):
     page = [r["id"] for r in SP.page_in_polygon(pts, idx, "poly", 1, limit=3, offset=2).collect()]
     inside = sorted(r["id"] for r in SP.match_all(pts, idx, "poly").collect())
     assert page == inside[2:5]
+
+
+def test_lookup_point(spark):
+    d = _polys(spark, [(1, [[square(0, 0, 2)]]), (2, [[square(3, 3, 1)]])], "district_id") \
+        .withColumn("district_name", F.concat(F.lit("D"), F.col("district_id").cast("string")))
+    idx = SP.build_index([("district", d, "district_id")], cell_size=0.5)
+    r = SP.lookup_point(spark, idx, 1.0, 1.0, {"district": (d, "district_id", "district_name")}).collect()[0]
+    assert (r["district_id"], r["district_name"]) == (1, "D1")
+    r = SP.lookup_point(spark, idx, 9.0, 9.0, {"district": (d, "district_id", "district_name")}).collect()[0]
+    assert r["district_id"] is None and r["district_name"] is None
