@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from geoping.llm import decontaminate
+from geoping.llm import decontaminate, quality_rules, sentence_spans
 
 QUERIES = {
+    "op10_sentence_spans": sentence_spans.op10_sentence_spans,
+    "op3_quality_rules": quality_rules.op3_quality_rules,
     "op6_decontamination": decontaminate.op6_decontamination,
 }
 
