@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from geoping.llm import decontaminate, quality_rules, sentence_spans
+from geoping.llm import decontaminate, quality_rules, sentence_spans, suffix_dedup
 
 QUERIES = {
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op10_sentence_spans": sentence_spans.op10_sentence_spans,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op6_decontamination": decontaminate.op6_decontamination,
