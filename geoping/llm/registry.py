@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from geoping.llm import decontaminate, quality_rules, sentence_spans, suffix_dedup
+from geoping.llm import decontaminate, jaccard_join, quality_rules, sentence_spans, suffix_dedup
 
 QUERIES = {
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op10_sentence_spans": sentence_spans.op10_sentence_spans,
     "op3_quality_rules": quality_rules.op3_quality_rules,
@@ -12,5 +13,6 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op9_jaccard_join": jaccard_join.ORACLE_SQL,
     "op6_decontamination": decontaminate.ORACLE_SQL,
 }
