@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from geoping.llm import decontaminate, jaccard_join, quality_rules, sentence_spans, suffix_dedup
+from geoping.llm import decontaminate, jaccard_join, language_id, mixing, quality_rules, sentence_spans, suffix_dedup
 
 QUERIES = {
+    "op8_mixing": mixing.op8_mixing,
+    "op4_language_id": language_id.op4_language_id,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op10_sentence_spans": sentence_spans.op10_sentence_spans,
@@ -13,6 +15,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op8_mixing": mixing.ORACLE_SQL,
     "op9_jaccard_join": jaccard_join.ORACLE_SQL,
     "op6_decontamination": decontaminate.ORACLE_SQL,
 }
