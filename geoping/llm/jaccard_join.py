@@ -314,10 +314,14 @@ def class_components(members: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """``row``, n_shingles and component_id (smallest id reachable by links) for every row of ``docs``."""
+    """``row``, n_shingles, component_id (smallest id reachable by links) and ``leads`` for every row of ``docs``.
+
+    ``leads`` marks one row of each component (of its smallest id, the first of repeated
+    rows); a document with an empty set leads itself.
+    """
     base = docs.select(F.struct(*[docs[f"`{c}`"] for c in keep]).alias("row"), docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].cast("string").alias("text"))
     base = base.withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit(1), "text"))
-    rows = materialise(_classes(base), "jaccard-classes")
+    rows = materialise(_classes(base).withColumn("nr", F.monotonically_increasing_id()), "jaccard-classes")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = rows.agg(F.sum("n")).first()[0] or 0
     first = _shared(_pack_texts(base, n := max(partitions, total // (4 * UNIT) + 1), percent), n)
@@ -330,12 +334,13 @@ def jaccard_join(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_
     again = _shared(_pack_sets(members, n := max(partitions, total // UNIT + 1)), n)
     members = materialise(members.join(again, "c").where(F.expr(f"100 * k >= {percent} * n")).select("c", "n", "elements"), "jaccard-members")
     labels = class_components(members, percent)
-    lowest = rows.where("c is not null").groupBy("c").agg(F.min("id").alias("id")).join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
-    lowest = materialise(lowest, "jaccard-lowest")
-    component = lowest.groupBy("label").agg(F.min("id").alias("component_id"))
-    component = materialise(lowest.join(component, "label").select(F.col("c").alias("of"), "component_id"), "jaccard-components")
+    lowest = rows.where("c is not null").groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "nr")).alias("low"))
+    lowest = materialise(lowest.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c")), "jaccard-lowest")
+    component = lowest.groupBy("label").agg(F.min("low").alias("head"))
+    component = materialise(lowest.join(component, "label").select(F.col("c").alias("of"), F.col("head.id").alias("component_id"), F.col("head.nr").alias("head")), "jaccard-components")
     out = rows.join(component, rows["c"] == component["of"], "left")
-    return out.select("row", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    alone = F.col("c").isNull()
+    return out.select("row", F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), (alone | (F.col("nr") == F.col("head"))).alias("leads"))
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -367,6 +367,18 @@ def suffix_dedup(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_
     return _remove(joined.select("row", "text", "whole", "runs"), min_bytes)
 
 
+def as_text(frame: DataFrame) -> DataFrame:
+    """Adds ``kept_text``: the remaining bytes as text, without the bytes of characters that were cut through."""
+    schema = as_schema(frame, *frame.columns, "kept_text string")
+
+    def run(batches):
+        for batch in batches:
+            texts = [b.as_py().decode("utf-8", "ignore") for b in batch.column("kept")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
+
+    return frame.mapInArrow(run, schema)
+
+
 def _digests(frame: DataFrame) -> DataFrame:
     return frame.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
