@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from geoping.llm import decontaminate, jaccard_join, language_id, mixing, quality_rules, sentence_spans, suffix_dedup
+from geoping.llm import decontaminate, jaccard_join, language_id, mixing, quality_rules, sentence_spans, suffix_dedup, toxicity
 
 QUERIES = {
+    "op5_toxicity": toxicity.op5_toxicity,
     "op8_mixing": mixing.op8_mixing,
     "op4_language_id": language_id.op4_language_id,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
