@@ -4,10 +4,10 @@ The metric is the Jaccard distance of the documents' sets of five-word shingles;
 documents link at a distance of at most 1 - ``PERCENT`` / 100. Documents of equal sets are
 one class (they link at distance 0); all further work is on classes.
 
-1. Prefixes. Linked sets share a shingle among the first ``n - ceil(0.8 n) + 1`` of each in
-   hash order. A class none of whose prefix shingles occurs in another class's prefix has
-   no link. Then every shingle of the classes left is counted: a class with fewer
-   than ``ceil(0.8 n)`` shingles that other classes have too has no link either.
+1. Prefixes. Linked sets share at least k shingles among the first ``n - ceil(0.8 n) + k`` of
+   each in hash order (k: a tenth of the size, of the smaller one; one at least). A class with
+   fewer shared prefix shingles has no link. Then every shingle of the classes left is counted:
+   a class with fewer than ``ceil(0.8 n)`` shingles that other classes have too has no link either.
 2. Pivots and regions. Among the classes that have a shingle in their prefixes the smallest
    is a pivot. A class belongs to the region of each pivot it shares a prefix shingle with, so
    any two linked classes meet in a region. Its distances to its pivots are exact.
@@ -67,8 +67,13 @@ def sets(off: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return shingles, first, classes
 
 
-def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
-    return n - (percent * n + 99) // 100 + (n > 0)
+def prefix_size(n: np.ndarray, percent: int, shared: np.ndarray | int = 1) -> np.ndarray:
+    """Length of the prefixes in which linked sets share ``shared`` shingles."""
+    return n - (percent * n + 99) // 100 + shared * (n > 0)
+
+
+def _tenth(n: np.ndarray) -> np.ndarray:
+    return np.maximum(1, n // 10)
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -196,7 +201,8 @@ def _pack_texts(base: DataFrame, n_buckets: int, percent: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 s, first, classes = sets(*buffers(part.column("text")))
-                size = prefix_size(np.diff(first), percent)
+                n = np.diff(first)
+                size = prefix_size(n, percent, _tenth(n))
                 yield from packed.add(s[_ranges(first[:-1], size)], np.repeat(classes, size))
         yield from packed.flush()
 
@@ -325,8 +331,10 @@ def jaccard_join(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = rows.agg(F.sum("n")).first()[0] or 0
     first = _shared(_pack_texts(base, n := max(partitions, total // (4 * UNIT) + 1), percent), n)
-    first = materialise(first.select("c"), "jaccard-candidates")
-    leads = (rows.join(first, "c").groupBy("c").agg(F.min(F.struct("t1", "t2", F.col("id").isNull().alias("no_id"), "id")).alias("lead"))
+    first = materialise(first, "jaccard-candidates")
+    # the partner may be smaller by the similarity: so many shared shingles are sure
+    enough = F.expr(f"k >= greatest(1, (({percent} * n + 99) div 100) div 10)")
+    leads = (rows.join(first, "c").where(enough).groupBy("c").agg(F.min(F.struct("t1", "t2", F.col("id").isNull().alias("no_id"), "id")).alias("lead"))
              .select(F.col("lead.t1").alias("u1"), F.col("lead.t2").alias("u2"), F.col("lead.id").alias("lead_id")))
     texts = leads.hint("shuffle_hash").join(base, (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")) & F.col("id").eqNullSafe(F.col("lead_id")))
     members = materialise(_store(texts), "jaccard-sets")
