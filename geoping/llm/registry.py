@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from geoping.llm import decontaminate, jaccard_join, language_id, mixing, quality_rules, sentence_spans, suffix_dedup, toxicity
+from geoping.llm import decontaminate, jaccard_join, language_id, license_scan, mixing, quality_grade, quality_rules, sentence_spans, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_license_scan": license_scan.op1_license_scan,
+    "op7_quality_classifier": quality_grade.op7_quality_classifier,
     "op5_toxicity": toxicity.op5_toxicity,
     "op8_mixing": mixing.op8_mixing,
     "op4_language_id": language_id.op4_language_id,
