@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from geoping.session import scratch_path
@@ -190,26 +190,30 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, component): smallest node reachable over ``edges`` (a, b); nodes of edges only.
 
     Alternating large-star and small-star steps: every step is one aggregation by
-    node and one join, so no node's neighbours are gathered. Ends when the edges no longer change.
+    node and one join, so no node's neighbours are gathered. Ends when the edges no longer
+    change, by number and two sums of hashes that are taken while they are written.
     """
-    both = edges.where("a <> b").select("a", "b").distinct()
-    cur = materialise(both, f"{name}-edges")
-    while True:
+    def counted(frame: DataFrame, label: str) -> tuple[DataFrame, tuple]:
+        seen = Observation(f"{label}-{uuid.uuid4().hex}")
+        wide = "decimal(38,0)"
+        frame = frame.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.hash("a", "b").cast(wide)).alias("s"), F.sum(F.xxhash64("a", "b").cast(wide)).alias("t"))
+        out = materialise(frame, label)
+        return out, tuple(seen.get[k] for k in ("n", "s", "t"))
+
+    cur, before = counted(edges.where("a <> b").select("a", "b").distinct(), f"{name}-edges")
+    while before[0]:
         sym = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = sym.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = (sym.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        large = sym.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = materialise(large, f"{name}-large")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
-        joined = down.join(low, "a")
-        small = (joined.select(F.col("b").alias("a"), F.col("m").alias("b"))
-                 .unionByName(low.select("a", F.col("m").alias("b")))
-                 .where("a <> b").distinct())
-        small = materialise(small, f"{name}-small")
-        sums = [d.agg(F.count("*"), F.sum(F.hash("a", "b").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-                for d in (cur, small)]
-        cur = small
-        if sums[0] == sums[1]:
+        small = (down.join(low, "a").select(F.col("m").alias("x"), F.col("b").alias("y"))
+                 .unionByName(low.select(F.col("a").alias("x"), F.col("m").alias("y"))))
+        small = small.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).where("a <> b").distinct()
+        cur, after = counted(small, f"{name}-small")
+        if after == before:
             break
+        before = after
     return cur.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
