@@ -25,12 +25,12 @@ from ..session import ensure_checkpoint_dir
 MEASURES = ["battery", "signal", "altitude", "speed"]
 
 
-def grid_state(locations: DataFrame, grid_size: float = S.DEFAULT_GRID_SIZE) -> DataFrame:
-    """Per (cell_y, cell_x, device_id): n, decimal sums and non-null counts of the measures."""
+def grid_state(locations: DataFrame, grid_size: float = S.DEFAULT_GRID_SIZE, by: list[str] | None = None) -> DataFrame:
+    """Per (cell_y, cell_x, device_id) and the columns ``by``: n, decimal sums and non-null counts of the measures."""
     g = float(grid_size)
     return (locations
             .groupBy(C.grid_index("latitude", g).alias("cell_y"), C.grid_index("longitude", g).alias("cell_x"),
-                     F.col("device_id"))
+                     F.col("device_id"), *(by or []))
             .agg(F.count(F.lit(1)).alias("n"),
                  *[F.sum(F.col(m).cast(DECIMAL_TYPE)).alias(f"sum_{m}") for m in MEASURES],
                  *[F.count(m).alias(f"cnt_{m}") for m in MEASURES]))

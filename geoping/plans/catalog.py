@@ -421,7 +421,7 @@ def _incremental_run(spark, sf_dir) -> etl_plan.EtlPaths:
 def q_incremental_etl_grid(spark, sf_dir):
     """ST05/ST07/K01/K06: grid after two incremental runs (merged state) == full grid."""
     paths = _incremental_run(spark, sf_dir)
-    return spark.read.parquet(paths.grid).drop("bucket")
+    return etl_plan.read_grid(spark, paths)
 
 
 @register("incremental_etl_device_days")
@@ -448,7 +448,7 @@ def q_stream_ingest_grid(spark, sf_dir):
     paths = etl_plan.EtlPaths(root)
     stream_ops.run_available_now(spark, f"{landing}/*", paths, f"{root}/_checkpoint", districts(spark, sf_dir),
                                  provinces(spark, sf_dir), max_files_per_trigger=8)
-    return spark.read.parquet(paths.grid).drop("bucket")
+    return etl_plan.read_grid(spark, paths)
 
 
 @register("geojson_roundtrip")

@@ -2,17 +2,20 @@
 
 One lazy plan per step, no driver-side rows:
 
-* the batch is the source above the ledger's high-water mark (S03/S12), minus ids
-  already stored (J12, left anti join) so a rerun after a partial failure is idempotent;
+* the batch is the source above the ledger's high-water mark (S03/S12), one row per id
+  (the latest; ids are unique in the table, J12), minus the ids already stored;
 * cleaned, classified and geo-assigned rows (P01-P07, J01) are checkpointed once
-  (lineage cut in the shared checkpoint folder) and then feed every sink;
-* locations are appended, partitioned by ``date`` (K01);
-* the grid keeps a mergeable per-(cell, device) state (ST05) partitioned by a cell-hash
-  bucket; a run merges its batch into the buckets it touched and rewrites only those
-  (and their grid cells), so incremental == full without rewriting the whole state;
-* device-day summaries are recomputed for the dates the batch touched from the
-  full location table and replace only those partitions (K02, fixes Q14b);
+  (lineage cut in the shared checkpoint folder), then appended to the location table,
+  partitioned and clustered by ``date`` (K01);
+* everything else is derived from the *stored* rows of the dates that the batch (before
+  the anti join) touches, and replaces those date partitions: the mergeable per-(date, cell,
+  device) grid state (ST05) and the device-day summaries (K02). A rerun after a crash between
+  two sinks, or a batch that comes twice, therefore ends in the same tables;
+* the grid is merged from the state when it is read (``read_grid``); ``compact_grid`` writes it down;
 * the ledger row is appended last; FAILED runs are recorded and do not move the mark (K06).
+
+The touched dates are the only thing that reaches the driver (a row per day); as literals they prune
+the partitions of every later read. Pings without a timestamp are a date of their own (null).
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -59,11 +62,34 @@ class EtlPaths:
         return f"{self.root}/etl_runs"
 
 
-STATE_BUCKETS = 64   # grid-state partitions; a run rewrites only the buckets its batch touched
+@dataclass
+class Touched:
+    """Dates (None: no timestamp) and id range of a batch."""
+
+    dates: list
+    low: int | None
+    high: int | None
+
+
+def touched(batch: DataFrame) -> Touched:
+    rows = batch.groupBy(F.to_date("timestamp").alias("d")).agg(F.min("id").alias("low"), F.max("id").alias("high")).collect()
+    return Touched([r["d"] for r in rows], min((r["low"] for r in rows if r["low"] is not None), default=None),
+                   max((r["high"] for r in rows if r["high"] is not None), default=None))
+
+
+def on_dates(df: DataFrame, dates: list) -> DataFrame:
+    """Rows of the given dates as a literal filter, which prunes the ``date`` partitions."""
+    days = [d for d in dates if d is not None]
+    keep = F.col("date").isin(days) if days else F.lit(False)
+    return df.filter(keep | F.col("date").isNull() if None in dates else keep)
 
 
-def _with_bucket(df: DataFrame, buckets: int) -> DataFrame:
-    return df.withColumn("bucket", F.pmod(F.xxhash64("cell_y", "cell_x"), F.lit(buckets)).cast("int"))
+def latest_per_id(batch: DataFrame) -> DataFrame:
+    """One row per id: the latest timestamp, then the largest values column by column; rows without an id all stay."""
+    order = [F.col("timestamp").desc_nulls_last()] + [F.col(c).desc_nulls_last() for c in sorted(batch.columns) if c not in ("id", "timestamp")]
+    first = F.row_number().over(Window.partitionBy("id").orderBy(*order))
+    known = batch.filter("id is not null").withColumn("__first", first).filter("__first = 1").drop("__first")
+    return known.unionByName(batch.filter("id is null"))
 
 
 def device_day_from_locations(locations: DataFrame) -> DataFrame:
@@ -71,69 +97,62 @@ def device_day_from_locations(locations: DataFrame) -> DataFrame:
     return dev_ops.device_day_summary(locations, ordered=False)
 
 
-def write_batch_outputs(spark: SparkSession, located: DataFrame, paths: EtlPaths, full: bool,
-                        grid_size: float = S.DEFAULT_GRID_SIZE, buckets: int = STATE_BUCKETS) -> tuple[int, int | None]:
-    """Write one classified, geo-assigned batch to every table; returns (rows, max id).
+def dated_grid_state(locations: DataFrame, grid_size: float) -> DataFrame:
+    """Grid state per date: sums that merge exactly over dates."""
+    return grid_ops.grid_state(locations, grid_size, by=["date"])
+
+
+def read_grid(spark: SparkSession, paths: EtlPaths, grid_size: float = S.DEFAULT_GRID_SIZE) -> DataFrame:
+    """The grid cells of all stored dates, merged from the state."""
+    return grid_ops.grid_from_state(grid_ops.merge_grid_state(spark.read.parquet(paths.grid_state)), grid_size)
+
+
+def compact_grid(spark: SparkSession, paths: EtlPaths, grid_size: float = S.DEFAULT_GRID_SIZE) -> int:
+    """Write the merged grid to ``paths.grid`` for readers that want a table; run it as often as they need."""
+    return W.write_table(read_grid(spark, paths, grid_size), paths.grid, "overwrite")
+
+
+def write_batch_outputs(spark: SparkSession, located: DataFrame, paths: EtlPaths, full: bool, dates: list,
+                        grid_size: float = S.DEFAULT_GRID_SIZE) -> int:
+    """Write one classified, geo-assigned batch to every table; returns the rows added to the location table.
 
     Incremental batches must arrive materialised (checkpointed, batch-sized). In
     full mode the location table write itself is the materialisation: the
     downstream sinks read the written table back instead of a second copy.
     """
-    obs = Observation("batch")
-    observed = located.observe(obs, F.count(F.lit(1)).alias("rows"), F.max("id").alias("max_id"))
-    observed.write.mode("overwrite" if full else "append").partitionBy("date").parquet(paths.locations)
-    stats = obs.get
-    rows, max_id = int(stats.get("rows", 0)), stats.get("max_id")
+    schema = located.schema
+    clustered = located.hint("rebalance", "date")   # few files per date; AQE splits large dates
+    rows = W.write_table(clustered, paths.locations, "overwrite" if full else "append", ["date"])
+    stored = spark.read.schema(schema).parquet(paths.locations)
     if full:
-        located = spark.read.parquet(paths.locations)
-
-    # grid state: merge the batch into the touched buckets only, then rewrite those buckets (and their grid cells)
-    batch_state = _with_bucket(grid_ops.grid_state(located, grid_size), buckets)
-    if full or not W.table_exists(spark, paths.grid_state):
-        batch_state.write.mode("overwrite").partitionBy("bucket").parquet(paths.grid_state)
-        state = spark.read.parquet(paths.grid_state)
-    else:
-        touched = batch_state.select("bucket").distinct()
-        prev = spark.read.parquet(paths.grid_state).join(touched, "bucket", "left_semi")
-        state = grid_ops.merge_grid_state(prev.drop("bucket"), batch_state.drop("bucket"))
-        # materialise before overwriting the partitions it was read from
-        state = _with_bucket(state, buckets).checkpoint(eager=True)
-        W.replace_partitions(state, paths.grid_state, ["bucket"])
-    cells = grid_ops.grid_from_state(state.drop("bucket"), grid_size)
-    cells = _with_bucket(cells, buckets)
-    if full or not W.table_exists(spark, paths.grid):
-        cells.write.mode("overwrite").partitionBy("bucket").parquet(paths.grid)
-    else:
-        W.replace_partitions(cells, paths.grid, ["bucket"])
-
-    # device days: recompute the touched dates from the full table, replace those partitions only
-    touched_dates = located.select("date").distinct()
-    affected = spark.read.parquet(paths.locations).join(touched_dates, "date", "left_semi")
+        W.write_table(dated_grid_state(stored, grid_size), paths.grid_state, "overwrite", ["date"])
+        W.write_table(device_day_from_locations(stored), paths.device_days, "overwrite", ["date"])
+        return rows
+    affected = on_dates(stored, dates)
+    W.replace_partitions(dated_grid_state(affected, grid_size), paths.grid_state, ["date"])
     W.replace_partitions(device_day_from_locations(affected), paths.device_days, ["date"])
-    return rows, max_id
+    return rows
 
 
-def drop_stored(spark: SparkSession, batch: DataFrame, paths: EtlPaths) -> DataFrame:
-    """J12 at scale: anti join against stored ids of the batch's own dates only.
+def drop_stored(spark: SparkSession, batch: DataFrame, path: str, span: Touched) -> DataFrame:
+    """J12 at scale: anti join against the stored ids in the batch's id range, whatever their date.
 
-    A retried ping keeps its timestamp, hence its ``date`` partition; the semi join on
-    the batch's dates lets dynamic partition pruning skip every other partition.
+    Only the id column is read, and the range is pushed to the files: ids above the mark are
+    stored only if an earlier run broke off.
     """
-    if not W.table_exists(spark, paths.locations):
+    if span.low is None or not W.table_exists(spark, path):
         return batch
-    dates = batch.select(F.to_date("timestamp").alias("__d")).distinct()
-    stored = spark.read.parquet(paths.locations).select("id", "date")
-    stored = stored.join(dates, stored["date"].eqNullSafe(dates["__d"]), "left_semi")
+    stored = spark.read.schema("id long").parquet(path).filter(F.col("id").between(span.low, span.high))
     return only_new(batch, stored)
 
 
 def run_etl(spark: SparkSession, source: DataFrame, paths: EtlPaths, districts: DataFrame, provinces: DataFrame,
             mode: str = "incremental", grid_size: float = S.DEFAULT_GRID_SIZE,
-            index: SP.SpatialIndex | None = None, buckets: int = STATE_BUCKETS,
-            start=None, end=None) -> dict:
+            index: SP.SpatialIndex | None = None, start=None, end=None) -> dict:
     """ST07/P09: ``mode='full'`` (force) rebuilds every table; ``'incremental'`` processes rows above the mark.
 
-    ``start`` / ``end`` optionally bound the batch by timestamp (inclusive).
+    ``start`` / ``end`` optionally bound the batch by timestamp (inclusive). ``rows`` of the
+    result is the number of rows added.
     """
     if mode not in ("full", "incremental"):
         raise ValueError("mode must be 'full' or 'incremental'")
@@ -142,16 +161,20 @@ def run_etl(spark: SparkSession, source: DataFrame, paths: EtlPaths, districts:
     mark = L.last_mark(spark, paths.ledger) if mode == "incremental" else None
     try:
         batch = incremental_scan(normalise_pings(source, with_errors=False), last_id=mark, start=start, end=end)
-        if mode == "incremental":
-            batch = drop_stored(spark, batch, paths)
-        index = index or SP.build_index([("district", districts, "district_id"),
-                                         ("province", provinces, "province_id")], grid_size)
-        located = SP.assign_locations(transform_locations(batch, grid_size), districts, provinces, index=index)
-        if mode == "incremental":
-            # one batch-sized materialisation feeds all sinks; lineage cut in the shared checkpoint folder
-            located = located.checkpoint(eager=True)
-        rows, max_id = write_batch_outputs(spark, located, paths, mode == "full", grid_size, buckets)
-        new_mark = max_id if max_id is not None else mark
+        span = touched(batch)
+        rows, new_mark = 0, mark
+        if span.dates or mode == "full":
+            index = index or SP.build_index([("district", districts, "district_id"),
+                                             ("province", provinces, "province_id")], grid_size)
+            batch = latest_per_id(batch)
+            if mode == "incremental":
+                batch = drop_stored(spark, batch, paths.locations, span)
+            located = SP.assign_locations(transform_locations(batch, grid_size), districts, provinces, index=index)
+            if mode == "incremental":
+                # one batch-sized materialisation feeds all sinks; lineage cut in the shared checkpoint folder
+                located = located.checkpoint(eager=True)
+            rows = write_batch_outputs(spark, located, paths, mode == "full", span.dates, grid_size)
+            new_mark = span.high if span.high is not None else mark
         L.append_run(spark, paths.ledger, new_mark, rows, S.STATUS_SUCCESS, time.time() - started)
         return {"rows": rows, "last_processed_id": new_mark}
     except Exception as exc:  # record the failure; the mark stays where it was
@@ -169,29 +192,34 @@ def reassign_missing(spark: SparkSession, paths: EtlPaths, districts: DataFrame,
     """
     ensure_checkpoint_dir(spark)
     stored = spark.read.parquet(paths.locations)
-    dates = stored.filter(F.col("district_id").isNull() | F.col("province_id").isNull()).select("date").distinct()
-    affected = stored.join(dates, "date", "left_semi")
+    missing = stored.filter(F.col("district_id").isNull() | F.col("province_id").isNull())
+    dates = [r["date"] for r in missing.select("date").distinct().collect()]   # a row per day
+    if not dates:
+        return 0
     index = index or SP.build_index([("district", districts, "district_id"), ("province", provinces, "province_id")])
-    fixed = SP.assign_locations(affected, districts, provinces, index=index, only_missing=True)
+    fixed = SP.assign_locations(on_dates(stored, dates), districts, provinces, index=index, only_missing=True)
     fixed = fixed.select(*stored.columns).checkpoint(eager=True)
-    return W.replace_partitions(fixed, paths.locations, ["date"])
+    return W.replace_partitions(fixed.hint("rebalance", "date"), paths.locations, ["date"])
 
 
 def run_device_day_job(spark: SparkSession, source: DataFrame, root: str) -> dict:
     """The device-per-day job (§3.2): P02/P04 clean -> K11 clean positions -> A08 summary -> K02 replace dates.
 
-    The summary of every date present in the batch is recomputed from the whole
-    clean-positions table (not from the batch alone), then replaces those date
-    partitions; other dates stay untouched.
+    Positions already stored (by id) are not added again. The summary of every date
+    present in the batch is recomputed from the whole clean-positions table (not from the
+    batch alone), then replaces those date partitions; other dates stay untouched. The
+    same batch twice changes nothing.
     """
     ensure_checkpoint_dir(spark)
     clean = normalise_pings(source, with_errors=False)
     clean = clean.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-    clean = clean.withColumn("date", F.to_date("timestamp")).checkpoint(eager=True)
+    span = touched(clean)
+    if not span.dates:
+        return {"clean_rows": 0, "summary_rows": 0}
     positions = f"{root}/clean_positions"
-    written = W.write_table(clean, positions, "append", ["date"])
-    touched = clean.select("date").distinct()
-    affected = spark.read.parquet(positions).join(touched, "date", "left_semi")
+    fresh = drop_stored(spark, latest_per_id(clean), positions, span).withColumn("date", F.to_date("timestamp")).checkpoint(eager=True)
+    written = W.write_table(fresh.hint("rebalance", "date"), positions, "append", ["date"])
+    affected = on_dates(spark.read.schema(fresh.schema).parquet(positions), span.dates)
     summary = dev_ops.device_day_summary(affected, ordered=False)
     replaced = W.replace_partitions(summary, f"{root}/device_day_summary", ["date"])
     return {"clean_rows": written, "summary_rows": replaced}

@@ -5,9 +5,9 @@ inference), ``trigger(availableNow=True)`` for scheduled runs (the checkpoint
 replaces the ledger's id mark), and ``foreachBatch`` for the idempotent,
 partitioned writes of each micro-batch:
 
-* ST02: ids already stored are removed with a left anti join before appending;
+* ST02: one row per id; ids already stored are removed with a left anti join before appending;
 * ST06: each micro-batch is geo-assigned with the stream-static spatial join;
-* ST05: the batch's per-(cell, device) state is merged into the grid-state buckets it touches;
+* ST05: the per-(date, cell, device) grid state of the dates the batch touched is derived from the stored rows;
 * ST04: device-day rows of the dates the batch touched are recomputed from the
   stored locations and replace those partitions (late rows handled);
 * ST03: optional ``dropDuplicatesWithinWatermark`` on ``id`` inside the stream.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..operators import spatial as SP
 from ..operators.transform import transform_locations
-from ..plans.etl import EtlPaths, drop_stored, write_batch_outputs
+from ..plans.etl import EtlPaths, drop_stored, latest_per_id, touched, write_batch_outputs
 from ..sources.pings import normalise_pings
 
 
@@ -62,13 +62,14 @@ def make_batch_writer(paths: EtlPaths, index: SP.SpatialIndex, districts: DataFr
     """ST02/ST04/ST05/ST06: the ``foreachBatch`` function."""
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
+        # a replayed epoch finds its rows stored, and derives the same partitions from them again
         spark = batch.sparkSession
-        batch = drop_stored(spark, batch.dropDuplicates(["id"]), paths)
-        located = SP.assign_locations(transform_locations(batch, grid_size), districts, provinces, index=index)
-        located = located.checkpoint(eager=True)
-        if located.isEmpty():
+        span = touched(batch)
+        if not span.dates:
             return
-        write_batch_outputs(spark, located, paths, False, grid_size)
+        fresh = drop_stored(spark, latest_per_id(batch), paths.locations, span)
+        located = SP.assign_locations(transform_locations(fresh, grid_size), districts, provinces, index=index)
+        write_batch_outputs(spark, located.checkpoint(eager=True), paths, False, span.dates, grid_size)
 
     return write_batch
 

@@ -39,7 +39,7 @@ def test_json_landing_stream_through_batch_writer(spark):
 
     from pyspark.sql import functions as F
 
-    from geoping.plans.etl import EtlPaths
+    from geoping.plans.etl import EtlPaths, read_grid
     from tests.conftest import POLY_SCHEMA, geom_rows, square
 
     root = scratch_path(spark, f"stj-{uuid.uuid4().hex[:8]}")
@@ -62,5 +62,5 @@ def test_json_landing_stream_through_batch_writer(spark):
     assert loc.count() == 60 and loc.select("id").distinct().count() == 60      # repeats dropped
     assert loc.filter("district_id = 1 and province_id = 7").count() == 60
     assert loc.filter("speed = 0.0").count() == 15                               # 'oops' -> null -> 0.0
-    grid = spark.read.parquet(paths.grid)
+    grid = read_grid(spark, paths)
     assert grid.agg(F.sum("point_count")).collect()[0][0] == 60
