@@ -16,32 +16,23 @@ from ..functions import classify as C
 from ..session import ensure_checkpoint_dir
 
 BROADCAST_MAX_DIM_ROWS = 1_000_000
-SMALL_KEYING_MAX_ROWS = 5_000_000
 
 
-KEY_PARTITIONS = 64
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def dense_keys(df: DataFrame, order_cols: list, key: str = "id", small: bool | None = None,
-               partitions: int = KEY_PARTITIONS) -> DataFrame:
+def dense_keys(df: DataFrame, order_cols: list, key: str = "id", partitions: int | None = None) -> DataFrame:
     """Surrogate keys 1..n in the order of ``order_cols``.
 
-    Small inputs (row count measured): ``row_number`` over one ordered window.
-    Large ones stay in the JVM and never gather all rows in one task: a range
-    partitioning by the order, a ``row_number`` inside each range partition, and
-    each partition's offset (prefix sum of the partition counts; one number per
-    partition reaches the driver) added through a broadcast join.
+    Rows are never gathered in one task: a range partitioning by the order (as many
+    ranges as the session shuffles to, unless given), a ``row_number`` inside each range, and
+    each range's offset (prefix sum of the range counts; one number per range reaches
+    the driver) added through a broadcast join.
     """
-    if small is None:
-        # materialise once in the shared checkpoint folder: the count and the keying reuse it
-        ensure_checkpoint_dir(df.sparkSession)
-        df = df.checkpoint(eager=True)
-        small = df.count() <= SMALL_KEYING_MAX_ROWS
-    if small:
-        return df.withColumn(key, F.row_number().over(Window.orderBy(*order_cols)).cast("long"))
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    ranged = (df.repartitionByRange(partitions, *order_cols).withColumn("__pid", F.spark_partition_id())
+    ranged = (df.repartitionByRange(partitions or shuffle_partitions(spark), *order_cols).withColumn("__pid", F.spark_partition_id())
               .checkpoint(eager=True))                       # fixes the partition of every row
     counts = sorted((r["__pid"], int(r["n"])) for r in
                     ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("n")).collect())

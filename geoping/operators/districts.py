@@ -217,8 +217,8 @@ def district_profile(locations: DataFrame, districts: DataFrame, index: SP.Spati
 
 
 def repeatable_sample(df: DataFrame, n: int, seed: int = 42, key: str = "id") -> DataFrame:
-    """``n`` rows chosen by a seeded hash of the key (repeatable, no driver-side sampling)."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """``n`` rows chosen by the MD5 of key and seed (repeatable in any engine, no driver-side sampling)."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
 
 
 def sample_by_district(points: DataFrame, index: SP.SpatialIndex, districts: DataFrame, n: int = 500,

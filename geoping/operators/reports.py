@@ -14,14 +14,15 @@ from .. import schemas as S
 from ..functions import classify as C
 from ..functions.numeric import exact_mean, percent
 from ..session import ensure_checkpoint_dir
+from .dimensions import shuffle_partitions
 
 
-def _materialise(grouped: DataFrame) -> tuple[DataFrame, int, int]:
-    """Checkpoint aggregated rows once; return them with their record total and row count (one job)."""
+def _materialise(grouped: DataFrame) -> tuple[DataFrame, int]:
+    """Checkpoint aggregated rows once; return them with their record total."""
     ensure_checkpoint_dir(grouped.sparkSession)
     grouped = grouped.checkpoint(eager=True)
-    row = grouped.agg(F.sum("records").alias("t"), F.count(F.lit(1)).alias("n")).collect()[0]
-    return grouped, int(row["t"] or 0), int(row["n"] or 0)
+    row = grouped.agg(F.sum("records").alias("t")).collect()[0]
+    return grouped, int(row["t"] or 0)
 
 
 def _with_share(grouped: DataFrame, key: str | None = None) -> DataFrame:
@@ -29,16 +30,14 @@ def _with_share(grouped: DataFrame, key: str | None = None) -> DataFrame:
 
     The grouped rows are aggregates: they are materialised once, the total is
     applied as a scalar literal (no window over all groups, no join), and the
-    rank uses the measured row count to pick a single window or the
-    range-partitioned numbering of ``dense_keys``.
+    rank is the range-partitioned numbering of ``dense_keys``.
     """
-    from .dimensions import SMALL_KEYING_MAX_ROWS, dense_keys
-    grouped, total, n = _materialise(grouped)
+    from .dimensions import dense_keys
+    grouped, total = _materialise(grouped)
     out = grouped.withColumn("percentage", percent(F.col("records"), F.lit(total)))
     if key is None:
         return out
-    ranked = dense_keys(out, [F.desc("records"), F.asc_nulls_last(key)], key="rank",
-                        small=n <= SMALL_KEYING_MAX_ROWS)
+    ranked = dense_keys(out, [F.desc("records"), F.asc_nulls_last(key)], key="rank")
     return ranked.withColumn("rank", F.col("rank").cast("int"))
 
 
@@ -107,10 +106,7 @@ def value_histogram(pings: DataFrame, col: str = "speed") -> DataFrame:
     return pings.groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("n"))
 
 
-RANK_PARTITIONS = 64
-
-
-def exact_ranks(hist: DataFrame, ps: dict[str, float], partitions: int = RANK_PARTITIONS) -> DataFrame:
+def exact_ranks(hist: DataFrame, ps: dict[str, float], partitions: int | None = None) -> DataFrame:
     """Exact ``sorted[int(n * p)]`` for each ``p`` from a value histogram ``(v, n)``; one row.
 
     Distributed selection: the non-null histogram is range-partitioned by value
@@ -121,7 +117,7 @@ def exact_ranks(hist: DataFrame, ps: dict[str, float], partitions: int = RANK_PA
     """
     spark = hist.sparkSession
     h = hist.filter(F.col("v").isNotNull())
-    ranged = h.repartitionByRange(partitions, "v").withColumn("__pid", F.spark_partition_id())
+    ranged = h.repartitionByRange(partitions or shuffle_partitions(spark), "v").withColumn("__pid", F.spark_partition_id())
     ensure_checkpoint_dir(spark)
     ranged = ranged.checkpoint(eager=True)
     sums = sorted((r["__pid"], int(r["s"])) for r in

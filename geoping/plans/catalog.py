@@ -458,9 +458,7 @@ def q_geojson_roundtrip(spark, sf_dir):
     d = fixtures.parcels(spark, sf_dir)
     feats = W.geojson_features(d.withColumn("DISTRITO", F.concat(F.lit("Distrito "), F.col("parcel_id")))
                                .withColumnRenamed("parcel_name", "NOMBRE"), ["DISTRITO", "NOMBRE"])
-    # polygon files are written as JSON lines of features (scales); S08 reads them back as one collection each
-    feats.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.col("feature"), F.lit("]}"))) \
-        .write.mode("overwrite").text(f"{root}/parcels.geojson")
+    feats.write.mode("overwrite").text(f"{root}/parcels.geojson")   # JSON lines of features
     back = poly_src.district_attributes(poly_src.read_geojson_lines(spark, f"{root}/parcels.geojson"))
     return dist_ops.polygon_measures(back, "district_number").select(
         F.col("district_number").cast("long").alias("parcel_id"), "area_km2", "perimeter_km")

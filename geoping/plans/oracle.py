@@ -548,10 +548,10 @@ SELECT device_id, device_name, date, COUNT(*) AS points_count, {MEAN('speed')} A
   MAX(speed) AS max_speed, {MEAN('battery')} AS avg_battery
 FROM locations GROUP BY device_id, device_name, date""")
 
-ORACLE["geojson_roundtrip"] = with_measures("""
-SELECT n.district_number, m.area_km2, m.perimeter_km FROM measures m JOIN d_names n ON n.district_id = m.district_id""")
-
-ORACLE["wkt_roundtrip"] = with_measures("SELECT district_id, area_km2, perimeter_km FROM measures")
+ORACLE["sample_by_district"] = with_spatial("""
+, chosen AS (SELECT id FROM locations ORDER BY md5(CAST(id AS VARCHAR) || ':42'), id LIMIT 500)
+SELECT COALESCE(district_name, 'Fuera de distritos') AS district_label, COUNT(*) AS points
+FROM chosen LEFT JOIN d_min USING (id) LEFT JOIN d_names USING (district_id) GROUP BY 1""")
 
 
 ORACLE["poi_by_district"] = with_spatial("""

@@ -68,22 +68,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for intermediate tables under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/geoping-tables/{name}"
-
-
-def spread_input(df, key: str, min_partitions: int | None = None):
-    """Use every core on inputs with fewer splits than the session's parallelism.
-
-    A scan of one small file (one parquet row group) is a single task; the CPU-heavy
-    narrow work after it (casts, regex classification) would then run on one core.
-    When the scan has fewer partitions than ``defaultParallelism`` it is spread
-    round-robin; on large inputs (many row groups) it is returned unchanged.
-    """
-    sc = df.sparkSession.sparkContext
-    target = min_partitions or sc.defaultParallelism
-    memo = (sc.applicationId, key, target)      # one split count per input path and application
-    if memo not in _SPLITS:
-        _SPLITS[memo] = df.rdd.getNumPartitions()
-    return df.repartition(target) if _SPLITS[memo] < target else df
-
-
-_SPLITS: dict = {}

@@ -91,8 +91,8 @@ def geojson_features(polys: DataFrame, props: list[str]) -> DataFrame:
         .alias("geometry"))).alias("feature"))
 
 
-def feature_collection(features: DataFrame, max_features: int = 100_000) -> DataFrame:
-    """A single FeatureCollection document (for polygon tables of measured, bounded size)."""
+def feature_collection(features: DataFrame, max_features: int) -> DataFrame:
+    """A single FeatureCollection document, for polygon tables of at most the caller's ``max_features`` rows."""
     n = features.count()
     if n > max_features:
         raise ValueError(f"{n} features: write JSON lines with geojson_features instead")

@@ -109,9 +109,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def raw_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed raw pings (id, device, coordinates, measures, texts, timestamp) from ``events``."""
-    from ..session import spread_input
     events = _table(spark, sf_dir, "events")
-    return spark.sql(RAW_PINGS_SQL, events=spread_input(events, f"{sf_dir.rstrip('/')}/events.parquet"))
+    return spark.sql(RAW_PINGS_SQL, events=events)
 
 
 def points_of_interest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,16 +22,14 @@ def read_ping_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     An empty input keeps the schema, so later column use never breaks.
     """
-    from ..session import spread_input
     raw = spark.read.schema(S.RAW_PING_SCHEMA).option("mode", "PERMISSIVE").json(path)
-    return normalise_pings(spread_input(raw, str(path)))
+    return normalise_pings(raw)
 
 
 def read_ping_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Typed ping files (the ETL's own landing format)."""
-    from ..session import spread_input
     paths = [path] if isinstance(path, str) else list(path)
-    return normalise_pings(spread_input(spark.read.parquet(*paths), str(path)))
+    return normalise_pings(spark.read.parquet(*paths))
 
 
 def _to_double(c: Column) -> Column:

@@ -11,19 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geometry as G
+from ..operators.dimensions import dense_keys
 
-FEATURE_COLLECTION_SCHEMA = T.StructType([
+FEATURE_SCHEMA = T.StructType([
     T.StructField("type", T.StringType()),
-    T.StructField("features", T.ArrayType(T.StructType([
+    T.StructField("properties", T.MapType(T.StringType(), T.StringType())),
+    T.StructField("geometry", T.StructType([
         T.StructField("type", T.StringType()),
-        T.StructField("properties", T.MapType(T.StringType(), T.StringType())),
-        T.StructField("geometry", T.StructType([
-            T.StructField("type", T.StringType()),
-            # kept as raw JSON text; parsed by geometry type afterwards
-            T.StructField("coordinates", T.StringType()),
-        ])),
-    ]))),
+        # kept as raw JSON text; parsed by geometry type afterwards
+        T.StructField("coordinates", T.StringType()),
+    ])),
 ])
+#: A FeatureCollection document, or a single Feature.
+GEOJSON_SCHEMA = T.StructType([*FEATURE_SCHEMA.fields, T.StructField("features", T.ArrayType(FEATURE_SCHEMA))])
 
 # Property aliases tried in order (first non-blank wins).
 DISTRICT_NUMBER_ALIASES = ["DISTRITO", "distrito", "district", "Distrito", "DISTRICT_N", "id"]
@@ -31,6 +31,7 @@ DISTRICT_NAME_ALIASES = ["NOMBRE", "nombre", "name", "Nombre", "NAME"]
 PROVINCE_NAME_ALIASES = ["provincia", "PROVINCIA", "nombre", "NOMBRE", "name"]
 MUNICIPALITY_ALIASES = ["municipio", "MUNICIPIO", "municipality"]
 DEPARTMENT_ALIASES = ["departamen", "DEPARTAMEN", "departamento"]
+DEFAULT_DEPARTMENT = "Santa Cruz"
 
 
 def polygons_from_vertices(vertices: DataFrame, attrs: list[str] | None = None,
@@ -73,37 +74,42 @@ def first_int(text: Column) -> Column:
 def read_geojson_features(spark: SparkSession, path: str) -> DataFrame:
     """FeatureCollection file(s) -> one row per feature with position, properties, geometry.
 
-    Rejects non-FeatureCollection documents and features without geometry or of
-    types other than Polygon/MultiPolygon (F20).
+    Rejects documents other than FeatureCollections and Features, and features without
+    geometry or of types other than Polygon/MultiPolygon (F20).
     """
-    doc = spark.read.option("multiLine", True).schema(FEATURE_COLLECTION_SCHEMA).json(path)
-    return features_to_polygons(doc)
+    doc = spark.read.option("multiLine", True).schema(GEOJSON_SCHEMA).json(path)
+    return features_to_polygons(doc.select("*", F.col("_metadata.file_path").alias("source")))
 
 
 def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
-    """S08 for large polygon sets: one FeatureCollection (or Feature list) document per line.
+    """S08 for large polygon sets: one Feature (as ``geojson_features`` writes) or FeatureCollection per line.
 
     Unlike a single multi-line document (read by one task), line-delimited files
     split across tasks like any text input.
     """
-    return geojson_text_features(spark, spark.read.text(path).withColumnRenamed("value", "text"))
+    lines = spark.read.text(path)
+    return geojson_text_features(spark, lines.select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("file")))
 
 
 def geojson_text_features(spark: SparkSession, texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """FeatureCollection documents held in a string column -> feature rows."""
-    doc = texts.select(F.from_json(F.col(text_col), FEATURE_COLLECTION_SCHEMA).alias("d")).select("d.*")
+    """FeatureCollection or Feature documents held in a string column -> feature rows."""
+    source = F.concat_ws("|", F.col("file") if "file" in texts.columns else F.lit(""), F.md5(F.col(text_col)))
+    doc = texts.select(F.from_json(F.col(text_col), GEOJSON_SCHEMA).alias("d"), source.alias("source")).select("d.*", "source")
     return features_to_polygons(doc)
 
 
 def features_to_polygons(doc: DataFrame) -> DataFrame:
-    feats = (doc.filter(F.col("type") == "FeatureCollection")
-             .select(F.posexplode("features").alias("pos", "f")))
+    """Features numbered from 0 over all documents (``pos``, in the order of document and position), rings closed."""
+    own = F.array(F.struct("type", "properties", "geometry"))
+    feats = F.when(F.col("type") == "FeatureCollection", F.col("features")).when(F.col("type") == "Feature", own)
+    feats = doc.select("source", F.posexplode(feats).alias("at", "f"))
+    feats = dense_keys(feats, ["source", "at"], key="n").withColumn("pos", (F.col("n") - 1).cast("int"))
     feats = feats.filter(F.col("f.geometry").isNotNull())
     out = feats.select(
         "pos",
         F.col("f.properties").alias("properties"),
         F.col("f.geometry.type").alias("geom_type"),
-        G.from_geojson_coordinates(F.col("f.geometry.type"), F.col("f.geometry.coordinates")).alias("geom"))
+        G.close_rings(G.from_geojson_coordinates(F.col("f.geometry.type"), F.col("f.geometry.coordinates"))).alias("geom"))
     return out.filter(F.col("geom").isNotNull())
 
 
@@ -126,13 +132,13 @@ def province_attributes(features: DataFrame) -> DataFrame:
         F.coalesce(_first_present(p, PROVINCE_NAME_ALIASES),
                    F.concat(F.lit("Provincia "), (F.col("pos") + 1).cast("string"))).alias("province_name"),
         _first_present(p, MUNICIPALITY_ALIASES).alias("municipality"),
-        _first_present(p, DEPARTMENT_ALIASES).alias("department"),
+        F.coalesce(_first_present(p, DEPARTMENT_ALIASES), F.lit(DEFAULT_DEPARTMENT)).alias("department"),
         "geom")
 
 
 def read_wkt_polygons(df: DataFrame, wkt_col: str = "geom_wkt") -> DataFrame:
     """A table with WKT text (e.g. a JDBC read) -> geometry column."""
-    return df.withColumn("geom", G.from_wkt(F.col(wkt_col)))
+    return df.withColumn("geom", G.close_rings(G.from_wkt(F.col(wkt_col))))
 
 
 def with_measures(polys: DataFrame) -> DataFrame:

@@ -4,10 +4,10 @@ from pyspark.sql import functions as F
 from geoping.operators import dimensions as D
 
 
-def test_dense_keys_small_and_large_paths_agree(spark):
+def test_dense_keys_do_not_depend_on_the_number_of_ranges(spark):
     df = spark.createDataFrame([(f"k{i:04d}", i % 7) for i in range(500)], "name string, g int").repartition(6)
-    small = {r["name"]: r["id"] for r in D.dense_keys(df, ["g", "name"], small=True).collect()}
-    large = {r["name"]: r["id"] for r in D.dense_keys(df, ["g", "name"], small=False).collect()}
+    small = {r["name"]: r["id"] for r in D.dense_keys(df, ["g", "name"], partitions=1).collect()}
+    large = {r["name"]: r["id"] for r in D.dense_keys(df, ["g", "name"], partitions=9).collect()}
     assert small == large and sorted(small.values()) == list(range(1, 501))
 
 

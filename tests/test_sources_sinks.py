@@ -3,6 +3,7 @@ import datetime as dt
 import json
 import uuid
 
+from pyspark.sql import functions as F
 
 from geoping import schemas as S
 from geoping.operators import reports as R
@@ -13,6 +14,8 @@ from geoping.sources import ledger as L
 from geoping.sources import pings as P
 from geoping.sources import polygons as PS
 
+from .conftest import POLY_SCHEMA, geom_rows, square
+
 
 def test_json_pings_fixed_schema_and_empty_input(spark, tmp_path):
     lines = [{"id": 1, "device_id": "a", "latitude": "-18.1", "longitude": -63.2, "battery": 55.5,
@@ -87,3 +90,14 @@ def test_backfill_time_fields(spark):
                                "id long, timestamp timestamp_ntz, hour_value int")
     got = {r["id"]: (r["hour_value"], r["time_period"]) for r in backfill_time_fields(df).collect()}
     assert got == {1: (7, "MAÑANA"), 2: (5, "NOCHE")}
+
+
+def test_feature_lines_are_read_back_with_unique_numbers_and_closed_rings(spark, tmp_path):
+    polys = spark.createDataFrame(geom_rows([(i, [[square(i, 0, 1)]]) for i in range(3)]), POLY_SCHEMA).withColumn("nombre", F.concat(F.lit("P"), "polygon_id"))
+    W.geojson_features(polys, ["nombre"]).coalesce(1).write.text(str(tmp_path / "lines"))
+    back = PS.province_attributes(PS.read_geojson_lines(spark, str(tmp_path / "lines"))).collect()
+    assert sorted(r["province_id"] for r in back) == [1, 2, 3] and {r["province_name"] for r in back} == {"P0", "P1", "P2"}
+    assert {r["department"] for r in back} == {"Santa Cruz"}
+    open_ring = '{"type":"Feature","properties":{},"geometry":{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,1]]]}}'
+    feats = PS.geojson_text_features(spark, spark.createDataFrame([(open_ring,)], "text string")).collect()
+    assert len(feats[0]["geom"][0][0]) == 5
