@@ -35,11 +35,6 @@ def mean_from(decimal_sum: Column, n: Column) -> Column:
     return F.try_divide(decimal_sum.cast("double"), n.cast("double"))
 
 
-def round_half_up(c: Column | str, digits: int = 2) -> Column:
-    """round HALF_UP on the decimal representation (Spark ``round``)."""
-    return F.round(_c(c), digits)
-
-
 def safe_divide(num: Column | str, den: Column | str) -> Column:
     """F32: num / den, null when den is 0 or null."""
     return F.try_divide(_c(num).cast("double"), _c(den).cast("double"))

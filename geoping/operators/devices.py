@@ -32,14 +32,6 @@ def device_extents(locations: DataFrame) -> DataFrame:
             .agg(F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen")))
 
 
-def _count_map(df: DataFrame, key: str, label: str, out: str) -> DataFrame:
-    """Two-level count -> map(label -> count) per key; the map has one entry per distinct label."""
-    return (df.groupBy(key, label).agg(F.count(F.lit(1)).alias("__n"))
-            .groupBy(key)
-            .agg(F.map_from_entries(F.sort_array(F.collect_list(
-                F.struct(F.coalesce(F.col(label), F.lit("NULL")).alias("k"), F.col("__n").alias("v"))))).alias(out)))
-
-
 def device_stats(locations: DataFrame, coord_digits: int = 3) -> DataFrame:
     """Per device latest name, records, first/last seen, averages, most common (rounded) position, label maps.
 

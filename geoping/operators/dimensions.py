@@ -124,9 +124,10 @@ def missing_members(new_dim: DataFrame, existing: DataFrame, natural_key: str) -
 def _dim_join(fact: DataFrame, dim: DataFrame, on, how: str = "left", rows: int | None = None) -> DataFrame:
     """Join a dimension; broadcast when its row count is known to be small.
 
-    Fixed label dimensions pass their row count. Data-derived dimensions pass
-    none: AQE measures the materialised side at runtime and converts the join
-    to a broadcast only when it is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``.
+    Fixed label dimensions pass their row count, networks and operators their measured
+    one (few values, so a shuffle on them would be skewed). Devices pass none: AQE
+    measures the materialised side at runtime and converts the join to a broadcast only
+    when it is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``.
     """
     side = F.broadcast(dim) if rows is not None and rows <= BROADCAST_MAX_DIM_ROWS else dim
     return fact.join(side, on, how)
@@ -146,9 +147,9 @@ def fact_locations(spark: SparkSession, locations: DataFrame, dims: dict[str, Da
     f = _dim_join(f, dims["dim_battery"].select("battery_level", F.col("id").alias("battery_id")), "battery_level",
                   rows=len(S.BATTERY_DIM))
     nets = dims["dim_network"].select(F.col("network_type").alias("__net"), F.col("id").alias("network_id"))
-    f = _dim_join(f, nets, f["network_type_raw"].eqNullSafe(nets["__net"])).drop("__net")
-    f = _dim_join(f, dims["dim_operator"].select(F.col("operator_name").alias("sim_operator"),
-                                                 F.col("id").alias("operator_id")), "sim_operator")
+    f = _dim_join(f, nets, f["network_type_raw"].eqNullSafe(nets["__net"]), rows=nets.count()).drop("__net")
+    ops = dims["dim_operator"].select(F.col("operator_name").alias("sim_operator"), F.col("id").alias("operator_id"))
+    f = _dim_join(f, ops, "sim_operator", rows=ops.count())
     f = _dim_join(f, dims["dim_device"].select("device_id", F.col("id").alias("device_key")), "device_id")
     return f.select(F.col("id").alias("location_id"), "time_id", "altitude_id", "battery_id", "network_id",
                     "operator_id", "device_key", "date", "latitude", "longitude", "altitude", "speed", "battery",

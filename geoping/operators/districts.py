@@ -69,11 +69,6 @@ def district_statistics(locations: DataFrame, districts: DataFrame, index: SP.Sp
         avg("battery").alias("avg_battery"), avg("signal").alias("avg_signal"), avg("speed").alias("avg_speed"))
 
 
-def district_statistics_one(stats: DataFrame, district_number: int) -> DataFrame:
-    """A09 from an all-district result: one district by number (no row when unknown)."""
-    return stats.filter(F.col("district_number") == F.lit(district_number))
-
-
 def district_statistics_for(locations: DataFrame, districts: DataFrame, index: SP.SpatialIndex,
                             district_number: int, layer: str = "district", digits: int = 2) -> DataFrame:
     """Statistics of one district, reading only the points in its cells (bbox pushed to the scan).

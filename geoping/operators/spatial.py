@@ -43,6 +43,7 @@ from ..session import ensure_checkpoint_dir
 DEFAULT_CELL_SIZE = 0.01
 DEFAULT_MAX_CELLS = 4_000_000                 # all levels together
 DEFAULT_MAX_CELLS_PER_POLYGON = 65_536        # finest level per polygon: at most 256 x 256 cells
+BROADCAST_MAX_BYTES = 64 << 20
 DEFAULT_BROADCAST_MAX_EDGES = 1_000_000      # edge references in a broadcast cover (~32 B each: ~50 MB)
 DEFAULT_BROADCAST_MAX_ROWS = 1_000_000        # polygon attribute rows broadcast for name lookups
 DEFAULT_HOT_ROWS = 5_000_000                  # shuffle mode: points per cell handled by one task before salting
@@ -124,30 +125,15 @@ def build_index(layers: list[tuple[str, DataFrame, str]], cell_size: float = DEF
                 max_cells_per_polygon: int = DEFAULT_MAX_CELLS_PER_POLYGON) -> SpatialIndex:
     """Build the cell cover for ``layers``: list of (name, polygon frame, id column with a ``geom`` column).
 
-    Indexes are cached per session by the polygon plans' semantic hash and the
-    build parameters, so several queries over the same polygon tables reuse
-    one checkpointed cover.
+    The cover is built from what the polygon tables hold now; callers that join several
+    times keep the index.
     """
-    key = (tuple((n, df.semanticHash(), c) for n, df, c in layers), float(cell_size), int(max_cells),
-           int(broadcast_max_edges), force_broadcast, int(max_cells_per_polygon),
-           layers[0][1].sparkSession.sparkContext.applicationId)
-    hit = _INDEX_CACHE.get(key)
-    if hit is not None:
-        return hit
-    index = _build_index(layers, cell_size, max_cells, broadcast_max_edges, force_broadcast,
-                         min(max_cells_per_polygon, max_cells))
-    _INDEX_CACHE[key] = index
-    if hot_rows != index.hot_rows:
-        from dataclasses import replace
-        return replace(index, hot_rows=hot_rows)
-    return index
-
-
-_INDEX_CACHE: dict = {}
+    return _build_index(layers, cell_size, max_cells, broadcast_max_edges, force_broadcast,
+                        min(max_cells_per_polygon, max_cells), hot_rows)
 
 
 def _build_index(layers, cell_size, max_cells, broadcast_max_edges, force_broadcast,
-                 per_polygon) -> SpatialIndex:
+                 per_polygon, hot_rows) -> SpatialIndex:
     names = [n for n, _, _ in layers]
     polys = None
     for i, (_, df, id_col) in enumerate(layers):
@@ -167,9 +153,11 @@ def _build_index(layers, cell_size, max_cells, broadcast_max_edges, force_broadc
                           F.sum(F.aggregate("cands", F.lit(0), lambda a, x: a + F.size(x["edges"]))).alias("m")
                           ).collect()[0]
         n_cells, n_refs = int(stats["n"] or 0), int(stats["m"] or 0)
-        bc = (n_refs <= broadcast_max_edges and n_cells <= max_cells) if force_broadcast is None else force_broadcast
+        # a cover row is about 80 bytes, an edge in it 48
+        small = n_refs <= broadcast_max_edges and 80 * n_cells + 48 * n_refs <= BROADCAST_MAX_BYTES
+        bc = small if force_broadcast is None else force_broadcast
         levels.append(CoverLevel(cell_size=c, cover=cover, n_cells=n_cells, n_edge_refs=n_refs, broadcast=bc))
-    return SpatialIndex(levels=levels, layers=names)
+    return SpatialIndex(levels=levels, layers=names, hot_rows=hot_rows)
 
 
 def _build_cover(boxed: DataFrame, c: float) -> DataFrame:
@@ -268,8 +256,8 @@ def _salted_join(keyed: DataFrame, cover: DataFrame, hot_rows: int, x: str, y: s
 
     A cell holding more than ``hot_rows`` points (a city centre, a parked device)
     is found by a pre-aggregated count of points per cell; its points get a salt
-    ``hash(point) % ceil(n / hot_rows)`` and only that cell's cover row is
-    replicated once per salt. The hot-cell table has at most ``N / hot_rows``
+    ``row number % ceil(n / hot_rows)`` (so equal points are split as well) and only that
+    cell's cover row is replicated once per salt. The hot-cell table has at most ``N / hot_rows``
     rows; it is broadcast only when its measured size is under a limit.
     """
     counts = keyed.groupBy(cy, cx).agg(F.count(F.lit(1)).alias("__n"))
@@ -280,10 +268,9 @@ def _salted_join(keyed: DataFrame, cover: DataFrame, hot_rows: int, x: str, y: s
     if n_hot == 0:
         return keyed.join(cover, [cy, cx], "left")
     hot_side = F.broadcast(hot) if n_hot <= HOT_CELLS_BROADCAST_MAX else hot
-    key_cols = [F.col(x), F.col(y)] + ([F.col("id")] if "id" in keyed.columns else [])
     salted = (keyed.join(hot_side, [cy, cx], "left")
               .withColumn("__salt", F.when(F.col("__salts").isNull(), F.lit(0))
-                          .otherwise(F.pmod(F.xxhash64(*key_cols), F.col("__salts")).cast("int")))
+                          .otherwise(F.pmod(F.monotonically_increasing_id(), F.col("__salts")).cast("int")))
               .drop("__salts"))
     cover_salted = (cover.join(hot_side, [cy, cx], "left")
                     .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)))

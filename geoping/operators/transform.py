@@ -67,13 +67,6 @@ def transform_locations(pings: DataFrame, grid_size: float = S.DEFAULT_GRID_SIZE
     return df.select(*cols)
 
 
-def stamp_processed_at(df: DataFrame) -> DataFrame:
-    """Add ``processed_at`` when the frame has none."""
-    if "processed_at" in df.columns:
-        return df
-    return df.withColumn("processed_at", F.current_timestamp())
-
-
 def clean_for_summary(raw: DataFrame) -> DataFrame:
     """P02 + P04 of the older device-day job: typed columns, non-null coordinates, no null filling."""
     return non_null_coordinates(raw)

@@ -548,6 +548,10 @@ SELECT device_id, device_name, date, COUNT(*) AS points_count, {MEAN('speed')} A
   MAX(speed) AS max_speed, {MEAN('battery')} AS avg_battery
 FROM locations GROUP BY device_id, device_name, date""")
 
+ORACLE["etl_after_crash_grid"] = ORACLE["grid_heatmap"]
+ORACLE["etl_duplicate_ids"] = ORACLE["district_assignment"]
+ORACLE["stream_replay_locations"] = ORACLE["district_assignment"]
+
 ORACLE["sample_by_district"] = with_spatial("""
 , chosen AS (SELECT id FROM locations ORDER BY md5(CAST(id AS VARCHAR) || ':42'), id LIMIT 500)
 SELECT COALESCE(district_name, 'Fuera de distritos') AS district_label, COUNT(*) AS points
@@ -655,3 +659,5 @@ ORACLE["parcel_assignment"] = with_parcels("""
      AND p.x < (e.x2 - e.x1) * (p.y - e.y1) / (e.y2 - e.y1) + e.x1
     GROUP BY 1, 2) WHERE c % 2 = 1 GROUP BY id)
 SELECT l.id, hit.parcel_id FROM locations l LEFT JOIN hit USING (id)""")
+
+ORACLE["device_day_job_twice"] = ORACLE["device_day_job"]
