@@ -28,6 +28,9 @@ HEADLINE = [
     "district_statistics",
     "top_districts",
     "parcel_assignment",
+    "incremental_etl_grid",
+    "stream_ingest_grid",
+    "device_day_job",
 ]
 
 
