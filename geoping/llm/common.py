@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import gc
+import pickle
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark import Broadcast, cloudpickle
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from geoping.session import scratch_path
@@ -18,14 +20,6 @@ _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared checkpoint folder and read it back.
 
@@ -42,15 +36,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def ship(spark: SparkSession, model) -> Broadcast:
+    """Broadcast a model of this package's classes by value: executors need no copy of the package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
+def shipped(sent: Broadcast):
+    return pickle.loads(sent.value)
+
+
 def with_text(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     """``row`` (struct of the kept columns, whatever their names) and ``text``: no name can clash with results."""
     return docs.select(F.struct(*[docs[f"`{c}`"] for c in keep]).alias("row"), docs[f"`{text_col}`"].cast("string").alias("text"))
 
 
-def row_schema(frame: DataFrame) -> str:
-    return frame.schema["row"].dataType.simpleString()
-
-
 def as_schema(frame: DataFrame, *columns: str):
     """DDL-free schema for ``mapInArrow``: columns of ``frame`` by name, then ``name type`` strings."""
     from pyspark.sql.types import StructField, StructType, _parse_datatype_string
@@ -180,12 +179,6 @@ class Words:
         return mix64(out + size.astype(np.uint64)), first
 
 
-def rank_key(*parts: Column | str) -> Column:
-    """MD5 of the parts joined by ``:`` (nulls as empty): an order that any engine can reproduce."""
-    cols = [F.coalesce(p.cast("string"), F.lit("")) if isinstance(p, Column) else F.lit(str(p)) for p in parts]
-    return F.md5(F.concat_ws(":", *cols))
-
-
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, component): smallest node reachable over ``edges`` (a, b); nodes of edges only.
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoping.llm.common import as_schema, buffers, flat, materialise, mix64, slices
+from geoping.llm.common import as_schema, buffers, flat, materialise, mix64, ship, shipped, slices
 
 DIMENSIONS = 4096
 CENTROIDS = 4
@@ -211,10 +211,10 @@ def identify(docs: DataFrame, model: Centroids | None, keep: list[str], text_col
     """``row``, lang_pred, score and rejected for every row of ``docs``."""
     frame = docs.select(F.struct(*[docs[f"`{c}`"] for c in keep]).alias("row"), docs[f"`{text_col}`"].cast("string").alias("text"))
     schema = as_schema(frame, "row", "lang_pred string", "score double", "rejected boolean")
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = ship(docs.sparkSession, model)
 
     def run(batches):
-        known = sent.value
+        known = shipped(sent)
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 n = part.num_rows

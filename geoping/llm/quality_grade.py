@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoping.llm.common import LOWER, SPACE_WORDS, Words, as_schema, buffers, flat, materialise, mix64, slices
+from geoping.llm.common import LOWER, SPACE_WORDS, Words, as_schema, buffers, flat, materialise, mix64, ship, shipped, slices
 from geoping.llm.language_id import fold
 
 BUCKETS = 1 << 15
@@ -164,10 +164,10 @@ def grade(docs: DataFrame, model: CumulativeLink | int, keep: list[str], text_co
     """``row``, expected_grade, tail_probability (of the highest grade), grade_pred and selected for every row of ``docs``."""
     frame = docs.select(F.struct(*[docs[f"`{c}`"] for c in keep]).alias("row"), docs[f"`{text_col}`"].cast("string").alias("text"))
     schema = as_schema(frame, "row", "expected_grade double", "tail_probability double", "grade_pred int", "selected boolean")
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = ship(docs.sparkSession, model)
 
     def run(batches):
-        known = sent.value
+        known = shipped(sent)
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 ptr, columns, values, words = features(*buffers(flat(part.column("text"))))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoping.llm.common import BYTE_CODES, LOWER, Words, as_schema, buffers, flat, materialise, mix64, slices
+from geoping.llm.common import BYTE_CODES, LOWER, Words, as_schema, buffers, flat, materialise, mix64, ship, shipped, slices
 from geoping.llm.language_id import fold
 
 WINDOW = 64
@@ -332,10 +332,10 @@ def score(docs: DataFrame, model, keep: list[str], text_col: str = "text") -> Da
     """``row``, score (of the highest window) and n_windows for every row of ``docs``."""
     frame = docs.select(F.struct(*[docs[f"`{c}`"] for c in keep]).alias("row"), docs[f"`{text_col}`"].cast("string").alias("text"))
     schema = as_schema(frame, "row", "score double", "n_windows bigint")
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = ship(docs.sparkSession, model)
 
     def run(batches):
-        known = sent.value
+        known = shipped(sent)
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 n = part.num_rows
