@@ -15,12 +15,14 @@ one class (they link at distance 0); all further work is on classes.
    pivot, and the other regions hold it as long as a window there leaves it a partner.
 3. Windows. In the region of p, x and y can link only if |d(x, p) - d(y, p)| is at most the
    radius (triangle inequality) and their sizes allow it. Classes within the radius of p
-   link to p, so pairs of one component need no comparison.
-4. Recursion. The members of a region that are not in its pivot's component give the next,
-   smaller regions: some of them become pivots, are compared with every member their
-   window leaves, and are then done with this region. Rounds take more pivots each time and end
-   when every region is of one component. Every pair not compared is excluded by an
-   inequality or already connected, so the components are exact.
+   link to p; a region of one component is done.
+4. Recursion. Elsewhere the members that are not in the pivot's component are compared with
+   all members of other components. A member travels as the bits of the pivot's elements it has
+   and the list of its other elements; large regions travel in blocks of bounded size. Inside a
+   block pair the members are split again and again at the median distance to one of them, with
+   the window on both sides, as long as that saves work; what is connected on the way is not
+   compared any more. Only links that connect two components leave the task. Every pair not
+   compared is excluded by an inequality or already connected, so the components are exact.
 
 Counting runs on packed arrays: each task first merges what it has, so a shingle that is
 in many documents costs a task one entry. Members of a region are rows, never gathered.
@@ -46,8 +48,8 @@ WIDTH = 5
 PERCENT = 80
 #: Entries (16 bytes each) that a task holds before it hands them on, and entries of one bucket.
 UNIT = 1_000_000
-#: Pivots that a region takes in the first round of the recursion; four times as many in each later one.
-FIRST_PIVOTS = 4
+#: Bytes of the members of a region that are compared with another block at a time.
+BLOCK_BYTES = 4 << 20
 _MANY = 0
 
 
@@ -254,21 +256,121 @@ def _prefixes(members: DataFrame, percent: int) -> DataFrame:
     return members.select("c", "elements").mapInArrow(run, "s bigint, c bigint")
 
 
-def _distances(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """(p, x, np, nx, common) for pairs (p, x). The set of p joins first, on thin rows, as p may be hot."""
+def _places(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(p, x, np, nx, common, bits, rest) for pairs (p, x): which elements of p are in x, and those of x that are not in p.
+
+    The set of p joins first, on thin rows, as p may be hot.
+    """
     one = members.select(F.col("c").alias("p"), F.col("n").alias("np"), F.col("elements").alias("a"))
     two = members.select(F.col("c").alias("x"), F.col("n").alias("nx"), F.col("elements").alias("b"))
 
     def run(batches):
         for batch in batches:
-            common = [len(np.intersect1d(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), assume_unique=True)) for a, b in zip(batch.column("a"), batch.column("b"), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("p", "x", "np", "nx")), pa.array(common, pa.int64())], names=["p", "x", "np", "nx", "common"])
+            common, bits, rest = [], [], []
+            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                inside = np.isin(a, b, assume_unique=True)
+                common.append(int(inside.sum()))
+                bits.append(np.packbits(inside).tobytes())
+                rest.append(np.setdiff1d(b, a, assume_unique=True).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("p", "x", "np", "nx")), pa.array(common, pa.int64()), pa.array(bits, pa.binary()), pa.array(rest, pa.binary())],
+                names=["p", "x", "np", "nx", "common", "bits", "rest"])
+
+    schema = "p bigint, x bigint, np bigint, nx bigint, common bigint, bits binary, rest binary"
+    return pairs.select("p", "x").join(one, "p").join(two, "x").select("p", "x", "np", "nx", "a", "b").mapInArrow(run, schema)
+
+
+class Region:
+    """Members of a region, or of two blocks of it, with their sets as seen from the pivot."""
+
+    def __init__(self, rows: dict[str, list], percent: int):
+        self.percent, self.radius = percent, 1 - percent / 100 + 1e-9
+        self.x, self.label = np.array(rows["x"], np.int64), np.array(rows["label"], np.int64)
+        self.n, common = np.array(rows["nx"], np.int64), np.array(rows["common"], np.int64)
+        n_pivot = int(rows["np"][0])
+        self.gap = 1 - common / (n_pivot + self.n - common)
+        width = -(-n_pivot // 64)
+        self.bits = np.zeros((len(self.x), width), np.uint64)
+        whole = np.packbits(np.ones(n_pivot, bool)).tobytes()
+        for i, b in enumerate(rows["bits"]):
+            self.bits[i] = np.frombuffer((whole if b is None else b).ljust(8 * width, b"\0"), np.uint64)
+        self.rest = [np.frombuffer(r, np.uint64) if r else np.zeros(0, np.uint64) for r in rows["rest"]]
+        self.n_rest = np.array([len(r) for r in self.rest])
+        self.links: list[tuple[int, int]] = []
+
+    def common(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections with ``i`` as far as they can matter (elements outside the pivot only where they decide)."""
+        out = np.bitwise_count(self.bits[others] & self.bits[i]).sum(axis=1).astype(np.int64)
+        most = out + np.minimum(self.n_rest[others], self.n_rest[i])
+        for k in np.flatnonzero((100 * most >= self.percent * (self.n[others] + self.n[i] - most)) & (most > out)):
+            out[k] += len(np.intersect1d(self.rest[others[k]], self.rest[i], assume_unique=True))
+        return out
+
+    def distance(self, i: int, others: np.ndarray) -> np.ndarray:
+        out = np.bitwise_count(self.bits[others] & self.bits[i]).sum(axis=1).astype(np.int64)
+        if self.n_rest[i]:
+            for k in np.flatnonzero(self.n_rest[others]):
+                out[k] += len(np.intersect1d(self.rest[others[k]], self.rest[i], assume_unique=True))
+        return 1 - out / (self.n[others] + self.n[i] - out)
+
+    def join(self, left: np.ndarray, right: np.ndarray, depth: int = 0) -> None:
+        """Link every pair of ``left`` and ``right`` that is not connected yet.
+
+        Large sides are split at the median distance to one of their members; the window of the
+        triangle inequality goes to both halves. Where windows do not shrink the work, rows are compared.
+        """
+        if depth < 6 and len(left) > 256 and len(right) > 256:
+            pivot = int(left[len(left) // 2])
+            a, b = self.distance(pivot, left), self.distance(pivot, right)
+            cut = float(np.median(a))
+            halves = [(left[a <= cut], right[b <= cut + self.radius]), (left[a > cut], right[b > cut - self.radius])]
+            if sum(len(x) * len(y) for x, y in halves) < 0.75 * len(left) * len(right):
+                for x, y in halves:
+                    self.join(x, y, depth + 1)
+                return
+        for i in left.tolist():
+            others = right[self.label[right] != self.label[i]]
+            if not len(others):
+                continue
+            small, large = np.minimum(self.n[others], self.n[i]), np.maximum(self.n[others], self.n[i])
+            others = others[(100 * small >= self.percent * large) & (np.abs(self.gap[others] - self.gap[i]) <= self.radius)]
+            if not len(others):
+                continue
+            common = self.common(i, others)
+            for k in others[100 * common >= self.percent * (self.n[others] + self.n[i] - common)].tolist():
+                if self.label[k] != self.label[i]:
+                    self.links.append((int(self.x[i]), int(self.x[k])))
+                    self.label[self.label == self.label[k]] = self.label[i]
+
+
+def _region_links(rows: DataFrame, percent: int) -> DataFrame:
+    """(p, x): links that connect different labels, found block pair by block pair (p, i, j)."""
+    fields = ("x", "np", "nx", "common", "bits", "rest", "label", "own")
 
-    return pairs.select("p", "x").join(one, "p").join(two, "x").select("p", "x", "np", "nx", "a", "b").mapInArrow(run, "p bigint, x bigint, np bigint, nx bigint, common bigint")
+    def run(batches):
+        held, last = {f: [] for f in fields}, None
 
+        def flush():
+            region = Region(held, percent)
+            own, (_, i, j) = np.array(held["own"]), last
+            region.join(np.flatnonzero(own == i), np.flatnonzero(own == j))
+            links = region.links
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["p", "x"])
+
+        for batch in batches:
+            columns = batch.to_pydict()
+            for k, key in enumerate(zip(columns["p"], columns["i"], columns["j"], strict=True)):
+                if key != last and last is not None:
+                    yield flush()
+                    held = {f: [] for f in fields}
+                last = key
+                for f in fields:
+                    held[f].append(columns[f][k])
+        if last is not None:
+            yield flush()
 
-def _linked(percent: int):
-    return F.expr(f"100 * common >= {percent} * (np + nx - common)")
+    return rows.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j").mapInArrow(run, "p bigint, x bigint")
 
 
 def _merge(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
@@ -287,36 +389,32 @@ def class_components(members: DataFrame, percent: int) -> DataFrame:
     entries = _prefixes(members, percent)
     pivots = entries.groupBy("s").agg(F.min("c").alias("p"), F.max("c").alias("q")).where("p < q").drop("q")
     pairs = entries.join(pivots, "s").where("c <> p").select("p", F.col("c").alias("x")).distinct()
-    near = materialise(_distances(materialise(pairs, "jaccard-pairs"), members), "jaccard-regions")
+    near = materialise(_places(materialise(pairs, "jaccard-pairs"), members), "jaccard-regions")
     labels = materialise(members.select("c", F.col("c").alias("label")).distinct(), "jaccard-labels")
-    labels = _merge(labels, near.where(_linked(percent)), "jaccard-0")
-    far = F.expr("1 - common / (np + nx - common)")
-    region = near.select("p", "x", F.col("nx").alias("n"), far.alias("d")).unionByName(
-        near.select("p", F.col("p").alias("x"), F.col("np").alias("n"), F.lit(0.0).alias("d")).distinct())
-    radius = 1 - percent / 100 + 1e-9
-    take = FIRST_PIVOTS
-    for turn in range(1, 64):
-        named = region.join(labels.select(F.col("c").alias("x"), "label"), "x")
-        heads = labels.select(F.col("c").alias("p"), F.col("label").alias("head"))
-        named = materialise(named.join(heads, "p"), f"jaccard-region-{turn}")
-        outer = named.where("label <> head")
-        counts = outer.groupBy("p").agg(F.count("*").alias("m"), F.min("x").alias("least"))
-        chance = F.pmod(F.xxhash64("p", "x"), F.lit(1 << 30)) / float(1 << 30)
-        chosen = materialise(outer.join(counts, "p").where((F.col("x") == F.col("least")) | (chance * F.col("m") < take)).select("p", "x", "n", "d", "label"), f"jaccard-pivots-{turn}")
-        if not chosen.limit(1).count():
-            return labels
-        new = chosen.select("p", F.col("x").alias("o"), F.col("n").alias("no"), F.col("d").alias("do"), F.col("label").alias("lo"))
-        small, large = F.least("n", "no"), F.greatest("n", "no")
-        close = (named.join(new, "p").where("label <> lo")
-                 .where((F.abs(F.col("d") - F.col("do")) <= radius) & (100 * small >= percent * large))
-                 .select(F.least("x", "o").alias("p"), F.greatest("x", "o").alias("x")).distinct())
-        close = materialise(close, f"jaccard-close-{turn}")
-        checked = materialise(_distances(close, members).where(_linked(percent)), f"jaccard-links-{turn}")
-        labels = _merge(labels, checked, f"jaccard-{turn}")
-        active = counts.select("p").distinct()
-        region = named.join(active, "p", "left_semi").join(chosen.select("p", "x"), ["p", "x"], "left_anti").select("p", "x", "n", "d")
-        take *= 4
-    raise RuntimeError("the recursion did not end")
+    labels = _merge(labels, near.where(f"100 * common >= {percent} * (np + nx - common)"), "jaccard-near")
+    # who is in the component of the region's pivot (inner), who is not (outer); a region without outer members is done
+    of_x = labels.select(F.col("c").alias("x"), "label")
+    of_p = labels.select(F.col("c").alias("p"), F.col("label").alias("head"))
+    thin = near.select("p", "x", "np", (F.octet_length("bits") + F.octet_length("rest") + 64).alias("size")).join(of_x, "x").join(of_p, "p")
+    thin = materialise(thin.withColumn("outer", F.col("label") != F.col("head")), "jaccard-thin")
+    blocks = thin.groupBy(F.col("p").alias("of")).agg(
+        F.sum(F.when(F.col("outer"), F.col("size")).otherwise(0)).alias("far"), F.sum(F.when(F.col("outer"), 0).otherwise(F.col("size"))).alias("close"),
+        F.first("np").alias("np"), F.first("head").alias("label")).where("far > 0")
+    count = lambda c: F.ceil(F.col(c) / F.lit(BLOCK_BYTES)).cast("int")
+    blocks = materialise(blocks.select("of", "np", "label", count("far").alias("outer_blocks"), F.greatest(count("close"), F.lit(1)).alias("inner_blocks")), "jaccard-blocks")
+    nothing = F.lit(None).cast("binary")
+    pivot_rows = blocks.select(F.col("of").alias("p"), F.col("of").alias("x"), "np", F.col("np").alias("nx"), F.col("np").alias("common"), nothing.alias("bits"), nothing.alias("rest"), "label", F.lit(False).alias("outer"), "outer_blocks", "inner_blocks")
+    wanted = (thin.select("p", F.col("x").alias("member"), "label", "outer")
+              .join(blocks.select("of", "outer_blocks", "inner_blocks"), F.col("p") == F.col("of")).drop("p"))
+    rows = near.join(wanted, (F.col("p") == F.col("of")) & (F.col("x") == F.col("member"))).drop("of", "member").unionByName(pivot_rows)
+    # every block of outer members meets every block of the region; inner blocks need not meet each other
+    outer = F.col("outer_blocks")
+    own = F.when(F.col("outer"), F.pmod(F.xxhash64("x"), outer)).otherwise(outer + F.pmod(F.xxhash64("x"), F.col("inner_blocks"))).cast("int")
+    partners = F.when(F.col("outer"), F.sequence(F.lit(0), outer + F.col("inner_blocks") - 1)).otherwise(F.sequence(F.lit(0), outer - 1))
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(partners))
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    links = _region_links(rows.select("p", "i", "j", "x", "np", "nx", "common", "bits", "rest", "label", "own"), percent)
+    return _merge(labels, links, "jaccard-far")
 
 
 def jaccard_join(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
