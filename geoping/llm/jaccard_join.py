@@ -49,7 +49,7 @@ PERCENT = 80
 #: Entries (16 bytes each) that a task holds before it hands them on, and entries of one bucket.
 UNIT = 1_000_000
 #: Bytes of the members of a region that are compared with another block at a time.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 16 << 20
 _MANY = 0
 
 
@@ -156,7 +156,7 @@ def _groups(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shared(packed: DataFrame, n_buckets: int) -> DataFrame:
-    """(c, k): how many of its entries each class shares with another class. One bucket is sorted at a time."""
+    """(c, k): how many of its entries each class shares with another class, one row per class. One bucket is sorted at a time."""
 
     def count(blobs: list[bytes]):
         pairs = [np.frombuffer(b, np.uint64).reshape(2, -1) for b in blobs]
@@ -168,31 +168,45 @@ def _shared(packed: DataFrame, n_buckets: int) -> DataFrame:
         who, times = np.unique(c[shared & (c != _MANY)], return_counts=True)
         return who, times
 
-    def run(batches):
-        held, last = [], None
-
-        def out(who, times):
-            for i in range(0, len(who), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(who[i:i + 100_000].view(np.int64)), pa.array(times[i:i + 100_000].astype(np.int64))], names=["c", "k"])
+    def hand_on(who, times):
+        """Counts by the place where those of a class meet, packed."""
+        place = (who % np.uint64(n_buckets)).astype(np.int64)
+        by = np.argsort(place, kind="stable")
+        who, times, place = who[by], times[by], place[by]
+        edges = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1], [True]))) if len(place) else np.zeros(1, int)
+        blobs = [np.concatenate((who[a:b], times[a:b].astype(np.uint64))).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(place[edges[:-1]], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "entries"])
 
+    def sort_buckets(batches):
+        held, last = [], None
         for batch in batches:
             for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("entries"), strict=True):
                 if bucket != last and held:
-                    yield from out(*count(held))
+                    yield hand_on(*count(held))
                     held = []
                 last = bucket
                 if bucket < 0:
-                    who, times = np.frombuffer(blob.as_buffer(), np.uint64).reshape(2, -1)
-                    yield from out(who.copy(), times.copy())
+                    yield hand_on(*np.frombuffer(blob.as_buffer(), np.uint64).reshape(2, -1))
                 else:
                     held.append(blob.as_py())
         if held:
-            yield from out(*count(held))
+            yield hand_on(*count(held))
+
+    def add_up(batches):
+        who, times = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        for batch in batches:
+            pairs = [np.frombuffer(b.as_buffer(), np.uint64).reshape(2, -1) for b in batch.column("entries")]
+            own = np.concatenate([who, *(p[0] for p in pairs)])
+            n = np.concatenate([times, *(p[1] for p in pairs)])
+            who, inverse = np.unique(own, return_inverse=True)
+            times = np.bincount(inverse, n, minlength=len(who)).astype(np.uint64)
+        for i in range(0, len(who), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(who[i:i + 100_000].view(np.int64)), pa.array(times[i:i + 100_000].astype(np.int64))], names=["c", "k"])
 
     # what is known already needs no meeting place: it is dealt out evenly
     place = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.xxhash64("entries"), F.lit(n_buckets)).cast("int"))
-    return (packed.repartition(n_buckets, place).sortWithinPartitions("bucket")
-            .mapInArrow(run, "c bigint, k bigint").groupBy("c").agg(F.sum("k").alias("k")))
+    counted = packed.repartition(n_buckets, place).sortWithinPartitions("bucket").mapInArrow(sort_buckets, "bucket int, entries binary")
+    return counted.repartition(n_buckets, "bucket").mapInArrow(add_up, "c bigint, k bigint")
 
 
 def _pack_texts(base: DataFrame, n_buckets: int, percent: int) -> DataFrame:
