@@ -1,87 +1,123 @@
 """Operator 10: substring dedup by sliding sentence spans.
 
-A text is cut into sentences (after ``.``, ``!`` or ``?`` that a blank follows, and
-at line ends). Every run of ``span`` consecutive sentences is hashed (128 bits over
-its words, so that blanks and case do not count), the hashes of all documents are
-joined globally, and each sentence that lies in a span which is not the first of its
-kind is removed. "First" is the smallest (document order, sentence number): the first
-copy of a passage stays, all later ones go.
+A text is cut into sentences: at line ends, after ``.``, ``!`` or ``?`` with any closing
+quotes and brackets that a blank follows, and after the stops of other scripts. From
+every sentence on, and back from every sentence, the shortest run that holds ``span``
+whole sentences or ``min_words`` words is hashed (128 bits over its words, so that blanks
+and case do not count), the hashes of all documents are joined globally, and each sentence
+that lies in a run which is not the first of its kind is removed. "First" is the smallest
+(document order, sentence number): the first copy of a passage stays, all later ones go.
+
+With ``min_words``, sentences of ``PIECE`` words and more are cut into pieces, which count as
+sentences below except for ``span``: a cut follows the word of the smallest hash (the last of
+equals) in each window of ``PIECE`` words of the sentence. Such cuts depend on nothing outside
+their window, so copies are cut alike: in a passage that two texts share, the cuts agree from one
+among its first ``PIECE`` words to one among its last ``PIECE`` words. Hence the guarantee: a later
+copy of a passage of ``min_words + 2 * PIECE - 1`` words (51 as registered) loses all of it except
+``PIECE`` words at most at its start and ``PIECE - 1`` at its end, whatever is around it. Characters
+U+3000 to U+9FFF, written without blanks, are words of their own.
 
 Repeats inside one document are found where the document is; the join carries one
-row per document and distinct span. Hot spans cost little: the smallest id per span is
-a partial aggregation, and a skew join splits the rows of a hot span.
+row per document and distinct run. Hot runs cost little: the smallest id per run is
+a partial aggregation, and a skew join splits the rows of a hot run.
 
 Defined results: null and empty texts have no sentences; texts of fewer sentences
-than ``span`` are left alone; rows with equal ids (null ids are one id, the last) count
-as one document and never remove each other's spans; sentences without a word do not
-count: their bytes belong to the next one. The id must be an integer column.
+than ``span`` and fewer words than ``min_words`` are left alone; rows with equal ids (null ids
+are one id, the last) count as one document and never remove each other's runs; sentences
+without a word do not count: their bytes belong to the next one. The id must be an integer column.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoping.llm.common import Words, as_schema, buffers, flat, materialise, slices
+from geoping.llm.common import Words, as_schema, buffers, flat, materialise, mix64, slices
 
 SPAN = 3
-
-def _sentences(off: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sentence boundaries (byte positions, ends) of a batch of texts and the first sentence of each document."""
-    n = len(raw)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    follows = np.zeros(n, np.uint8)
-    follows[:-1] = raw[1:]
-    stop = (raw == 10) | (((raw == 46) | (raw == 33) | (raw == 63)) & ((follows == 32) | (follows == 9)))
-    last = off[1:][np.diff(off) > 0] - 1
-    stop[last] = True
-    ends = np.flatnonzero(stop) + 1
-    first = np.searchsorted(ends, off, side="right")
-    return ends, first
-
-
-def _spans(off: np.ndarray, raw: np.ndarray, span: int):
-    """Per sentence with a word: end byte and document; per span: two 64-bit hashes and its first sentence (in document)."""
-    ends, _ = _sentences(off, raw)
-    words = Words(off, raw)
-    of_word = np.searchsorted(ends, words.start, side="right")
-    live, first_word = np.unique(of_word, return_index=True)
-    ends = ends[live]
+#: Words of a run, and the words of a window that a long sentence is cut in, of the registered query.
+MIN_WORDS, PIECE = 28, 12
+_CLOSERS = "(?:" + "|".join(re.escape(c) for c in "\"')]}»›”’“」』）】》") + ")*"
+_STOPS = "(?:" + "|".join("。！？｡．؟۔।॥።‼⁇⁈⁉") + ")+"
+_END = re.compile(rf"\n|[.!?…]+{_CLOSERS}(?=[ \t])|{_STOPS}{_CLOSERS}".replace("[.!?…]", "(?:[.!?]|…)").encode())
+
+
+def _sentences(off: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Sentence boundaries (byte positions, ends) of a batch of texts."""
+    data, ends = raw.tobytes(), []
+    for start, stop in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        ends.extend(m.end() for m in _END.finditer(data, start, stop))
+        if stop > start and (not ends or ends[-1] != stop):
+            ends.append(stop)
+    return np.array(ends, np.int64)
+
+
+def _cuts(words: np.ndarray, sentence: np.ndarray) -> np.ndarray:
+    """Words after which a long sentence is cut: the last smallest hash of each window of ``PIECE`` words inside a sentence."""
+    if len(words) < PIECE:
+        return np.zeros(0, np.int64)
+    inside = np.flatnonzero(sentence[PIECE - 1:] == sentence[:len(sentence) - PIECE + 1])
+    least, at = words[inside], inside.copy()
+    for k in range(1, PIECE):
+        value = words[inside + k]
+        lower = value <= least
+        least[lower], at[lower] = value[lower], inside[lower] + k
+    return np.unique(at)
+
+
+def _spans(off: np.ndarray, raw: np.ndarray, span: int, min_words: int | None):
+    """Per sentence (or piece) with a word: its end byte and the first of each document; per run: document, first and last sentence, two 64-bit hashes."""
+    ends = _sentences(off, raw)
+    wide = np.flatnonzero((raw >= 0xE3) & (raw <= 0xE9))
+    words = Words(np.unique(np.concatenate((off, ends, wide, np.minimum(wide + 3, len(raw))))), raw)
+    sentence = np.searchsorted(ends, words.start, side="right")
+    last = np.ones(len(sentence), bool)  # last words of sentences
+    last[:-1] = sentence[1:] != sentence[:-1]
+    whole = last.copy()
+    if min_words:
+        last[_cuts(words.hash, sentence)] = True
+    final = np.flatnonzero(last)
+    pieces = len(final)
+    ends = np.where(whole[final], ends[sentence[final]], words.end[final])
     doc = np.searchsorted(off, ends, side="left") - 1
-    # hash of a sentence: polynomial over its word hashes, by prefix sums with position inside the sentence
-    at = np.arange(len(words.hash)) - np.repeat(first_word, np.diff(np.append(first_word, len(words.hash))))
-    out = []
-    for base in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95):
-        p = np.full(int(at.max(initial=0)) + 1, np.uint64(base), np.uint64)
-        p[0] = 1
-        p = np.multiply.accumulate(p)
-        out.append(np.add.reduceat(words.hash * p[at], first_word) if len(first_word) else np.zeros(0, np.uint64))
-    per_doc = np.bincount(doc, minlength=len(off) - 1)
-    first = np.concatenate(([0], np.cumsum(per_doc)))
-    n_spans = np.maximum(per_doc - span + 1, 0)
-    span_doc = np.repeat(np.arange(len(per_doc)), n_spans)
-    inside = np.arange(int(n_spans.sum())) - np.repeat(np.concatenate(([0], np.cumsum(n_spans)))[:-1], n_spans)
-    start = first[span_doc] + inside
+    first = np.searchsorted(doc, np.arange(len(off)))
+    upto = np.concatenate(([0], final + 1))  # words before each piece
+    piece = np.arange(pieces)
+    low, high = first[doc], first[doc + 1]  # pieces of the same document
+    close = np.flatnonzero(whole[final])  # last and first pieces of the sentences
+    open_ = np.concatenate(([0], close + 1))[:-1]
+    far = np.append(close, np.full(span, pieces))
+    stop = far[np.minimum(np.searchsorted(open_, piece) + span - 1, len(far) - 1)]
+    near = np.concatenate((np.full(span, -1), open_))
+    start = near[np.searchsorted(close, piece, side="right")]
+    if min_words:
+        stop = np.minimum(stop, np.searchsorted(upto, upto[:-1] + min_words) - 1)
+        start = np.maximum(start, np.searchsorted(upto, upto[1:] - min_words, side="right") - 1)
+    ahead, back = stop < high, start >= low
+    runs = np.unique(np.concatenate((piece[ahead] * np.int64(pieces + 1) + stop[ahead], start[back] * np.int64(pieces + 1) + piece[back])))
+    begin, end = runs // (pieces + 1), runs % (pieces + 1)
     hashes = []
-    for h, base in zip(out, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB), strict=True):
-        total = np.zeros(len(start), np.uint64)
-        for k in range(span):
-            total = total * np.uint64(base | 1) + h[start + k]
-        hashes.append(total)
-    return ends, first, span_doc, inside, hashes
+    for base in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95):
+        up, down = (np.full(len(words.hash) + 1, np.uint64(x), np.uint64) for x in (base, pow(base, -1, 1 << 64)))
+        up[0] = down[0] = 1
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words.hash * np.multiply.accumulate(up)[:-1], dtype=np.uint64)))
+        total = (sums[upto[end + 1]] - sums[upto[begin]]) * np.multiply.accumulate(down)[upto[begin]]
+        hashes.append(mix64(total + (upto[end + 1] - upto[begin]).astype(np.uint64)))
+    return ends, first, doc[begin], begin, end, hashes
 
 
-def _span_rows(texts: DataFrame, span: int) -> DataFrame:
-    """(id, h1, h2) for every distinct span of every text."""
+def _span_rows(texts: DataFrame, span: int, min_words: int | None) -> DataFrame:
+    """(id, h1, h2) for every distinct run of every text."""
     schema = as_schema(texts, "id", "h1 bigint", "h2 bigint")
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                _, _, doc, _, (h1, h2) = _spans(*buffers(part.column("text")), span)
+                _, _, doc, _, _, (h1, h2) = _spans(*buffers(part.column("text")), span, min_words)
                 by = np.lexsort((h2, h1, doc))
                 doc, h1, h2 = doc[by], h1[by], h2[by]
                 new = np.ones(len(doc), bool)
@@ -94,8 +130,8 @@ def _span_rows(texts: DataFrame, span: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, schema)
 
 
-def _cut(frame: DataFrame, span: int) -> DataFrame:
-    """Remove the sentences under spans listed in ``gone`` (first hashes) or seen before in the text."""
+def _cut(frame: DataFrame, span: int, min_words: int | None) -> DataFrame:
+    """Remove the sentences under runs listed in ``gone`` (first hashes) or seen before in the text."""
     schema = as_schema(frame, "row", "n_sentences bigint", "n_removed bigint", "removed_bytes bigint", "kept string")
 
     def run(batches):
@@ -103,7 +139,7 @@ def _cut(frame: DataFrame, span: int) -> DataFrame:
             for part in slices(batch, "text"):
                 texts = flat(part.column("text"))
                 off, raw = buffers(texts)
-                ends, first, doc, at, (h1, h2) = _spans(off, raw, span)
+                ends, first, doc, begin, end, (h1, h2) = _spans(off, raw, span, min_words)
                 own_span = np.searchsorted(doc, np.arange(len(off)))
                 gone = part.column("gone")
                 total, removed, size, kept = [], [], [], []
@@ -118,8 +154,10 @@ def _cut(frame: DataFrame, span: int) -> DataFrame:
                         bad[lead] = False
                         if gone[i].is_valid:
                             bad |= np.isin(a.view(np.int64), gone[i].values.to_numpy())
-                        for k in range(span):
-                            drop[at[mine][bad] + k] = True
+                        edge = np.zeros(len(own) + 1, np.int64)
+                        np.add.at(edge, begin[mine][bad] - first[i], 1)
+                        np.add.at(edge, end[mine][bad] - first[i] + 1, -1)
+                        drop = np.cumsum(edge)[:-1] > 0
                     text = raw[off[i]:off[i + 1]].tobytes()
                     out = text
                     if drop.any():
@@ -136,19 +174,19 @@ def _cut(frame: DataFrame, span: int) -> DataFrame:
     return frame.mapInArrow(run, schema)
 
 
-def sentence_dedup(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
+def sentence_dedup(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, min_words: int | None = None) -> DataFrame:
     """``row``, n_sentences, n_removed, removed_bytes and ``kept`` (the remaining text) for every row of ``docs``."""
     last = (1 << 63) - 1
     base = docs.select(F.struct(*[docs[f"`{c}`"] for c in keep]).alias("row"),
                        F.coalesce(docs[f"`{id_col}`"].cast("bigint"), F.lit(last)).alias("id"), docs[f"`{text_col}`"].cast("string").alias("text"))
-    rows = materialise(_span_rows(base, span), "sentence-spans")
+    rows = materialise(_span_rows(base, span, min_words), "sentence-spans")
     firsts = rows.groupBy("h1", "h2").agg(F.min("id").alias("head"), F.max("id").alias("tail")).where("tail > head").drop("tail")
     later = rows.join(firsts, ["h1", "h2"]).where("id > head").groupBy(F.col("id").alias("of")).agg(F.collect_set("h1").alias("gone"))
     later = materialise(later, "sentence-gone")
     joined = base.join(later, base["id"] == later["of"], "left")
-    return _cut(joined.select("row", "text", "gone"), span)
+    return _cut(joined.select("row", "text", "gone"), span, min_words)
 
 
 def op10_sentence_spans(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return sentence_dedup(docs, ["doc_id"]).select("row.doc_id", "n_sentences", "n_removed", "removed_bytes", F.col("kept").alias("text"))
+    return sentence_dedup(docs, ["doc_id"], min_words=MIN_WORDS).select("row.doc_id", "n_sentences", "n_removed", "removed_bytes", F.col("kept").alias("text"))

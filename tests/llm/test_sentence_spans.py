@@ -1,4 +1,9 @@
-from geoping.llm.sentence_spans import SPAN, sentence_dedup
+import random
+
+import numpy as np
+import pytest
+
+from geoping.llm.sentence_spans import MIN_WORDS, PIECE, SPAN, _sentences, sentence_dedup
 
 
 def sentences(text):
@@ -57,3 +62,47 @@ def test_matches_brute_force(frame, messy):
 
 def test_empty_table(frame):
     assert sentence_dedup(frame([]), ["doc_id"]).collect() == []
+
+
+@pytest.mark.parametrize("stops", ["", ".", ".”", "mixed", "same", "cjk"])
+def test_every_passage_of_51_words_goes_but_for_its_ends(frame, stops):
+    rnd = random.Random(stops)
+    fresh = iter(rnd.sample(range(0x4E00, 0xA000), 20_000))
+
+    def text(n, tag):
+        out = []
+        for _ in range(n):
+            word = chr(next(fresh)) if stops == "cjk" else f"{tag}{next(fresh)}"
+            end = {"mixed": ["", "", "", ".", "!)", "?\"", "\n"], "cjk": ["", "", "", "", "", "。"], "same": [""]}.get(stops, [""] * 19 + [stops])
+            out.append(word + rnd.choice(end))
+        return out
+
+    joint = "" if stops == "cjk" else " "
+    pairs, passages = [], []
+    for k in range(60):
+        passage = text(51, "p")
+        if stops == "same":
+            passage = [rnd.choice(("to", "be", "or")) for _ in range(51)]
+        for copy in range(2):
+            before, after = text(rnd.randrange(40), "a"), text(rnd.randrange(40), "z")
+            pairs.append((2 * k + copy, joint.join(before + passage + after)))
+            passages.append((before, passage, after))
+    got = {r.doc_id: r.kept for r in sentence_dedup(frame(pairs), ["doc_id"], min_words=MIN_WORDS).select("row.doc_id", "kept").collect()}
+    for (doc, whole), (before, passage, after) in zip(pairs, passages, strict=True):
+        if doc % 2:
+            kept = got[doc]
+            if stops == "same":
+                assert len(kept.split()) <= len(before) + len(after) + 2 * PIECE - 1
+            else:
+                assert not any(w in kept.split() if joint else w in kept for w in passage[PIECE:len(passage) - PIECE + 1])
+                assert all(w.strip() in kept for w in before[:-PIECE])  # what is not shared stays
+        elif stops != "same":
+            assert got[doc] == whole
+
+
+def test_sentences_end_at_stops_of_other_scripts_and_after_closers():
+    text = 'He said "go." Then (left!) he… went. 他走了。「好！」她说？نعم؟ ठीक। end'
+    raw = np.frombuffer(text.encode(), np.uint8)
+    ends = _sentences(np.array([0, len(raw)]), raw)
+    got = [raw[a:b].tobytes().decode().strip() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    assert got == ['He said "go."', "Then (left!)", "he…", "went.", "他走了。", "「好！」", "她说？", "نعم؟", "ठीक।", "end"]
