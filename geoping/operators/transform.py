@@ -63,7 +63,7 @@ def transform_locations(pings: DataFrame, grid_size: float = S.DEFAULT_GRID_SIZE
         F.lit(None).cast("long").alias("province_id"), F.lit(None).cast("string").alias("province_name"),
     ]
     if stamp_processed_at:
-        cols.append(F.current_timestamp().alias("processed_at"))
+        cols.append(F.col("processed_at") if "processed_at" in df.columns else F.current_timestamp().alias("processed_at"))
     return df.select(*cols)
 
 

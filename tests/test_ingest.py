@@ -54,3 +54,11 @@ def test_scans(spark):
     assert sorted(r["id"] for r in f.collect()) == [5, 7, 9]
     existing = df.filter(F.col("id") <= 25)
     assert sorted(r["id"] for r in P.only_new(df, existing).collect()) == [26, 27, 28, 29, 30]
+
+
+def test_processed_at_is_stamped_only_when_absent(spark):
+    pings = P.normalise_pings(_raw(spark, [dict(id=1, latitude=19.5, longitude=-70.5)]))
+    before = pings.withColumn("processed_at", F.lit("2020-01-02 03:04:05").cast("timestamp"))
+    year = lambda df: [r.y for r in transform_locations(df).select(F.year("processed_at").alias("y")).collect()]
+    assert year(before) == [2020]
+    assert year(pings)[0] > 2020
