@@ -11,8 +11,11 @@ one class (they link at distance 0); all further work is on classes.
 2. Pivots and regions. Among the classes that have a shingle in their prefixes the smallest
    is a pivot. A class belongs to the region of each pivot it shares a prefix shingle with, so
    any two linked classes meet in a region. Its distances to its pivots are exact.
-   The regions are Voronoi cells with their replicas: a class is at home with its nearest
-   pivot, and the other regions hold it as long as a window there leaves it a partner.
+   So the regions are the posting lists of an inverted index over prefixes, not Voronoi cells:
+   no nearest pivot is sought, and no window decides which regions a class is copied to. At a
+   radius of 0.2 most unlinked classes are at distance 1 from each other and from every pivot they
+   share nothing with, where a cell's window d(x, q) - d(x, p) <= 0.4 tells nothing; shared prefix
+   shingles do, and exactly. The triangle inequality is used inside a region only (3 and 4).
 3. Windows. In the region of p, x and y can link only if |d(x, p) - d(y, p)| is at most the
    radius (triangle inequality) and their sizes allow it. Classes within the radius of p
    link to p; a region of one component is done.
