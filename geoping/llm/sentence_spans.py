@@ -66,7 +66,7 @@ def _cuts(words: np.ndarray, sentence: np.ndarray) -> np.ndarray:
         value = words[inside + k]
         lower = value <= least
         least[lower], at[lower] = value[lower], inside[lower] + k
-    return np.unique(at)
+    return at
 
 
 def _spans(off: np.ndarray, raw: np.ndarray, span: int, min_words: int | None):
@@ -98,8 +98,11 @@ def _spans(off: np.ndarray, raw: np.ndarray, span: int, min_words: int | None):
         stop = np.minimum(stop, np.searchsorted(upto, upto[:-1] + min_words) - 1)
         start = np.maximum(start, np.searchsorted(upto, upto[1:] - min_words, side="right") - 1)
     ahead, back = stop < high, start >= low
-    runs = np.unique(np.concatenate((piece[ahead] * np.int64(pieces + 1) + stop[ahead], start[back] * np.int64(pieces + 1) + piece[back])))
-    begin, end = runs // (pieces + 1), runs % (pieces + 1)
+    from_ = np.maximum(start, 0)
+    back &= ~(ahead[from_] & (stop[from_] == piece))  # those are there already
+    begin, end = np.concatenate((piece[ahead], start[back])), np.concatenate((stop[ahead], piece[back]))
+    by = np.argsort(begin, kind="stable")
+    begin, end = begin[by], end[by]
     hashes = []
     for base in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95):
         up, down = (np.full(len(words.hash) + 1, np.uint64(x), np.uint64) for x in (base, pow(base, -1, 1 << 64)))
@@ -118,7 +121,7 @@ def _span_rows(texts: DataFrame, span: int, min_words: int | None) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 _, _, doc, _, _, (h1, h2) = _spans(*buffers(part.column("text")), span, min_words)
-                by = np.lexsort((h2, h1, doc))
+                by = np.argsort(h1 ^ mix64(doc))
                 doc, h1, h2 = doc[by], h1[by], h2[by]
                 new = np.ones(len(doc), bool)
                 new[1:] = (doc[1:] != doc[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
@@ -141,19 +144,19 @@ def _cut(frame: DataFrame, span: int, min_words: int | None) -> DataFrame:
                 off, raw = buffers(texts)
                 ends, first, doc, begin, end, (h1, h2) = _spans(off, raw, span, min_words)
                 own_span = np.searchsorted(doc, np.arange(len(off)))
+                by = np.argsort(h1 ^ mix64(doc), kind="stable")  # the first of each kind in a text leads
+                again = np.zeros(len(doc), bool)
+                again[by[1:]] = (doc[by[1:]] == doc[by[:-1]]) & (h1[by[1:]] == h1[by[:-1]]) & (h2[by[1:]] == h2[by[:-1]])
                 gone = part.column("gone")
                 total, removed, size, kept = [], [], [], []
                 for i in range(len(texts)):
                     own = ends[first[i]:first[i + 1]] - off[i]
                     mine = slice(own_span[i], own_span[i + 1])
-                    a, b = h1[mine], h2[mine]
+                    bad = again[mine]
+                    if len(bad) and gone[i].is_valid:
+                        bad = bad | np.isin(h1[mine].view(np.int64), gone[i].values.to_numpy())
                     drop = np.zeros(len(own), bool)
-                    if len(a):
-                        _, lead = np.unique(np.rec.fromarrays([a, b]), return_index=True)
-                        bad = np.ones(len(a), bool)
-                        bad[lead] = False
-                        if gone[i].is_valid:
-                            bad |= np.isin(a.view(np.int64), gone[i].values.to_numpy())
+                    if bad.any():
                         edge = np.zeros(len(own) + 1, np.int64)
                         np.add.at(edge, begin[mine][bad] - first[i], 1)
                         np.add.at(edge, end[mine][bad] - first[i] + 1, -1)
@@ -179,7 +182,7 @@ def sentence_dedup(docs: DataFrame, keep: list[str], id_col: str = "doc_id", tex
     last = (1 << 63) - 1
     base = docs.select(F.struct(*[docs[f"`{c}`"] for c in keep]).alias("row"),
                        F.coalesce(docs[f"`{id_col}`"].cast("bigint"), F.lit(last)).alias("id"), docs[f"`{text_col}`"].cast("string").alias("text"))
-    rows = materialise(_span_rows(base, span, min_words), "sentence-spans")
+    rows = _span_rows(base, span, min_words)  # made twice: stored, they would be the largest table on disk
     firsts = rows.groupBy("h1", "h2").agg(F.min("id").alias("head"), F.max("id").alias("tail")).where("tail > head").drop("tail")
     later = rows.join(firsts, ["h1", "h2"]).where("id > head").groupBy(F.col("id").alias("of")).agg(F.collect_set("h1").alias("gone"))
     later = materialise(later, "sentence-gone")
