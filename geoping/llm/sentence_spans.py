@@ -3,7 +3,7 @@
 A text is cut into sentences: at line ends, after ``.``, ``!`` or ``?`` with any closing
 quotes and brackets that a blank follows, and after the stops of other scripts. From
 every sentence on, and back from every sentence, the shortest run that holds ``span``
-whole sentences or ``min_words`` words is hashed (128 bits over its words, so that blanks
+whole sentences or ``min_words`` words is hashed (96 bits over its words, so that blanks
 and case do not count), the hashes of all documents are joined globally, and each sentence
 that lies in a run which is not the first of its kind is removed. "First" is the smallest
 (document order, sentence number): the first copy of a passage stays, all later ones go.
@@ -70,7 +70,7 @@ def _cuts(words: np.ndarray, sentence: np.ndarray) -> np.ndarray:
 
 
 def _spans(off: np.ndarray, raw: np.ndarray, span: int, min_words: int | None):
-    """Per sentence (or piece) with a word: its end byte and the first of each document; per run: document, first and last sentence, two 64-bit hashes."""
+    """Per sentence (or piece) with a word: its end byte and the first of each document; per run: document, first and last sentence, hashes of 64 and 32 bits."""
     ends = _sentences(off, raw)
     wide = np.flatnonzero((raw >= 0xE3) & (raw <= 0xE9))
     words = Words(np.unique(np.concatenate((off, ends, wide, np.minimum(wide + 3, len(raw))))), raw)
@@ -110,12 +110,12 @@ def _spans(off: np.ndarray, raw: np.ndarray, span: int, min_words: int | None):
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words.hash * np.multiply.accumulate(up)[:-1], dtype=np.uint64)))
         total = (sums[upto[end + 1]] - sums[upto[begin]]) * np.multiply.accumulate(down)[upto[begin]]
         hashes.append(mix64(total + (upto[end + 1] - upto[begin]).astype(np.uint64)))
-    return ends, first, doc[begin], begin, end, hashes
+    return ends, first, doc[begin], begin, end, (hashes[0], hashes[1].astype(np.uint32))
 
 
 def _span_rows(texts: DataFrame, span: int, min_words: int | None) -> DataFrame:
     """(id, h1, h2) for every distinct run of every text."""
-    schema = as_schema(texts, "id", "h1 bigint", "h2 bigint")
+    schema = as_schema(texts, "id", "h1 bigint", "h2 int")
 
     def run(batches):
         for batch in batches:
@@ -125,7 +125,7 @@ def _span_rows(texts: DataFrame, span: int, min_words: int | None) -> DataFrame:
                 doc, h1, h2 = doc[by], h1[by], h2[by]
                 new = np.ones(len(doc), bool)
                 new[1:] = (doc[1:] != doc[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-                doc, h1, h2 = doc[new], h1[new].view(np.int64), h2[new].view(np.int64)
+                doc, h1, h2 = doc[new], h1[new].view(np.int64), h2[new].view(np.int32)
                 for i in range(0, len(doc), 100_000):
                     cut = slice(i, i + 100_000)
                     yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(doc[cut])), pa.array(h1[cut]), pa.array(h2[cut])], names=["id", "h1", "h2"])
