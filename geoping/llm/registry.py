@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geoping.llm import decontaminate, jaccard_join, language_id, license_scan, mixing, quality_grade, quality_rules, sentence_spans, suffix_dedup, toxicity
+from geoping.llm import decontaminate, jaccard_join, language_id, license_scan, line_dedup, mixing, quality_grade, quality_rules, sentence_spans, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -15,10 +15,12 @@ QUERIES = {
     "op10_sentence_spans": sentence_spans.op10_sentence_spans,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op6_decontamination": decontaminate.op6_decontamination,
+    "op13_line_dedup": line_dedup.op13_line_dedup,
 }
 
 ORACLE = {
     "op8_mixing": mixing.ORACLE_SQL,
     "op9_jaccard_join": jaccard_join.ORACLE_SQL,
     "op6_decontamination": decontaminate.ORACLE_SQL,
+    "op13_line_dedup": line_dedup.ORACLE_SQL,
 }
