@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geoping.llm import decontaminate, jaccard_join, language_id, license_scan, line_dedup, mixing, periodic_runs, quality_grade, quality_rules, sentence_spans, suffix_dedup, toxicity
+from geoping.llm import decontaminate, jaccard_join, language_id, license_scan, line_dedup, mixing, periodic_runs, quality_grade, quality_rules, sentence_spans, suffix_dedup, tokenizer_alignment, toxicity
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_sentence_spans": sentence_spans.op10_sentence_spans,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op6_decontamination": decontaminate.op6_decontamination,
+    "op11_tokenizer_alignment": tokenizer_alignment.op11_tokenizer_alignment,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
     "op13_line_dedup": line_dedup.op13_line_dedup,
 }
