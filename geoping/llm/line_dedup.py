@@ -53,6 +53,7 @@ def line_dedup(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_co
     lines = materialise(lines, "line-hashes")
     common = (lines.groupBy("hash").agg(F.count_distinct("doc").alias("docs"), F.max("doc").alias("last"))
               .where(F.col("docs") >= min_docs).select("hash", "last"))
+    common = materialise(common, "line-common")  # a table of its own: the join shuffles both sides, and Spark splits its hot partitions
     gone = (lines.join(common.hint("merge"), "hash").where(F.col("doc") != F.col("last"))
             .groupBy("doc", "copy").agg(F.collect_set("pos").alias("gone")))
     cut = base.join(gone.hint("merge"), ["doc", "copy"], "left")
