@@ -358,6 +358,6 @@ def score(docs: DataFrame, model, keep: list[str], text_col: str = "text") -> Da
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("of"), F.col("toxic").cast("int").alias("toxic"))
-    labelled = docs.select(F.col("doc_id").alias("id"), "text").where(fold(F.col("doc_id"), 5) != 0).join(labels, F.col("id") == F.col("of")).select("id", "text", "toxic")
+    labelled = docs.select(F.col("doc_id").alias("id"), "text").where(fold(F.col("doc_id"), 5) != 0).join(labels.hint("merge"), F.col("id") == F.col("of")).select("id", "text", "toxic")  # one plan at every size
     out = score(docs, train(materialise(labelled, "toxicity-labelled")), ["doc_id"])
     return out.select("row.doc_id", (fold(F.col("row.doc_id"), 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "n_windows")
