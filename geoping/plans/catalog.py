@@ -632,3 +632,106 @@ def q_parcel_assignment(spark, sf_dir):
     """J03 with a polygon layer that grows with the data: lowest containing parcel per location."""
     idx = SP.build_index([("parcel", fixtures.parcels(spark, sf_dir), "parcel_id")])
     return SP.locate(locations(spark, sf_dir).select("id", "latitude", "longitude"), idx).select("id", "parcel_id")
+
+
+# ---------------------------------------------------------------- quadtree cover, pyramid, layout
+
+from ..operators import layout as LY  # noqa: E402
+from ..operators import quadtree as QT  # noqa: E402
+
+PYRAMID_CELL, PYRAMID_LEVELS = 0.01, 8
+
+
+def _covers(spark, sf_dir):
+    """Quadtree covers of both layers: for the point join, and with finest boundary nodes for the pyramid."""
+    layers = [("district", districts(spark, sf_dir), "district_id"), ("province", provinces(spark, sf_dir), "province_id")]
+    return _held(spark, sf_dir, "quadtree", ["nation", "region"],
+                 lambda: (QT.build_cover(layers), QT.build_cover(layers[:1], PYRAMID_CELL, leaf_edges=0)))
+
+
+def _placed(spark, sf_dir):
+    """Locations stored by place and the pyramid beside them; the queries over them share one copy."""
+    def build():
+        root = scratch_path(spark, f"placed-{uuid.uuid4().hex[:10]}")
+        LY.write_by_place(locations(spark, sf_dir), f"{root}/locations", PYRAMID_CELL, block_bytes=1 << 20)
+        pyramid = QT.build_pyramid(spark.read.parquet(f"{root}/locations"), PYRAMID_CELL, PYRAMID_LEVELS)
+        W.write_table(pyramid.repartition("level").sortWithinPartitions("level", "cell_y", "cell_x"), f"{root}/pyramid", "overwrite", ["level"])
+        return root
+    root = _held(spark, sf_dir, "placed", ["events"], build)
+    return spark.read.parquet(f"{root}/locations"), spark.read.parquet(f"{root}/pyramid")
+
+
+@register("quadtree_assignment")
+def q_quadtree_assignment(spark, sf_dir):
+    """J01 over the quadtree cover: the same ids as district_assignment."""
+    d, p = districts(spark, sf_dir), provinces(spark, sf_dir)
+    index = _held(spark, sf_dir, "quadtree_index", ["nation", "region"], lambda: QT.as_index(_covers(spark, sf_dir)[0]))
+    return SP.assign_locations(locations(spark, sf_dir), d, p, index=index).select("id", "district_id", "district_name", "province_id", "province_name")
+
+
+@register("quadtree_parcel_assignment")
+def q_quadtree_parcel_assignment(spark, sf_dir):
+    """J03 over a quadtree cover that grows with the data: lowest containing parcel per location."""
+    cover = QT.build_cover([("parcel", fixtures.parcels(spark, sf_dir), "parcel_id")])
+    return SP.locate(locations(spark, sf_dir).select("id", "latitude", "longitude"), QT.as_index(cover)).select("id", "parcel_id")
+
+
+@register("pyramid_district_statistics")
+def q_pyramid_district_statistics(spark, sf_dir):
+    """J08/A10 from the aggregate pyramid: inside nodes from sums, points of boundary nodes only (ranges of place pushed to the scan)."""
+    points, pyramid = _placed(spark, sf_dir)
+    cover = _covers(spark, sf_dir)[1]
+    near = points.filter(LY.in_ranges(LY.boundary_ranges(cover)))
+    return QT.polygon_statistics(pyramid, PYRAMID_LEVELS, near, districts(spark, sf_dir), cover)
+
+
+@register("pyramid_district_one")
+def q_pyramid_district_one(spark, sf_dir):
+    """A09 from the pyramid: district number 11, the stored points of its boundary nodes alone are read."""
+    points, pyramid = _placed(spark, sf_dir)
+    cover = QT.of_polygon(_covers(spark, sf_dir)[1], "district", 10)
+    near = points.filter(LY.in_ranges(LY.boundary_ranges(cover)))
+    one = districts(spark, sf_dir).filter("district_number = 11")
+    return QT.polygon_statistics(pyramid, PYRAMID_LEVELS, near, one, cover)
+
+
+@register("pyramid_point_count")
+def q_pyramid_point_count(spark, sf_dir):
+    """J04 from the pyramid: points inside district id 0."""
+    points, pyramid = _placed(spark, sf_dir)
+    cover = _covers(spark, sf_dir)[1]
+    near = points.filter(LY.in_ranges(LY.boundary_ranges(QT.of_polygon(cover, "district", 0))))
+    return QT.count_in_polygon(pyramid, PYRAMID_LEVELS, near, cover, "district", 0)
+
+
+@register("pyramid_parcel_statistics")
+def q_pyramid_parcel_statistics(spark, sf_dir):
+    """J08 for a polygon layer that grows with the data and overlaps itself, from the pyramid."""
+    points, pyramid = _placed(spark, sf_dir)
+    parcels = fixtures.parcels(spark, sf_dir)
+    cover = QT.build_cover([("parcel", parcels, "parcel_id")], PYRAMID_CELL, leaf_edges=0)
+    return QT.polygon_statistics(pyramid, PYRAMID_LEVELS, points, parcels, cover, "parcel", "parcel_id", ["parcel_name"])
+
+
+@register("placed_heatmap_filtered")
+def q_placed_heatmap_filtered(spark, sf_dir):
+    """P08 on the table stored by place: the box skips row groups."""
+    return grid_ops.heatmap_request(_placed(spark, sf_dir)[0], min_lat=-18.2, max_lat=-17.5, min_lon=-63.6, max_lon=-63.0,
+                                    network_type="4G", grid_size=0.005)
+
+
+@register("placed_district_page")
+def q_placed_district_page(spark, sf_dir):
+    """J05/T02 on the table stored by place."""
+    return SP.page_in_polygon(_placed(spark, sf_dir)[0], both_index(spark, sf_dir), "district", 10, limit=1000).select(
+        "id", "device_id", "latitude", "longitude")
+
+
+@register("indexed_page")
+def q_indexed_page(spark, sf_dir):
+    """S01 by the counts of id ranges: only the ranges that hold the page are read."""
+    def build():
+        root = scratch_path(spark, f"pages-{uuid.uuid4().hex[:10]}")
+        LY.write_by_id(pings(spark, sf_dir), root, ranges=16)
+        return root
+    return LY.read_page(spark, _held(spark, sf_dir, "pages", ["events"], build), PAGE_LIMIT, PAGE_OFFSET)

@@ -661,3 +661,30 @@ ORACLE["parcel_assignment"] = with_parcels("""
 SELECT l.id, hit.parcel_id FROM locations l LEFT JOIN hit USING (id)""")
 
 ORACLE["device_day_job_twice"] = ORACLE["device_day_job"]
+
+# ---------------------------------------------------------------- quadtree cover, pyramid, layout
+
+ORACLE["quadtree_assignment"] = ORACLE["district_assignment"]
+ORACLE["quadtree_parcel_assignment"] = ORACLE["parcel_assignment"]
+ORACLE["pyramid_district_statistics"] = ORACLE["district_statistics"]
+ORACLE["pyramid_district_one"] = ORACLE["district_statistics_one"]
+ORACLE["pyramid_point_count"] = ORACLE["district_point_count"]
+ORACLE["placed_heatmap_filtered"] = ORACLE["heatmap_filtered"]
+ORACLE["placed_district_page"] = ORACLE["points_in_district_page"]
+ORACLE["indexed_page"] = ORACLE["page_scan"]
+ORACLE["pyramid_parcel_statistics"] = with_parcels(f"""
+, pc_match AS (
+  SELECT id, pid FROM (
+    SELECT p.id, e.pid, COUNT(*) AS c
+    FROM (SELECT id, latitude AS y, longitude AS x FROM locations) p JOIN pc_edges e
+      ON e.x2 IS NOT NULL AND (e.y1 > p.y) <> (e.y2 > p.y)
+     AND p.x < (e.x2 - e.x1) * (p.y - e.y1) / (e.y2 - e.y1) + e.x1
+    GROUP BY 1, 2) WHERE c % 2 = 1),
+per AS (
+  SELECT m.pid AS parcel_id, COUNT(*) AS total_locations, COUNT(DISTINCT l.device_id) AS unique_devices,
+    {MEAN('l.battery')} AS b, {MEAN('l.signal')} AS s, {MEAN('l.speed')} AS v
+  FROM pc_match m JOIN locations l ON l.id = m.id GROUP BY m.pid)
+SELECT n.parcel_id, n.parcel_name, ms.area_km2, ms.perimeter_km,
+  COALESCE(per.total_locations, 0) AS total_locations, COALESCE(per.unique_devices, 0) AS unique_devices,
+  {NULLIF_FALSY(R2('per.b'))} AS avg_battery, {NULLIF_FALSY(R2('per.s'))} AS avg_signal, {NULLIF_FALSY(R2('per.v'))} AS avg_speed
+FROM (SELECT DISTINCT parcel_id, parcel_name FROM parcel_vertices) n JOIN measures ms USING (parcel_id) LEFT JOIN per USING (parcel_id)""")

@@ -28,11 +28,11 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_table(df: DataFrame, path: str, mode: str = "append", partition_by: list[str] | None = None,
-                fmt: str = "parquet") -> int:
+                fmt: str = "parquet", options: dict[str, str] | None = None) -> int:
     """Write and return the number of rows written (observed during the write)."""
     obs = Observation(f"rows_{uuid.uuid4().hex[:8]}")
     observed = df.observe(obs, F.count(F.lit(1)).alias("rows"))
-    w = observed.write.mode(mode).format(fmt)
+    w = observed.write.mode(mode).format(fmt).options(**(options or {}))
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)
