@@ -735,3 +735,104 @@ def q_indexed_page(spark, sf_dir):
         LY.write_by_id(pings(spark, sf_dir), root, ranges=16)
         return root
     return LY.read_page(spark, _held(spark, sf_dir, "pages", ["events"], build), PAGE_LIMIT, PAGE_OFFSET)
+
+
+# ---------------------------------------------------------------- replay without ids, ids in any order
+
+@register("etl_null_ids")
+def q_etl_null_ids(spark, sf_dir):
+    """J12/ST02: every tenth ping has no id; the batch goes twice through the job and once through the stream writer."""
+    root = scratch_path(spark, f"noid-{uuid.uuid4().hex[:10]}")
+    paths = etl_plan.EtlPaths(root)
+    d, pr, index = districts(spark, sf_dir), provinces(spark, sf_dir), both_index(spark, sf_dir)
+    source = fixtures.raw_pings(spark, sf_dir).withColumn("id", F.when(F.col("id") % 10 != 0, F.col("id")))
+    for _ in range(2):
+        etl_plan.run_etl(spark, source, paths, d, pr, index=index)
+    stream_ops.make_batch_writer(paths, index, d, pr)(normalise_pings(source, with_errors=False), 0)
+    return spark.read.parquet(paths.locations).select("id", "device_id", "latitude", "longitude", "timestamp", "district_id", "province_id")
+
+
+@register("etl_ids_in_any_order")
+def q_etl_ids_in_any_order(spark, sf_dir):
+    """J12/ST02: two overlapping drops whose ids have no order; stored ids are told by the Bloom filters of the dates."""
+    root = scratch_path(spark, f"anyid-{uuid.uuid4().hex[:10]}")
+    paths = etl_plan.EtlPaths(root)
+    d, pr, index = districts(spark, sf_dir), provinces(spark, sf_dir), both_index(spark, sf_dir)
+    p = fixtures.raw_pings(spark, sf_dir)
+    third = F.pmod(F.xxhash64("id"), F.lit(3))
+    for drop in (third != 2, third != 0):
+        etl_plan.run_etl(spark, p.filter(drop), paths, d, pr, index=index, rising_ids=False)
+    return spark.read.parquet(paths.locations).select("id", "district_id", "district_name", "province_id", "province_name")
+
+
+# ---------------------------------------------------------------- mergeable summaries
+
+from ..operators import nearest as NR  # noqa: E402
+from ..operators import sketch as SK  # noqa: E402
+from ..operators import validity as VD  # noqa: E402
+
+
+@register("grid_sketch")
+def q_grid_sketch(spark, sf_dir):
+    """A01/ST05 from states per date and cell with device registers, merged over the dates (estimate rounded)."""
+    dated = SK.grid_sketch_state(locations(spark, sf_dir), 0.05, by=["date"])
+    return SK.grid_from_sketches(SK.merge_grid_sketches(dated), 0.05).drop("lat_grid", "lon_grid")
+
+
+@register("grid_sketch_error")
+def q_grid_sketch_error(spark, sf_dir):
+    """Estimated against exact devices of each cell; rows beyond five standard errors (expected: none)."""
+    loc = locations(spark, sf_dir)
+    est = SK.grid_from_sketches(SK.merge_grid_sketches(SK.grid_sketch_state(loc, 0.05, by=["date"])), 0.05).select("cell_y", "cell_x", F.col("unique_devices").alias("estimated"))
+    exact = grid_ops.grid_heatmap(loc, 0.05).select("cell_y", "cell_x", F.col("unique_devices").alias("exact"))
+    far = F.abs(F.col("estimated") - F.col("exact")) > 1 + 5 * 1.04 / 64 * F.col("exact")
+    return est.join(exact, ["cell_y", "cell_x"], "full").filter(far | F.col("estimated").isNull() | F.col("exact").isNull())
+
+
+PERCENTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+
+
+def _ranked(spark, sf_dir):
+    """Stored pings with their date and the rank states of the speed per date."""
+    def build():
+        root = scratch_path(spark, f"ranks-{uuid.uuid4().hex[:10]}")
+        W.write_table(pings(spark, sf_dir).withColumn("date", F.to_date("timestamp")), f"{root}/pings", "overwrite")
+        W.write_table(SK.rank_state(spark.read.parquet(f"{root}/pings"), "speed", ["date"]), f"{root}/state", "overwrite")
+        return root
+    root = _held(spark, sf_dir, "ranks", ["events"], build)
+    return spark.read.parquet(f"{root}/state"), spark.read.parquet(f"{root}/pings")
+
+
+@register("speed_percentiles_by_days")
+def q_speed_percentiles_by_days(spark, sf_dir):
+    """A19 from the rank states of all dates: the exact values, by looking into a few buckets."""
+    return SK.percentiles_over_days(*_ranked(spark, sf_dir), "speed", PERCENTILES)
+
+
+@register("speed_percentiles_of_a_week")
+def q_speed_percentiles_of_a_week(spark, sf_dir):
+    """A18/A19 over a range of dates, merged from the dates' states."""
+    return SK.percentiles_over_days(*_ranked(spark, sf_dir), "speed", {"median": 0.5, "p99": 0.99}, "2024-01-08", "2024-01-14")
+
+
+# ---------------------------------------------------------------- nearest polygon, ring faults
+
+@register("nearest_district")
+def q_nearest_district(spark, sf_dir):
+    """The nearest district of every location outside all districts (distance in degrees, 9 dp)."""
+    outside = SP.locate(locations(spark, sf_dir).select("id", "latitude", "longitude"), both_index(spark, sf_dir)).filter("district_id is null")
+    return NR.nearest_polygon(outside, districts(spark, sf_dir), "district_id").select("id", "nearest_id", F.round("distance", 9).alias("distance"))
+
+
+@register("polygon_faults")
+def q_polygon_faults(spark, sf_dir):
+    """ring faults of the parcels, some of them spoilt (two vertices swapped, a hole moved out)."""
+    v = fixtures.parcel_vertices(spark, sf_dir)
+    pid, swap = F.col("parcel_id"), (F.col("parcel_id") % 4 == 1) & (F.col("ring") == 0) & (F.col("part") == 0)
+    seq = F.when(swap & (F.col("seq") == 1), 2).when(swap & (F.col("seq") == 2), 1).otherwise(F.col("seq"))
+    x = F.col("x") + F.when((F.col("ring") == 1) & (pid % 10 == 5), F.lit(0.3)).otherwise(F.lit(0.0))
+    spoilt = v.withColumn("seq", seq).withColumn("x", x).withColumnRenamed("parcel_id", "polygon_id")
+    polys = poly_src.polygons_from_vertices(spoilt).withColumnRenamed("polygon_id", "parcel_id")
+    good, _ = VD.split_faulty(polys, "parcel_id")
+    faults = VD.polygon_faults(polys, "parcel_id")
+    return faults.join(good.select("parcel_id", F.lit(True).alias("usable")), "parcel_id", "left").withColumn("usable", F.coalesce("usable", F.lit(False)))

@@ -33,6 +33,7 @@ from ..operators import spatial as SP
 from ..operators.transform import transform_locations
 from ..session import ensure_checkpoint_dir
 from ..sinks import writers as W
+from ..sources import id_index as ID
 from ..sources import ledger as L
 from ..sources.pings import incremental_scan, normalise_pings, only_new
 
@@ -57,6 +58,10 @@ class EtlPaths:
     def device_days(self) -> str:
         return f"{self.root}/device_days"
 
+    @property
+    def id_index(self) -> str:
+        return f"{self.root}/id_index"
+
     @property
     def ledger(self) -> str:
         return f"{self.root}/etl_runs"
@@ -85,7 +90,8 @@ def on_dates(df: DataFrame, dates: list) -> DataFrame:
 
 
 def latest_per_id(batch: DataFrame) -> DataFrame:
-    """One row per id: the latest timestamp, then the largest values column by column; rows without an id all stay."""
+    """One row per id: the latest timestamp, then the largest values column by column. Rows without an id all stay here;
+    what they hold is their identity (``drop_stored``)."""
     order = [F.col("timestamp").desc_nulls_last()] + [F.col(c).desc_nulls_last() for c in sorted(batch.columns) if c not in ("id", "timestamp")]
     first = F.row_number().over(Window.partitionBy("id").orderBy(*order))
     known = batch.filter("id is not null").withColumn("__first", first).filter("__first = 1").drop("__first")
@@ -134,25 +140,57 @@ def write_batch_outputs(spark: SparkSession, located: DataFrame, paths: EtlPaths
     return rows
 
 
-def drop_stored(spark: SparkSession, batch: DataFrame, path: str, span: Touched) -> DataFrame:
-    """J12 at scale: anti join against the stored ids in the batch's id range, whatever their date.
+#: Columns that are not part of what a ping says.
+_DERIVED = {"id", "processed_at", "district_id", "district_name", "province_id", "province_name"}
+
 
-    Only the id column is read, and the range is pushed to the files: ids above the mark are
-    stored only if an earlier run broke off.
+def drop_stored(spark: SparkSession, batch: DataFrame, path: str, span: Touched, index_path: str | None = None) -> DataFrame:
+    """J12 at scale: the rows of ``batch`` (in the columns of the table) that the table does not hold yet.
+
+    * Rows with an id: anti join on the ids in the batch's id range, whatever their date. Only the id column is read, and
+      the range is pushed to the files: ids above the mark are stored only if an earlier run broke off. With
+      ``index_path`` (ids in any order) the Bloom filters of the dates say first which partitions can hold one.
+    * Rows without an id are the same ping if all that they hold is the same (null equals null): equal rows of the
+      batch are one, and those stored on the batch's dates are left out. So a replay adds none of them.
     """
-    if span.low is None or not W.table_exists(spark, path):
-        return batch
-    stored = spark.read.schema("id long").parquet(path).filter(F.col("id").between(span.low, span.high))
-    return only_new(batch, stored)
+    said = [c for c in batch.columns if c not in _DERIVED]
+    keyed, keyless = batch.filter("id is not null"), batch.filter("id is null").dropDuplicates(said)
+    if not W.table_exists(spark, path):
+        return keyed.unionByName(keyless)
+    table = spark.read.schema(batch.schema).parquet(path)
+    if index_path is not None:
+        held = ID.stored_ids(spark, keyed, index_path, path)
+        keyed = keyed if held is None else only_new(keyed, held)
+    elif span.low is not None:
+        keyed = only_new(keyed, table.select("id").filter(F.col("id").between(span.low, span.high)))
+    same = on_dates(table, span.dates) if "date" in batch.columns else table
+    same = same.filter("id is null").select(F.struct(*said).alias("__said"))
+    keyless = keyless.withColumn("__said", F.struct(*said))
+    keyless = keyless.join(same, keyless["__said"].eqNullSafe(same["__said"]), "left_anti").drop("__said")
+    return keyed.unionByName(keyless)
+
+
+def index_ids(spark: SparkSession, located: DataFrame, paths: EtlPaths, full: bool) -> None:
+    """Add a batch's ids to the id index, before its rows are written; build it with more blocks when it gets full."""
+    blocks = None if full else ID.index_blocks(spark, paths.id_index)
+    if blocks is not None and ID.fill(spark, paths.id_index) > ID.FULL:
+        blocks = ID.rebuild(spark, paths.id_index, paths.locations)
+    if blocks is None:
+        blocks = ID.blocks_for(located.filter("id is not null").count())
+        W.write_table(ID.id_filters(located, blocks), paths.id_index, "overwrite", ["date"])
+    else:
+        ID.add_ids(spark, paths.id_index, located, blocks)
 
 
 def run_etl(spark: SparkSession, source: DataFrame, paths: EtlPaths, districts: DataFrame, provinces: DataFrame,
             mode: str = "incremental", grid_size: float = S.DEFAULT_GRID_SIZE,
-            index: SP.SpatialIndex | None = None, start=None, end=None) -> dict:
+            index: SP.SpatialIndex | None = None, start=None, end=None, rising_ids: bool = True) -> dict:
     """ST07/P09: ``mode='full'`` (force) rebuilds every table; ``'incremental'`` processes rows above the mark.
 
     ``start`` / ``end`` optionally bound the batch by timestamp (inclusive). ``rows`` of the
-    result is the number of rows added.
+    result is the number of rows added. Rows without an id are never above a mark: all of the source's
+    are looked at, and those stored are known by what they hold. ``rising_ids=False``: ids come in any
+    order, so the mark bounds nothing; stored ids are told by the Bloom filters in ``paths.id_index``.
     """
     if mode not in ("full", "incremental"):
         raise ValueError("mode must be 'full' or 'incremental'")
@@ -160,19 +198,25 @@ def run_etl(spark: SparkSession, source: DataFrame, paths: EtlPaths, districts:
     started = time.time()
     mark = L.last_mark(spark, paths.ledger) if mode == "incremental" else None
     try:
-        batch = incremental_scan(normalise_pings(source, with_errors=False), last_id=mark, start=start, end=end)
+        pings = normalise_pings(source, with_errors=False)
+        batch = incremental_scan(pings, last_id=mark if rising_ids else None, start=start, end=end)
+        if mark and rising_ids:
+            batch = batch.unionByName(incremental_scan(pings.filter("id is null"), start=start, end=end))
         span = touched(batch)
         rows, new_mark = 0, mark
         if span.dates or mode == "full":
             index = index or SP.build_index([("district", districts, "district_id"),
                                              ("province", provinces, "province_id")], grid_size)
-            batch = latest_per_id(batch)
-            if mode == "incremental":
-                batch = drop_stored(spark, batch, paths.locations, span)
-            located = SP.assign_locations(transform_locations(batch, grid_size), districts, provinces, index=index)
+            located = SP.assign_locations(transform_locations(latest_per_id(batch), grid_size), districts, provinces, index=index)
             if mode == "incremental":
+                located = drop_stored(spark, located, paths.locations, span, None if rising_ids else paths.id_index)
                 # one batch-sized materialisation feeds all sinks; lineage cut in the shared checkpoint folder
                 located = located.checkpoint(eager=True)
+            else:
+                said = [c for c in located.columns if c not in _DERIVED]
+                located = located.filter("id is not null").unionByName(located.filter("id is null").dropDuplicates(said))
+            if not rising_ids:
+                index_ids(spark, located, paths, mode == "full")
             rows = write_batch_outputs(spark, located, paths, mode == "full", span.dates, grid_size)
             new_mark = span.high if span.high is not None else mark
         L.append_run(spark, paths.ledger, new_mark, rows, S.STATUS_SUCCESS, time.time() - started)
@@ -217,7 +261,7 @@ def run_device_day_job(spark: SparkSession, source: DataFrame, root: str) -> dic
     if not span.dates:
         return {"clean_rows": 0, "summary_rows": 0}
     positions = f"{root}/clean_positions"
-    fresh = drop_stored(spark, latest_per_id(clean), positions, span).withColumn("date", F.to_date("timestamp")).checkpoint(eager=True)
+    fresh = drop_stored(spark, latest_per_id(clean).withColumn("date", F.to_date("timestamp")), positions, span).checkpoint(eager=True)
     written = W.write_table(fresh.hint("rebalance", "date"), positions, "append", ["date"])
     affected = on_dates(spark.read.schema(fresh.schema).parquet(positions), span.dates)
     summary = dev_ops.device_day_summary(affected, ordered=False)

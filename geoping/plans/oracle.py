@@ -688,3 +688,80 @@ SELECT n.parcel_id, n.parcel_name, ms.area_km2, ms.perimeter_km,
   COALESCE(per.total_locations, 0) AS total_locations, COALESCE(per.unique_devices, 0) AS unique_devices,
   {NULLIF_FALSY(R2('per.b'))} AS avg_battery, {NULLIF_FALSY(R2('per.s'))} AS avg_signal, {NULLIF_FALSY(R2('per.v'))} AS avg_speed
 FROM (SELECT DISTINCT parcel_id, parcel_name FROM parcel_vertices) n JOIN measures ms USING (parcel_id) LEFT JOIN per USING (parcel_id)""")
+
+# ---------------------------------------------------------------- replay without ids, ids in any order
+
+ORACLE["etl_null_ids"] = with_spatial("""
+SELECT id, device_id, latitude, longitude, timestamp, district_id, province_id FROM assigned WHERE id % 10 <> 0
+UNION ALL
+SELECT CAST(NULL AS BIGINT), device_id, latitude, longitude, timestamp, district_id, province_id FROM (
+  SELECT DISTINCT device_id, device_name, latitude, longitude, altitude, speed, battery, signal, sim_operator, sim_operator_raw, network_type,
+    network_type_raw, timestamp, altitude_range, battery_level, signal_quality, speed_range, district_id, province_id FROM assigned WHERE id % 10 = 0)""")
+ORACLE["etl_ids_in_any_order"] = ORACLE["district_assignment"]
+
+# ---------------------------------------------------------------- mergeable summaries
+
+ORACLE["grid_sketch"] = with_locations(f"""
+, c AS (SELECT *, CAST(floor(latitude / CAST(0.05 AS DOUBLE)) AS BIGINT) AS cell_y, CAST(floor(longitude / CAST(0.05 AS DOUBLE)) AS BIGINT) AS cell_x FROM locations),
+h AS (SELECT cell_y, cell_x, CAST('0x' || substr(md5(device_id), 1, 13) AS BIGINT) AS bits FROM c WHERE device_id IS NOT NULL),
+r AS (
+  SELECT cell_y, cell_x, bits % 4096 AS register, MAX(CASE WHEN bits // 4096 = 0 THEN 41 ELSE 41 - length(bin(bits // 4096)) END) AS rank
+  FROM h GROUP BY 1, 2, 3),
+e AS (SELECT cell_y, cell_x, 4096 - COUNT(*) AS zeros, 4096 - COUNT(*) + SUM(pow(2.0, -rank)) AS harmonic FROM r GROUP BY 1, 2),
+u AS (
+  SELECT cell_y, cell_x, CASE WHEN raw <= 2.5 * 4096 AND zeros > 0 THEN 4096 * ln(4096 / zeros) ELSE raw END AS estimate
+  FROM (SELECT *, 0.7213 / (1.0 + 1.079 / 4096) * 4096 * 4096 / harmonic AS raw FROM e)),
+g AS (
+  SELECT cell_y, cell_x, COUNT(*) AS point_count, {R2(MEAN('battery'))} AS avg_battery, {R2(MEAN('signal'))} AS avg_signal,
+    {R2(MEAN('altitude'))} AS avg_altitude, {R2(MEAN('speed'))} AS avg_speed
+  FROM c GROUP BY 1, 2)
+SELECT g.*, CAST(COALESCE(round(estimate), 0) AS BIGINT) AS unique_devices FROM g LEFT JOIN u USING (cell_y, cell_x)""")
+ORACLE["grid_sketch_error"] = with_locations("""
+SELECT CAST(id AS BIGINT) AS cell_y, CAST(id AS BIGINT) AS cell_x, CAST(id AS BIGINT) AS estimated, CAST(id AS BIGINT) AS exact FROM locations WHERE FALSE""")
+ORACLE["speed_percentiles_by_days"] = ORACLE["speed_percentiles"]
+ORACLE["speed_percentiles_of_a_week"] = with_locations(RANKED.replace(
+    "WHERE speed IS NOT NULL", "WHERE speed IS NOT NULL AND CAST(timestamp AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'")
+    + f"SELECT {_kth('0.5', 'median')}, {_kth('0.99', 'p99')}")
+
+# ---------------------------------------------------------------- nearest polygon, ring faults
+
+ORACLE["nearest_district"] = with_spatial(f"""
+, outside AS (SELECT id, latitude AS y, longitude AS x FROM locations WHERE id NOT IN (SELECT id FROM d_match)),
+away AS (
+  SELECT id, pid, (x - (x1 + t * dx)) * (x - (x1 + t * dx)) + (y - (y1 + t * dy)) * (y - (y1 + t * dy)) AS d
+  FROM (SELECT o.id, o.x, o.y, e.pid, e.x1, e.y1, e.x2 - e.x1 AS dx, e.y2 - e.y1 AS dy,
+          least(greatest(((o.x - e.x1) * (e.x2 - e.x1) + (o.y - e.y1) * (e.y2 - e.y1))
+            / ((e.x2 - e.x1) * (e.x2 - e.x1) + (e.y2 - e.y1) * (e.y2 - e.y1)), 0.0), 1.0) AS t
+        FROM outside o CROSS JOIN d_edges e WHERE e.x2 IS NOT NULL))
+SELECT id, pid AS nearest_id, {R('sqrt(d)', 9)} AS distance
+FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, pid) AS k FROM away) WHERE k = 1""")
+
+ORACLE["polygon_faults"] = with_locations("""
+, v AS (
+  SELECT parcel_id AS pid, part, ring, CASE WHEN parcel_id % 4 = 1 AND ring = 0 AND part = 0 AND seq IN (1, 2) THEN 3 - seq ELSE seq END AS seq,
+    x + CASE WHEN ring = 1 AND parcel_id % 10 = 5 THEN CAST(0.3 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS x, y
+  FROM parcel_vertices),
+e AS (
+  SELECT pid, part, ring, seq, x AS x1, y AS y1, LEAD(x) OVER w AS x2, LEAD(y) OVER w AS y2, MAX(seq) OVER (PARTITION BY pid, part, ring) - 1 AS last
+  FROM v WINDOW w AS (PARTITION BY pid, part, ring ORDER BY seq)),
+ed AS (SELECT * FROM e WHERE x2 IS NOT NULL),
+o AS (
+  SELECT a.pid, a.part = b.part AND a.ring = b.ring AND b.seq = a.seq + 1 AS following, a.part = b.part AND a.ring = b.ring AND a.seq = 0 AND b.seq = b.last AS closing,
+    sign((a.x2 - a.x1) * (b.y1 - a.y1) - (a.y2 - a.y1) * (b.x1 - a.x1)) AS s1, sign((a.x2 - a.x1) * (b.y2 - a.y1) - (a.y2 - a.y1) * (b.x2 - a.x1)) AS s2,
+    sign((b.x2 - b.x1) * (a.y1 - b.y1) - (b.y2 - b.y1) * (a.x1 - b.x1)) AS s3, sign((b.x2 - b.x1) * (a.y2 - b.y1) - (b.y2 - b.y1) * (a.x2 - b.x1)) AS s4,
+    b.x1 BETWEEN least(a.x1, a.x2) AND greatest(a.x1, a.x2) AND b.y1 BETWEEN least(a.y1, a.y2) AND greatest(a.y1, a.y2) AS i1,
+    b.x2 BETWEEN least(a.x1, a.x2) AND greatest(a.x1, a.x2) AND b.y2 BETWEEN least(a.y1, a.y2) AND greatest(a.y1, a.y2) AS i2,
+    a.x1 BETWEEN least(b.x1, b.x2) AND greatest(b.x1, b.x2) AND a.y1 BETWEEN least(b.y1, b.y2) AND greatest(b.y1, b.y2) AS i3,
+    a.x2 BETWEEN least(b.x1, b.x2) AND greatest(b.x1, b.x2) AND a.y2 BETWEEN least(b.y1, b.y2) AND greatest(b.y1, b.y2) AS i4
+  FROM ed a JOIN ed b ON a.pid = b.pid AND (a.part, a.ring, a.seq) < (b.part, b.ring, b.seq)),
+m AS (
+  SELECT pid, s1 * s2 < 0 AND s3 * s4 < 0 AS crossing,
+    (s1 = 0 AND i1 AND NOT following) OR (s2 = 0 AND i2 AND NOT closing) OR (s3 = 0 AND i3 AND NOT closing) OR (s4 = 0 AND i4 AND NOT following) AS touch FROM o),
+met AS (SELECT pid, COUNT(*) FILTER (crossing) AS crossings, COUNT(*) FILTER (touch AND NOT crossing) AS touches FROM m GROUP BY pid),
+hole AS (
+  SELECT v.pid, v.part, v.ring, COUNT(*) FILTER ((e.y1 > v.y) <> (e.y2 > v.y) AND v.x < (e.x2 - e.x1) * (v.y - e.y1) / (e.y2 - e.y1) + e.x1) % 2 = 1 AS inside
+  FROM v JOIN ed e ON e.pid = v.pid AND e.part = v.part AND e.ring = 0 WHERE v.ring > 0 AND v.seq = 0 GROUP BY 1, 2, 3),
+holes AS (SELECT pid, COUNT(*) FILTER (NOT inside) AS holes_outside FROM hole GROUP BY pid)
+SELECT p.pid AS parcel_id, COALESCE(crossings, 0) AS crossings, COALESCE(touches, 0) AS touches, COALESCE(holes_outside, 0) AS holes_outside,
+  COALESCE(crossings, 0) = 0 AND COALESCE(holes_outside, 0) = 0 AS usable
+FROM (SELECT DISTINCT pid FROM v) p LEFT JOIN met USING (pid) LEFT JOIN holes USING (pid)""")

@@ -67,8 +67,8 @@ def make_batch_writer(paths: EtlPaths, index: SP.SpatialIndex, districts: DataFr
         span = touched(batch)
         if not span.dates:
             return
-        fresh = drop_stored(spark, latest_per_id(batch), paths.locations, span)
-        located = SP.assign_locations(transform_locations(fresh, grid_size), districts, provinces, index=index)
+        located = SP.assign_locations(transform_locations(latest_per_id(batch), grid_size), districts, provinces, index=index)
+        located = drop_stored(spark, located, paths.locations, span)
         write_batch_outputs(spark, located.checkpoint(eager=True), paths, False, span.dates, grid_size)
 
     return write_batch
