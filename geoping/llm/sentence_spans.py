@@ -33,6 +33,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,33 +114,41 @@ def _spans(off: np.ndarray, raw: np.ndarray, span: int, min_words: int | None):
     return ends, first, doc[begin], begin, end, (hashes[0], hashes[1].astype(np.uint32))
 
 
-def _span_rows(texts: DataFrame, span: int, min_words: int | None) -> DataFrame:
-    """(id, h1, h2) for every distinct run of every text."""
-    schema = as_schema(texts, "id", "h1 bigint", "h2 int")
+def _span_lists(texts: DataFrame, span: int, min_words: int | None) -> DataFrame:
+    """Per text: n_sentences, ``own`` (a run comes twice in it) and the hashes h1, h2 of its distinct runs, a list each."""
+    schema = as_schema(texts, "id", "t1", "t2", "n_sentences bigint", "own boolean", "h1 array<bigint>", "h2 array<int>")
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                _, _, doc, _, _, (h1, h2) = _spans(*buffers(part.column("text")), span, min_words)
-                by = np.argsort(h1 ^ mix64(doc))
+                off, raw = buffers(part.column("text"))
+                _, first, doc, _, _, (h1, h2) = _spans(off, raw, span, min_words)
+                n = len(off) - 1
+                by = np.lexsort((h2, h1, doc))
                 doc, h1, h2 = doc[by], h1[by], h2[by]
                 new = np.ones(len(doc), bool)
                 new[1:] = (doc[1:] != doc[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+                own = np.bincount(doc[~new], minlength=n) > 0
                 doc, h1, h2 = doc[new], h1[new].view(np.int64), h2[new].view(np.int32)
-                for i in range(0, len(doc), 100_000):
-                    cut = slice(i, i + 100_000)
-                    yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(doc[cut])), pa.array(h1[cut]), pa.array(h2[cut])], names=["id", "h1", "h2"])
+                ends = pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in ("id", "t1", "t2")), pa.array(np.diff(first), pa.int64()), pa.array(own), pa.ListArray.from_arrays(ends, pa.array(h1)), pa.ListArray.from_arrays(ends, pa.array(h2))],
+                    names=schema.names)
 
-    return texts.select("id", "text").mapInArrow(run, schema)
+    return texts.select("id", "t1", "t2", "text").mapInArrow(run, schema)
 
 
 def _cut(frame: DataFrame, span: int, min_words: int | None) -> DataFrame:
-    """Remove the sentences under runs listed in ``gone`` (first hashes) or seen before in the text."""
+    """Remove the sentences under runs listed in ``gone`` (first hashes) or seen before in the text (``own``); other texts pass as they are."""
     schema = as_schema(frame, "row", "n_sentences bigint", "n_removed bigint", "removed_bytes bigint", "kept string")
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            hit = pc.or_(pc.fill_null(batch.column("own"), False), pc.is_valid(batch.column("gone")))
+            rest = batch.filter(pc.invert(hit))
+            none = pa.array(np.zeros(rest.num_rows, np.int64))
+            yield pa.RecordBatch.from_arrays([rest.column("row"), rest.column("n_sentences"), none, none, rest.column("text")], names=schema.names)
+            for part in slices(batch.filter(hit), "text"):
                 texts = flat(part.column("text"))
                 off, raw = buffers(texts)
                 ends, first, doc, begin, end, (h1, h2) = _spans(off, raw, span, min_words)
@@ -182,12 +191,18 @@ def sentence_dedup(docs: DataFrame, keep: list[str], id_col: str = "doc_id", tex
     last = (1 << 63) - 1
     base = docs.select(F.struct(*[docs[f"`{c}`"] for c in keep]).alias("row"),
                        F.coalesce(docs[f"`{id_col}`"].cast("bigint"), F.lit(last)).alias("id"), docs[f"`{text_col}`"].cast("string").alias("text"))
-    rows = _span_rows(base, span, min_words)  # made twice: stored, they would be the largest table on disk
+    base = base.withColumn("t1", F.coalesce(F.xxhash64("text"), F.lit(0))).withColumn("t2", F.coalesce(F.xxhash64(F.lit(1), "text"), F.lit(0)))
+    lists = materialise(_span_lists(base, span, min_words), "sentence-runs")  # hashed once, read twice
+    rows = lists.select("id", F.explode(F.arrays_zip("h1", "h2")).alias("h")).select("id", "h.h1", "h.h2")
     firsts = rows.groupBy("h1", "h2").agg(F.min("id").alias("head"), F.max("id").alias("tail")).where("tail > head").drop("tail")
-    later = rows.join(firsts, ["h1", "h2"]).where("id > head").groupBy(F.col("id").alias("of")).agg(F.collect_set("h1").alias("gone"))
+    firsts = materialise(firsts, "sentence-heads")
+    later = rows.join(firsts.hint("merge"), ["h1", "h2"]).where("id > head").groupBy(F.col("id").alias("of")).agg(F.collect_set("h1").alias("gone"))
     later = materialise(later, "sentence-gone")
-    joined = base.join(later, base["id"] == later["of"], "left")
-    return _cut(joined.select("row", "text", "gone"), span, min_words)
+    # equal rows (id and text) are told alike: one answer for all of them
+    told = lists.select("id", "t1", "t2", "n_sentences", "own").groupBy("id", "t1", "t2").agg(F.max("n_sentences").alias("n_sentences"), F.max("own").alias("own"))
+    told = told.join(later, told["id"] == later["of"], "left").drop("of")
+    joined = base.join(told.hint("merge"), ["id", "t1", "t2"])
+    return _cut(joined.select("row", "text", "n_sentences", "own", "gone"), span, min_words)
 
 
 def op10_sentence_spans(spark, sf_dir: str) -> DataFrame:
