@@ -92,6 +92,24 @@ def speed_groups(pings: DataFrame) -> DataFrame:
     return _with_share(groups).withColumn("position", C.ordinal("speed_range", S.SPEED_ORDER))
 
 
+def network_group_samples(pings: DataFrame) -> DataFrame:
+    """A32 for networks: each raw network group with its row of the lowest id (device, operator)."""
+    return _group_samples(pings, network_key().alias("network"), "device_name", "sim_operator")
+
+
+def speed_group_samples(pings: DataFrame) -> DataFrame:
+    """A32 for speed ranges: each group with its row of the lowest id (device, speed)."""
+    return _group_samples(pings, C.speed_range("speed").alias("speed_range"), "device_name", "speed")
+
+
+def _group_samples(pings: DataFrame, group, *shown: str) -> DataFrame:
+    keyed = pings.select("id", group, *[F.col(c).alias(f"sample_{c}") for c in shown])
+    name = keyed.columns[1]
+    first = F.min_by(F.struct("id", *[f"sample_{c}" for c in shown]), F.col("id"))
+    return (keyed.groupBy(name).agg(F.count(F.lit(1)).alias("records"), first.alias("__s"))
+            .select(name, "records", F.col("__s.id").alias("sample_id"), *[F.col(f"__s.sample_{c}") for c in shown]))
+
+
 def speed_motion_share(pings: DataFrame) -> DataFrame:
     """Stationary vs moving records and shares."""
     sr = C.speed_range("speed")

@@ -836,3 +836,153 @@ def q_polygon_faults(spark, sf_dir):
     good, _ = VD.split_faulty(polys, "parcel_id")
     faults = VD.polygon_faults(polys, "parcel_id")
     return faults.join(good.select("parcel_id", F.lit(True).alias("usable")), "parcel_id", "left").withColumn("usable", F.coalesce("usable", F.lit(False)))
+
+
+# ---------------------------------------------------------------- reload of polygons, dimension loads, stateful streams
+
+from ..operators import members as MB  # noqa: E402
+from ..operators import reassign as RA  # noqa: E402
+from ..operators.transform import backfill_time_fields  # noqa: E402
+from ..sources import ledger as ledger_src  # noqa: E402
+
+
+@register("reassign_after_reload")
+def q_reassign_after_reload(spark, sf_dir):
+    """Locations stored with old districts (some moved, one missing), brought to the new ones by changed cells."""
+    paths = etl_plan.EtlPaths(scratch_path(spark, f"reload-{uuid.uuid4().hex[:10]}"))
+    d, pr = districts(spark, sf_dir), provinces(spark, sf_dir)
+    moved = F.when(F.col("district_id") % 10 == 2, F.lit(0.03)).otherwise(F.lit(0.0))
+    geom = F.transform("geom", lambda part: F.transform(part, lambda ring: F.transform(ring, lambda p: F.struct((p["x"] + moved).alias("x"), p["y"].alias("y")))))
+    old = d.filter("district_id <> 7").withColumn("geom", geom)
+    etl_plan.run_etl(spark, fixtures.raw_pings(spark, sf_dir), paths, old, pr, mode="full")
+    RA.reassign_changed(spark, paths.locations, (old, pr), (d, pr))
+    return spark.read.parquet(paths.locations).select("id", "district_id", "district_name", "province_id", "province_name")
+
+
+@register("dim_device_loads")
+def q_dim_device_loads(spark, sf_dir):
+    """The device dimension after three overlapping loads; keys are 1..n without gaps (shown per row)."""
+    path = scratch_path(spark, f"members-{uuid.uuid4().hex[:10]}")
+    loc = locations(spark, sf_dir)
+    for k in (1, 0, 2):
+        MB.load_members(spark, path, loc.filter((F.col("id") % 3 == k) | (F.col("id") % 7 == k)), "device_id", "device_name")
+    out = MB.current_members(spark, path, "device_id", "device_name")
+    keys = out.agg(F.count_distinct("id").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).collect()[0]
+    return out.select("device_id", "device_name", "first_seen", "last_seen", F.lit(keys["n"] == keys["b"] and keys["a"] == 1).alias("keys_dense"))
+
+
+@register("stream_day_summary")
+def q_stream_day_summary(spark, sf_dir):
+    """ST03/ST04: day windows of a watermarked stream whose rows come out of order, repeated and late; late days go the batch way."""
+    root = scratch_path(spark, f"days-{uuid.uuid4().hex[:10]}")
+    p = fixtures.raw_pings(spark, sf_dir)
+    days = F.datediff(F.to_date("timestamp"), F.lit("2024-01-01"))
+    for name, drop in (("a", days % 5 != 2), ("b", days % 7 == 3), ("c", (days % 5 == 2) | (F.col("id") % 11 == 0))):   # c is late, b repeats
+        p.filter(drop).repartition(3).write.parquet(f"{root}/landing/drop={name}")
+    stream_ops.run_day_streams(spark, f"{root}/landing/*", root, max_files_per_trigger=3)
+    stream_ops.settle_days(spark, root)
+    return spark.read.parquet(f"{root}/summary")
+
+
+# ---------------------------------------------------------------- items that only tests showed before
+
+BOUND_START, BOUND_END = "2024-01-05 00:00:00", "2024-01-12 23:59:59"
+
+
+@register("etl_date_bounds")
+def q_etl_date_bounds(spark, sf_dir):
+    """A run bounded by time at both ends."""
+    paths = etl_plan.EtlPaths(scratch_path(spark, f"bounds-{uuid.uuid4().hex[:10]}"))
+    etl_plan.run_etl(spark, fixtures.raw_pings(spark, sf_dir), paths, districts(spark, sf_dir), provinces(spark, sf_dir), index=both_index(spark, sf_dir),
+                     start=BOUND_START, end=BOUND_END)
+    return spark.read.parquet(paths.locations).select("id", "timestamp", "district_id", "province_id")
+
+
+@register("ledger_reports")
+def q_ledger_reports(spark, sf_dir):
+    """History of two runs and the rows of today."""
+    paths = etl_plan.EtlPaths(scratch_path(spark, f"ledger-{uuid.uuid4().hex[:10]}"))
+    p = fixtures.raw_pings(spark, sf_dir)
+    for source in (p.filter("id <= 400"), p):
+        etl_plan.run_etl(spark, source, paths, districts(spark, sf_dir), provinces(spark, sf_dir), index=both_index(spark, sf_dir))
+    runs = ledger_src.read_ledger(spark, paths.ledger)
+    day = runs.agg(F.max(F.to_date("execution_date")).cast("string").alias("d")).collect()[0]["d"]
+    history = ledger_src.history(runs, 10).select(F.col("status").alias("entry"), "last_processed_id", F.col("records_processed").cast("bigint").alias("records"))
+    return history.unionByName(ledger_src.rows_on(runs, day).select(F.lit("today").alias("entry"), F.lit(None).cast("bigint").alias("last_processed_id"),
+                                                                    F.col("records_processed").cast("bigint").alias("records")))
+
+
+@register("network_group_samples")
+def q_network_group_samples(spark, sf_dir):
+    return rep_ops.network_group_samples(pings(spark, sf_dir))
+
+
+@register("speed_group_samples")
+def q_speed_group_samples(spark, sf_dir):
+    return rep_ops.speed_group_samples(pings(spark, sf_dir))
+
+
+@register("one_distribution")
+def q_one_distribution(spark, sf_dir):
+    """The altitude labels in their order."""
+    return stat_ops.one_distribution(locations(spark, sf_dir), "altitude_range")
+
+
+@register("json_text_pings")
+def q_json_text_pings(spark, sf_dir):
+    """Pings landed as JSON lines of texts, some of them not numbers, read back and typed."""
+    root = scratch_path(spark, f"json-{uuid.uuid4().hex[:10]}")
+    p = fixtures.raw_pings(spark, sf_dir)
+    texts = p.select(F.concat(F.col("id").cast("string"), F.lit(".0")).alias("id"), "device_id", F.col("latitude").cast("string").alias("latitude"),
+                     F.when(F.col("id") % 31 == 0, "east").otherwise(F.col("longitude").cast("string")).alias("longitude"),
+                     F.concat(F.col("battery").cast("int").cast("string"), F.lit(".9")).alias("battery"),
+                     F.when(F.col("id") % 37 == 0, "NaN").otherwise(F.col("speed").cast("string")).alias("speed"),
+                     F.when(F.col("id") % 41 == 0, "yesterday").otherwise(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss")).alias("timestamp"))
+    texts.write.json(f"{root}/pings")
+    return ping_src.read_ping_json(spark, f"{root}/pings").select("id", "device_id", "latitude", "longitude", "battery", "speed", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"),
+                                                                  F.array_join("_errors", ",").alias("errors"))
+
+
+@register("geojson_polygon_roundtrip")
+def q_geojson_polygon_roundtrip(spark, sf_dir):
+    """parcels of one part written as features of type Polygon, read back, measured."""
+    root = scratch_path(spark, f"polygon-{uuid.uuid4().hex[:10]}")
+    one = fixtures.parcels(spark, sf_dir).filter(F.size("geom") == 1)
+    rings = F.transform(F.element_at("geom", 1), lambda ring: F.transform(ring, lambda p: F.array(p["x"], p["y"])))
+    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.concat(F.lit("Distrito "), F.col("parcel_id")).alias("DISTRITO")).alias("properties"),
+                                 F.struct(F.lit("Polygon").alias("type"), rings.alias("coordinates")).alias("geometry")))
+    one.select(feature.alias("value")).write.text(f"{root}/parcels")
+    back = poly_src.district_attributes(poly_src.read_geojson_lines(spark, f"{root}/parcels"))
+    return dist_ops.polygon_measures(back, "district_number").select(F.col("district_number").cast("long").alias("parcel_id"), "area_km2", "perimeter_km")
+
+
+@register("null_orphans")
+def q_null_orphans(spark, sf_dir):
+    """Districts that were deleted leave no id behind."""
+    kept = districts(spark, sf_dir).filter("district_id % 3 <> 0")
+    return SP.null_orphans(assigned(spark, sf_dir), kept, "district_id", "district_name").select("id", "district_id", "district_name")
+
+
+@register("evolved_table")
+def q_evolved_table(spark, sf_dir):
+    """A table made empty, filled without the speed column, then with it."""
+    path = scratch_path(spark, f"evolved-{uuid.uuid4().hex[:10]}")
+    p = pings(spark, sf_dir)
+    W.ensure_table(spark, path, p.drop("speed").schema)
+    W.write_table(p.filter("id % 2 = 0").drop("speed"), path)
+    W.write_table(p.filter("id % 2 = 1"), path)
+    return W.read_evolving(spark, path, p.schema).select("id", "device_id", "speed")
+
+
+@register("backfill_time_fields")
+def q_backfill_time_fields(spark, sf_dir):
+    """time fields filled where they are null, kept where they are not."""
+    loc = locations(spark, sf_dir).select("id", "timestamp").withColumn("hour_value", F.when(F.col("id") % 2 == 0, F.lit(99)))
+    return backfill_time_fields(loc).select("id", "hour_value", "time_period", "time_period_code", "date")
+
+
+@register("processed_at_kept")
+def q_processed_at_kept(spark, sf_dir):
+    """A stamp that is there stays."""
+    p = pings(spark, sf_dir).withColumn("processed_at", F.when(F.col("id") % 2 == 0, F.col("timestamp")))
+    return transform_locations(p).select("id", "processed_at")

@@ -765,3 +765,45 @@ holes AS (SELECT pid, COUNT(*) FILTER (NOT inside) AS holes_outside FROM hole GR
 SELECT p.pid AS parcel_id, COALESCE(crossings, 0) AS crossings, COALESCE(touches, 0) AS touches, COALESCE(holes_outside, 0) AS holes_outside,
   COALESCE(crossings, 0) = 0 AND COALESCE(holes_outside, 0) = 0 AS usable
 FROM (SELECT DISTINCT pid FROM v) p LEFT JOIN met USING (pid) LEFT JOIN holes USING (pid)""")
+
+# ---------------------------------------------------------------- reload of polygons, dimension loads, stateful streams
+
+ORACLE["reassign_after_reload"] = ORACLE["district_assignment"]
+ORACLE["dim_device_loads"] = with_locations(", " + DIM_DEVICE + " SELECT device_id, device_name, first_seen, last_seen, TRUE AS keys_dense FROM dim_device")
+ORACLE["stream_day_summary"] = ORACLE["device_day_summary"]
+
+# ---------------------------------------------------------------- items that only tests showed before
+
+ORACLE["etl_date_bounds"] = with_spatial("""
+SELECT id, timestamp, district_id, province_id FROM assigned
+WHERE timestamp >= TIMESTAMP '2024-01-05 00:00:00' AND timestamp <= TIMESTAMP '2024-01-12 23:59:59'""")
+ORACLE["ledger_reports"] = with_locations("""
+, runs AS (
+  SELECT 'SUCCESS' AS entry, (SELECT MAX(id) FROM pings WHERE id <= 400) AS last_processed_id, (SELECT COUNT(*) FROM locations WHERE id <= 400) AS records
+  UNION ALL SELECT 'SUCCESS', (SELECT MAX(id) FROM pings), (SELECT COUNT(*) FROM locations WHERE id > 400))
+SELECT entry, CAST(last_processed_id AS BIGINT) AS last_processed_id, CAST(records AS BIGINT) AS records FROM runs
+UNION ALL SELECT 'today', NULL, CAST(SUM(records) AS BIGINT) FROM runs""")
+ORACLE["network_group_samples"] = with_locations(f"""
+SELECT {NET_KEY} AS network, COUNT(*) AS records, MIN(id) AS sample_id, arg_min(struct_pack(v := device_name), id).v AS sample_device_name,
+  arg_min(struct_pack(v := sim_operator), id).v AS sample_sim_operator
+FROM pings GROUP BY 1""")
+ORACLE["speed_group_samples"] = with_locations(f"""
+SELECT {SPEED_RANGE_RAW} AS speed_range, COUNT(*) AS records, MIN(id) AS sample_id, arg_min(struct_pack(v := device_name), id).v AS sample_device_name,
+  arg_min(struct_pack(v := speed), id).v AS sample_speed
+FROM pings GROUP BY 1""")
+ORACLE["one_distribution"] = with_locations("""
+SELECT altitude_range AS label, COUNT(*) AS count FROM locations WHERE altitude_range IS NOT NULL GROUP BY 1""")
+ORACLE["json_text_pings"] = with_locations("""
+SELECT id, device_id, latitude, CASE WHEN id % 31 = 0 THEN NULL ELSE longitude END AS longitude, battery,
+  CASE WHEN id % 37 = 0 THEN NULL ELSE speed END AS speed, CASE WHEN id % 41 = 0 THEN NULL ELSE CAST(date_trunc('second', timestamp) AS TIMESTAMP) END AS timestamp,
+  concat_ws(',', CASE WHEN id % 31 = 0 THEN 'unparsable_longitude' END, CASE WHEN id % 41 = 0 THEN 'unparsable_timestamp' END) AS errors
+FROM pings""")
+ORACLE["geojson_polygon_roundtrip"] = with_parcels("SELECT parcel_id, area_km2, perimeter_km FROM measures WHERE parcel_id % 7 <> 3")
+ORACLE["null_orphans"] = with_spatial("""
+SELECT id, CASE WHEN district_id % 3 <> 0 THEN district_id END AS district_id, CASE WHEN district_id % 3 <> 0 THEN district_name END AS district_name FROM assigned""")
+ORACLE["evolved_table"] = with_locations("SELECT id, device_id, CASE WHEN id % 2 = 1 THEN speed END AS speed FROM pings")
+ORACLE["backfill_time_fields"] = with_locations("""
+SELECT id, CASE WHEN id % 2 = 0 THEN 99 ELSE CAST(hour(timestamp) AS INTEGER) END AS hour_value, period AS time_period,
+  CASE period WHEN 'MAÑANA' THEN 'MOR' WHEN 'TARDE' THEN 'AFT' WHEN 'NOCHE' THEN 'NIG' END AS time_period_code, date
+FROM locations""")
+ORACLE["processed_at_kept"] = with_locations("SELECT id, CASE WHEN id % 2 = 0 THEN timestamp END AS processed_at FROM locations")

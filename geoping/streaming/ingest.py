@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..operators import spatial as SP
 from ..operators.transform import transform_locations
-from ..plans.etl import EtlPaths, drop_stored, latest_per_id, touched, write_batch_outputs
+from ..plans.etl import EtlPaths, drop_stored, latest_per_id, on_dates, touched, write_batch_outputs
+from ..sinks import writers as W
 from ..sources.pings import normalise_pings
 
 
@@ -86,11 +87,63 @@ def run_available_now(spark: SparkSession, landing: str, paths: EtlPaths, checkp
     q.awaitTermination()
 
 
-def day_summary_stream(stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    """ST04 (stream form): tumbling 1-day windows per device with a watermark (update mode)."""
-    return (_event_time(stream).withWatermark("timestamp", delay)
+def day_summary_stream(stream: DataFrame, delay: str | None = "1 day") -> DataFrame:
+    """ST04 (stream form): tumbling 1-day windows per device with a watermark (update or append mode; ``delay`` None: the stream has one)."""
+    timed = stream if delay is None else _event_time(stream).withWatermark("timestamp", delay)
+    return (timed
             .groupBy(F.window("timestamp", "1 day").alias("day"), "device_id", "device_name")
             .agg(F.count(F.lit(1)).alias("points_count"), F.max("speed").alias("max_speed"),
                  F.sum(F.col("speed").cast("decimal(18,6)")).alias("sum_speed"), F.count("speed").alias("cnt_speed"),
                  F.sum(F.col("battery").cast("decimal(18,6)")).alias("sum_battery"),
                  F.count("battery").alias("cnt_battery")))
+
+
+def windows_as_days(windows: DataFrame) -> DataFrame:
+    """Rows of ``day_summary_stream`` in the columns of the device-day summary."""
+    return windows.select("device_id", "device_name", F.to_date("day.start").alias("date"), "points_count",
+                          F.try_divide(F.col("sum_speed").cast("double"), F.col("cnt_speed").cast("double")).alias("avg_speed"), "max_speed",
+                          F.try_divide(F.col("sum_battery").cast("double"), F.col("cnt_battery").cast("double")).alias("avg_battery"))
+
+
+def run_day_streams(spark: SparkSession, landing: str, root: str, delay: str = "1 day", fmt: str = "parquet",
+                    max_files_per_trigger: int | None = None) -> None:
+    """ST03/ST04: two streams over one landing folder, until all that has landed is processed.
+
+    * positions: every micro-batch is stored, each id once, whatever its time (``drop_stored``);
+    * days: ids repeated within the watermark are dropped in the stream's state, day windows are summed in it, and a
+      day's rows are written once, when the watermark has passed it. State is bounded by the devices and ids of ``delay``.
+
+    Rows later than the watermark are in the positions alone: ``settle_days`` finds their dates.
+    """
+    def complete(stream: DataFrame) -> DataFrame:
+        return stream.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+
+    def store(batch: DataFrame, epoch_id: int) -> None:
+        span = touched(batch)
+        if span.dates:
+            fresh = drop_stored(batch.sparkSession, latest_per_id(batch).withColumn("date", F.to_date("timestamp")), f"{root}/positions", span)
+            W.write_table(fresh.checkpoint(eager=True).hint("rebalance", "date"), f"{root}/positions", "append", ["date"])
+
+    source = complete(ping_stream(spark, landing, fmt, max_files_per_trigger))
+    (source.writeStream.foreachBatch(store).option("checkpointLocation", f"{root}/_positions").trigger(availableNow=True).start().awaitTermination())
+    days = windows_as_days(day_summary_stream(dedupe_within_watermark(complete(ping_stream(spark, landing, fmt, max_files_per_trigger)), delay), delay=None))
+    (days.writeStream.outputMode("append").format("parquet").partitionBy("date").option("path", f"{root}/days")
+     .option("checkpointLocation", f"{root}/_days").trigger(availableNow=True).start().awaitTermination())
+
+
+def settle_days(spark: SparkSession, root: str) -> list:
+    """Dates whose stored positions and streamed days differ in number (late rows, windows still open, no timestamp) go the
+    batch way: their summary is made from the positions. Writes ``root/summary``; returns the dates made anew."""
+    from ..operators.devices import device_day_summary
+
+    positions = spark.read.parquet(f"{root}/positions")
+    columns = "device_id string, device_name string, points_count bigint, avg_speed double, max_speed double, avg_battery double, date date"
+    days = spark.read.schema(columns).parquet(f"{root}/days")
+    have = days.groupBy("date").agg(F.sum("points_count").alias("n"))
+    want = positions.groupBy("date").agg(F.count(F.lit(1)).alias("m"))
+    both = want.join(have, want["date"].eqNullSafe(have["date"]), "left").select(want["date"], "n", "m")
+    off = [r["date"] for r in both.filter(~F.col("n").eqNullSafe(F.col("m"))).collect()]   # a row per day
+    settled = days if not off else days.join(F.broadcast(spark.createDataFrame([(d,) for d in off], "off date")), F.col("date").eqNullSafe(F.col("off")), "left_anti")
+    made = device_day_summary(on_dates(positions, off), ordered=False) if off else days.limit(0)
+    W.write_table(settled.unionByName(made), f"{root}/summary", "overwrite", ["date"])
+    return off
