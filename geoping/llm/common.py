@@ -50,6 +50,17 @@ def with_text(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     return docs.select(F.struct(*[docs[f"`{c}`"] for c in keep]).alias("row"), docs[f"`{text_col}`"].cast("string").alias("text"))
 
 
+def once(frame: DataFrame, docs: DataFrame, text_col: str, keep: list[str]) -> tuple[DataFrame, str | None]:
+    """``frame`` without its ``text`` if that is in ``row`` anyway, and the name it has there: a text then travels to Python once."""
+    held = text_col in keep and docs.schema[text_col].dataType.simpleString() == "string"
+    return (frame.drop("text"), text_col) if held else (frame, None)
+
+
+def with_held(batch: pa.RecordBatch, name: str | None) -> pa.RecordBatch:
+    """The batch with the ``text`` that ``once`` left in ``row`` (no copy)."""
+    return batch if name is None else batch.append_column("text", batch.column("row").field(name))
+
+
 def as_schema(frame: DataFrame, *columns: str):
     """DDL-free schema for ``mapInArrow``: columns of ``frame`` by name, then ``name type`` strings."""
     from pyspark.sql.types import StructField, StructType, _parse_datatype_string

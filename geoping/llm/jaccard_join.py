@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoping.llm.common import Words, as_schema, buffers, components, materialise, mix64, slices
+from geoping.llm.common import as_schema, buffers, components, materialise, mix64, once, slices, with_held, Words
 
 WIDTH = 5
 PERCENT = 80
@@ -87,13 +87,13 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(total)
 
 
-def _classes(base: DataFrame) -> DataFrame:
-    """``row``, id, t1, t2, n (set size) and c (class, null for an empty set)."""
+def _classes(base: DataFrame, held: str | None) -> DataFrame:
+    """``row``, id, t1, t2, n (set size) and c (class, null for an empty set). ``held``: the text's name in ``row``, if it is there."""
     schema = as_schema(base, "row", "id", "t1", "t2", "n bigint", "c bigint")
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(with_held(batch, held), "text"):
                 _, first, classes = sets(*buffers(part.column("text")))
                 n = np.diff(first)
                 yield pa.RecordBatch.from_arrays(
@@ -442,7 +442,7 @@ def jaccard_join(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_
     """
     base = docs.select(F.struct(*[docs[f"`{c}`"] for c in keep]).alias("row"), docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].cast("string").alias("text"))
     base = base.withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit(1), "text"))
-    rows = materialise(_classes(base).withColumn("nr", F.monotonically_increasing_id()), "jaccard-classes")
+    rows = materialise(_classes(*once(base, docs, text_col, keep)).withColumn("nr", F.monotonically_increasing_id()), "jaccard-classes")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = rows.agg(F.sum("n")).first()[0] or 0
     first = _shared(_pack_texts(base, n := max(partitions, total // (4 * UNIT) + 1), percent), n)
