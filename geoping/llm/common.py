@@ -133,9 +133,13 @@ def powers(n: int) -> np.ndarray:
 
 
 class Words:
-    """Words of a batch of texts: ``start``/``end`` byte positions, ``hash`` and ``first`` (word index where each document begins)."""
+    """Words of a batch of texts: ``start``/``end`` byte positions, ``hash`` and ``first`` (word index where each document begins).
 
-    def __init__(self, off: np.ndarray, raw: np.ndarray, table: np.ndarray = SPACE_WORDS, lower: bool = True):
+    ``sound``: every byte is mixed with its place before it is added, so that no algebra is left. The plain hash is a
+    polynomial modulo 2**64, which takes certain long words (Thue-Morse sequences of two letters) for one another.
+    """
+
+    def __init__(self, off: np.ndarray, raw: np.ndarray, table: np.ndarray = SPACE_WORDS, lower: bool = True, sound: bool = False):
         n = len(raw)
         inside = table[raw]
         before = np.empty(n, bool)
@@ -157,7 +161,8 @@ class Words:
             at = idx - np.maximum.accumulate(np.where(begins, idx, 0))
             longest = int((self.end - self.start).max())
             codes = (BYTE_CODES[LOWER] if lower else BYTE_CODES)[raw]
-            codes *= powers(longest + 1)[np.minimum(at, longest)]
+            place = powers(longest + 1)[np.minimum(at, longest)]
+            codes = mix64(codes ^ place) if sound else codes * place
             codes[~inside] = 0
             self.hash = mix64(np.add.reduceat(codes, self.start) + (self.end - self.start).astype(np.uint64))
         else:

@@ -58,7 +58,7 @@ _MANY = 0
 
 def sets(off: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of each document in ascending order, where each document begins, and its class."""
-    shingles, first = Words(off, raw).shingles(WIDTH)
+    shingles, first = Words(off, raw, sound=True).shingles(WIDTH)
     doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
     by = np.lexsort((shingles, doc))
     doc, shingles = doc[by], shingles[by]

@@ -67,3 +67,13 @@ def test_small_units(frame, monkeypatch):
 
 def test_empty_table(frame):
     assert J.jaccard_join(frame([]), ["doc_id"]).collect() == []
+
+
+def test_words_that_a_polynomial_hash_confuses(frame):
+    """Thue-Morse words of two letters, the letters swapped: no polynomial modulo 2**64 tells them apart."""
+    for length in (1024, 4096):
+        morse = "".join("ab"[bin(k).count("1") % 2] for k in range(length))
+        other = morse.translate(str.maketrans("ab", "ba"))
+        docs = frame([(1, morse), (2, other), (3, morse), (4, f"{morse} x y z u"), (5, f"{other} x y z u")])
+        got = {r.row.doc_id: r.component_id for r in J.jaccard_join(docs, ["doc_id"]).collect()}
+        assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
