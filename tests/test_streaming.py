@@ -64,3 +64,24 @@ def test_json_landing_stream_through_batch_writer(spark):
     assert loc.filter("speed = 0.0").count() == 15                               # 'oops' -> null -> 0.0
     grid = read_grid(spark, paths)
     assert grid.agg(F.sum("point_count")).collect()[0][0] == 60
+
+
+def test_day_streams_send_late_rows_the_batch_way(spark):
+    from geoping.operators.devices import device_day_summary
+
+    root = scratch_path(spark, f"days-{uuid.uuid4().hex[:8]}")
+    t0 = dt.datetime(2024, 1, 1, 10)
+    row = lambda i, day, lat=1.0: (i, f"d{i % 3}", "D", lat, 1.0, None, float(i), 50.0, -60.0, None, None, None if day is None else t0 + dt.timedelta(days=day, minutes=i))
+    first = [row(i, i % 10) for i in range(40)]
+    late = [row(100 + i, i % 2) for i in range(5)] + first[:7] + [row(200, None), row(201, 3, None), row(202, 12)]
+    _land(spark, root, first, "a")
+    ST.run_day_streams(spark, f"{root}/landing/*", root)
+    _land(spark, root, late, "b")
+    ST.run_day_streams(spark, f"{root}/landing/*", root)
+    again = ST.settle_days(spark, root)
+    stored = spark.read.parquet(f"{root}/positions")
+    assert stored.count() == stored.select("id").distinct().count() == 40 + 5 + 2
+    want = device_day_summary(stored, ordered=False)
+    got = spark.read.parquet(f"{root}/summary").select(*want.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert None in again and dt.date(2024, 1, 1) in again and dt.date(2024, 1, 5) not in again      # late, closed in the stream
