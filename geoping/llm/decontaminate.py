@@ -6,9 +6,10 @@ table (blocks of two words, one word for one-word windows) says how far the
 search may jump, a block with shift 0 selects a bucket of windows by their last
 block, the first word narrows the bucket, and the words are then compared directly.
 
-The benchmark is cut into blocks of at most ``BLOCK_BYTES`` of text; each block
-is broadcast by itself (a proven bound) and searched against all documents, so
-documents are never shuffled for the search.
+The benchmark's distinct items, as words, are cut into pieces of at most ``PIECE_BYTES`` (or 13 words) that
+overlap by 12 words, so they hold the same windows; pieces are packed into blocks of at most
+``BLOCK_BYTES`` by running sums of their bytes. Each block is broadcast by itself (a proven bound, however often an
+item is repeated or how long it is) and searched against all documents, which are never shuffled for the search.
 
 Defined results: null or empty texts have no words and no hits; a null item text
 has no windows; a null ``item_id`` counts as the item ``""``; repeated items count
@@ -29,6 +30,9 @@ from geoping.llm.common import as_schema, materialise, with_text
 
 WINDOW = 13
 BLOCK_BYTES = 4 << 20
+PIECE_BYTES = 1 << 18
+#: Bytes that a piece counts for besides its words.
+_EXTRA = 64
 #: Bytes to words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after A-Z became a-z: all others become blanks.
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -94,6 +98,47 @@ def automata(items: list[tuple[str, str | None]]) -> list[WuManber]:
     return [WuManber(m, group) for m, group in sorted(by_length.items())]
 
 
+def _pieces(item: str, text: str, limit: int) -> list[str]:
+    """Words of an item, one blank between, in pieces of about ``limit`` bytes that overlap by a window less one word."""
+    words = words_of(text)
+    sizes = np.cumsum([len(w) + 1 for w in words])
+    out, start = [], 0
+    while start < len(words):
+        before = sizes[start - 1] if start else 0
+        stop = max(int(np.searchsorted(sizes, before + limit, side="right")), min(start + 2 * WINDOW, len(words)))
+        out.append(b" ".join(words[start:stop]).decode("utf-8", "replace"))
+        if stop == len(words):
+            break
+        start = stop - (WINDOW - 1)
+    return out
+
+
+def _packed(items: DataFrame, block_bytes: int) -> DataFrame:
+    """(block, id, text): pieces of the items, packed task by task into blocks of at most ``block_bytes`` (one piece at least)."""
+    def cut(batches):
+        for batch in batches:
+            rows = [(i, piece) for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True) for piece in _pieces(i, text, min(PIECE_BYTES, block_bytes))]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.string()), pa.array([t for _, t in rows], pa.string())], names=["id", "text"])
+
+    def pack(batches):
+        block, size = 0, 0
+        for batch in batches:
+            numbers = []
+            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                own = len(i.encode()) + len(text.encode()) + _EXTRA
+                if size and size + own > block_bytes:
+                    block, size = block + 1, 0
+                size += own
+                numbers.append(block)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), batch.column("id"), batch.column("text")], names=["number", "id", "text"])
+
+    pieces = materialise(items.distinct().mapInArrow(cut, "id string, text string"), "benchmark-pieces")
+    size = pieces.agg(F.sum(F.octet_length("text") + F.octet_length("id") + _EXTRA).alias("n")).first()["n"] or 0
+    dealt = pieces.repartition(max(1, -(-int(size) // block_bytes)), "id", "text").sortWithinPartitions("id", "text")
+    packed = dealt.mapInArrow(pack, "number bigint, id string, text string").withColumn("block", F.struct(F.spark_partition_id().alias("part"), "number"))
+    return materialise(packed.select("block", "id", "text"), "benchmark-blocks")
+
+
 def _scan(frame: DataFrame, broadcast) -> DataFrame:
     """``row``, ``n_words`` and the hits of one benchmark block: ``runs`` (start, end word pairs) and ``items``."""
     schema = as_schema(frame, "row", "n_words bigint", "runs array<int>", "items array<string>")
@@ -153,18 +198,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_c
     together per row, by a row number that the first pass writes down.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(benchmark[item_col].cast("string"), F.lit("")).alias("id"), benchmark[item_text_col].cast("string").alias("text")).where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text") + F.octet_length("id") + 64).alias("n")).first()["n"] or 0
-    n_blocks = max(1, -(-int(size) * 3 // (2 * block_bytes)))
+    items = benchmark.select(F.coalesce(benchmark[f"`{item_col}`"].cast("string"), F.lit("")).alias("id"), benchmark[f"`{item_text_col}`"].cast("string").alias("text")).where("text is not null")
+    packed = _packed(items, block_bytes)
+    blocks = [r["block"] for r in packed.select("block").distinct().orderBy("block").collect()]  # a row per ``block_bytes`` of benchmark
+
+    def sent(block):
+        own = packed.where((F.col("block.part") == block["part"]) & (F.col("block.number") == block["number"]))
+        return spark.sparkContext.broadcast([(r["id"], r["text"]) for r in own.collect()])
+
     frame = with_text(docs, text_col, keep)
-    if n_blocks == 1:
-        return _verdict(_scan(frame, spark.sparkContext.broadcast([(r["id"], r["text"]) for r in items.collect()])))
+    if len(blocks) < 2:
+        return _verdict(_scan(frame, sent(blocks[0]) if blocks else spark.sparkContext.broadcast([])))
     frame = materialise(frame.withColumn("row", F.struct(F.col("row").alias("kept"), F.monotonically_increasing_id().alias("nr"))), "decontaminate")
     parts = None
-    for b in range(n_blocks):
-        block = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == b)
-        part = _scan(frame, spark.sparkContext.broadcast([(r["id"], r["text"]) for r in block.collect()]))
-        part = materialise(part if b == 0 else part.where("size(items) > 0"), "decontaminate-block")
+    for k, block in enumerate(blocks):
+        part = _scan(frame, sent(block))
+        part = materialise(part if k == 0 else part.where("size(items) > 0"), "decontaminate-block")
         parts = part if parts is None else parts.unionByName(part)
     found = parts.groupBy(F.col("row.nr").alias("nr")).agg(
         F.first("row.kept").alias("row"), F.max("n_words").alias("n_words"),

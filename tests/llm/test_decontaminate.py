@@ -52,3 +52,26 @@ def test_shift_never_passes_an_occurrence():
     hit, found = bytearray(len(words)), set()
     search.search(words, hit, found)
     assert found == {"x", "y"} and bytes(hit) == b"\x01" * 6 + b"\x00"
+
+
+def test_long_and_repeated_items_stay_within_a_block(spark, frame):
+    """One item is most of the benchmark, another is repeated 500 times: blocks keep their bound, results are the same."""
+    from geoping.llm import decontaminate as op
+
+    long = " ".join(f"w{i}" for i in range(4000))
+    items = [(1, long)] + [(2, "the very same item of fourteen words that is repeated again and again here")] * 500 + [(3, "short one"), (3, "another text of three")]
+    bench = spark.createDataFrame([(str(i), t) for i, t in items], "id string, text string")
+    packed = op._packed(bench, 3000)
+    sizes = {}
+    for r in packed.collect():
+        sizes[tuple(r.block)] = sizes.get(tuple(r.block), 0) + len(r.text) + len(r.id) + op._EXTRA
+    assert len(sizes) > 5 and max(sizes.values()) <= 3000 + op._EXTRA
+    words = long.split()
+    docs = [(k, " ".join(words[37 * k:37 * k + 13 + k % 5])) for k in range(100)] + [(200, items[1][1]), (201, "a short one"), (202, "w1 w3 " * 20), (203, " ".join(words[3000:3400]))]
+    assert run(spark, frame, docs, items, block_bytes=3000) == expected(docs, items)
+
+
+def test_names_with_dots(spark, frame):
+    bench = spark.createDataFrame([("q", "one two three")], "`item.id` string, `item.text` string")
+    got = decontaminate(frame([(1, "zero one two three"), (2, "one")]), bench, ["doc_id"], item_col="item.id", item_text_col="item.text").collect()
+    assert sorted((r.row.doc_id, r.n_hit) for r in got) == [(1, 3), (2, 0)]
