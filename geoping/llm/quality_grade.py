@@ -129,8 +129,8 @@ def train(rated: DataFrame, sample: int = SAMPLE) -> CumulativeLink | int:
     """``rated``: id, text, grade (0, 1, ...). The model, or the only grade there is."""
     rated = rated.where("text is not null and grade is not null and grade >= 0")
     counts = {r["grade"]: r["n"] for r in rated.groupBy("grade").agg(F.count("*").alias("n")).orderBy("grade").limit(101).collect()}
-    if len(counts) > 100:
-        raise ValueError("more than 100 grades")
+    if len(counts) > 100 or max(counts, default=0) > 99:
+        raise ValueError("grades are 0 to 99")
     if len(counts) < 2:
         return next(iter(counts), 0)
     draw = F.pmod(F.xxhash64(F.lit(29), "id", "text"), F.lit(1 << 40)) / float(1 << 40)
