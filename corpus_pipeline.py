@@ -6,6 +6,7 @@ epoch, the domain and the budget of the leaf to each selected copy of a document
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,14 +18,29 @@ from geoping.llm.quality_rules import quality_rules
 from geoping.llm.suffix_dedup import as_text, suffix_dedup
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__key``, the file and the number in it of each row: the same in every read, whatever executors there are."""
+    try:
+        return docs.withColumn("__key", F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index")))
+    except AnalysisException:  # not a file read as it is
+        return materialise(docs, "pipeline-rows").withColumn("__key", F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index")))
+
+
+def _only(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``keys`` names: operators carry keys, not rows, and the rows are met once, here."""
+    return docs.join(keys.select("row.__key").hint("merge"), "__key", "left_semi").drop("__key")
+
+
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality_rules(docs, docs.columns).where("kept").select("row.*")
+    docs = _keyed(docs)
+    return _only(docs, quality_rules(docs, ["__key"]).where("kept"))
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    return jaccard_join(docs, docs.columns).where("leads").select("row.*")
+    docs = _keyed(docs)
+    return _only(docs, jaccard_join(docs, ["__key"]).where("leads"))
 
 
 def _substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
