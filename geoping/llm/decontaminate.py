@@ -7,8 +7,8 @@ search may jump, a block with shift 0 selects a bucket of windows by their last
 block, the first word narrows the bucket, and the words are then compared directly.
 
 The benchmark's distinct items, as words, are cut into pieces of at most ``PIECE_BYTES`` (or 13 words) that
-overlap by 12 words, so they hold the same windows; pieces are packed into blocks of at most
-``BLOCK_BYTES`` by running sums of their bytes. Each block is broadcast by itself (a proven bound, however often an
+overlap by 12 words, so they hold the same windows; pieces are put into blocks of ``BLOCK_BYTES``
+(and a piece at most) by running sums of their bytes. Each block is broadcast by itself (a proven bound, however often an
 item is repeated or how long it is) and searched against all documents, which are never shuffled for the search.
 
 Defined results: null or empty texts have no words and no hits; a null item text
@@ -114,29 +114,32 @@ def _pieces(item: str, text: str, limit: int) -> list[str]:
 
 
 def _packed(items: DataFrame, block_bytes: int) -> DataFrame:
-    """(block, id, text): pieces of the items, packed task by task into blocks of at most ``block_bytes`` (one piece at least)."""
-    def cut(batches):
-        for batch in batches:
-            rows = [(i, piece) for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True) for piece in _pieces(i, text, min(PIECE_BYTES, block_bytes))]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.string()), pa.array([t for _, t in rows], pa.string())], names=["id", "text"])
+    """(block, id, text): pieces of the items in blocks of ``block_bytes`` and a piece at most, however many tasks cut them.
 
-    def pack(batches):
-        block, size = 0, 0
+    A piece's place is the running sum of bytes in its task after the totals of the tasks before; only those totals reach
+    the driver.
+    """
+    def cut(batches):
+        upto = 0
         for batch in batches:
-            numbers = []
+            ids, texts, sums = [], [], []
             for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                own = len(i.encode()) + len(text.encode()) + _EXTRA
-                if size and size + own > block_bytes:
-                    block, size = block + 1, 0
-                size += own
-                numbers.append(block)
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), batch.column("id"), batch.column("text")], names=["number", "id", "text"])
-
-    pieces = materialise(items.distinct().mapInArrow(cut, "id string, text string"), "benchmark-pieces")
-    size = pieces.agg(F.sum(F.octet_length("text") + F.octet_length("id") + _EXTRA).alias("n")).first()["n"] or 0
-    dealt = pieces.repartition(max(1, -(-int(size) // block_bytes)), "id", "text").sortWithinPartitions("id", "text")
-    packed = dealt.mapInArrow(pack, "number bigint, id string, text string").withColumn("block", F.struct(F.spark_partition_id().alias("part"), "number"))
-    return materialise(packed.select("block", "id", "text"), "benchmark-blocks")
+                for piece in _pieces(i, text, min(PIECE_BYTES, block_bytes)):
+                    ids.append(i)
+                    texts.append(piece)
+                    sums.append(upto)
+                    upto += len(i.encode()) + len(piece.encode()) + _EXTRA
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.string()), pa.array(sums, pa.int64())], names=["id", "text", "before"])
+
+    pieces = items.distinct().mapInArrow(cut, "id string, text string, before bigint").withColumn("task", F.spark_partition_id())
+    pieces = materialise(pieces, "benchmark-pieces")
+    totals = pieces.groupBy("task").agg(F.max(F.col("before") + F.octet_length("text") + F.octet_length("id") + _EXTRA).alias("n")).orderBy("task").collect()
+    offsets, run = [], 0
+    for r in totals:
+        offsets.append((r["task"], run))
+        run += r["n"]
+    placed = pieces.join(F.broadcast(items.sparkSession.createDataFrame(offsets, "task int, offset bigint")), "task")
+    return placed.select(F.floor((F.col("offset") + F.col("before")) / F.lit(block_bytes)).alias("block"), "id", "text")
 
 
 def _scan(frame: DataFrame, broadcast) -> DataFrame:
@@ -203,7 +206,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_c
     blocks = [r["block"] for r in packed.select("block").distinct().orderBy("block").collect()]  # a row per ``block_bytes`` of benchmark
 
     def sent(block):
-        own = packed.where((F.col("block.part") == block["part"]) & (F.col("block.number") == block["number"]))
+        own = packed.where(F.col("block") == block)
         return spark.sparkContext.broadcast([(r["id"], r["text"]) for r in own.collect()])
 
     frame = with_text(docs, text_col, keep)

@@ -64,8 +64,9 @@ def test_long_and_repeated_items_stay_within_a_block(spark, frame):
     packed = op._packed(bench, 3000)
     sizes = {}
     for r in packed.collect():
-        sizes[tuple(r.block)] = sizes.get(tuple(r.block), 0) + len(r.text) + len(r.id) + op._EXTRA
-    assert len(sizes) > 5 and max(sizes.values()) <= 3000 + op._EXTRA
+        sizes[r.block] = sizes.get(r.block, 0) + len(r.text) + len(r.id) + op._EXTRA
+    assert len(sizes) > 5 and max(sizes.values()) <= 2 * 3000 + op._EXTRA
+    assert op._packed(bench.repartition(50), 1 << 20).select("block").distinct().count() == 1
     words = long.split()
     docs = [(k, " ".join(words[37 * k:37 * k + 13 + k % 5])) for k in range(100)] + [(200, items[1][1]), (201, "a short one"), (202, "w1 w3 " * 20), (203, " ".join(words[3000:3400]))]
     assert run(spark, frame, docs, items, block_bytes=3000) == expected(docs, items)
