@@ -111,28 +111,42 @@ class Aligner:
 
     def _align(self, part: bytes, a: list[int], b: list[int]) -> tuple:
         a_bytes, b_bytes, n_b = self.a_bytes, self.b_bytes, self.n_b
-        if not a or b"".join([a_bytes[x] for x in a]) != part or b"".join([b_bytes[x] for x in b]) != part:
+        n, m = len(a), len(b)
+        if not n or b"".join([a_bytes[x] for x in a]) != part or b"".join([b_bytes[x] for x in b]) != part:
             return 0, 0, 0, None, ()
-        i = j = from_a = from_b = 0
-        a_end, b_end = len(a_bytes[a[0]]), len(b_bytes[b[0]])
-        links, groups = [], []
+        if m == 1:  # one token spans the part: one group
+            k = b[0]
+            return n, 1, 1, ("%s|%d" % (",".join([str(x) for x in a]), k)).encode(), tuple([x * n_b + k for x in a])
+        if n == 1:
+            base = a[0] * n_b
+            return 1, m, 1, ("%d|%s" % (a[0], ",".join([str(x) for x in b]))).encode(), tuple([base + x for x in b])
+        x, y = a[0], b[0]
+        i = j = 0
+        a_end, b_end = len(a_bytes[x]), len(b_bytes[y])
+        left, right, links, groups = str(x), str(y), [], []
         while True:
-            links.append(a[i] * n_b + b[j])
+            links.append(x * n_b + y)
             if a_end == b_end:
-                groups.append(",".join(map(str, a[from_a:i + 1])) + "|" + ",".join(map(str, b[from_b:j + 1])))
-                from_a = i = i + 1
-                from_b = j = j + 1
-                if i == len(a):
+                groups.append(f"{left}|{right}")
+                i += 1
+                if i == n:
                     break
-                a_end += len(a_bytes[a[i]])
-                b_end += len(b_bytes[b[j]])
+                j += 1
+                x, y = a[i], b[j]
+                left, right = str(x), str(y)
+                a_end += len(a_bytes[x])
+                b_end += len(b_bytes[y])
             elif a_end < b_end:
                 i += 1
-                a_end += len(a_bytes[a[i]])
+                x = a[i]
+                left += f",{x}"
+                a_end += len(a_bytes[x])
             else:
                 j += 1
-                b_end += len(b_bytes[b[j]])
-        return len(a), len(b), len(groups), ";".join(groups).encode(), tuple(links)
+                y = b[j]
+                right += f",{y}"
+                b_end += len(b_bytes[y])
+        return n, m, len(groups), ";".join(groups).encode(), tuple(links)
 
 
 def _edges(off: np.ndarray, raw: np.ndarray, cuts: bool) -> np.ndarray:
