@@ -31,6 +31,11 @@ HEADLINE = [
     "incremental_etl_grid",
     "stream_ingest_grid",
     "device_day_job",
+    "quadtree_assignment",
+    "pyramid_district_statistics",
+    "pyramid_district_one",
+    "speed_percentiles_by_days",
+    "nearest_district",
 ]
 
 
