@@ -871,15 +871,19 @@ def q_dim_device_loads(spark, sf_dir):
     return out.select("device_id", "device_name", "first_seen", "last_seen", F.lit(keys["n"] == keys["b"] and keys["a"] == 1).alias("keys_dense"))
 
 
+DROP_ROWS = 250_000     # rows of the table for each file of a drop, about
+
+
 @register("stream_day_summary")
 def q_stream_day_summary(spark, sf_dir):
     """ST03/ST04: day windows of a watermarked stream whose rows come out of order, repeated and late; late days go the batch way."""
     root = scratch_path(spark, f"days-{uuid.uuid4().hex[:10]}")
     p = fixtures.raw_pings(spark, sf_dir)
     days = F.datediff(F.to_date("timestamp"), F.lit("2024-01-01"))
+    files = max(3, -(-p.count() // DROP_ROWS))    # a file is read by one task
     for name, drop in (("a", days % 5 != 2), ("b", days % 7 == 3), ("c", (days % 5 == 2) | (F.col("id") % 11 == 0))):   # c is late, b repeats
-        p.filter(drop).repartition(3).write.parquet(f"{root}/landing/drop={name}")
-    stream_ops.run_day_streams(spark, f"{root}/landing/*", root, max_files_per_trigger=3)
+        p.filter(drop).repartition(files).write.parquet(f"{root}/landing/drop={name}")
+    stream_ops.run_day_streams(spark, f"{root}/landing/*", root, max_files_per_trigger=files)
     stream_ops.settle_days(spark, root)
     return spark.read.parquet(f"{root}/summary")
 

@@ -2,11 +2,10 @@
 
 One lazy plan per step, no driver-side rows:
 
-* the batch is the source above the ledger's high-water mark (S03/S12), one row per id
-  (the latest; ids are unique in the table, J12), minus the ids already stored;
-* cleaned, classified and geo-assigned rows (P01-P07, J01) are checkpointed once
-  (lineage cut in the shared checkpoint folder), then appended to the location table,
-  partitioned and clustered by ``date`` (K01);
+* the batch is the source above the ledger's high-water mark (S03/S12), minus the ids already
+  stored, one row per id (the latest; ids are unique in the table, J12);
+* rows cleaned, classified and geo-assigned (P01-P07, J01) are appended to the location table,
+  partitioned and clustered by ``date`` (K01); what is stored already is left out before that work;
 * everything else is derived from the *stored* rows of the dates that the batch (before
   the anti join) touches, and replaces those date partitions: the mergeable per-(date, cell,
   device) grid state (ST05) and the device-day summaries (K02). A rerun after a crash between
@@ -69,17 +68,18 @@ class EtlPaths:
 
 @dataclass
 class Touched:
-    """Dates (None: no timestamp) and id range of a batch."""
+    """Dates (None: no timestamp), id range and number of rows without an id (None: not counted) of a batch."""
 
     dates: list
     low: int | None
     high: int | None
+    keyless: int | None = None
 
 
 def touched(batch: DataFrame) -> Touched:
-    rows = batch.groupBy(F.to_date("timestamp").alias("d")).agg(F.min("id").alias("low"), F.max("id").alias("high")).collect()
+    rows = batch.groupBy(F.to_date("timestamp").alias("d")).agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count_if(F.col("id").isNull()).alias("keyless")).collect()
     return Touched([r["d"] for r in rows], min((r["low"] for r in rows if r["low"] is not None), default=None),
-                   max((r["high"] for r in rows if r["high"] is not None), default=None))
+                   max((r["high"] for r in rows if r["high"] is not None), default=None), sum(r["keyless"] for r in rows))
 
 
 def on_dates(df: DataFrame, dates: list) -> DataFrame:
@@ -89,13 +89,27 @@ def on_dates(df: DataFrame, dates: list) -> DataFrame:
     return df.filter(keep | F.col("date").isNull() if None in dates else keep)
 
 
-def latest_per_id(batch: DataFrame) -> DataFrame:
+def repeated_ids(batch: DataFrame) -> tuple[DataFrame, int]:
+    """Ids that ``batch`` holds more than once, and their number; only the id column is shuffled."""
+    ensure_checkpoint_dir(batch.sparkSession)
+    ids = batch.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id").checkpoint(eager=True)
+    return ids, ids.count()
+
+
+def latest_per_id(batch: DataFrame, repeated: tuple[DataFrame, int] | None = None) -> DataFrame:
     """One row per id: the latest timestamp, then the largest values column by column. Rows without an id all stay here;
-    what they hold is their identity (``drop_stored``)."""
+    what they hold is their identity (``drop_stored``). Rows whose id is not among ``repeated`` (``repeated_ids`` of the
+    batch or of more) pass as they are; whole rows are shuffled for the others, or for all if those are many."""
+    ids, n = repeated or repeated_ids(batch)
+    if not n:
+        return batch
     order = [F.col("timestamp").desc_nulls_last()] + [F.col(c).desc_nulls_last() for c in sorted(batch.columns) if c not in ("id", "timestamp")]
     first = F.row_number().over(Window.partitionBy("id").orderBy(*order))
-    known = batch.filter("id is not null").withColumn("__first", first).filter("__first = 1").drop("__first")
-    return known.unionByName(batch.filter("id is null"))
+    known, others = batch.filter("id is not null"), batch.filter("id is null")
+    if n <= SP.DEFAULT_BROADCAST_MAX_ROWS:
+        others = others.unionByName(known.join(F.broadcast(ids), "id", "left_anti"))
+        known = known.join(F.broadcast(ids), "id", "left_semi")
+    return known.withColumn("__first", first).filter("__first = 1").drop("__first").unionByName(others)
 
 
 def device_day_from_locations(locations: DataFrame) -> DataFrame:
@@ -122,9 +136,8 @@ def write_batch_outputs(spark: SparkSession, located: DataFrame, paths: EtlPaths
                         grid_size: float = S.DEFAULT_GRID_SIZE) -> int:
     """Write one classified, geo-assigned batch to every table; returns the rows added to the location table.
 
-    Incremental batches must arrive materialised (checkpointed, batch-sized). In
-    full mode the location table write itself is the materialisation: the
-    downstream sinks read the written table back instead of a second copy.
+    The location table write is the materialisation: the downstream sinks read the written
+    table back instead of a second copy.
     """
     schema = located.schema
     clustered = located.hint("rebalance", "date")   # few files per date; AQE splits large dates
@@ -145,24 +158,40 @@ _DERIVED = {"id", "processed_at", "district_id", "district_name", "province_id",
 
 
 def drop_stored(spark: SparkSession, batch: DataFrame, path: str, span: Touched, index_path: str | None = None) -> DataFrame:
-    """J12 at scale: the rows of ``batch`` (in the columns of the table) that the table does not hold yet.
+    """J12 at scale: the rows of ``batch`` (in the columns of the table) that the table does not hold yet: ``drop_stored_ids``
+    for rows with an id, ``drop_stored_keyless`` for those without."""
+    return drop_stored_keyless(spark, drop_stored_ids(spark, batch, path, span, index_path), path, span)
+
+
+def drop_stored_ids(spark: SparkSession, batch: DataFrame, path: str, span: Touched, index_path: str | None = None) -> DataFrame:
+    """Rows of ``batch`` without those whose id the table holds, whatever their date: an anti join on the ids in the batch's
+    id range. Only the id column is read, and the range is pushed to the files: ids above the mark are stored only if an
+    earlier run broke off, so mostly there is nothing to join. With ``index_path`` (ids in any order) the Bloom filters of
+    the dates say first which partitions can hold one. It asks for ids alone, so it comes before any other work on the rows.
+    """
+    if span.low is None or not W.table_exists(spark, path):
+        return batch
+    keyed = batch.filter("id is not null")
+    if index_path is not None:
+        held = ID.stored_ids(spark, keyed, index_path, path)
+    else:
+        held = spark.read.schema("id bigint").parquet(path).filter(F.col("id").between(span.low, span.high))
+        n = held.count()
+        held = None if not n else F.broadcast(held) if n <= SP.DEFAULT_BROADCAST_MAX_ROWS else held
+    return batch if held is None else only_new(keyed, held).unionByName(batch.filter("id is null"))
+
 
-    * Rows with an id: anti join on the ids in the batch's id range, whatever their date. Only the id column is read, and
-      the range is pushed to the files: ids above the mark are stored only if an earlier run broke off. With
-      ``index_path`` (ids in any order) the Bloom filters of the dates say first which partitions can hold one.
-    * Rows without an id are the same ping if all that they hold is the same (null equals null): equal rows of the
-      batch are one, and those stored on the batch's dates are left out. So a replay adds none of them.
+def drop_stored_keyless(spark: SparkSession, batch: DataFrame, path: str, span: Touched) -> DataFrame:
+    """Rows without an id are the same ping if all that they hold is the same (null equals null): equal rows of ``batch`` (in
+    the columns of the table) are one, and those stored on the batch's dates are left out. So a replay adds none of them.
     """
+    if span.keyless == 0:
+        return batch
     said = [c for c in batch.columns if c not in _DERIVED]
     keyed, keyless = batch.filter("id is not null"), batch.filter("id is null").dropDuplicates(said)
     if not W.table_exists(spark, path):
         return keyed.unionByName(keyless)
     table = spark.read.schema(batch.schema).parquet(path)
-    if index_path is not None:
-        held = ID.stored_ids(spark, keyed, index_path, path)
-        keyed = keyed if held is None else only_new(keyed, held)
-    elif span.low is not None:
-        keyed = only_new(keyed, table.select("id").filter(F.col("id").between(span.low, span.high)))
     same = on_dates(table, span.dates) if "date" in batch.columns else table
     same = same.filter("id is null").select(F.struct(*said).alias("__said"))
     keyless = keyless.withColumn("__said", F.struct(*said))
@@ -207,11 +236,14 @@ def run_etl(spark: SparkSession, source: DataFrame, paths: EtlPaths, districts:
         if span.dates or mode == "full":
             index = index or SP.build_index([("district", districts, "district_id"),
                                              ("province", provinces, "province_id")], grid_size)
-            located = SP.assign_locations(transform_locations(latest_per_id(batch), grid_size), districts, provinces, index=index)
+            repeated = repeated_ids(batch)
             if mode == "incremental":
-                located = drop_stored(spark, located, paths.locations, span, None if rising_ids else paths.id_index)
-                # one batch-sized materialisation feeds all sinks; lineage cut in the shared checkpoint folder
-                located = located.checkpoint(eager=True)
+                batch = drop_stored_ids(spark, batch, paths.locations, span, None if rising_ids else paths.id_index)
+            located = SP.assign_locations(transform_locations(latest_per_id(batch, repeated), grid_size), districts, provinces, index=index)
+            if mode == "incremental":
+                located = drop_stored_keyless(spark, located, paths.locations, span)
+                if not rising_ids:   # read by the id index and by the write
+                    located = located.checkpoint(eager=True)
             else:
                 said = [c for c in located.columns if c not in _DERIVED]
                 located = located.filter("id is not null").unionByName(located.filter("id is null").dropDuplicates(said))
@@ -246,6 +278,12 @@ def reassign_missing(spark: SparkSession, paths: EtlPaths, districts: DataFrame,
     return W.replace_partitions(fixed.hint("rebalance", "date"), paths.locations, ["date"])
 
 
+def fresh_positions(spark: SparkSession, batch: DataFrame, path: str, span: Touched) -> DataFrame:
+    """The rows of a batch, each id once, that the positions at ``path`` do not hold, with their date."""
+    new = latest_per_id(drop_stored_ids(spark, batch, path, span), repeated_ids(batch))
+    return drop_stored_keyless(spark, new.withColumn("date", F.to_date("timestamp")), path, span)
+
+
 def run_device_day_job(spark: SparkSession, source: DataFrame, root: str) -> dict:
     """The device-per-day job (§3.2): P02/P04 clean -> K11 clean positions -> A08 summary -> K02 replace dates.
 
@@ -261,7 +299,7 @@ def run_device_day_job(spark: SparkSession, source: DataFrame, root: str) -> dic
     if not span.dates:
         return {"clean_rows": 0, "summary_rows": 0}
     positions = f"{root}/clean_positions"
-    fresh = drop_stored(spark, latest_per_id(clean).withColumn("date", F.to_date("timestamp")), positions, span).checkpoint(eager=True)
+    fresh = fresh_positions(spark, clean, positions, span)
     written = W.write_table(fresh.hint("rebalance", "date"), positions, "append", ["date"])
     affected = on_dates(spark.read.schema(fresh.schema).parquet(positions), span.dates)
     summary = dev_ops.device_day_summary(affected, ordered=False)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..operators import spatial as SP
 from ..operators.transform import transform_locations
-from ..plans.etl import EtlPaths, drop_stored, latest_per_id, on_dates, touched, write_batch_outputs
+from ..plans.etl import EtlPaths, drop_stored_ids, drop_stored_keyless, fresh_positions, latest_per_id, on_dates, repeated_ids, touched, write_batch_outputs
 from ..sinks import writers as W
 from ..sources.pings import normalise_pings
 
@@ -68,9 +68,9 @@ def make_batch_writer(paths: EtlPaths, index: SP.SpatialIndex, districts: DataFr
         span = touched(batch)
         if not span.dates:
             return
-        located = SP.assign_locations(transform_locations(latest_per_id(batch), grid_size), districts, provinces, index=index)
-        located = drop_stored(spark, located, paths.locations, span)
-        write_batch_outputs(spark, located.checkpoint(eager=True), paths, False, span.dates, grid_size)
+        new = latest_per_id(drop_stored_ids(spark, batch, paths.locations, span), repeated_ids(batch))
+        located = SP.assign_locations(transform_locations(new, grid_size), districts, provinces, index=index)
+        write_batch_outputs(spark, drop_stored_keyless(spark, located, paths.locations, span), paths, False, span.dates, grid_size)
 
     return write_batch
 
@@ -109,7 +109,7 @@ def run_day_streams(spark: SparkSession, landing: str, root: str, delay: str = "
                     max_files_per_trigger: int | None = None) -> None:
     """ST03/ST04: two streams over one landing folder, until all that has landed is processed.
 
-    * positions: every micro-batch is stored, each id once, whatever its time (``drop_stored``);
+    * positions: every micro-batch is stored, each id once, whatever its time (``fresh_positions``);
     * days: ids repeated within the watermark are dropped in the stream's state, day windows are summed in it, and a
       day's rows are written once, when the watermark has passed it. State is bounded by the devices and ids of ``delay``.
 
@@ -121,8 +121,8 @@ def run_day_streams(spark: SparkSession, landing: str, root: str, delay: str = "
     def store(batch: DataFrame, epoch_id: int) -> None:
         span = touched(batch)
         if span.dates:
-            fresh = drop_stored(batch.sparkSession, latest_per_id(batch).withColumn("date", F.to_date("timestamp")), f"{root}/positions", span)
-            W.write_table(fresh.checkpoint(eager=True).hint("rebalance", "date"), f"{root}/positions", "append", ["date"])
+            fresh = fresh_positions(batch.sparkSession, batch, f"{root}/positions", span)
+            W.write_table(fresh.hint("rebalance", "date"), f"{root}/positions", "append", ["date"])
 
     source = complete(ping_stream(spark, landing, fmt, max_files_per_trigger))
     (source.writeStream.foreachBatch(store).option("checkpointLocation", f"{root}/_positions").trigger(availableNow=True).start().awaitTermination())
