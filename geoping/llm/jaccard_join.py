@@ -16,9 +16,11 @@ one class (they link at distance 0); all further work is on classes.
    radius of 0.2 most unlinked classes are at distance 1 from each other and from every pivot they
    share nothing with, where a cell's window d(x, q) - d(x, p) <= 0.4 tells nothing; shared prefix
    shingles do, and exactly. The triangle inequality is used inside a region only (3 and 4).
-3. Windows. In the region of p, x and y can link only if |d(x, p) - d(y, p)| is at most the
-   radius (triangle inequality) and their sizes allow it. Classes within the radius of p
-   link to p; a region of one component is done.
+3. Sketches and windows. A set's sketch (`sketch`) has a bit for an element, not 64: two sets differ
+   in as many elements at least as their sketches in bits. Only members whose sketch allows a link
+   to p, then to a member of another component, go on with their sets. In the region of p, x and y
+   can link only if |d(x, p) - d(y, p)| is at most the radius (triangle inequality) and their sizes
+   allow it. Classes within the radius of p link to p; a region of one component is done.
 4. Recursion. Elsewhere the members that are not in the pivot's component are compared with
    all members of other components. A member travels as the bits of the pivot's elements it has
    and the list of its other elements; large regions travel in blocks of bounded size. Inside a
@@ -401,14 +403,131 @@ def _merge(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
     return materialise(labels.join(found.withColumnRenamed("node", "label"), "label", "left").select("c", F.coalesce("component", "label").alias("label")), f"{name}-labels")
 
 
+def sketch(elements: np.ndarray) -> bytes:
+    """Which of a power of two of places, as many as elements at least, an odd number of the elements fall on."""
+    width = max(64, 1 << (len(elements) - 1).bit_length())
+    times = np.bincount((elements & np.uint64(width - 1)).astype(np.int64), minlength=width)
+    return np.packbits((times & 1).astype(bool), bitorder="little").tobytes()
+
+
+def _sketches(members: DataFrame) -> DataFrame:
+    """(c, n, sketch) of stored sets."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "elements"):
+                off, raw = buffers(part.column("elements"))
+                s, off = raw.view(np.uint64) if len(raw) else np.zeros(0, np.uint64), off // 8
+                out = [sketch(s[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("c"), pa.array(np.diff(off), pa.int64()), pa.array(out, pa.binary())], names=["c", "n", "sketch"])
+
+    return members.select("c", "elements").mapInArrow(run, "c bigint, n bigint, sketch binary")
+
+
+def fold(sketch: bytes, words: int) -> np.ndarray:
+    """A sketch on a smaller number of places."""
+    out = np.frombuffer(sketch, np.uint64)
+    while len(out) > words:
+        out = out[:len(out) // 2] ^ out[len(out) // 2:]
+    return out
+
+
+def may_link(n: np.ndarray, sketches: list[bytes], label: np.ndarray, own: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets may link to one of another label here (of another block, if there are two).
+
+    Sets differ in as many elements at least as their sketches in places, and linked sets in at most
+    (100 - percent) / (100 + percent) of the sum of their sizes: what is left out has no link here.
+    """
+    by = np.argsort(n, kind="stable")
+    n, label, own, sketches = n[by], label[by], own[by], [sketches[i] for i in by.tolist()]
+    found = np.zeros(len(n), bool)
+    words = np.array([len(s) // 8 for s in sketches])
+    two = bool((own != own[0]).any())
+    stop = np.searchsorted(n, 100 * n // percent, side="right")
+    for w in np.unique(words).tolist():
+        rows = np.flatnonzero(words == w)
+        base, end = int(rows[0]), int(stop[rows[-1]])
+        grid = np.stack([fold(sketches[k], w) for k in range(base, end)])
+        for i in rows.tolist():
+            others = np.arange(i + 1, stop[i])
+            keep = label[others] != label[i]
+            if two:
+                keep &= own[others] != own[i]
+            if found[i]:
+                keep &= ~found[others]
+            others = others[keep]
+            if len(others):
+                apart = np.bitwise_count(grid[others - base] ^ grid[i - base]).sum(axis=1, dtype=np.int64)
+                near = others[apart * (100 + percent) <= (n[others] + n[i]) * (100 - percent)]
+                found[near] = True
+                found[i] |= len(near) > 0
+    out = np.zeros(len(n), bool)
+    out[by] = found
+    return out
+
+
+def _near_pivots(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (p, x) whose sketches allow a link."""
+    one, two = (sketches.select(F.col("c").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "px")
+
+    def run(batches):
+        for batch in batches:
+            apart = []
+            for a, b in zip(batch.column("sp"), batch.column("sx"), strict=True):
+                a, b = a.as_buffer(), b.as_buffer()
+                words = min(a.size, b.size) // 8
+                apart.append(int(np.bitwise_count(fold(a, words) ^ fold(b, words)).sum()))
+            sizes = batch.column("np").to_numpy() + batch.column("nx").to_numpy()
+            near = np.array(apart, np.int64) * (100 + percent) <= sizes * (100 - percent)
+            yield pa.RecordBatch.from_arrays([batch.column("p"), batch.column("x")], names=["p", "x"]).filter(pa.array(near, pa.bool_()))
+
+    thin = pairs.join(one, "p").join(two.select("x", "nx"), "x").where(f"100 * least(np, nx) >= {percent} * greatest(np, nx)")
+    return thin.join(two.select("x", "sx"), "x").select("p", "x", "np", "nx", "sp", "sx").mapInArrow(run, "p bigint, x bigint")
+
+
+def _far_members(pairs: DataFrame, sketches: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """The pairs (p, x) where x may link to a member of another label in the region of p, sought block pair by block pair."""
+    rows = pairs.join(labels.select(F.col("c").alias("x"), "label"), "x")
+    size = F.sum(F.lit(64) + F.greatest(F.col("n") / 4, F.lit(8)))
+    rows = rows.join(sketches.select(F.col("c").alias("x"), "n"), "x")
+    mixed = rows.groupBy(F.col("p").alias("of")).agg(F.min("label").alias("low"), F.max("label").alias("high"), size.alias("size")).where("low < high")
+    mixed = mixed.select("of", F.ceil(F.col("size") / F.lit(max(BLOCK_BYTES // 8, 1))).cast("int").alias("blocks"))
+    rows = rows.join(mixed, F.col("p") == F.col("of")).join(sketches.select(F.col("c").alias("x"), "sketch"), "x")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("p", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "x", "n", "label", "own", "sketch")
+
+    def run(batches):
+        held, last = [], None
+
+        def flush():
+            x, n, label, own = (np.array([r[k] for r in held], np.int64) for k in range(4))
+            keep = may_link(n, [r[4] for r in held], label, own, percent)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(int(keep.sum()), last[0]), pa.int64()), pa.array(x[keep], pa.int64())], names=["p", "x"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != last and last is not None:
+                    yield flush()
+                    held = []
+                last = row[:3]
+                held.append(row[3:])
+        if last is not None:
+            yield flush()
+
+    return rows.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j").mapInArrow(run, "p bigint, x bigint").distinct()
+
+
 def class_components(members: DataFrame, percent: int) -> DataFrame:
     """(c, label) over the links of the stored classes."""
     entries = _prefixes(members, percent)
     pivots = entries.groupBy("s").agg(F.min("c").alias("p"), F.max("c").alias("q")).where("p < q").drop("q")
-    pairs = entries.join(pivots, "s").where("c <> p").select("p", F.col("c").alias("x")).distinct()
-    near = materialise(_places(materialise(pairs, "jaccard-pairs"), members), "jaccard-regions")
+    pairs = materialise(entries.join(pivots, "s").where("c <> p").select("p", F.col("c").alias("x")).distinct(), "jaccard-pairs")
+    sketches = materialise(_sketches(members), "jaccard-sketches")
+    # sets travel only where sketches allow a link: first to the pivots, then to members of other labels
+    near = _places(materialise(_near_pivots(pairs, sketches, percent), "jaccard-close"), members)
     labels = materialise(members.select("c", F.col("c").alias("label")).distinct(), "jaccard-labels")
     labels = _merge(labels, near.where(f"100 * common >= {percent} * (np + nx - common)"), "jaccard-near")
+    near = materialise(_places(materialise(_far_members(pairs, sketches, labels, percent), "jaccard-open"), members), "jaccard-regions")
     # who is in the component of the region's pivot (inner), who is not (outer); a region without outer members is done
     of_x = labels.select(F.col("c").alias("x"), "label")
     of_p = labels.select(F.col("c").alias("p"), F.col("label").alias("head"))

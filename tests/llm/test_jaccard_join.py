@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from geoping.llm import jaccard_join as J
 
 
@@ -77,3 +79,32 @@ def test_words_that_a_polynomial_hash_confuses(frame):
         docs = frame([(1, morse), (2, other), (3, morse), (4, f"{morse} x y z u"), (5, f"{other} x y z u")])
         got = {r.row.doc_id: r.component_id for r in J.jaccard_join(docs, ["doc_id"]).collect()}
         assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+
+
+def test_sketches_lose_no_link_and_hold_unlinked_sets_back():
+    rnd = np.random.default_rng(7)
+    for size in (3, 20, 64, 65, 130, 700):
+        base = rnd.integers(1, 1 << 63, size * 2, dtype=np.uint64)
+        sets = [base[:size], *(np.concatenate((base[:size - k], base[size:size + k])) for k in rnd.integers(0, size // 4 + 1, 12)), base[:size - size // 10]]
+        sets += [rnd.integers(1, 1 << 63, size, dtype=np.uint64) for _ in range(6)]
+        sets = [np.unique(s) for s in sets]
+        n = np.array([len(s) for s in sets])
+        link = np.array([[i != j and 100 * len(c := np.intersect1d(a, b)) >= 80 * (len(a) + len(b) - len(c)) for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+        sketches = [J.sketch(s) for s in sets]
+        for label, own in ((np.arange(len(n)), np.zeros(len(n), int)), (np.arange(len(n)) % 3, np.arange(len(n)) % 2), (np.arange(len(n)) % 5, np.arange(len(n)) // 10)):
+            may = J.may_link(n, sketches, label, own, 80)
+            apart = (label[:, None] != label) & ((own[:, None] != own) | (own == own[0]).all())
+            assert not ((link & apart).any(axis=1) & ~may).any()
+            assert size < 64 or not may[-6:].any()
+
+
+def test_only_sets_that_may_link_travel(frame, monkeypatch):
+    """A common passage in many texts: all are in one region, and none links to another."""
+    seen = []
+    places = J._places
+    monkeypatch.setattr(J, "_places", lambda pairs, members: seen.append(pairs.count()) or places(pairs, members))
+    passage = " ".join(f"b{i}" for i in range(300))
+    docs = [(i, passage + " " + " ".join(f"o{i}x{j}" for j in range(60))) for i in range(40)]
+    docs += [(100 + i, t.replace(f"o{i}x59", "changed")) for i, t in docs[:5]]
+    check(frame, docs)
+    assert sum(seen) <= 20
