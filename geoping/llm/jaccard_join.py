@@ -55,6 +55,8 @@ PERCENT = 80
 UNIT = 1_000_000
 #: Bytes of the members of a region that are compared with another block at a time.
 BLOCK_BYTES = 16 << 20
+#: Bytes of text whose words are hashed at a time.
+TEXT_BYTES = 1 << 20
 _MANY = 0
 
 
@@ -95,7 +97,7 @@ def _classes(base: DataFrame, held: str | None) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(with_held(batch, held), "text"):
+            for part in slices(with_held(batch, held), "text", TEXT_BYTES):
                 _, first, classes = sets(*buffers(part.column("text")))
                 n = np.diff(first)
                 yield pa.RecordBatch.from_arrays(
@@ -220,7 +222,7 @@ def _pack_texts(base: DataFrame, n_buckets: int, percent: int) -> DataFrame:
     def run(batches):
         packed = _Packed(n_buckets)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TEXT_BYTES):
                 s, first, classes = sets(*buffers(part.column("text")))
                 n = np.diff(first)
                 size = prefix_size(n, percent, _tenth(n))
@@ -251,7 +253,7 @@ def _store(leads: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TEXT_BYTES):
                 s, first, classes = sets(*buffers(part.column("text")))
                 blobs = [s[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(classes.view(np.int64)), pa.array(np.diff(first), pa.int64()), pa.array(blobs, pa.binary())], names=["c", "n", "elements"])
